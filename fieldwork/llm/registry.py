@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import mixing, quality_rules
+from fieldwork.llm import bpe, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLES = {
