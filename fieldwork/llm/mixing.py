@@ -154,5 +154,3 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixed(docs, size=word_count(F.col("text")))["taken"]
     return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
-
-ORACLE = None

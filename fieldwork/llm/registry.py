@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, mixing, quality_rules
+from fieldwork.llm import bpe, licenses, mixing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_license_scan": licenses.op3_license_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_mixing": mixing.op7_mixing,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
-    "op7_mixing": mixing.ORACLE,
 }
