@@ -104,7 +104,48 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Codec:
+class WordMemo:
+    """Encodes texts by remembering the ids of what stands between spaces.
+
+    A piece of the public byte-level patterns never reaches over a space that a
+    visible character follows, nor over a newline between visible characters. Texts
+    are cut there, and each distinct stretch is encoded once: after a newline with
+    that newline, at the start of a text (marked by two) bare, else with its space.
+    Texts with other white space are encoded as a whole.
+    """
+
+    def __init__(self):
+        self.words: dict[bytes, bytes] = {}
+        self.odd: set[bytes] = set()
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        """The packed ids of each text, encoded for itself."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as packed little-endian integers."""
+        if len(self.words) + len(self.odd) > MEMO:
+            self.words.clear()
+            self.odd.clear()
+        cut = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts]
+        for words in cut:
+            words[0] = b"\n" + words[0]
+        stretch: dict[bytes, bytes] = {}
+        for w in set().union(*cut).difference(self.words, self.odd):
+            body = w.lstrip(b"\n")
+            newlines = len(w) - len(body)
+            if newlines > 2 or not body or any(map(str.isspace, body.decode())):
+                self.odd.add(w)
+            else:
+                stretch[w] = (b" " + w, w, body)[newlines]
+        apart = [i for i, words in enumerate(cut) if not self.odd.isdisjoint(words)] if self.odd else []
+        got = self._ids([*stretch.values(), *(texts[i] for i in apart)])
+        self.words.update(zip(stretch, got, strict=False))
+        whole = dict(zip(apart, got[len(stretch) :], strict=True))
+        return [whole[i] if i in whole else b"".join(map(self.words.__getitem__, words)) for i, words in enumerate(cut)]
+
+
+class Codec(WordMemo):
     """Encoder and decoder of one vocabulary; ``of`` keeps one a process."""
 
     _kept: dict[tuple[str, str], Codec] = {}
@@ -119,11 +160,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
 
+        super().__init__()
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
-        self.words: dict[bytes, bytes] = {}
-        self.odd: set[bytes] = set()
         self.spans: dict[bytes, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
         firsts, seconds, merged = [], [], []
@@ -188,39 +228,12 @@ class Codec:
             if batch:
                 self._contract(batch, query)
 
-    def _pieces_of(self, text: bytes) -> list[bytes]:
-        return [p.encode() for p in self.find(text.decode())]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers.
-
-        A piece never reaches over a space that a visible character follows, nor over
-        a newline between visible characters, so texts are first cut there, and what
-        lies between is remembered whole: after a newline with that newline, at the
-        start of a text with two, else without its space. Texts with other white space
-        are cut by the pattern alone.
-        """
-        for memo in (self.words, self.pieces, self.odd):
-            if len(memo) > MEMO:
-                memo.clear()
-        cut = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts]
-        for words in cut:
-            words[0] = b"\n" + words[0]
-        new = set().union(*cut).difference(self.words, self.odd)
-        parts: dict[bytes, list[bytes]] = {}
-        for w in new:
-            body = w.lstrip(b"\n").decode()
-            newlines = len(w) - len(body.encode())
-            if newlines > 2 or not body or any(map(str.isspace, body)):
-                self.odd.add(w)
-            else:
-                parts[w] = self._pieces_of((b" " + w, w, w[2:])[newlines] if newlines else b" " + w)
-        apart = {i: self._pieces_of(texts[i]) for i, words in enumerate(cut) if not self.odd.isdisjoint(words)} if self.odd else {}
-        self._learn({p for x in (*parts.values(), *apart.values()) for p in x})
-        of, word = self.pieces.__getitem__, self.words.__getitem__
-        for w, x in parts.items():
-            self.words[w] = b"".join(map(of, x))
-        return [b"".join(map(of, apart[i])) if i in apart else b"".join(map(word, words)) for i, words in enumerate(cut)]
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        cut = [[p.encode() for p in self.find(t.decode())] for t in texts]
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        self._learn({p for x in cut for p in x})
+        return [b"".join(map(self.pieces.__getitem__, x)) for x in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each row of ids; the inverse of ``encode``.

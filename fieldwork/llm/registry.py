@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, licenses, mixing, quality_rules
+from fieldwork.llm import bpe, licenses, mixing, quality_rules, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_license_scan": licenses.op3_license_scan,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_mixing": mixing.op7_mixing,
+    "op8_token_shards": token_shards.op8_token_shards,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
