@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, licenses, mixing, quality_rules, token_shards
+from fieldwork.llm import bpe, licenses, mixing, neighbours, quality_rules, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,7 +10,9 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_shards": token_shards.op8_token_shards,
+    "op10_nearest": neighbours.op10_nearest,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op10_nearest": neighbours.ORACLE,
 }
