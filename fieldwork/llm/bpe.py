@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 
 from fieldwork.llm.common import read
 
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 2_000_000
 #: Words and pieces that a worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 300_000
 #: Bytes of pieces in one recursive query.
-QUERY_BYTES = 1_000_000
+QUERY_BYTES = 300_000
 LONG_PIECE = 64
 
 #: For short pieces: one contraction a step.
@@ -163,8 +163,7 @@ class Codec(WordMemo):
         super().__init__()
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
-        self.spans: dict[bytes, bytes] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
         self.pieces: dict[bytes, bytes] = {}
         firsts, seconds, merged = [], [], []
         for token, rank in ranks.items():
@@ -178,11 +177,9 @@ class Codec(WordMemo):
         unsafe = np.zeros(max(ranks.values(), default=0) + 1, dtype=bool)
         for side in (a, b):
             unsafe[side[rank < side]] = True
-        self.spaced = np.zeros(len(unsafe), dtype=bool)
-        self.spaced[[rank for token, rank in ranks.items() if token[:1] == b" "]] = True
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         table = pa.table({"a": a, "b": b, "rank": rank.astype(np.int64), "safe": pa.array(~unsafe[rank])})
-        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
+        vocabulary = pa.table({"tok": pa.array(list(ranks.values()), pa.int32()), "chars": pa.array([b.decode("latin-1") for b in ranks])})
         self.db.register("_m", table)
         self.db.register("_v", vocabulary)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM _m; CREATE TABLE vocabulary AS SELECT * FROM _v")
@@ -236,29 +233,17 @@ class Codec(WordMemo):
         return [b"".join(map(self.pieces.__getitem__, x)) for x in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each row of ids; the inverse of ``encode``.
-
-        Rows are cut before each token that starts with a space, and each distinct
-        stretch is decoded once.
-        """
-        if len(self.spans) > MEMO:
-            self.spans.clear()
-        cut = []
-        for x in ids:
-            at = (np.flatnonzero(self.spaced[np.frombuffer(x, dtype="<u4")]) * 4).tolist()
-            at = at if at and at[0] == 0 else [0, *at]
-            cut.append(list(map(x.__getitem__, map(slice, at, [*at[1:], len(x)]))))
-        new = list(set().union(*cut).difference(self.spans))
-        lengths = np.array([len(x) // 4 for x in new], dtype=np.int64)
-        span = np.repeat(np.arange(len(new), dtype=np.int32), lengths)
-        tok = np.frombuffer(b"".join(new), dtype="<u4").astype(np.int32)
-        self.db.register("encoded", pa.table({"span": span, "pos": np.arange(len(tok)), "tok": tok}))
-        got = self.db.execute("SELECT span, list(v.bytes ORDER BY pos) FROM encoded JOIN vocabulary v USING (tok) GROUP BY span").fetchall()
+        """The bytes of each row of ids; the inverse of ``encode``."""
+        lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        tok = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
+        self.db.register("encoded", pa.table({"row": row, "pos": np.arange(len(tok)), "tok": tok}))
+        got = self.db.sql("SELECT row, string_agg(chars, '' ORDER BY pos) AS t FROM encoded JOIN vocabulary USING (tok) GROUP BY row").to_arrow_table()
         self.db.unregister("encoded")
-        self.spans[b""] = b""
-        for k, x in got:
-            self.spans[new[k]] = b"".join(x)
-        return [b"".join(map(self.spans.__getitem__, x)) for x in cut]
+        out = [b""] * len(ids)
+        for k, t in zip(got.column("row").to_pylist(), got.column("t").to_pylist(), strict=True):
+            out[k] = t.encode("latin-1")
+        return out
 
 
 def chunks(texts: pa.Array) -> Iterator[list[bytes]]:
