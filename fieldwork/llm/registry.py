@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, licenses, mixing, neighbours, quality_rules, token_shards
+from fieldwork.llm import bpe, language_model, licenses, mixing, neighbours, quality_rules, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_license_scan": licenses.op3_license_scan,
+    "op5_lm_score": language_model.op5_lm_score,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_shards": token_shards.op8_token_shards,
