@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, language_model, licenses, mixing, neighbours, quality_rules, token_shards
+from fieldwork.llm import bpe, language_model, licenses, mixing, neighbours, ordinal, quality_rules, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_shards": token_shards.op8_token_shards,
+    "op9_quality_classifier": ordinal.op9_quality_classifier,
     "op10_nearest": neighbours.op10_nearest,
 }
 ORACLES = {
