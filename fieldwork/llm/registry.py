@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, language_model, licenses, mixing, neighbours, ordinal, quality_rules, token_shards
+from fieldwork.llm import bpe, language_model, licenses, mixing, neighbours, ordinal, quality_rules, surrogates, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_pii_surrogates": surrogates.op2_pii_surrogates,
     "op3_license_scan": licenses.op3_license_scan,
     "op5_lm_score": language_model.op5_lm_score,
     "op6_byte_bpe": bpe.op6_byte_bpe,
