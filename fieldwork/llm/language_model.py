@@ -12,11 +12,12 @@ before it: ``LAMBDA * c(u v) / c(u) + (1 - LAMBDA) * (c(v) + 1) / (N + V + 1)``
 counts from the filter, the first part at most LAMBDA, and 0 if c(u) is not found.
 ``base_score`` uses the exact unigram counts.
 
-The filter is cut into shards by the n-gram's hash; each shard is built by one task
-from the counts that are dealt to it, with SHARD_BITS bits, and the shards together
-are broadcast. There are as many shards as the counts need at BITS_PER_ENTRY, up to
-MAX_FILTER_BYTES: past that bound the filter holds all n-grams still, at a higher
-false-positive rate. Give it more memory where executors have it.
+The filter is cut into shards of SHARD_BITS bits by the n-gram's hash. Counts are
+dealt by shard once, summed there, and streamed shard by shard through a task that
+holds one shard's bits; the shards together are broadcast. There are as many shards
+as the corpus needs at BITS_PER_BYTE bits for a byte of text, up to MAX_FILTER_BYTES:
+past that bound the filter holds all n-grams still, at a higher false-positive rate.
+Give it more memory where executors have it.
 
 Exact unigram counts reach the texts in one of two ways with equal results: as
 sorted hashes and counts, broadcast, if there are at most VOCABULARY_ROWS of them;
@@ -44,10 +45,12 @@ from fieldwork.llm.common import ASCII_LOWER, WordHashes, mix64, read, stored
 FOLDS, HELD_OUT = 7, 2
 BASE = 1.5
 LAMBDA = 0.6
-BITS_PER_ENTRY = 10
+BITS_PER_BYTE = 3
 SHARD_BITS = 1 << 19
 MAX_FILTER_BYTES = 64 << 20
 VOCABULARY_ROWS = 4_000_000
+#: Tokens that a task counts before it sends the counts on.
+COUNTED_TOKENS = 1_500_000
 PROBES = 5
 
 #: No word holds a newline, so these are no words.
@@ -97,13 +100,12 @@ class LogFrequencyFilter:
         self.shards, self.bits = shards, bits
 
     @staticmethod
-    def shard(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        bits = np.zeros(SHARD_BITS // 8, dtype=np.uint8)
+    def enter(bits: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Enters counts into one shard's bits."""
         levels = level(counts)
         for q in range(1, int(levels.max(initial=0)) + 1):
             for at in _bits(keys[levels >= q], q):
                 np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), (1 << (at & _U(7))).astype(np.uint8))
-        return bits.tobytes()
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The last level found for each key, by probing until one is missing."""
@@ -126,10 +128,11 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def ngram_counts(docs: DataFrame, text: Column) -> DataFrame:
-    """(key, kind, n): exact counts of unigrams (1) and bigrams (2), by hash; kind 0: nothing.
+def ngram_counts(docs: DataFrame, text: Column, shards: int) -> DataFrame:
+    """(shard, key, kind, n): exact counts of unigrams (1) and bigrams (2), by hash.
 
-    Counted in the task first, so a common n-gram moves once from each batch.
+    Counted in the task first, so a common n-gram moves once from each batch; then dealt
+    by shard and summed where they arrive.
     """
 
     def count(batches):
@@ -142,7 +145,7 @@ def ngram_counts(docs: DataFrame, text: Column) -> DataFrame:
                     parts[1].append(tokens)
                     parts[2].append(bigram_hashes(tokens))
                     held += len(tokens)
-                if held and (held >= 4_000_000 or i == len(batch)):
+                if held and (held >= COUNTED_TOKENS or i == len(batch)):
                     for kind, arrays in parts.items():
                         keys, n = np.unique(np.concatenate(arrays), return_counts=True)
                         for a in range(0, len(keys), 100_000):
@@ -150,7 +153,43 @@ def ngram_counts(docs: DataFrame, text: Column) -> DataFrame:
                             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), kind, dtype=np.int8)), pa.array(n[a : a + 100_000].astype(np.int64))], ["key", "kind", "n"])
                     parts, held = {1: [], 2: []}, 0
 
-    return docs.select(text.cast("binary").alias("t")).mapInArrow(count, "key long, kind tinyint, n long").groupBy("key", "kind").agg(F.sum("n").alias("n"))
+    parts = docs.select(text.cast("binary").alias("t")).mapInArrow(count, "key long, kind tinyint, n long")
+    dealt = parts.withColumn("shard", F.shiftrightunsigned("key", 33) % shards).repartition("shard")
+    return dealt.groupBy("shard", "key", "kind").agg(F.sum("n").alias("n"))
+
+
+_PACKED = "shard long, bits binary, words binary, counts binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts in order of their shard -> a row a shard: its bits, its words' hashes and counts."""
+    shard, bits, words, counts = None, None, [], []
+
+    def row() -> pa.RecordBatch:
+        w = np.concatenate(words).view(np.uint8).tobytes()
+        n = np.concatenate(counts).view(np.uint8).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in (bits.tobytes(), w, n))], ["shard", "bits", "words", "counts"])
+
+    for batch in batches:
+        at, key, kind, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        edges = np.flatnonzero(np.diff(at)) + 1
+        for a, b in zip([0, *edges], [*edges, len(at)], strict=True):
+            if b > a and at[a] != shard:
+                if shard is not None:
+                    yield row()
+                shard, bits, words, counts = int(at[a]), np.zeros(SHARD_BITS // 8, dtype=np.uint8), [], []
+            LogFrequencyFilter.enter(bits, key[a:b].view(np.uint64), n[a:b])
+            one = kind[a:b] == 1
+            words.append(key[a:b][one])
+            counts.append(n[a:b][one])
+    if shard is not None:
+        yield row()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, counts in zip(*batch.columns, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), dtype=np.int64)) for x in (words, counts)], ["key", "n"])
 
 
 class Model:
@@ -187,7 +226,7 @@ class Model:
 
 
 #: Tokens that are scored at once.
-SCORED_TOKENS = 500_000
+SCORED_TOKENS = 200_000
 
 
 def _tokens_of(texts: pa.Array) -> Iterator[list[np.ndarray]]:
@@ -208,24 +247,20 @@ _RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
 
 def train(docs: DataFrame, text: Column, *, max_filter_bytes: int = MAX_FILTER_BYTES, vocabulary_rows: int = VOCABULARY_ROWS) -> tuple[Model, DataFrame]:
     """The model of ``docs``, and the exact unigram counts (key, n)."""
-    counts = stored(ngram_counts(docs, text), "lm-counts")
-    sizes = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
-    tokens, distinct = (sizes[1]["n"], sizes[1]["rows"]) if 1 in sizes else (0, 0)
-    entries = sum(r["rows"] for r in sizes.values())
-    wanted = -(-entries * BITS_PER_ENTRY // SHARD_BITS)
-    shards = max(1, min(wanted, max_filter_bytes * 8 // SHARD_BITS))
-
-    def build(key: tuple, rows: pa.Table) -> pa.Table:
-        bits = LogFrequencyFilter.shard(rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy())
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary())})
-
-    high = F.shiftrightunsigned("key", 33)
-    built = counts.select("key", "n", (high % shards).alias("shard")).groupBy("shard").applyInArrow(build, "shard long, bits binary")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    shards = max(1, min(-(-size * BITS_PER_BYTE // SHARD_BITS), max_filter_bytes * 8 // SHARD_BITS))
+    counts = ngram_counts(docs, text, shards).sortWithinPartitions("shard").select("shard", "key", "kind", "n")
+    built = stored(counts.mapInArrow(_packed, _PACKED), "lm-shards")
+    unigrams = built.select("words", "counts").mapInArrow(_unpacked, "key long, n long")
+    distinct = built.agg(F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0)).cast("long")).first()[0]
+    tokens = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = np.zeros(shards * SHARD_BITS // 8, dtype=np.uint8)
     width = SHARD_BITS // 8
-    for no, part in zip(*(c.to_pylist() for c in built.toArrow().columns), strict=True):
-        bits[no * width : (no + 1) * width] = np.frombuffer(part, dtype=np.uint8)
-    unigrams = counts.where("kind = 1").select("key", "n")
+    table = built.select("shard", "bits").toArrow()
+    for no, part in zip(*table.columns, strict=True):
+        at = no.as_py() * width
+        bits[at : at + width] = np.frombuffer(part.as_buffer(), dtype=np.uint8)
+    del table
     exact = None
     if distinct <= vocabulary_rows:
         table = unigrams.toArrow()
