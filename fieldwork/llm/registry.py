@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, language_model, licenses, mixing, neighbours, ordinal, quality_rules, surrogates, token_shards
+from fieldwork.llm import bpe, jaccard_join, language_model, licenses, mixing, neighbours, ordinal, quality_rules, surrogates, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_pii_surrogates": surrogates.op2_pii_surrogates,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_lm_score": language_model.op5_lm_score,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_mixing": mixing.op7_mixing,
