@@ -113,13 +113,16 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id_: str, text: str, levels: np.ndarray) -> DataFrame:
-    """(id, n, class, check, prefix): every row's set size, class and packed prefix."""
+    """(id, body, n, class, check, prefix): every row's set size, class and packed prefix.
+
+    ``body`` is a hash of the text and tells rows of one id apart.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, cls, check, packed = [], [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 s = shingles(x.as_py() or b"")
                 k = prefix_length(len(s))
                 order = np.lexsort((s, shared.value[_cell(s)]))[:k]
@@ -127,10 +130,10 @@ def prefixes(docs: DataFrame, id_: str, text: str, levels: np.ndarray) -> DataFr
                 cls.append(class_of(s))
                 check.append(xxhash.xxh64_intdigest(s.tobytes(), seed=1) >> 1)
                 packed.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (n, cls, check)), pa.array(packed, pa.binary())], ["id", "n", "class", "check", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (n, cls, check)), pa.array(packed, pa.binary())], ["id", "body", "n", "class", "check", "prefix"])
 
     kind = dict(docs.dtypes)[id_]
-    return docs.select(F.col(id_).alias("id"), F.col(text).alias("t")).mapInArrow(cut, f"id {kind}, n long, class long, check long, prefix binary")
+    return docs.select(F.col(id_).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("t")).mapInArrow(cut, f"id {kind}, body long, n long, class long, check long, prefix binary")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -229,7 +232,10 @@ class _Verifier:
 
 
 def joined(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, class, component_id, class_size) for every row of ``docs``."""
+    """(id, body, n_shingles, class, component, component_id) for every row of ``docs``.
+
+    ``component`` is the least class of a component, ``component_id`` its least id.
+    """
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__t"))
     levels = frequencies(docs, "__t")
     rows = stored(prefixes(docs, "__id", "__t", levels), "jaccard-prefixes")
@@ -273,11 +279,38 @@ def joined(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         if last:
             component = stored(connected(edges, "a", "b"), "jaccard-components")
             break
-    found = rows.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    found = rows.select("id", "body", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     named = found.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = classes.join(component.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("id").alias("component_id"))
     out = named.join(least, "component", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "body", F.col("n").alias("n_shingles"), "class", "component", F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of every component; rows without shingles all stay.
+
+    The row with the least id stays (of several, the one whose text hashes least). Rows
+    to be dropped are taken out by an anti join, broadcast if they are few, so texts are
+    not shuffled for it.
+    """
+    rows = stored(joined(docs, id_col=id_col, text_col=text_col).where("n_shingles > 0"), "jaccard-rows")
+    body = F.xxhash64(F.col(text_col).cast("binary"))
+    each = rows.groupBy("component", "id", "body").agg(F.count("*").alias("copies"))
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first"))
+    marked = each.join(first, "component").select("id", "body", "copies", (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.body") == F.col("body"))).alias("stays"))
+    marked = stored(marked.where(~F.col("stays") | (F.col("copies") > 1)), "jaccard-marked")
+    repeated = marked.where("stays")
+
+    def held(side: DataFrame) -> DataFrame:
+        side = side.select(F.col("id").alias("__id"), F.col("body").alias("__body"))
+        return F.broadcast(side) if len(side.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else side
+
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (body == F.col("__body"))
+    out = docs.join(held(marked), same, "left_anti")
+    if repeated.isEmpty():
+        return out
+    more = docs.join(held(repeated), same, "left_semi").withColumn("__body", body).dropDuplicates([id_col, "__body"]).drop("__body")
+    return out.unionByName(more)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
