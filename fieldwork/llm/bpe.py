@@ -21,7 +21,7 @@ empty result. Other columns are neither read nor changed.
 from __future__ import annotations
 
 import base64
-import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 from fieldwork.llm.common import read
 
 CHUNK_BYTES = 2_000_000
-#: Words and pieces that a worker remembers before it starts anew.
-MEMO = 300_000
+#: Words and pieces that a worker remembers; beyond, the older half is forgotten.
+MEMO_WORDS = 200_000
+MEMO_PIECES = 800_000
 #: Bytes of pieces in one recursive query.
 QUERY_BYTES = 300_000
 LONG_PIECE = 64
@@ -99,6 +100,12 @@ GROUP BY piece ORDER BY piece
 """
 
 
+def _trim(memo: dict, most: int) -> None:
+    if len(memo) > most:
+        for k in list(itertools.islice(memo, len(memo) - most // 2)):
+            del memo[k]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -124,8 +131,8 @@ class WordMemo:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed little-endian integers."""
-        if len(self.words) + len(self.odd) > MEMO:
-            self.words.clear()
+        _trim(self.words, MEMO_WORDS)
+        if len(self.odd) > MEMO_WORDS:
             self.odd.clear()
         cut = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts]
         for words in cut:
@@ -227,8 +234,7 @@ class Codec(WordMemo):
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         cut = [[p.encode() for p in self.find(t.decode())] for t in texts]
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
+        _trim(self.pieces, MEMO_PIECES)
         self._learn({p for x in cut for p in x})
         return [b"".join(map(self.pieces.__getitem__, x)) for x in cut]
 
