@@ -52,8 +52,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = mixing.word_count(F.col("text"))
     taken = mixing.mixed(docs, size=size)["taken"].where("taken > 0")
     # rows of equal id and size share what is taken of them
-    share = taken.groupBy("id", F.col("size").alias("__size")).agg((F.sum("taken") / F.sum("size")).alias("__share"))
-    both = docs.withColumn("__words", size).join(share, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("__words") == F.col("__size")))
+    share = taken.groupBy(F.col("id").alias("__id"), F.col("size").alias("__size")).agg((F.sum("taken") / F.sum("size")).alias("__share"))
+    both = docs.withColumn("__words", size).join(share, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
     drawn = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1_000_000)) / 1_000_000 < F.col("__share") - F.floor("__share")
     copies = F.floor("__share").cast("int") + drawn.cast("int")
     return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(docs[c] for c in docs.columns))
