@@ -362,12 +362,12 @@ def tfidf_search(spark, sf_dir):
     return Q.tfidf_search(table(spark, sf_dir, "documents", "doc_id", "text"), key="doc_id", text="text", query={"licensed": 1, "license": 1, "apache": 0.5})
 
 
-_HITS = "WITH h AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'part 1' THEN 10 WHEN starts_with(lower(p_name), 'part 1') THEN 5 ELSE 0 END + contains(lower(p_type), 'part 1')::INT AS rank FROM part WHERE p_size >= 10) "
+_HITS = "WITH h AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'small' THEN 10 WHEN starts_with(lower(p_name), 'small') THEN 5 ELSE 0 END + contains(lower(p_type), 'small')::INT AS rank FROM part WHERE p_size >= 10) "
 
 
 @query(_HITS + "SELECT p_partkey, p_name, rank, (SELECT count(*) FROM h WHERE rank > 0) AS total FROM h WHERE rank > 0 ORDER BY rank DESC, p_name, p_partkey LIMIT 50")
 def search_page(spark, sf_dir):
-    return Q.search_page(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size"), name="p_name", body="p_type", key="p_partkey", query="Part 1", where=F.col("p_size") >= 10)
+    return Q.search_page(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size"), name="p_name", body="p_type", key="p_partkey", query="Small", where=F.col("p_size") >= 10)
 
 
 @query("SELECT page_id, (floor((greatest(page_id, 1) - 1) / 100) * 100 + 1)::BIGINT AS chunk FROM pages")
