@@ -6,6 +6,8 @@ postings are (term, document) rows, joined by equality.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,13 @@ def lexicon(df: DataFrame, text: str, *, least: int = 2) -> DataFrame:
 
 def suggest(vocabulary: DataFrame, word: str, *, least: float = 0.3, limit: int = 5) -> DataFrame:
     """Vocabulary terms like a word, by trigram similarity and frequency."""
-    mine = F.lit(word.lower())
-    scored = vocabulary.withColumn("similarity", X.jaccard(X.trigrams(F.col("term")), X.trigrams(mine)))
-    scored = scored.where((F.col("similarity") >= least) & (F.col("term") != word.lower()))
+    w = word.lower()
+    padded = f"  {w} "
+    mine = sorted({padded[i : i + 3] for i in range(len(w) + 1)})
+    # a term of n letters has n + 1 trigrams at most, so short terms are left out unread
+    near = vocabulary.where((F.length("term") + 1 >= least * len(mine)) & (F.col("term") != w)).withColumn("__t", X.trigrams(F.col("term")))
+    near = near.withColumn("__both", F.size(F.array_intersect("__t", F.array(*map(F.lit, mine))))).where("__both > 0")
+    scored = near.withColumn("similarity", F.col("__both") / (F.size("__t") + len(mine) - F.col("__both"))).where(F.col("similarity") >= least).drop("__t", "__both")
     return scored.withColumn("score", X.suggestion_score(F.col("similarity"), F.col("records"))).orderBy(F.col("score").desc(), "term").limit(max(1, min(25, limit)))
 
 
@@ -39,8 +45,9 @@ def tfidf_search(df: DataFrame, *, key: str, text: str, query: dict[str, float],
     q = F.element_at(wanted, F.col("term")) * F.log(1 + total / F.col("df"))
     hit = F.col("term").isin(*query)
     scores = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.when(hit, F.col("w") * q)).alias("dot"), F.count_if(hit).alias("matched"))
-    qn = idf.where(hit).agg(F.sqrt(F.sum(q * q)).alias("qnorm"))
-    ranked = scores.where("matched > 0").join(F.broadcast(qn)).select(key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"), "matched")
+    found = tokens.where(hit).distinct().groupBy("term").count().collect()  # a row a query word at most
+    qnorm = math.sqrt(sum((query[r["term"]] * math.log(1 + total / r["count"])) ** 2 for r in found)) or 1.0
+    ranked = scores.where("matched > 0").select(key, F.round(F.col("dot") / (F.col("norm") * qnorm), 6).alias("score"), "matched")
     return ranked.orderBy(F.col("score").desc(), key).limit(limit)
 
 
