@@ -55,6 +55,9 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
+#: What any entity must hold; texts without it are not searched by the whole pattern.
+_GUARD = rf"[0-9@=:]|[a-fA-F]{{32}}|{_MEN}|{_WOMEN}"
+
 # Syllables and endings that names are built from.
 _LATIN = "ba be bi bo da de di do fa fe ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo".split()
 _CYRILLIC = "ба бе би бо ва ве ви во га го да де ди до за зе ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си со та те ти то".split()
@@ -212,8 +215,9 @@ def replaced(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     hits = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     key = F.sha2(F.array_join("__hits", "\u0001"), 256)
     # whether there is a hit is decided first, in a scan of its own that moves no text
-    without = docs.where(~F.coalesce(text.rlike(PATTERN), F.lit(False))).withColumns({"__n_entities": F.lit(0).cast("long"), "__kinds": F.lit("")})
-    holding = docs.where(text.rlike(PATTERN)).withColumn("__hits", hits)
+    holds = text.rlike(_GUARD) & text.rlike(PATTERN)
+    without = docs.where(~F.coalesce(holds, F.lit(False))).withColumns({"__n_entities": F.lit(0).cast("long"), "__kinds": F.lit("")})
+    holding = docs.where(holds).withColumn("__hits", hits)
     lists = stored(holding.select(key.alias("__key"), "__hits").groupBy("__key").agg(F.first("__hits").alias("__hits")), "pii-lists")
     each = lists.select("__key", F.posexplode("__hits").alias("pos", "hit")).withColumn("kind", kind_of(F.col("hit"))).withColumn("canon", canonical(F.col("kind"), F.col("hit")))
     chosen = assign(stored(each.select("kind", "canon").distinct(), "pii-entities"))
