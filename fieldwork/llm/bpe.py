@@ -41,25 +41,28 @@ MEMO_PIECES = 800_000
 QUERY_BYTES = 300_000
 LONG_PIECE = 64
 
-#: For short pieces: one contraction a step.
+#: For short pieces: one contraction a step. Rows know the next token and the rank of
+#: their pair, so a step looks up the two pairs that change and sorts nothing.
 _ONE = """
-WITH RECURSIVE s(piece, pos, tok, step) AS (
-  SELECT piece, pos, tok, 0 FROM start
+WITH RECURSIVE s(piece, pos, tok, nxt, ntok, rank, step) AS (
+  SELECT piece, pos, tok, nxt, ntok, m.rank, 0
+  FROM (SELECT piece, pos, tok, lead(pos) OVER w AS nxt, lead(tok) OVER w AS ntok FROM start WINDOW w AS (PARTITION BY piece ORDER BY pos))
+  LEFT JOIN merges m ON m.a = tok AND m.b = ntok
   UNION ALL
-  SELECT piece, pos, tok, step FROM (
-    WITH pairs AS MATERIALIZED (
-      SELECT p.piece, p.pos, p.nextpos, p.tok, p.step, m.rank
-      FROM (
-        SELECT piece, pos, tok, step, lead(pos) OVER w AS nextpos, lead(tok) OVER w AS nxt
-        FROM s WINDOW w AS (PARTITION BY piece ORDER BY pos)
-      ) p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b
-    ), least AS MATERIALIZED (
-      SELECT piece, min(rank * 1048576 + pos) AS best, arg_min(nextpos, rank * 1048576 + pos) AS eaten
-      FROM pairs WHERE rank IS NOT NULL GROUP BY piece
+  SELECT c.piece, c.pos, c.tok, c.nxt, c.ntok, CASE WHEN c.changed THEN m.rank ELSE c.rank END, c.step
+  FROM (
+    WITH least AS MATERIALIZED (
+      SELECT piece, min(rank * 1048576 + pos) AS best, arg_min(nxt, rank * 1048576 + pos) AS eaten FROM s WHERE rank IS NOT NULL GROUP BY piece
+    ), known AS MATERIALIZED (
+      SELECT l.piece, best % 1048576 AS at, (best // 1048576)::INTEGER AS new, eaten, x.nxt, x.ntok
+      FROM least l JOIN s x ON x.piece = l.piece AND x.pos = l.eaten
     )
-    SELECT piece, pos, CASE WHEN pos = best % 1048576 THEN (best // 1048576)::INTEGER ELSE tok END AS tok, step + 1 AS step
-    FROM pairs JOIN least USING (piece) WHERE pos <> eaten
-  )
+    SELECT s.piece, s.pos, CASE WHEN s.pos = k.at THEN k.new ELSE s.tok END AS tok,
+      CASE WHEN s.pos = k.at THEN k.nxt ELSE s.nxt END AS nxt,
+      CASE WHEN s.pos = k.at THEN k.ntok WHEN s.nxt = k.at THEN k.new ELSE s.ntok END AS ntok,
+      (s.pos = k.at OR coalesce(s.nxt = k.at, false)) AS changed, s.rank, s.step + 1 AS step
+    FROM s JOIN known k USING (piece) WHERE s.pos <> k.eaten
+  ) c LEFT JOIN merges m ON m.a = CASE WHEN c.changed THEN c.tok END AND m.b = c.ntok
 )
 SELECT piece, list(tok ORDER BY pos) AS ids
 FROM s JOIN (SELECT piece, max(step) AS step FROM s GROUP BY piece) USING (piece, step)
