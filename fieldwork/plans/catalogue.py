@@ -14,6 +14,7 @@ from fieldwork.operators import cascade as C
 from fieldwork.operators import confront as K
 from fieldwork.operators import dashboards as D
 from fieldwork.operators import flags as S
+from fieldwork.operators import instrument as I
 from fieldwork.operators import metadata as M
 from fieldwork.operators import search as Q
 from fieldwork.streaming import paradata as P
@@ -249,6 +250,36 @@ def table_totals(spark, sf_dir):
     return D.table_totals(table(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity"), "l_returnflag", "l_linestatus", "l_quantity")
 
 
+ORDER_FORM = I.Instrument(
+    id="order",
+    nodes=(
+        I.Question("o_orderstatus", "Status of order ${o_orderkey}"),
+        I.Computation("large", "$o_totalprice > 250000"),
+        I.IfThenElse("$large", then=(I.Question("o_orderpriority", "Priority of a large order"),), otherwise=(I.Question("clerk", "Clerk", required=True, visible_when="$o_orderstatus == 'P'"),)),
+        I.Roster("part", "o_shippriority", (I.Question("note", "Note"),)),
+    ),
+    edits=(I.Edit("edit.large.open", "$large && $o_orderstatus == 'O'", "soft"), I.Edit("edit.bad", "1 +"), I.Edit("edit.price", "$net < 1000")),
+    derived={"net": "$o_totalprice / 1.1"},
+)
+
+
+@query("""SELECT o_orderkey, 'required:clerk' AS edit_id, 'fatal' AS severity, 1.0::DOUBLE AS suspicion FROM orders WHERE o_totalprice <= 250000 AND o_orderstatus = 'P'
+UNION ALL SELECT o_orderkey, 'edit.large.open', 'query', 0.6 FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'O'
+UNION ALL SELECT o_orderkey, 'edit.price', 'fatal', 1.0 FROM orders WHERE o_totalprice / 1.1 < 1000""")
+def edit_rerun(spark, sf_dir):
+    return I.fired_edits(table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"), ORDER_FORM, "o_orderkey")
+
+
+@query("""WITH o AS (SELECT *, o_orderkey % 3 AS k FROM orders)
+SELECT o_orderkey, 1 AS no, 'o_orderstatus' AS name, 'Status of order ' || o_orderkey AS text, true AS answered, 0 AS iteration FROM o
+UNION ALL SELECT o_orderkey, 2, 'o_orderpriority', 'Priority of a large order', true, 0 FROM o WHERE o_totalprice > 250000
+UNION ALL SELECT o_orderkey, 3, 'clerk', 'Clerk', false, 0 FROM o WHERE o_totalprice <= 250000 AND o_orderstatus = 'P'
+UNION ALL SELECT o_orderkey, 4, 'note', 'Note', false, i FROM (SELECT o_orderkey, unnest(range(1, k + 1))::INTEGER AS i FROM o)""")
+def flatten_items(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority").withColumn("o_shippriority", F.col("o_orderkey") % 3)
+    return I.items(o, ORDER_FORM, "o_orderkey")
+
+
 # -- corpus: cascade, timelines, statistics
 
 _KEYED = """WITH k AS (SELECT *, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS concept, coalesce(trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')), '') AS universe_key,
