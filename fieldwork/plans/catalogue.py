@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldwork.functions import expr as E
 from fieldwork.functions import text as X
+from fieldwork.operators import browse as B
 from fieldwork.operators import cascade as C
 from fieldwork.operators import confront as K
 from fieldwork.operators import dashboards as D
@@ -417,6 +418,48 @@ def mnemonic(spark, sf_dir):
     return table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type").select("p_partkey", X.mnemonic(F.col("p_brand")).alias("brand"), X.mnemonic(F.col("p_type")).alias("type"))
 
 
+@query("""SELECT 'all' AS dimension, 'all' AS key, count(*) AS n FROM documents UNION ALL SELECT 'lang', coalesce(lang, 'unknown'), count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*) FROM documents GROUP BY 2""")
+def ingest_rollups(spark, sf_dir):
+    return B.rollups(table(spark, sf_dir, "documents", "lang", "source"), ["lang", "source"])
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_name ILIKE '%r_n%' ORDER BY p_size DESC, p_name, p_partkey LIMIT 50")
+def document_browse(spark, sf_dir):
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    return B.document_browse(p, title="p_name", q="r_n", order=[F.col("p_size").desc(), F.col("p_name"), F.col("p_partkey")])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 AND o_totalprice <= 200000 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")
+def search_filters(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").withColumnRenamed("o_custkey", "survey")
+    s = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment").select(F.col("c_custkey").alias("survey"), F.col("c_mktsegment").alias("subject"))
+    kept = o.where(B.filters(equal={"o_orderstatus": "F", "o_orderkey": None}, between={"o_totalprice": (1000, 200000)}))
+    return B.with_subject(kept, s, "survey", "BUILDING").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, count(l_partkey) AS uses FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1")
+def component_usage(spark, sf_dir):
+    return B.usage(table(spark, sf_dir, "part", "p_partkey"), table(spark, sf_dir, "lineitem", "l_partkey"), "p_partkey", "l_partkey")
+
+
+@query("SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN (count(*) FILTER (o_orderstatus <> 'O') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))::BIGINT END AS number FROM orders WHERE o_orderstatus <> 'O'")
+def question_numbers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    return B.numbered(o, "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") != "O").where("number IS NOT NULL").select("o_custkey", "o_orderkey", "number")
+
+
+@query("SELECT c_custkey, concat_ws(' · ', nullif(trim(c_name), ''), nullif(trim(c_mktsegment), ''), 'p. ' || c_nationkey) AS citation FROM customer")
+def citations(spark, sf_dir):
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    return c.select("c_custkey", X.citation(F.col("c_name"), F.col("c_mktsegment"), F.concat(F.lit("p. "), F.col("c_nationkey").cast("string"))).alias("citation"))
+
+
+@query("SELECT user_id, list_aggregate(list(event_type ORDER BY ts, event_type), 'string_agg', '>') AS path FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def event_timelines(spark, sf_dir):
+    t = B.event_timelines(table(spark, sf_dir, "events", "user_id", "ts", "event_type"), "user_id", "ts", "event_type")
+    return t.select("user_id", F.array_join("events.kind", ">").alias("path"))
+
+
 # -- dashboards, exports and sessions
 
 
