@@ -48,7 +48,7 @@ BLOCK = 64
 BROADCAST_ROWS = 1_000_000
 STAR_ROUNDS = 12
 #: Pairs across components for each member row, up to which all of them are tried.
-FEW_PAIRS = 4
+FEW_PAIRS = 0.5
 
 _U = np.uint64
 _hashes = WordHashes()
@@ -97,12 +97,12 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
             mine = cells[no * part : (no + 1) * part]
             at = np.flatnonzero(mine)
             if len(at):
-                yield pa.RecordBatch.from_pydict({"no": pa.array([no], pa.int32()), "at": [at.astype("<u4").tobytes()], "n": [mine[at].astype("<u8").tobytes()]})
+                yield pa.RecordBatch.from_pydict({"no": pa.array([no], pa.int32()), "at": [at.astype("<u4").tobytes()], "n": [mine[at].astype("<u4").tobytes()]})
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         cells = np.zeros(part, dtype=np.int64)
         for at, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True):
-            cells[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u8").astype(np.int64)
+            cells[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u4").astype(np.int64)
         return pa.table({"no": pa.array([key[0].as_py()], pa.int32()), "levels": [np.ceil(np.log2(cells + 1)).astype(np.uint8).tobytes()]})
 
     partial = docs.select(F.col(text).alias("t")).mapInArrow(count, "no int, at binary, n binary")
@@ -264,6 +264,8 @@ def joined(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         if not across:
             break
         open_ = here.join(by_token.select("token"), "token", "left_semi")
+        # components only merge: a shingle whose members are all in one stays closed
+        members = stored(open_.select("token", "class", "at"), "jaccard-members")
         last = across <= FEW_PAIRS * size or no == STAR_ROUNDS or (before is not None and across > 0.9 * before)
         before = across
         if last:
