@@ -35,10 +35,10 @@ from fieldwork.llm.common import read
 
 CHUNK_BYTES = 2_000_000
 #: Words and pieces that a worker remembers; beyond, the older half is forgotten.
-MEMO_WORDS = 200_000
-MEMO_PIECES = 800_000
+MEMO_WORDS = 150_000
+MEMO_PIECES = 400_000
 #: Bytes of pieces in one recursive query.
-QUERY_BYTES = 300_000
+QUERY_BYTES = 150_000
 LONG_PIECE = 64
 
 #: For short pieces: one contraction a step. Rows know the next token and the rank of

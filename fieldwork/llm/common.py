@@ -58,7 +58,7 @@ def drop_stored(spark: SparkSession, path: str) -> None:
 
 
 #: Distinct words whose hash one Python worker remembers before it starts anew.
-HASH_MEMO = 200_000
+HASH_MEMO = 100_000
 
 
 class WordHashes(dict):
