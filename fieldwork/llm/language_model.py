@@ -12,12 +12,12 @@ before it: ``LAMBDA * c(u v) / c(u) + (1 - LAMBDA) * (c(v) + 1) / (N + V + 1)``
 counts from the filter, the first part at most LAMBDA, and 0 if c(u) is not found.
 ``base_score`` uses the exact unigram counts.
 
-The filter is cut into shards of SHARD_BITS bits by the n-gram's hash. Counts are
-dealt by shard once, summed there, and streamed shard by shard through a task that
-holds one shard's bits; the shards together are broadcast. There are as many shards
-as the corpus needs at BITS_PER_BYTE bits for a byte of text, up to MAX_FILTER_BYTES:
-past that bound the filter holds all n-grams still, at a higher false-positive rate.
-Give it more memory where executors have it.
+The filter is cut into parts by the n-gram's hash, and their number grows with the
+text. Every task counts a chunk of text first and deals packed keys and counts by part;
+a part sums them and sizes its own bits as BITS_PER_LEVEL times the levels really
+counted. So the false-positive rate is the same at every size, and nothing holds more
+than one part. Scoring is dealt the same way: a chunk of documents asks every part for
+the levels of its distinct n-grams, and the answers, a byte each, go back to the chunk.
 
 Exact unigram counts reach the texts in one of two ways with equal results: as
 sorted hashes and counts, broadcast, if there are at most VOCABULARY_ROWS of them;
@@ -31,6 +31,7 @@ Other columns are neither read nor changed.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -38,19 +39,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldwork.llm.common import ASCII_LOWER, WordHashes, mix64, read, stored
 
 FOLDS, HELD_OUT = 7, 2
 BASE = 1.5
 LAMBDA = 0.6
-BITS_PER_BYTE = 3
+#: Bits of the filter for each level entered: 0.5% false positives at PROBES probes.
+BITS_PER_LEVEL = 12
+#: Training text behind a part of the filter; and the least number of parts.
+PART_BYTES, LEAST_PARTS = 16 << 20, 256
+#: Bits of a filter of its own, outside of a model.
 SHARD_BITS = 1 << 19
-MAX_FILTER_BYTES = 64 << 20
 VOCABULARY_ROWS = 4_000_000
 #: Tokens that a task counts before it sends the counts on.
 COUNTED_TOKENS = 1_500_000
+#: Bytes of text that are scored together.
+CHUNK_BYTES = 4 << 20
 PROBES = 5
 
 #: No word holds a newline, so these are no words.
@@ -81,40 +86,62 @@ def level(counts: np.ndarray) -> np.ndarray:
 LEVEL_COUNT = np.array([0.0, *((np.ceil(BASE**i) + max(np.ceil(BASE**i), np.ceil(BASE ** (i + 1)) - 1)) / 2 for i in range(_LEVELS))])
 
 
-def _bits(key: np.ndarray, lvl: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Positions within a shard that an entry sets."""
+def _bits(key: np.ndarray, lvl: np.ndarray | int, width: int) -> Iterator[np.ndarray]:
+    """Positions within ``width`` bits that an entry sets."""
     a = mix64(key ^ (np.asarray(lvl).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
     b = mix64(a) | _U(1)
     for i in range(PROBES):
-        yield (a + _U(i) * b) % _U(SHARD_BITS)
+        yield (a + _U(i) * b) % _U(width)
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return (key >> _U(33)) % _U(shards)
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part that holds an n-gram; rises with the key."""
+    return ((key >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
+def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, start, end) of the stretches of sorted keys."""
+    part = part_of(keys, parts)
+    edges = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+        if b > a:
+            yield int(part[a]), a, b
+
+
+def _short(keys: np.ndarray) -> bytes:
+    """The low 48 bits of keys: within a part they tell n-grams apart."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 class LogFrequencyFilter:
-    """The shards' bits side by side."""
+    """Equal stretches of bits side by side, one for each shard of the keys."""
 
     def __init__(self, shards: int, bits: np.ndarray):
         self.shards, self.bits = shards, bits
+        self.width = len(bits) * 8 // shards
 
     @staticmethod
     def enter(bits: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
         """Enters counts into one shard's bits."""
         levels = level(counts)
         for q in range(1, int(levels.max(initial=0)) + 1):
-            for at in _bits(keys[levels >= q], q):
+            for at in _bits(keys[levels >= q], q, len(bits) * 8):
                 np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), (1 << (at & _U(7))).astype(np.uint8))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The last level found for each key, by probing until one is missing."""
         out = np.zeros(len(keys), dtype=np.int64)
         alive = np.arange(len(keys))
-        base = shard_of(keys, self.shards) * _U(SHARD_BITS)
+        base = part_of(keys, self.shards).astype(np.uint64) * _U(self.width)
         for q in range(1, _LEVELS + 1):
             found = np.ones(len(alive), dtype=bool)
-            for at in _bits(keys[alive], q):
+            for at in _bits(keys[alive], q, self.width):
                 at = at + base[alive]
                 found &= (self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
             alive = alive[found]
@@ -128,62 +155,59 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def ngram_counts(docs: DataFrame, text: Column, shards: int) -> DataFrame:
-    """(shard, key, kind, n): exact counts of unigrams (1) and bigrams (2), by hash.
+def ngram_counts(docs: DataFrame, text: Column, parts: int) -> DataFrame:
+    """(part, kind, keys, n): packed counts of unigrams (1) and bigrams (2), by hash.
 
-    Counted in the task first, so a common n-gram moves once from each batch; then dealt
-    by shard and summed where they arrive.
+    Counted in the task first, so a common n-gram moves once from each batch. Unigrams
+    keep all 64 bits of their keys, as they meet those of the texts again.
     """
 
     def count(batches):
         for batch in batches:
-            parts: dict[int, list[np.ndarray]] = {1: [], 2: []}
+            found: dict[int, list[np.ndarray]] = {1: [], 2: []}
             held = 0
             for i in range(len(batch) + 1):
                 if i < len(batch):
                     tokens = token_hashes(batch.column(0)[i].as_py() or b"")
-                    parts[1].append(tokens)
-                    parts[2].append(bigram_hashes(tokens))
+                    found[1].append(tokens)
+                    found[2].append(bigram_hashes(tokens))
                     held += len(tokens)
                 if held and (held >= COUNTED_TOKENS or i == len(batch)):
-                    for kind, arrays in parts.items():
+                    for kind, arrays in found.items():
                         keys, n = np.unique(np.concatenate(arrays), return_counts=True)
-                        for a in range(0, len(keys), 100_000):
-                            k = keys[a : a + 100_000]
-                            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), kind, dtype=np.int8)), pa.array(n[a : a + 100_000].astype(np.int64))], ["key", "kind", "n"])
-                    parts, held = {1: [], 2: []}, 0
+                        n = n.astype("<u4")
+                        rows = [(p, kind, keys[a:b].tobytes() if kind == 1 else _short(keys[a:b]), n[a:b].tobytes()) for p, a, b in _split(keys, parts)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["part", "kind", "keys", "n"])
+                    found, held = {1: [], 2: []}, 0
 
-    parts = docs.select(text.cast("binary").alias("t")).mapInArrow(count, "key long, kind tinyint, n long")
-    dealt = parts.withColumn("shard", F.shiftrightunsigned("key", 33) % shards).repartition("shard")
-    return dealt.groupBy("shard", "key", "kind").agg(F.sum("n").alias("n"))
+    return docs.select(text.cast("binary").alias("t")).mapInArrow(count, "part int, kind tinyint, keys binary, n binary")
 
 
-_PACKED = "shard long, bits binary, words binary, counts binary"
+_BUILT = "part int, levels long, bits binary, words binary, counts binary"
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts in order of their shard -> a row a shard: its bits, its words' hashes and counts."""
-    shard, bits, words, counts = None, None, [], []
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
 
-    def row() -> pa.RecordBatch:
-        w = np.concatenate(words).view(np.uint8).tobytes()
-        n = np.concatenate(counts).view(np.uint8).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in (bits.tobytes(), w, n))], ["shard", "bits", "words", "counts"])
 
-    for batch in batches:
-        at, key, kind, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        edges = np.flatnonzero(np.diff(at)) + 1
-        for a, b in zip([0, *edges], [*edges, len(at)], strict=True):
-            if b > a and at[a] != shard:
-                if shard is not None:
-                    yield row()
-                shard, bits, words, counts = int(at[a]), np.zeros(SHARD_BITS // 8, dtype=np.uint8), [], []
-            LogFrequencyFilter.enter(bits, key[a:b].view(np.uint64), n[a:b])
-            one = kind[a:b] == 1
-            words.append(key[a:b][one])
-            counts.append(n[a:b][one])
-    if shard is not None:
-        yield row()
+def _build(key: tuple, rows: pa.Table) -> pa.Table:
+    """A part's packed counts -> its bits, its words' hashes and counts."""
+    packed: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
+    for kind, keys, n in zip(*(rows.column(c) for c in ("kind", "keys", "n")), strict=True):
+        kind, keys = kind.as_py(), keys.as_py()
+        packed[kind].append((np.frombuffer(keys, dtype=np.uint64) if kind == 1 else _long(keys), np.frombuffer(n.as_py(), dtype="<u4").astype(np.int64)))
+    empty = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    (words, counts), (pairs, pair_counts) = (_summed(*(np.concatenate(x) for x in zip(empty, *packed[kind], strict=True))) for kind in (1, 2))
+    keys, n = np.concatenate([words & _U(0xFFFFFFFFFFFF), pairs]), np.concatenate([counts, pair_counts])
+    levels = int(level(n).sum())
+    bits = np.zeros(-(-levels * BITS_PER_LEVEL // 8), dtype=np.uint8)
+    LogFrequencyFilter.enter(bits, keys, n)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([levels], pa.int64()), **{name: pa.array([x.tobytes()], pa.binary()) for name, x in (("bits", bits), ("words", words), ("counts", counts))}})
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,23 +216,34 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), dtype=np.int64)) for x in (words, counts)], ["key", "n"])
 
 
+def _grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of texts, and the n-grams that scoring looks up: words, contexts, pairs."""
+    tokens = np.concatenate(texts)
+    first = np.cumsum([0, *map(len, texts[:-1])])
+    before = np.concatenate([tokens[:1], tokens[:-1]])
+    before[first] = _hashes[_START]
+    pairs = mix64(before * _U(0x9E3779B97F4A7C15) + tokens)
+    # the start stands once before every training text, as often as the end token
+    before[first] = _hashes[_END]
+    return first, np.concatenate([tokens, before, pairs])
+
+
 class Model:
-    """What scoring needs: N, V and the filter, and the exact counts where they are few."""
+    """What scoring needs: N, V, the number of parts, and the exact counts where they are few."""
 
-    def __init__(self, tokens: int, distinct: int, filter_: LogFrequencyFilter, exact: tuple[np.ndarray, np.ndarray] | None):
-        self.tokens, self.distinct, self.filter, self.exact = tokens, distinct, filter_, exact
+    def __init__(self, tokens: int, distinct: int, parts: int, exact: tuple[np.ndarray, np.ndarray] | None):
+        self.tokens, self.distinct, self.parts, self.exact = tokens, distinct, parts, exact
+        #: (part, levels, bits): the filter's parts, a stored table; only on the driver.
+        self.filter: DataFrame | None = None
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probabilities of texts, given as their tokens' hashes."""
-        tokens = np.concatenate(texts)
-        first = np.cumsum([0, *map(len, texts[:-1])])
-        before = np.concatenate([tokens[:1], tokens[:-1]])
-        before[first] = _hashes[_START]
-        pairs = mix64(before * _U(0x9E3779B97F4A7C15) + tokens)
-        # the start stands once before every training text, as often as the end token
-        before[first] = _hashes[_END]
-        keys, place = np.unique(np.concatenate([tokens, before, pairs]), return_inverse=True)
-        one, context, pair = np.split(LEVEL_COUNT[self.filter.levels(keys)][place], 3)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"filter": None}
+
+    def score(self, texts: list[np.ndarray], levels: np.ndarray) -> np.ndarray:
+        """log10 probabilities of texts, given as their tokens' hashes; levels of their distinct n-grams."""
+        first, grams = _grams(texts)
+        _, place = np.unique(grams, return_inverse=True)
+        one, context, pair = np.split(LEVEL_COUNT[levels][place], 3)
         given = np.minimum(1.0, np.divide(pair, context, out=np.zeros_like(pair), where=context > 0))
         p = LAMBDA * given + (1 - LAMBDA) * np.minimum(1.0, (one + 1) / (self.tokens + self.distinct + 1))
         return np.add.reduceat(np.log10(p), first)
@@ -225,69 +260,95 @@ class Model:
         return np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10((c + 1) / (self.tokens + self.distinct + 1)), first)
 
 
-#: Tokens that are scored at once.
-SCORED_TOKENS = 200_000
-
-
-def _tokens_of(texts: pa.Array) -> Iterator[list[np.ndarray]]:
-    held: list[np.ndarray] = []
-    size = 0
-    for x in texts:
-        held.append(token_hashes(x.as_py() or b""))
-        size += len(held[-1])
-        if size >= SCORED_TOKENS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-_RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-
-
-def train(docs: DataFrame, text: Column, *, max_filter_bytes: int = MAX_FILTER_BYTES, vocabulary_rows: int = VOCABULARY_ROWS) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, text: Column, *, vocabulary_rows: int = VOCABULARY_ROWS) -> tuple[Model, DataFrame]:
     """The model of ``docs``, and the exact unigram counts (key, n)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    shards = max(1, min(-(-size * BITS_PER_BYTE // SHARD_BITS), max_filter_bytes * 8 // SHARD_BITS))
-    counts = ngram_counts(docs, text, shards).sortWithinPartitions("shard").select("shard", "key", "kind", "n")
-    built = stored(counts.mapInArrow(_packed, _PACKED), "lm-shards")
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
+    built = stored(ngram_counts(docs, text, parts).groupBy("part").applyInArrow(_build, _BUILT), "lm-parts")
     unigrams = built.select("words", "counts").mapInArrow(_unpacked, "key long, n long")
     distinct = built.agg(F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0)).cast("long")).first()[0]
     tokens = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = np.zeros(shards * SHARD_BITS // 8, dtype=np.uint8)
-    width = SHARD_BITS // 8
-    table = built.select("shard", "bits").toArrow()
-    for no, part in zip(*table.columns, strict=True):
-        at = no.as_py() * width
-        bits[at : at + width] = np.frombuffer(part.as_buffer(), dtype=np.uint8)
-    del table
     exact = None
     if distinct <= vocabulary_rows:
         table = unigrams.toArrow()
         keys = table.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         exact = keys[order], table.column("n").to_numpy()[order]
-    return Model(tokens, distinct, LogFrequencyFilter(shards, bits), exact), unigrams
+    model = Model(tokens, distinct, parts, exact)
+    model.filter = built.select("part", "levels", "bits")
+    return model, unigrams
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) -> chunks of them under a random number, the texts compressed."""
+
+    def row(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+        body = b"".join(texts)
+        at = pa.array([0, len(ids)], pa.int32())
+        sizes = np.array([len(body), *map(len, texts)], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(8)) >> 1], pa.int64()), pa.ListArray.from_arrays(at, ids), pa.array([sizes.tobytes()], pa.binary()), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary())], ["chunk", "ids", "sizes", "texts"])
+
+    for batch in batches:
+        start, texts, held = 0, [], 0
+        for i, x in enumerate(batch.column(1)):
+            texts.append(x.as_py() or b"")
+            held += len(texts[-1])
+            if held >= CHUNK_BYTES or i == len(batch) - 1:
+                yield row(batch.column(0)[start : i + 1], texts)
+                start, texts, held = i + 1, [], 0
+
+
+def _texts(sizes: pa.Scalar, texts: pa.Scalar) -> Iterator[bytes]:
+    total, *lengths = np.frombuffer(sizes.as_py(), dtype=np.int64).tolist()
+    body = pa.decompress(texts.as_py(), total, "zstd", asbytes=True)
+    at = 0
+    for n in lengths:
+        yield body[at : at + n]
+        at += n
+
+
+def _answer(key: tuple, asked: pa.Table, filter_: pa.Table) -> pa.Table:
+    """A part's levels for the keys that each chunk asks for."""
+    bits = np.frombuffer(filter_.column("bits")[0].as_py(), dtype=np.uint8) if len(filter_) else None
+    out = []
+    for keys in asked.column("keys"):
+        k = _long(keys.as_py())
+        found = LogFrequencyFilter(1, bits).levels(k) if bits is not None else np.zeros(len(k))
+        out.append(found.astype(np.uint8).tobytes())
+    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "found": pa.array(out, pa.binary())})
 
 
 def scored(docs: DataFrame, model: Model, unigrams: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind, parts = dict(docs.dtypes)[id_col], model.parts
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
+    # stored, so that chunks are the same for the questions and the answers
+    chunks = stored(rows.mapInArrow(_chunked, f"chunk long, ids array<{kind}>, sizes binary, texts binary"), "lm-chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, sizes, texts in zip(*batch.columns, strict=True):
+                keys = np.unique(_grams(list(map(token_hashes, _texts(sizes, texts))))[1])
+                asked = [(p, _short(keys[a:b])) for p, a, b in _split(keys, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in asked], pa.int32()), pa.array([chunk.as_py()] * len(asked), pa.int64()), pa.array([k for _, k in asked], pa.binary())], ["part", "chunk", "keys"])
+
+    asked = chunks.select("chunk", "sizes", "texts").mapInArrow(ask, "part int, chunk long, keys binary")
+    found = asked.groupBy("part").cogroup(model.filter.select("part", "bits").groupBy("part")).applyInArrow(_answer, "chunk long, part int, found binary")
 
-    @F.arrow_udf(_RESULT)
-    def both(texts: pa.Array) -> pa.Array:
+    def score(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         m = shared.value
-        columns: list[list[np.ndarray]] = [[np.zeros(0, dtype=k)] for k in (np.int64, np.int64, np.float64, np.float64)]
-        for part in _tokens_of(texts):
-            n = np.array(list(map(len, part)), dtype=np.int64)
-            known, base = m.base(part) if m.exact is not None else (np.zeros_like(n), np.zeros(len(n)))
-            for column, x in zip(columns, (n, known, base, m.score(part)), strict=True):
-                column.append(x)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in columns], _RESULT.names)
-
-    own = docs.select(F.col(id_col).alias("id"), both(F.col(text_col).cast("binary")).alias("r")).select("id", "r.*")
+        bodies = list(_texts(chunk.column("sizes")[0], chunk.column("texts")[0]))
+        texts = list(map(token_hashes, bodies))
+        levels = np.frombuffer(b"".join(answers.sort_by("part").column("found").to_pylist()), dtype=np.uint8)
+        n = np.array(list(map(len, texts)), dtype=np.int64)
+        known, base = m.base(texts) if m.exact is not None else (np.zeros_like(n), np.zeros(len(n)))
+        ids = chunk.column("ids").combine_chunks().flatten()
+        return pa.table({"id": ids, "body": pa.array(list(map(zlib.crc32, bodies)), pa.int64()), "n_tokens": n, "n_known": known, "base_score": base, "score": m.score(texts, levels)})
+
+    own = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {kind}, body long, n_tokens long, n_known long, base_score double, score double")
     if model.exact is not None:
-        return own
+        return own.drop("body")
 
     def spread(batches):
         for batch in batches:
@@ -308,10 +369,10 @@ def scored(docs: DataFrame, model: Model, unigrams: DataFrame, *, id_col: str, t
     hit = terms.join(unigrams, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     total = float(model.tokens + model.distinct + 1)
     sums = hit.groupBy("id", "body").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(total))).alias("base"), F.sum("tf").alias("tokens"))
-    mine = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).alias("body"), both(F.col(text_col).cast("binary")).alias("r"))
+    mine = own.withColumn("id", F.col("id").cast("long"))
     joined = mine.alias("m").join(sums.alias("s"), F.col("m.id").eqNullSafe(F.col("s.id")) & (F.col("m.body") == F.col("s.body")), "left")
-    copies = F.col("s.tokens") / F.col("r.n_tokens")
-    return joined.select("m.id", "r.n_tokens", (F.col("s.known") / copies).cast("long").alias("n_known"), (F.col("s.base") / copies).alias("base_score"), "r.score")
+    copies = F.col("s.tokens") / F.col("m.n_tokens")
+    return joined.select("m.id", "m.n_tokens", (F.col("s.known") / copies).cast("long").alias("n_known"), (F.col("s.base") / copies).alias("base_score"), "m.score")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,6 +260,43 @@ def test_filter_never_lowers_a_count():
     assert (found >= language_model.level(counts)).all() and (found == language_model.level(counts)).mean() > 0.9
 
 
+def test_filter_grows_with_the_levels_counted(spark):
+    """Texts of equal bytes and unequal numbers of n-grams: the bits follow the levels, errors stay rare."""
+    rng = np.random.default_rng(7)
+    rich = [" ".join(f"{x:07x}" for x in rng.integers(0, 1 << 28, 4000)) for _ in range(20)]
+    poor = [" ".join(f"{x:07x}" for x in rng.integers(0, 40, 4000)) for _ in range(20)]
+    bits = []
+    for texts in (rich, poor):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = language_model.train(docs, F.col("text"))[0].filter.collect()
+        assert all(language_model.BITS_PER_LEVEL <= 8 * len(r.bits) / r.levels < language_model.BITS_PER_LEVEL + 8 for r in rows)
+        bits.append(sum(8 * len(r.bits) for r in rows))
+        new = rng.integers(0, 2**48, 2000, dtype=np.uint64)
+        false = [(language_model.LogFrequencyFilter(1, np.frombuffer(r.bits, np.uint8)).levels(new) > 0).mean() for r in rows if r.levels > 100]
+        assert np.mean(false) < 0.01
+    assert bits[0] > 5 * bits[1]
+
+
+def test_lm_levels_come_back_in_place(spark):
+    """Scores with the dealt filter equal those from exact counts at their levels, but for false positives."""
+    texts = [" ".join(f"t{(i * k) % 97}" for k in range(200)) for i in range(1, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, unigrams = language_model.train(docs, F.col("text"))
+    got = {r.id: r.score for r in language_model.scored(docs, model, unigrams, id_col="doc_id", text_col="text").collect()}
+    one, two = collections.Counter(), collections.Counter()
+    tokens = [[None, *t.split(), ""] for t in texts]
+    for w in tokens:
+        one.update(w[1:])
+        two.update(zip(w, w[1:], strict=False))
+    mid = lambda c: language_model.LEVEL_COUNT[int(language_model.level(np.array([c]))[0])]
+    n, v = sum(one.values()), len(one)
+    off = []
+    for i, w in enumerate(tokens):
+        p = [0.6 * min(1, mid(two[a, b]) / mid(one[a or ""])) + 0.4 * min(1, (mid(one[b]) + 1) / (n + v + 1)) for a, b in zip(w, w[1:], strict=False)]
+        off.append(abs(got[i] - sum(map(math.log10, p))) / len(p))
+    assert np.mean(off) < 0.01
+
+
 # -- 6
 
 
