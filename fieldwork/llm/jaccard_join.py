@@ -16,7 +16,9 @@ A group of near copies meets in many shingles. Emitting all its pairs is avoided
 without losing a component: in star rounds, one leader of every shingle, another one
 each round, is paired with the members of other components. Rounds go on while they
 join components and pairs across components are many; then all pairs that are left
-across components are tried. What is never tried lies within one component.
+across components are tried. What is never tried lies within one component; where the
+links themselves are asked for (``linked``), those pairs are tried too, in tiles of
+blocks of a component's classes, so that a text moves once for each tile it is in.
 
 Defined results: null and empty texts have no shingles, no links, and are components
 of their own; fewer words than five are one shingle; repeated rows are links of each
@@ -231,11 +233,73 @@ class _Verifier:
         return heads.groupBy("ha", "hblock").cogroup(members.groupBy("a", "block")).applyInArrow(verify, "a long, b long")
 
 
+    def links_within(self, pairs: DataFrame) -> DataFrame:
+        """Those of the distinct (a, b), of one component each, that reach the threshold.
+
+        Pairs are verified in tiles: (component, block of a, block of b).
+        """
+        pairs = stored(pairs, "jaccard-within")
+        sides = pairs.select("component", F.col("a").alias("class")).unionByName(pairs.select("component", F.col("b").alias("class"))).distinct()
+        sides = stored(sides, "jaccard-sides")
+        texts = self.texts(sides.select("class")).select("class", "t")
+        blocks = sides.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        tiled = pairs.join(blocks, "component").select("component", "a", "b", *(F.pmod(F.xxhash64(c), F.col("blocks")).cast("int").alias(f"of_{c}") for c in "ab"))
+        tile = ["component", "of_a", "of_b"]
+        wanted = tiled.select(*tile, F.col("a").alias("class")).unionByName(tiled.select(*tile, F.col("b").alias("class"))).distinct()
+        held = wanted.join(texts, "class").select(*(F.col(c).alias(f"t_{c}") for c in tile), "class", "t")
+
+        def verify(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
+            sets = {c: shingles(t.as_py()) for c, t in zip(rows.column("class").to_pylist(), rows.column("t"), strict=True)}
+            out = []
+            for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
+                x, y = sets.get(a), sets.get(b)
+                if x is not None and y is not None:
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    both = int((x[at] == y).sum())
+                    if DEN * both >= NUM * (len(x) + len(y) - both):
+                        out.append((a, b))
+            return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+        return tiled.groupBy(*tile).cogroup(held.groupBy(*(f"t_{c}" for c in tile))).applyInArrow(verify, "a long, b long")
+
+
+def _within(members: DataFrame, component: DataFrame) -> DataFrame:
+    """(a, at_a, b, at_b) of every two classes of one component that meet in a shingle.
+
+    A shingle of many members is dealt in blocks of one side, each met by the whole other.
+    """
+    here = stored(members.join(component.withColumnRenamed("node", "class"), "class"), "jaccard-inside")
+    k = here.groupBy("token", "component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
+    here = here.join(k, ["token", "component"])
+    x = here.select("token", "component", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.col("class").alias("a"), F.col("at").alias("at_a"))
+    y = here.select("token", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("class").alias("b"), F.col("at").alias("at_b"))
+    return x.join(y, ["token", "component", "block"]).where("a < b")
+
+
 def joined(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(id, body, n_shingles, class, component, component_id) for every row of ``docs``.
 
     ``component`` is the least class of a component, ``component_id`` its least id.
     """
+    return _joined(docs, id_col, text_col, all_links=False)[0]
+
+
+def linked(docs: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``joined`` with ``n_links``, and all links (a, b) of classes, a < b.
+
+    ``n_links`` counts the other rows that reach the threshold, those of equal sets too.
+    """
+    rows, edges, classes = _joined(docs, id_col, text_col, all_links=True)
+    edges = stored(edges, "jaccard-all-links")
+    sizes = classes.select("class", "class_size")
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("class_size").alias("others"))
+    counts = sizes.join(others, "class", "left").select("class", (F.coalesce("others", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
+    return rows.join(counts, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), edges
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, *, all_links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``joined``, the links found, and the classes."""
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__t"))
     levels = frequencies(docs, "__t")
     rows = stored(prefixes(docs, "__id", "__t", levels), "jaccard-prefixes")
@@ -247,7 +311,7 @@ def joined(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     met = stored(met, "jaccard-tokens")
     many = met.where("k > 2").select("token")
     side = F.broadcast(many) if len(many.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else many
-    members = stored(tokens.join(side, "token"), "jaccard-members")
+    members = everyone = stored(tokens.join(side, "token"), "jaccard-members")
     verifier = _Verifier(docs, classes, "__id", "__t")
 
     tried = stored(_filtered(met.where("k = 2")), "jaccard-pairs")
@@ -281,11 +345,16 @@ def joined(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         if last:
             component = stored(connected(edges, "a", "b"), "jaccard-components")
             break
+    if all_links:
+        inside = _within(everyone, component)
+        new = _filtered(inside).join(tried, ["a", "b"], "left_anti").join(component.withColumnRenamed("node", "a"), "a")
+        edges = edges.unionByName(verifier.links_within(new.select("component", "a", "b")))
     found = rows.select("id", "body", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
     named = found.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = classes.join(component.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("id").alias("component_id"))
     out = named.join(least, "component", "left")
-    return out.select("id", "body", F.col("n").alias("n_shingles"), "class", "component", F.coalesce("component_id", "id").alias("component_id"))
+    named = out.select("id", "body", F.col("n").alias("n_shingles"), "class", "component", F.coalesce("component_id", "id").alias("component_id"))
+    return named, edges, classes
 
 
 def one_of_each(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
@@ -316,5 +385,5 @@ def one_of_each(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = joined(read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
-    return done.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    done, _ = linked(read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    return done.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")

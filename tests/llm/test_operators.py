@@ -214,6 +214,15 @@ def test_jaccard_join(spark, small, none, tmp_path_factory):
     assert jaccard_join.op4_jaccard_join(spark, saved(spark, tmp_path_factory, documents=none)).count() == 0
 
 
+def test_jaccard_join_counts_every_link(spark, tmp_path_factory):
+    texts = near_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_links for r in jaccard_join.op4_jaccard_join(spark, saved(spark, tmp_path_factory, documents=docs)).collect()}
+    sets = [frozenset(jaccard_join.shingles((t or "").encode()).tolist()) for t in texts]
+    want = [sum(i != j and bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_jaccard_join_on_odd_rows(odd):
     rows = jaccard_join.joined(odd, id_col="doc_id", text_col="text").collect()
     assert len(rows) == odd.count()
