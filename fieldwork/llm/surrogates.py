@@ -42,16 +42,18 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MEN = r"(?:Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|г-н|Г-Н)"
 _WOMEN = r"(?:Mrs|MRS|Ms|MS|Frau|FRAU|Madame|MADAME|Mme|MME|Señora|SEÑORA|г-жа|Г-ЖА)"
 _NAME_TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_MEN}|{_WOMEN})\.? "
+# A word of a name or an initial with its dot; further ones may be bare initials.
+_WORD = r"(?:\p{Lu}\.|\p{Lu}(?:\p{L}|['’](?=\p{Lu}))++)"
 KINDS = {
-    "secret": _SECRET + r"[A-Za-z0-9_+/=.-]{8,512}",
+    "secret": _SECRET + r"[A-Za-z0-9_+/=.-]{8,}+",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
-    "hex": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\.?\d)",
-    "name": _NAME_TITLE + r"\p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+)?",
+    "name": _NAME_TITLE + _WORD + rf"(?:(?:[ -]|(?<=\.))(?:{_WORD}|\p{{Lu}}(?=[ -]\p{{Lu}})))*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
@@ -99,8 +101,8 @@ def _luhn(s: str) -> str:
 
 
 def _name(canon: str) -> str:
-    """SQL for a name's surrogate; canonical: gender|family or gender|given|family."""
-    words = f"slice(split({canon}, '\\\\|'), 2, 2)"
+    """SQL for a name's surrogate; canonical: gender|family or gender|given|...|family."""
+    words = f"slice(split({canon}, '\\\\|'), 2, length({canon}))"
     gender = f"substr({canon}, 1, 1)"
 
     def word(script: str, w: str, family: str) -> str:
@@ -111,7 +113,8 @@ def _name(canon: str) -> str:
         listed = "array(" + ", ".join(map(_quoted, syllables)) + ")"
         body = "concat(" + ", ".join(f"element_at({listed}, {a})" for a in at) + ")"
         end = f"CASE WHEN {family} THEN '{ending}'" + (f" || CASE WHEN {gender} = 'w' THEN 'а' ELSE '' END" if script == "cyrillic" else "") + f" WHEN {gender} = 'w' THEN '{women}' ELSE '{men}' END"
-        return f"initcap(concat({body}, {end}))"
+        # an initial stays one
+        return f"CASE WHEN {w} RLIKE '^.\\\\.?$' THEN concat(initcap(substr({body}, 1, 1)), substr({w}, 2)) ELSE initcap(concat({body}, {end})) END"
 
     each = lambda script: f"array_join(transform({words}, (w, k) -> {word(script, 'w', f'k = size({words}) - 1')}), ' ')"
     return f"CASE WHEN {canon} RLIKE '\\\\p{{IsCyrillic}}' THEN {each('cyrillic')} ELSE {each('latin')} END"
@@ -157,12 +160,12 @@ def canonical(kind: Column, hit: Column) -> Column:
     digits = F.regexp_replace(hit, r"\D", "")
     code = F.regexp_extract(hit, r"^\+(\d{1,3})[^\d]", 1)
     # a Latin family name alone is the same for all; a Cyrillic one has a gender
-    alone = ~value.rlike(r"[ -]") & ~value.rlike(r"\p{IsCyrillic}")
+    alone = ~value.rlike(r"[ .-]") & ~value.rlike(r"\p{IsCyrillic}")
     gender = F.when(alone, "f").when(hit.rlike(rf"^{_WOMEN}\b"), "w").otherwise("m")
     return (
         F.when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", F.concat(code, F.lit("|"), F.substr(digits, F.length(code) + 1)))
-        .when(kind == "name", F.concat(gender, F.lit("|"), F.regexp_replace(F.lower(value), "[ -]", "|")))
+        .when(kind == "name", F.concat(gender, F.lit("|"), F.regexp_replace(F.lower(value), r"[ -]|(?<=\.)(?=[^ -])", "|")))
         .when(kind == "iban", F.regexp_replace(hit, " ", ""))
         .when((kind == "secret") & ~F.lower(value).rlike("^[0-9a-f]+$"), value)
         .otherwise(F.lower(value))

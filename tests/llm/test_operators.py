@@ -128,6 +128,21 @@ def test_surrogates(spark):
     assert out[7].text == out[0].text
 
 
+def test_surrogates_replace_whole_runs(spark):
+    secret = "".join(f"{i:x}Z" for i in range(300))[:700]
+    key = "0f1e2d3c4b5a69788796a5b4c3d2e1f0" * 5
+    rows = [f'token="{secret}" end', f"key {key} end", "Mrs. Mary Jane Watson went.", "Mr John F. Kennedy spoke.", "Mr. J.R. O'Hara left."]
+    out = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    new = re.fullmatch(r'token="(\w{700})" end', out[0].text)[1]
+    assert not any(secret[i : i + 12] in new for i in range(0, 700, 4))
+    new = re.fullmatch(r"key ([0-9a-f]{160}) end", out[1].text)[1]
+    assert not any(key[i : i + 12] in new for i in range(20))
+    assert re.fullmatch(r"Mrs\. [A-Z]\w+ [A-Z]\w+ [A-Z]\w+ went\.", out[2].text) and not re.search("Mary|Jane|Watson", out[2].text)
+    assert re.fullmatch(r"Mr [A-Z]\w+ [A-Z]\. [A-Z]\w+ spoke\.", out[3].text) and not re.search("John|Kennedy", out[3].text)
+    assert re.fullmatch(r"Mr\. [A-Z]\. ?[A-Z]\. [A-Z]\w+ left\.", out[4].text) and "Hara" not in out[4].text
+    assert all(r["__n_entities"] == 1 for r in out.values())
+
+
 def test_surrogates_stay_distinct(spark):
     """Few possible surrogates: collisions are drawn again until all differ."""
     hosts = [f"{c}@x.com" for c in "abcdefghijklm"]
