@@ -51,7 +51,7 @@ KINDS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "phone": r"(?<![\d.+])(?!\+\d+\.\d+(?![ .-]?\d))\+[1-9](?:[ .-]?[()]?[ .-]?\d){6,14}(?!\d)|(?<![\d+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\.?\d)",
     "name": _NAME_TITLE + _WORD + rf"(?:(?:[ -]|(?<=\.))(?:{_WORD}|\p{{Lu}}(?=[ -]\p{{Lu}})))*+",
 }

@@ -143,6 +143,14 @@ def test_surrogates_replace_whole_runs(spark):
     assert all(r["__n_entities"] == 1 for r in out.values())
 
 
+def test_surrogates_of_international_phones(spark):
+    rows = ["+15557713123", "+33 1 23 45 67 89", "+49 30 1234567", "+1 (017) 555-7713", "+44 (0)20 7946 0958", "about +3.1415926 and +12345 units"]
+    out = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for before, after in zip(rows[:5], out, strict=False):
+        assert after != before and re.sub(r"\d", "0", after) == re.sub(r"\d", "0", before)
+    assert out[5] == rows[5]
+
+
 def test_surrogates_stay_distinct(spark):
     """Few possible surrogates: collisions are drawn again until all differ."""
     hosts = [f"{c}@x.com" for c in "abcdefghijklm"]
