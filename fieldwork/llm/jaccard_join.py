@@ -1,24 +1,36 @@
-"""N-gram Jaccard self-join by rare-first prefix filtering; components of its links.
+"""N-gram Jaccard self-join by rare-first prefix filtering; links and their components.
 
-Texts are sets of 64-bit hashes of word 5-grams. Texts with equal sets form a class,
-and one row of a class goes on. Every class sorts its set by one global order, rare
+A text is the set of 52-bit hashes of its word 5-grams. Texts with equal words form a
+class, and one row of a class goes on. Sets are sorted by one global order, rare
 shingles first, and two sets that reach the threshold share a shingle within their
-prefixes of ``n - ceil(t n) + 1``. The order comes from a sketch of FREQUENCY_CELLS
-counters over all shingles: any fixed order gives the same links, the sketch only
-keeps common passages out of the prefixes, and its size does not grow.
+prefixes of ``n - ceil(t n) + 1``.
+
+The order is by the number of documents that hold a shingle, counted over all texts.
+Texts are cut into chunks; a chunk deals its shingles, packed, to parts by hash, and
+the number of parts grows with the text. A part counts, and answers each chunk with
+those shingles that another document holds too. All others come first in the order and
+meet nothing, so a document whose prefix has only such shingles is done with; the rest
+go on with their shared shingles alone, which are all that an overlap can have.
 
 Pairs met in a prefix shingle pass the length filter (5 min >= 4 max at 0.8), the
-positional filter (what is left after the shingle can still reach the overlap) and
-the suffix filter (the overlap is at most the sum of least counts over 64 ranges of
-the hash), and are then verified on their texts once: pairs tried before are left out.
-
-A group of near copies meets in many shingles. Emitting all its pairs is avoided
-without losing a component: in star rounds, one leader of every shingle, another one
-each round, is paired with the members of other components. Rounds go on while they
-join components and pairs across components are many; then all pairs that are left
-across components are tried. What is never tried lies within one component; where the
-links themselves are asked for (``linked``), those pairs are tried too, in tiles of
-blocks of a component's classes, so that a text moves once for each tile it is in.
+positional filter (what is left after the shingle can still reach the overlap) and the
+suffix filter (what follows the shingle is halved by binary search, SUFFIX_DEPTH times,
+which bounds the overlap), and are then verified, once a pair.
+
+A large group of near copies meets in many shingles. Its pairs are never rows:
+
+* shingles of at most SMALL members give all their pairs, larger ones the pairs of one
+  leader with every member; the verified links give components;
+* where a large shingle's other members lie in several components, the largest of them
+  there (the hub) is compared with the members outside, in tiles of blocks;
+* members that are then left over in several components are compared in tiles too.
+
+A tile holds two blocks of sets, multiplies their membership matrices and emits a link
+for each component met, so after these three steps no pair of different components is
+untried. Links within a component are counted in tiles as well. A component larger than
+a block sends its sets there as differences from one of them: with r the number of the
+center's shingles a set lacks, an overlap is |center| - r(a) - r(b) plus the number of
+differences in common.
 
 Defined results: null and empty texts have no shingles, no links, and are components
 of their own; fewer words than five are one shingle; repeated rows are links of each
@@ -42,31 +54,61 @@ from fieldwork.llm.components import connected
 WORDS = 5
 #: The threshold as a fraction.
 NUM, DEN = 80, 100
-FREQUENCY_CELLS = 1 << 20
-RANGES = 64
-#: Members of a leader that are verified in one group.
-BLOCK = 64
+#: Bytes and documents of a chunk; text behind a part, and the least number of parts.
+CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 1 << 12
+PART_BYTES, LEAST_PARTS = 8 << 20, 64
+KEY_BITS, OWNER_BITS = 52, 12
+SUFFIX_DEPTH = 3
+#: Members of a shingle up to which all pairs are made.
+SMALL = 8
+#: Pairs of one set that are verified in one group, and pairs of a group.
+BLOCK, GROUP_PAIRS = 512, 4096
+#: Sets on a side of a tile, and shingles multiplied at once.
+TILE, COLUMNS = 2048, 4096
 #: Rows of a table that may be broadcast.
 BROADCAST_ROWS = 1_000_000
-STAR_ROUNDS = 12
-#: Pairs across components for each member row, up to which all of them are tried.
-FEW_PAIRS = 0.5
 
 _U = np.uint64
 _hashes = WordHashes()
 _ODD = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xFF51AFD7ED558CCD)]
-
-
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a text."""
-    w = _hashes.of(text.translate(ASCII_LOWER).split())
-    if not len(w):
-        return w
-    k = min(words, len(w))
-    h = np.zeros(len(w) - k + 1, dtype=np.uint64)
-    for i in range(k):
-        h += w[i : len(w) - k + 1 + i] * _ODD[i % 5] * _U(2 * (i // 5) + 1)
-    return np.unique(mix64(h + _U(k)))
+_OWNER = _U((1 << OWNER_BITS) - 1)
+_KEY = _U((1 << KEY_BITS) - 1)
+
+
+def shingled(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, list[int], list[tuple[int, int]]]:
+    """Sorted distinct ``key << OWNER_BITS | text's place``, set sizes, and two hashes of the words."""
+    lists = [t.translate(ASCII_LOWER).split() for t in texts]
+    counts = np.array([len(x) for x in lists], dtype=np.int64)
+    names = []
+    for x in lists:
+        h = xxhash.xxh3_128_intdigest(b" ".join(x))
+        names.append((h & (1 << 63) - 1, h >> 65))
+    w = _hashes.of([word for x in lists for word in x])
+    ends = np.cumsum(counts)
+    if len(w) >= words:
+        g = np.zeros(len(w) - words + 1, dtype=np.uint64)
+        for i in range(words):
+            g += w[i : len(w) - words + 1 + i] * _ODD[i % 5] * _U(2 * (i // 5) + 1)
+        owner = np.repeat(np.arange(len(texts)), counts)[: len(g)]
+        whole = np.arange(len(g)) + words <= ends[owner]
+        owner = owner[whole].astype(np.uint64)
+        entries = np.unique((owner << _U(KEY_BITS)) | (mix64(g[whole]) >> _U(64 - KEY_BITS)))
+    else:
+        entries = np.zeros(0, dtype=np.uint64)
+    sizes = np.bincount((entries >> _U(KEY_BITS)).astype(np.int64), minlength=len(texts))
+    sizes = np.where((counts > 0) & (counts < words), 1, sizes)
+    entries = (entries & _KEY) << _U(OWNER_BITS) | entries >> _U(KEY_BITS)
+    entries.sort()
+    return entries, sizes.tolist(), names
+
+
+def _packed(sorted_: np.ndarray) -> bytes:
+    """Differences of sorted integers, by byte planes: the upper planes are zeros."""
+    return np.diff(sorted_, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def prefix_length(n: int) -> int:
@@ -78,64 +120,109 @@ def needed(na: int, nb: int) -> int:
     return -(-NUM * (na + nb) // (NUM + DEN))
 
 
-def class_of(s: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh64_intdigest(s.tobytes())], dtype=np.uint64).view(np.int64)[0])
+def rarity(df: np.ndarray) -> np.ndarray:
+    """A byte that rises with the number of documents: exact to 127, then 12 steps to a doubling."""
+    return np.where(df < 128, df, np.minimum(255, 44 + np.floor(12 * np.log2(np.maximum(df, 1))))).astype(np.uint64)
 
 
-def _cell(s: np.ndarray) -> np.ndarray:
-    return (s % _U(FREQUENCY_CELLS)).astype(np.int64)
+def _dealt(parts: int):
+    """Documents -> a row for each (part, chunk), and one that tells a chunk's documents."""
+    names = ["part", "chunk", "keys", "ids", "heads"]
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """log2 levels of FREQUENCY_CELLS counters over the shingles of all texts."""
-    part = FREQUENCY_CELLS // 256
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
+        # the same for every attempt of a task
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for x in batch.column(0):
-                np.add.at(cells, _cell(shingles(x.as_py() or b"")), 1)
-        for no in range(256):
-            mine = cells[no * part : (no + 1) * part]
-            at = np.flatnonzero(mine)
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"no": pa.array([no], pa.int32()), "at": [at.astype("<u4").tobytes()], "n": [mine[at].astype("<u4").tobytes()]})
-
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        cells = np.zeros(part, dtype=np.int64)
-        for at, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True):
-            cells[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<u4").astype(np.int64)
-        return pa.table({"no": pa.array([key[0].as_py()], pa.int32()), "levels": [np.ceil(np.log2(cells + 1)).astype(np.uint8).tobytes()]})
-
-    partial = docs.select(F.col(text).alias("t")).mapInArrow(count, "no int, at binary, n binary")
-    levels = np.zeros(FREQUENCY_CELLS, dtype=np.uint8)
-    for row in partial.groupBy("no").applyInArrow(add, "no int, levels binary").collect():
-        levels[row["no"] * part : (row["no"] + 1) * part] = np.frombuffer(row["levels"], dtype=np.uint8)
-    return levels
-
-
-def prefixes(docs: DataFrame, id_: str, text: str, levels: np.ndarray) -> DataFrame:
-    """(id, body, n, class, check, prefix): every row's set size, class and packed prefix.
-
-    ``body`` is a hash of the text and tells rows of one id apart.
+            start, texts, held = 0, [], 0
+            for i, x in enumerate(batch.column(2)):
+                texts.append(x.as_py() or b"")
+                held += len(texts[-1])
+                if held < CHUNK_BYTES and len(texts) < CHUNK_DOCS and i < len(batch) - 1:
+                    continue
+                entries, sizes, hashes = shingled(texts)
+                part = ((entries >> _U(OWNER_BITS + KEY_BITS - 32)) * _U(parts) >> _U(32)).astype(np.int64)
+                edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+                keys = [_packed(entries[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                ids = batch.column(0)[start : i + 1]
+                heads = np.array([batch.column(1)[start : i + 1].to_pylist(), sizes, *zip(*hashes, strict=True)], dtype="<i8").tobytes()
+                n = len(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([((chunk >> 32) + chunk) % parts, *part[edges[:-1]].tolist()], pa.int32()),
+                        pa.array([chunk] * (n + 1), pa.int64()),
+                        pa.array([None, *keys], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (n + 1)], pa.int32()), ids),
+                        pa.array([heads, *[None] * n], pa.binary()),
+                    ],
+                    names,
+                )
+                chunk += 1
+                start, texts, held = i + 1, [], 0
+
+    return deal
+
+
+def _shared(key: tuple, rows: pa.Table) -> pa.Table:
+    """A part's shingles -> for each chunk, those that more than one document holds, with their rarity."""
+    dealt = rows.filter(pa.compute.is_valid(rows.column("keys")))
+    entries = [_unpacked(x.as_py()) for x in dealt.column("keys")]
+    found, levels = [], []
+    if entries:
+        keys = np.concatenate(entries) >> _U(OWNER_BITS)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        df = np.diff(first, append=len(keys))
+        many = keys[first[df > 1]]
+        level = rarity(df[df > 1]).astype(np.uint8)
+        for x in entries:
+            mine = x >> _U(OWNER_BITS)
+            at = np.minimum(np.searchsorted(many, mine), max(0, len(many) - 1))
+            hit = many[at] == mine if len(many) else np.zeros(len(mine), dtype=bool)
+            found.append(_packed(x[hit]))
+            levels.append(level[at[hit]].tobytes())
+    out = pa.table({"chunk": dealt.column("chunk"), "keys": pa.array(found, pa.binary()), "levels": pa.array(levels, pa.binary())})
+    heads = rows.filter(pa.compute.is_valid(rows.column("heads"))).select(["chunk", "ids", "heads"])
+    return pa.concat_tables([out.append_column("ids", pa.nulls(len(out), rows.schema.field("ids").type)).append_column("heads", pa.nulls(len(out), pa.binary())), heads.append_column("keys", pa.nulls(len(heads), pa.binary())).append_column("levels", pa.nulls(len(heads), pa.binary())).select(["chunk", "keys", "levels", "ids", "heads"])])
+
+
+def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
+    """A chunk's answers -> its documents, with the shared shingles of those that may link."""
+    head = rows.filter(pa.compute.is_valid(rows.column("heads")))
+    body, n, cls, check = np.frombuffer(head.column("heads")[0].as_py(), dtype="<i8").reshape(4, -1)
+    answers = rows.filter(pa.compute.is_valid(rows.column("keys")))
+    entries = np.concatenate([np.zeros(0, dtype=np.uint64), *(_unpacked(x.as_py()) for x in answers.column("keys"))])
+    levels = np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(x.as_py(), dtype=np.uint8) for x in answers.column("levels"))])
+    ordered = levels.astype(np.uint64) << _U(KEY_BITS) | entries >> _U(OWNER_BITS)
+    owner = (entries & _OWNER).astype(np.uint16)
+    order = np.argsort(ordered)
+    order = order[np.argsort(owner[order], kind="stable")]
+    ordered = ordered[order]
+    ends = np.cumsum(np.bincount(owner, minlength=len(n)))
+    reach, sets, start = [], [], 0
+    for size, end in zip(n.tolist(), ends.tolist(), strict=True):
+        k = prefix_length(size) - (size - (end - start))
+        reach.append(max(0, k) if end > start else 0)
+        sets.append(ordered[start:end].tobytes() if reach[-1] else None)
+        start = end
+    ids = head.column("ids").combine_chunks().flatten()
+    return pa.table({"id": ids, "body": body, "n": n, "class": cls, "check": check, "reach": pa.array(reach, pa.int64()), "set": pa.array(sets, pa.binary())})
+
+
+def document_sets(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, body, n, class, check, reach, set) for every row.
+
+    ``body`` is a hash of the text and tells rows of one id apart; ``set`` holds the
+    shared shingles in order, of which the first ``reach`` lie in the prefix.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, cls, check, packed = [], [], [], []
-            for x in batch.column(2):
-                s = shingles(x.as_py() or b"")
-                k = prefix_length(len(s))
-                order = np.lexsort((s, shared.value[_cell(s)]))[:k]
-                n.append(len(s))
-                cls.append(class_of(s))
-                check.append(xxhash.xxh64_intdigest(s.tobytes(), seed=1) >> 1)
-                packed.append(s[order].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (n, cls, check)), pa.array(packed, pa.binary())], ["id", "body", "n", "class", "check", "prefix"])
-
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     kind = dict(docs.dtypes)[id_]
-    return docs.select(F.col(id_).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("t")).mapInArrow(cut, f"id {kind}, body long, n long, class long, check long, prefix binary")
+    rows = docs.select(F.col(id_).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("t"))
+    dealt = rows.mapInArrow(_dealt(parts), f"part int, chunk long, keys binary, ids array<{kind}>, heads binary")
+    answers = dealt.groupBy("part").applyInArrow(_shared, f"chunk long, keys binary, levels binary, ids array<{kind}>, heads binary")
+    return answers.groupBy("chunk").applyInArrow(_gathered, f"id {kind}, body long, n long, class long, check long, reach long, set binary")
 
 
 def _tokens(classes: DataFrame) -> DataFrame:
@@ -143,218 +230,288 @@ def _tokens(classes: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            start = 0
-            lengths = np.array([len(p) // 8 for p in batch.column(2).to_pylist()], dtype=np.int64)
-            while start < len(batch):
-                end = start + max(1, int(np.searchsorted(np.cumsum(lengths[start:]), 500_000)))
-                tokens = np.frombuffer(b"".join(p.as_py() for p in batch.column(2)[start:end]), dtype=np.int64)
-                k = lengths[start:end]
-                place = np.arange(len(tokens)) - np.repeat(np.cumsum(k) - k, k)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(cls[start:end], k)), pa.array((np.repeat(n[start:end], k) << 32) + place)], ["token", "class", "at"])
-                start = end
+            for i in range(0, len(batch), 2000):
+                part = batch.slice(i, 2000)
+                cls, n, reach = (part.column(k).to_numpy() for k in range(3))
+                sets = [np.frombuffer(s.as_py(), dtype=np.int64) for s in part.column(3)]
+                unique = n - np.array([len(s) for s in sets], dtype=np.int64)
+                place = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(unique, reach)
+                tokens = np.concatenate([s[:k] for s, k in zip(sets, reach.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(cls, reach)), pa.array((np.repeat(n, reach) << 32) + place)], ["token", "class", "at"])
 
-    return classes.select("class", "n", "prefix").mapInArrow(spread, "token long, class long, at long")
+    return classes.where("reach > 0").select("class", "n", "reach", "set").mapInArrow(spread, "token long, class long, at long")
 
 
 def _filtered(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) of (a, at_a, b, at_b) that pass the length and positional filters."""
+    """Distinct (a, b, at_a, at_b) of (token, a, at_a, b, at_b) that pass the length and positional filters."""
     na, nb = F.shiftright("at_a", 32), F.shiftright("at_b", 32)
     pa_, pb = F.col("at_a").bitwiseAND(0xFFFFFFFF), F.col("at_b").bitwiseAND(0xFFFFFFFF)
     least, most = F.least(na, nb), F.greatest(na, nb)
     overlap = F.ceil(F.lit(NUM) * (na + nb) / F.lit(NUM + DEN))
     kept = pairs.where((DEN * least >= NUM * most) & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= overlap))
-    return kept.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-class _Verifier:
-    """Verifies pairs of classes on their texts."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, id_: str, text: str):
-        self.docs, self.classes, self.id, self.text = docs, classes, id_, text
-
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """(class, t, ranges) of the classes wanted: their first rows' texts, not sets.
-
-        Documents are filtered by the ids of these rows, broadcast if they are few.
-        """
-        rows = self.classes.join(wanted, "class", "left_semi").select(F.col("id").alias("__id"), "class")
-        rows = stored(rows, "jaccard-wanted")
-        side = F.broadcast(rows) if len(rows.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else rows
-        found = self.docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("t")).join(side, F.col("id").eqNullSafe(F.col("__id"))).select("class", "t")
-
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # other rows of the same id may belong to other classes
-            for batch in batches:
-                keep, ranges = [], []
-                for c, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    s = shingles(t.as_py() or b"")
-                    keep.append(class_of(s) == c)
-                    if keep[-1]:
-                        ranges.append(np.bincount((s >> _U(58)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes())
-                kept = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ranges, pa.binary())], ["class", "t", "ranges"])
-
-        return stored(found.mapInArrow(own, "class long, t binary, ranges binary").dropDuplicates(["class"]), "jaccard-texts")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct (a, b) that reach the threshold."""
-        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        texts = self.texts(wanted)
-        ranges = texts.select("class", "ranges")
-
-        @F.arrow_udf("boolean")
-        def may_reach(x: pa.Array, y: pa.Array) -> pa.Array:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                p, q = (np.frombuffer(v.as_py(), "<u4") for v in (p, q))
-                out.append(bool(np.minimum(p, q).sum() >= needed(int(p.sum()), int(q.sum()))))
-            return pa.array(out, pa.bool_())
-
-        with_ranges = pairs.join(ranges.withColumnsRenamed({"class": "a", "ranges": "ra"}), "a").join(ranges.withColumnsRenamed({"class": "b", "ranges": "rb"}), "b")
-        left = stored(with_ranges.where(may_reach("ra", "rb")).select("a", "b"), "jaccard-candidates")
-        degree = left.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = left.join(degree, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-        heads = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(texts.select(F.col("class").alias("a"), "t"), "a").select(F.col("a").alias("ha"), F.col("block").alias("hblock"), F.col("t").alias("ht"))
-        members = dealt.join(texts.select(F.col("class").alias("b"), "t"), "b").select("a", "block", "b", "t")
-
-        def verify(key: tuple, head: pa.Table, rows: pa.Table) -> pa.Table:
-            a, out = key[0].as_py(), []
-            if len(head):
-                mine = shingles(head.column("ht")[0].as_py())
-                for b, t in zip(rows.column("b").to_pylist(), rows.column("t"), strict=True):
-                    other = shingles(t.as_py())
-                    at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-                    both = int((mine[at] == other).sum())
-                    if DEN * both >= NUM * (len(mine) + len(other) - both):
-                        out.append(b)
-            return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
-
-        return heads.groupBy("ha", "hblock").cogroup(members.groupBy("a", "block")).applyInArrow(verify, "a long, b long")
-
-
-    def links_within(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct (a, b), of one component each, that reach the threshold.
-
-        Pairs are verified in tiles: (component, block of a, block of b).
-        """
-        pairs = stored(pairs, "jaccard-within")
-        sides = pairs.select("component", F.col("a").alias("class")).unionByName(pairs.select("component", F.col("b").alias("class"))).distinct()
-        sides = stored(sides, "jaccard-sides")
-        texts = self.texts(sides.select("class")).select("class", "t")
-        blocks = sides.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        tiled = pairs.join(blocks, "component").select("component", "a", "b", *(F.pmod(F.xxhash64(c), F.col("blocks")).cast("int").alias(f"of_{c}") for c in "ab"))
-        tile = ["component", "of_a", "of_b"]
-        wanted = tiled.select(*tile, F.col("a").alias("class")).unionByName(tiled.select(*tile, F.col("b").alias("class"))).distinct()
-        held = wanted.join(texts, "class").select(*(F.col(c).alias(f"t_{c}") for c in tile), "class", "t")
-
-        def verify(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
-            sets = {c: shingles(t.as_py()) for c, t in zip(rows.column("class").to_pylist(), rows.column("t"), strict=True)}
-            out = []
-            for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
-                x, y = sets.get(a), sets.get(b)
-                if x is not None and y is not None:
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    both = int((x[at] == y).sum())
-                    if DEN * both >= NUM * (len(x) + len(y) - both):
-                        out.append((a, b))
-            return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-        return tiled.groupBy(*tile).cogroup(held.groupBy(*(f"t_{c}" for c in tile))).applyInArrow(verify, "a long, b long")
-
-
-def _within(members: DataFrame, component: DataFrame) -> DataFrame:
-    """(a, at_a, b, at_b) of every two classes of one component that meet in a shingle.
-
-    A shingle of many members is dealt in blocks of one side, each met by the whole other.
-    """
-    here = stored(members.join(component.withColumnRenamed("node", "class"), "class"), "jaccard-inside")
-    k = here.groupBy("token", "component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
-    here = here.join(k, ["token", "component"])
-    x = here.select("token", "component", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.col("class").alias("a"), F.col("at").alias("at_a"))
-    y = here.select("token", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("class").alias("b"), F.col("at").alias("at_b"))
-    return x.join(y, ["token", "component", "block"]).where("a < b")
+    turned = F.col("a") > F.col("b")
+    one, other = F.struct("a", "at_a", "b", "at_b"), F.struct(F.col("b").alias("a"), F.col("at_b").alias("at_a"), F.col("a").alias("b"), F.col("at_a").alias("at_b"))
+    kept = kept.select("token", F.when(turned, other).otherwise(one).alias("p")).select("token", "p.*")
+    return kept.groupBy("a", "b").agg(F.min(F.struct("token", "at_a", "at_b")).alias("m")).select("a", "b", "m.at_a", "m.at_b")
 
 
-def joined(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, body, n_shingles, class, component, component_id) for every row of ``docs``.
+def _bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
+    """At most so many elements are common to two sorted sets."""
+    if not depth or not len(x) or not len(y):
+        return min(len(x), len(y))
+    k = len(y) // 2
+    i = int(np.searchsorted(x, y[k]))
+    hit = int(i < len(x) and x[i] == y[k])
+    return _bound(x[:i], y[:k], depth - 1) + hit + _bound(x[i + hit :], y[k + 1 :], depth - 1)
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    if not len(x) or not len(y):
+        return 0
+    return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
 
-    ``component`` is the least class of a component, ``component_id`` its least id.
-    """
-    return _joined(docs, id_col, text_col, all_links=False)[0]
 
+def _set_of(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_py(), dtype=np.uint64)
 
-def linked(docs: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``joined`` with ``n_links``, and all links (a, b) of classes, a < b.
 
-    ``n_links`` counts the other rows that reach the threshold, those of equal sets too.
+def _verify(key: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
+    """Those of the pairs asked for that pass the suffix filter and reach the threshold."""
+    sets = {c: _set_of(s) for c, s in zip(rows.column("class").to_pylist(), rows.column("set"), strict=True)}
+    out = []
+    for a, b, at_a, at_b in zip(*(asked.column(c).to_pylist() for c in ("a", "b", "at_a", "at_b")), strict=True):
+        x, y = sets[a], sets[b]
+        na, nb = at_a >> 32, at_b >> 32
+        i, j = (at_a & 0xFFFFFFFF) - na + len(x), (at_b & 0xFFFFFFFF) - nb + len(y)
+        least = needed(na, nb)
+        if min(i, j) + 1 + _bound(x[i + 1 :], y[j + 1 :], SUFFIX_DEPTH) >= least and _overlap(x, y) >= least:
+            out.append((a, b))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _groups(pairs: DataFrame) -> int:
+    return max(1, -(-pairs.count() // GROUP_PAIRS))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among distinct pairs (a, b, at_a, at_b).
+
+    Pairs are dealt to groups by ``a``, those of a frequent ``a`` by blocks of ``b``; a
+    set moves once to each group that asks for it.
     """
-    rows, edges, classes = _joined(docs, id_col, text_col, all_links=True)
-    edges = stored(edges, "jaccard-all-links")
-    sizes = classes.select("class", "class_size")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sizes.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("class_size").alias("others"))
-    counts = sizes.join(others, "class", "left").select("class", (F.coalesce("others", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
-    return rows.join(counts, "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), edges
+    groups = _groups(pairs)
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = pairs.join(degree, "a").withColumn("g", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks")), F.lit(groups)))
+    dealt = stored(dealt.select("g", "a", "b", "at_a", "at_b"), "jaccard-dealt")
+    wanted = dealt.select(F.col("g").alias("h"), F.col("a").alias("class")).unionByName(dealt.select(F.col("g").alias("h"), F.col("b").alias("class"))).distinct()
+    held = wanted.join(sets.select("class", "set"), "class")
+    return dealt.groupBy("g").cogroup(held.groupBy("h")).applyInArrow(_verify, "a long, b long")
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, *, all_links: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of ``joined``, the links found, and the classes."""
-    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__t"))
-    levels = frequencies(docs, "__t")
-    rows = stored(prefixes(docs, "__id", "__t", levels), "jaccard-prefixes")
-    some = rows.where("n > 0")
-    classes = some.groupBy("class", "check", "n").agg(F.min("id").alias("id"), F.count("*").alias("class_size"), F.first("prefix").alias("prefix"))
+def links_of_tile(left: list[np.ndarray], right: list[np.ndarray], fixed: int, of_left: np.ndarray, of_right: np.ndarray) -> np.ndarray:
+    """Which pairs of two blocks of sets link: a boolean matrix.
+
+    ``(NUM + DEN) * common + fixed >= NUM * (n(a) + n(b))``, where ``of_left`` and
+    ``of_right`` hold what each set adds to the right side.
+    """
+    tokens = [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (left, right)]
+    both = np.intersect1d(*tokens)
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    places = []
+    for side, flat in zip((left, right), tokens, strict=True):
+        at = np.minimum(np.searchsorted(both, flat), max(0, len(both) - 1))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), dtype=bool)
+        row = np.repeat(np.arange(len(side)), [len(s) for s in side])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        places.append((row[order], at[hit][order]))
+    for start in range(0, len(both), COLUMNS):
+        width = min(COLUMNS, len(both) - start)
+        matrices = []
+        for side, (row, at) in zip((left, right), places, strict=True):
+            a, b = np.searchsorted(at, [start, start + width])
+            m = np.zeros((len(side), width), dtype=np.float32)
+            m[row[a:b], at[a:b] - start] = 1
+            matrices.append(m)
+        common += matrices[0] @ matrices[1].T
+    return (NUM + DEN) * common.astype(np.int64) + fixed >= of_left[:, None] + of_right[None, :]
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    return NUM * rows.column("n").to_numpy(), [_set_of(s) for s in rows.column("set")]
+
+
+def _tile_links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each set of the right block, a link to each component of the left that it links with."""
+    out: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        (na, x), (nb, y) = _sides(left), _sides(right)
+        linked = links_of_tile(x, y, 0, na, nb)
+        ca, cb = (t.column("component").to_numpy() for t in (left, right))
+        a, b = (t.column("class").to_numpy() for t in (left, right))
+        for j in np.flatnonzero(linked.any(axis=0)):
+            i = np.flatnonzero(linked[:, j] & (ca != cb[j]))
+            out += [(int(a[i[k]]), int(b[j])) for k in np.unique(ca[i], return_index=True)[1]]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _tiled(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of ``left`` and ``right``, (g, class, component) both, of equal g and other component."""
+    cut = lambda side: F.ceil(F.sum(side) / TILE).cast("int").alias(f"b{side}")
+    sides = left.select("g", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("g", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    blocks = sides.groupBy("g").agg(cut("l"), cut("r"))
+    held = lambda side: side.join(sets.select("class", "n", "set"), "class").join(blocks, "g")
+    block = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["g", "i", "j", "class", "component", "n", "set"]
+    x = held(left).withColumns({"i": block("bl"), "j": every("br")}).select(*columns)
+    # both sides may be one table: new columns tell them apart
+    y = held(right).withColumns({"j": block("br"), "i": every("bl")}).select(*(F.col(c).alias(c) for c in columns))
+    return x.groupBy("g", "i", "j").cogroup(y.groupBy("g", "i", "j")).applyInArrow(_tile_links, "a long, b long")
+
+
+def _count_within(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of one component, and the rows of other classes that each links with."""
+    n, sets = _sides(rows)
+    linked = links_of_tile(sets, sets, 0, n, n)
+    np.fill_diagonal(linked, False)
+    return rows.column("class").to_numpy(), linked @ rows.column("class_size").to_numpy()
+
+
+_COUNT = "class long, others long"
+
+
+def _count_group(key: tuple, rows: pa.Table) -> pa.Table:
+    """Counts for all components of a group, each of one block at most."""
+    rows = rows.combine_chunks().sort_by("component")
+    edges = np.flatnonzero(np.diff(rows.column("component").to_numpy())) + 1
+    counted = [_count_within(rows.slice(a, b - a)) for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True)]
+    return pa.table({"class": np.concatenate([c for c, _ in counted]), "others": np.concatenate([k for _, k in counted]).astype(np.int64)})
+
+
+def _count_tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Counts for two blocks of one component, given by differences from its center."""
+    same = key[1].as_py() == key[2].as_py()
+    classes, others = [], []
+    if len(left) and len(right):
+        (na, x), (nb, y) = _sides(left), _sides(right)
+        lack = [(NUM + DEN) * t.column("lacks").to_numpy() for t in (left, right)]
+        center = (NUM + DEN) * left.column("center")[0].as_py()
+        linked = links_of_tile(x, y, center, na + lack[0], nb + lack[1])
+        if same:
+            linked &= left.column("class").to_numpy()[:, None] != right.column("class").to_numpy()[None, :]
+        classes.append(left.column("class").to_numpy())
+        others.append(linked @ right.column("class_size").to_numpy())
+        if not same:
+            classes.append(right.column("class").to_numpy())
+            others.append(left.column("class_size").to_numpy() @ linked)
+    return pa.table({"class": pa.array(np.concatenate(classes) if classes else [], pa.int64()), "others": pa.array(np.concatenate(others).astype(np.int64) if others else [], pa.int64())})
+
+
+def _differences(key: tuple, rows: pa.Table, heads: pa.Table) -> pa.Table:
+    """Sets -> their differences from the center's, and how many of its shingles they lack."""
+    center = _set_of(heads.column("center_set")[0])
+    sets, lacks = [], []
+    for s in rows.column("set"):
+        x = _set_of(s)
+        sets.append(np.setxor1d(x, center, assume_unique=True).tobytes())
+        lacks.append(len(center) - _overlap(x, center))
+    return pa.table({"component": rows.column("component"), "class": rows.column("class"), "class_size": rows.column("class_size"), "block": rows.column("block"), "blocks": rows.column("blocks"), "n": rows.column("n"), "center": pa.array([len(center)] * len(rows), pa.int64()), "lacks": pa.array(lacks, pa.int64()), "set": pa.array(sets, pa.binary())})
+
+
+def links_within(component: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, others): for each class of a component, the rows of other classes that it links with."""
+    rows = component.withColumnRenamed("node", "class").join(classes.select("class", "class_size", "n", "set"), "class")
+    sizes = stored(component.groupBy("component").agg(F.count("*").alias("k"), F.min("node").alias("first"), F.max("node").alias("last")), "jaccard-sizes")
+    # two classes are a component because they link
+    two = sizes.where("k = 2").select(F.explode(F.array(F.struct(F.col("first").alias("class"), F.col("last").alias("other")), F.struct(F.col("last").alias("class"), F.col("first").alias("other")))).alias("p")).select("p.*")
+    pairs = two.join(classes.select(F.col("class").alias("other"), F.col("class_size").alias("others")), "other").select("class", "others")
+    small = sizes.where(f"k > 2 AND k <= {TILE}")
+    groups = max(1, -(-(small.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]) // TILE))
+    few = rows.join(small.select("component"), "component").withColumn("g", F.pmod(F.xxhash64("component"), F.lit(groups)))
+    counted = few.select("g", "component", "class", "class_size", "n", "set").groupBy("g").applyInArrow(_count_group, _COUNT)
+
+    large = sizes.where(f"k > {TILE}").select("component", F.col("first").alias("center"), F.ceil(F.col("k") / TILE).cast("int").alias("blocks"))
+    many = rows.join(large.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    heads = large.join(classes.select(F.col("class").alias("center"), F.col("set").alias("center_set")), "center").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "center_set")
+    shape = "component long, class long, class_size long, block int, blocks int, n long, center long, lacks long, set binary"
+    apart = many.select("component", "block", "blocks", "class", "class_size", "n", "set").groupBy("component", "block").cogroup(heads.groupBy("component", "block")).applyInArrow(_differences, shape)
+    apart = stored(apart, "jaccard-differences")
+    block, last = F.col("block"), F.col("blocks") - 1
+    x = apart.withColumns({"i": block, "j": F.explode(F.sequence(block, last))})
+    y = apart.withColumns({"j": block, "i": F.explode(F.sequence(F.lit(0), block))}).select(*(F.col(c).alias(c) for c in x.columns))
+    tiled = x.groupBy("component", "i", "j").cogroup(y.groupBy("component", "i", "j")).applyInArrow(_count_tile, _COUNT)
+    return pairs.unionByName(counted).unionByName(tiled).groupBy("class").agg(F.sum("others").alias("others"))
+
+
+def _named(members: DataFrame, component: DataFrame) -> DataFrame:
+    """``members`` with their component; what has no link is one of its own."""
+    return members.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members (with component) of tokens that still have several components, and the largest one there as ``hub``."""
+    per = members.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"))
+    return members.join(per.where("parts > 1").select("token", F.col("m.component").alias("hub")), "token")
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``document_sets``, the classes, and (node, component) of linked classes."""
+    rows = stored(document_sets(docs, "__id", "__t"), "jaccard-rows")
+    some = rows.where("reach > 0 OR n = 1")
+    classes = some.groupBy("class", "check", "n").agg(F.min("id").alias("id"), F.count("*").alias("class_size"), F.first("reach").alias("reach"), F.first("set").alias("set"))
     classes = stored(classes, "jaccard-classes")
-    tokens = _tokens(classes)
-    met = tokens.groupBy("token").agg(F.count("*").alias("k"), F.min("class").alias("a"), F.max("class").alias("b"), F.min_by("at", "class").alias("at_a"), F.max_by("at", "class").alias("at_b")).where("k > 1")
-    met = stored(met, "jaccard-tokens")
-    many = met.where("k > 2").select("token")
-    side = F.broadcast(many) if len(many.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else many
-    members = everyone = stored(tokens.join(side, "token"), "jaccard-members")
-    verifier = _Verifier(docs, classes, "__id", "__t")
-
-    tried = stored(_filtered(met.where("k = 2")), "jaccard-pairs")
-    edges = stored(verifier.links(tried), "jaccard-links")
-    component = None
-    size = members.count()
-    before = None
-    for no in range(STAR_ROUNDS + 1):
+    tokens = stored(_tokens(classes), "jaccard-tokens")
+    met = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    members = stored(tokens.join(met, "token"), "jaccard-members")
+    sets = classes.where("reach > 0").select("class", "n", "set")
+
+    few, many = members.where(f"k <= {SMALL}"), members.where(f"k > {SMALL}").drop("k")
+    lead = many.groupBy("token").agg(F.min_by(F.struct("class", "at"), F.xxhash64("class")).alias("l"))
+    led = many.join(lead, "token").where("class <> l.class")
+    star = led.select("token", F.col("l.class").alias("a"), F.col("l.at").alias("at_a"), F.col("class").alias("b"), F.col("at").alias("at_b"))
+    listed = few.groupBy("token").agg(F.collect_list(F.struct("class", "at")).alias("m"))
+    x, y = F.col("m")[F.col("i")], F.col("m")[F.col("j")]
+    paired = listed.select("token", "m", F.explode(F.sequence(F.lit(0), F.size("m") - 2)).alias("i")).select("token", "m", "i", F.explode(F.sequence(F.col("i") + 1, F.size("m") - 1)).alias("j"))
+    paired = paired.select("token", x["class"].alias("a"), x["at"].alias("at_a"), y["class"].alias("b"), y["at"].alias("at_b"))
+    pairs = stored(_filtered(star.unionByName(paired)), "jaccard-pairs")
+    edges = stored(verified(pairs, sets), "jaccard-links")
+    component = stored(connected(edges, "a", "b"), "jaccard-components")
+
+    # the leader of a token has been tried with all others there
+    rest = stored(_open(_named(led.select("token", "class"), component)), "jaccard-open")
+    if not rest.isEmpty():
+        hub = rest.where("component = hub").select(F.col("hub").alias("g"), "class", "component").distinct()
+        outside = rest.where("component <> hub").select(F.col("hub").alias("g"), "class", "component").distinct()
+        edges = edges.unionByName(stored(_tiled(hub, outside, sets), "jaccard-links"))
         component = stored(connected(edges, "a", "b"), "jaccard-components")
-        here = members.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        here = stored(here, "jaccard-here")
-        by_token = here.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("parts")).where("parts > 1")
-        across = by_token.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("s")) / 2), F.lit(0.0))).first()[0]
-        if not across:
-            break
-        open_ = here.join(by_token.select("token"), "token", "left_semi")
-        # components only merge: a shingle whose members are all in one stays closed
-        members = stored(open_.select("token", "class", "at"), "jaccard-members")
-        last = across <= FEW_PAIRS * size or no == STAR_ROUNDS or (before is not None and across > 0.9 * before)
-        before = across
-        if last:
-            x = open_.select("token", F.col("class").alias("a"), F.col("at").alias("at_a"), F.col("component").alias("ca"))
-            y = open_.select("token", F.col("class").alias("b"), F.col("at").alias("at_b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "token").where(F.col("ca") < F.col("cb"))
-        else:
-            lead = open_.groupBy("token").agg(F.min_by(F.struct("class", "at", "component"), F.xxhash64("class", F.lit(no))).alias("l"))
-            pairs = open_.join(lead, "token").where(F.col("component") != F.col("l.component")).select(F.col("l.class").alias("a"), F.col("l.at").alias("at_a"), F.col("class").alias("b"), F.col("at").alias("at_b"))
-        new = stored(_filtered(pairs).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        edges = edges.unionByName(stored(verifier.links(new), "jaccard-links"))
-        tried = tried.unionByName(new)
-        if last:
+        left = stored(_open(_named(rest.where("component <> hub").select("token", "class"), component)), "jaccard-open")
+        if not left.isEmpty():
+            here = left.select(F.col("token").alias("g"), "class", "component")
+            edges = edges.unionByName(stored(_tiled(here, here, sets), "jaccard-links"))
             component = stored(connected(edges, "a", "b"), "jaccard-components")
-            break
-    if all_links:
-        inside = _within(everyone, component)
-        new = _filtered(inside).join(tried, ["a", "b"], "left_anti").join(component.withColumnRenamed("node", "a"), "a")
-        edges = edges.unionByName(verifier.links_within(new.select("component", "a", "b")))
-    found = rows.select("id", "body", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
-    named = found.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = classes.join(component.withColumnRenamed("node", "class"), "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("id").alias("component_id"))
-    out = named.join(least, "component", "left")
-    named = out.select("id", "body", F.col("n").alias("n_shingles"), "class", "component", F.coalesce("component_id", "id").alias("component_id"))
-    return named, edges, classes
+    return rows, classes, component
+
+
+def joined(docs: DataFrame, *, id_col: str, text_col: str, count_links: bool = False) -> DataFrame:
+    """(id, body, n_shingles, class, component, component_id) for every row of ``docs``.
+
+    ``component`` is the least class of a component, ``component_id`` its least id. With
+    ``count_links`` there is ``n_links`` too: the number of other rows that reach the
+    threshold, those of equal words included.
+    """
+    docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__t"))
+    rows, classes, component = _components(docs)
+    named = _named(classes.select("class", "id", "class_size"), component)
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_class = named.join(least, "component").select("class", "component", "component_id", "class_size")
+    if count_links:
+        others = links_within(component, classes)
+        of_class = of_class.join(others, "class", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("class_size") - 1)
+    of_class = stored(of_class, "jaccard-classes")
+    alone = F.when(F.col("n") > 0, F.col("class"))
+    out = rows.select("id", "body", F.col("n").alias("n_shingles"), alone.alias("class")).join(of_class, "class", "left")
+    columns = ["id", "body", "n_shingles", "class", F.coalesce("component", "class").alias("component"), F.coalesce("component_id", "id").alias("component_id")]
+    return out.select(*columns, *[F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] * count_links)
 
 
 def one_of_each(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
@@ -385,5 +542,5 @@ def one_of_each(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done, _ = linked(read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    done = joined(read(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", count_links=True)
     return done.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")

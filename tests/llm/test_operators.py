@@ -187,11 +187,13 @@ def test_notice_needs_its_mandatory_phrase():
 # -- 4
 
 
+def shingle_set(text):
+    w = [x.translate(jaccard_join.ASCII_LOWER) for x in words(text)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def brute_components(texts):
-    sets = []
-    for t in texts:
-        w = [x.translate(jaccard_join.ASCII_LOWER) for x in words(t)]
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    sets = list(map(shingle_set, texts))
     parent = list(range(len(texts)))
 
     def find(x):
@@ -241,7 +243,7 @@ def test_jaccard_join_counts_every_link(spark, tmp_path_factory):
     texts = near_copies()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.n_links for r in jaccard_join.op4_jaccard_join(spark, saved(spark, tmp_path_factory, documents=docs)).collect()}
-    sets = [frozenset(jaccard_join.shingles((t or "").encode()).tolist()) for t in texts]
+    sets = list(map(shingle_set, texts))
     want = [sum(i != j and bool(a and b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     assert [got[i] for i in range(len(texts))] == want
 
