@@ -6,14 +6,15 @@ leftmost pair of least rank of every piece until no pair is left to merge. Ids o
 a text are its pieces' ids in order. Decoding joins the id rows to the vocabulary
 and concatenates their bytes by ordered aggregation.
 
-One step contracts a piece's leftmost least pair. In pieces over LONG_PIECE bytes,
-if no merge with the new token has a lower rank than the token itself, the next
-steps would contract the further places of the same pair, left to right without
-overlap; these are then taken in the same step. That keeps the number of steps for
-a very long piece small, with the same result.
+One step contracts a piece's leftmost least pair. A piece over LONG_PIECE bytes is cut
+into windows; these are encoded one by one and joined two by two, where some tokens
+around a seam are encoded anew until they stand apart from those beside them. Time and
+memory for a long piece are so in proportion to its length, with the same ids. Should
+that take more than LONG_PIECE bytes around a seam, another query contracts all places
+of the least pair in a step, where no merge with the new token has a lower rank.
 
 Texts are worked on in chunks of CHUNK_BYTES, so memory depends on the chunk and
-the longest single text. Defined results: a null or empty text has no ids and
+the longest single text; a connection keeps to its memory and writes no files. Defined results: a null or empty text has no ids and
 decodes to no bytes; repeated rows are encoded one by one; an empty table gives an
 empty result. Other columns are neither read nor changed.
 """
@@ -34,12 +35,12 @@ from pyspark.sql import types as T
 from fieldwork.llm.common import read
 
 CHUNK_BYTES = 2_000_000
-#: Words and pieces that a worker remembers; beyond, the older half is forgotten.
-MEMO_WORDS = 150_000
-MEMO_PIECES = 400_000
+#: Pieces that a worker remembers; beyond, the older half is forgotten.
+MEMO_PIECES = 700_000
 #: Bytes of pieces in one recursive query.
 QUERY_BYTES = 150_000
-LONG_PIECE = 64
+#: Bytes above which a piece is cut into windows, and their size.
+LONG_PIECE, WINDOW = 64, 16
 
 #: For short pieces: one contraction a step. Rows know the next token and the rank of
 #: their pair, so a step looks up the two pairs that change and sorts nothing.
@@ -69,7 +70,7 @@ FROM s JOIN (SELECT piece, max(step) AS step FROM s GROUP BY piece) USING (piece
 GROUP BY piece ORDER BY piece
 """
 
-#: For long pieces: all places of the least pair in a step, where that is safe.
+#: For long spans: all places of the least pair in a step, where that is safe.
 _MANY = """
 WITH RECURSIVE s(piece, pos, tok, step) AS (
   SELECT piece, pos, tok, 0 FROM start
@@ -103,7 +104,7 @@ GROUP BY piece ORDER BY piece
 """
 
 
-def _trim(memo: dict, most: int) -> None:
+def trim(memo: dict, most: int) -> None:
     if len(memo) > most:
         for k in list(itertools.islice(memo, len(memo) - most // 2)):
             del memo[k]
@@ -114,48 +115,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class WordMemo:
-    """Encodes texts by remembering the ids of what stands between spaces.
-
-    A piece of the public byte-level patterns never reaches over a space that a
-    visible character follows, nor over a newline between visible characters. Texts
-    are cut there, and each distinct stretch is encoded once: after a newline with
-    that newline, at the start of a text (marked by two) bare, else with its space.
-    Texts with other white space are encoded as a whole.
-    """
-
-    def __init__(self):
-        self.words: dict[bytes, bytes] = {}
-        self.odd: set[bytes] = set()
-
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids of each text, encoded for itself."""
-        raise NotImplementedError
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as packed little-endian integers."""
-        _trim(self.words, MEMO_WORDS)
-        if len(self.odd) > MEMO_WORDS:
-            self.odd.clear()
-        cut = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts]
-        for words in cut:
-            words[0] = b"\n" + words[0]
-        stretch: dict[bytes, bytes] = {}
-        for w in set().union(*cut).difference(self.words, self.odd):
-            body = w.lstrip(b"\n")
-            newlines = len(w) - len(body)
-            if newlines > 2 or not body or any(map(str.isspace, body.decode())):
-                self.odd.add(w)
-            else:
-                stretch[w] = (b" " + w, w, body)[newlines]
-        apart = [i for i, words in enumerate(cut) if not self.odd.isdisjoint(words)] if self.odd else []
-        got = self._ids([*stretch.values(), *(texts[i] for i in apart)])
-        self.words.update(zip(stretch, got, strict=False))
-        whole = dict(zip(apart, got[len(stretch) :], strict=True))
-        return [whole[i] if i in whole else b"".join(map(self.words.__getitem__, words)) for i, words in enumerate(cut)]
-
-
-class Codec(WordMemo):
+class Codec:
     """Encoder and decoder of one vocabulary; ``of`` keeps one a process."""
 
     _kept: dict[tuple[str, str], Codec] = {}
@@ -170,11 +130,13 @@ class Codec(WordMemo):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
 
-        super().__init__()
         self.ranks = ranks
         self.find = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False})
-        self.pieces: dict[bytes, bytes] = {}
+        # an empty folder name: nothing is written to the worker's own disk
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False, "temp_directory": ""})
+        self.pieces: dict[str, bytes] = {}
+        self.chars = {rank: token for token, rank in ranks.items()}
+        self.stands: dict[tuple[int, int], bool] = {}
         firsts, seconds, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -196,8 +158,8 @@ class Codec(WordMemo):
         self.db.unregister("_m")
         self.db.unregister("_v")
 
-    def _contract(self, pieces: list[bytes], query: str) -> None:
-        """Encodes pieces that are no single token, and remembers their ids."""
+    def _contract(self, pieces: list[bytes], query: str) -> list[np.ndarray]:
+        """The ids that contraction leaves of each piece."""
         lengths = np.array([len(p) for p in pieces])
         piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
         pos = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int64)
@@ -209,36 +171,92 @@ class Codec(WordMemo):
         if isinstance(ids, pa.ChunkedArray):
             ids = pa.concat_arrays(ids.chunks)
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.cumsum(np.diff(ids.offsets.to_numpy()))
-        at = 0
-        for k, end in zip(got.column("piece").to_pylist(), ends.tolist(), strict=True):
-            self.pieces[pieces[k]] = flat[at:end].tobytes()
-            at = end
+        return np.split(flat, np.cumsum(np.diff(ids.offsets.to_numpy()))[:-1])
 
-    def _learn(self, pieces: Iterable[bytes]) -> None:
+    def _merged(self, pieces: Iterable[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of distinct pieces, by the two queries in batches of QUERY_BYTES."""
+        out: dict[bytes, np.ndarray] = {}
         batches: dict[str, list[bytes]] = {_ONE: [], _MANY: []}
         held = {_ONE: 0, _MANY: 0}
-        for p in pieces:
-            if p in self.pieces:
-                continue
-            whole = self.ranks.get(p)
-            if whole is not None:
-                self.pieces[p] = whole.to_bytes(4, "little")
-                continue
+        # pieces of a like length end in like steps
+        for p in sorted(pieces, key=len):
             query = _MANY if len(p) > LONG_PIECE else _ONE
             batches[query].append(p)
             held[query] += len(p)
             if held[query] >= QUERY_BYTES:
-                self._contract(batches[query], query)
+                out.update(zip(batches[query], self._contract(batches[query], query), strict=True))
                 batches[query], held[query] = [], 0
         for query, batch in batches.items():
             if batch:
-                self._contract(batch, query)
+                out.update(zip(batch, self._contract(batch, query), strict=True))
+        return out
+
+    def _stand(self, pairs: set[tuple[int, int]]) -> None:
+        """Learns which two tokens stay apart when their bytes are encoded together."""
+        new = [p for p in pairs if p not in self.stands]
+        got = self._merged({self.chars[a] + self.chars[b] for a, b in new})
+        for a, b in new:
+            self.stands[a, b] = got[self.chars[a] + self.chars[b]].tolist() == [a, b]
+
+    def _seamed(self, sides: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """The ids of what each two neighbours, encoded one by one, stand for together.
+
+        Some tokens around the seam are encoded anew; that holds if they stand apart
+        from those beside them, else more tokens are taken.
+        """
+        out: list[list[int]] = [[]] * len(sides)
+        left, m = list(range(len(sides))), 2
+        while left:
+            cut = {i: (sides[i][0][-m:] + sides[i][1][:m]) for i in left}
+            spans = {i: b"".join(map(self.chars.__getitem__, x)) for i, x in cut.items()}
+            got = self._merged(set(spans.values()))
+            new = {i: got[spans[i]].tolist() for i in left}
+            beside = {i: [*((x, new[i][0]) for x in a[-m - 1 : -m]), *((new[i][-1], x) for x in b[m : m + 1])] for i in left for a, b in (sides[i],)}
+            self._stand({p for x in beside.values() for p in x})
+            for i in left:
+                a, b = sides[i]
+                if all(self.stands[p] for p in beside[i]):
+                    out[i] = a[: max(0, len(a) - m)] + new[i] + b[m:]
+            left = [i for i in left if not out[i]]
+            m *= 2
+        return out
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        cut = [[p.encode() for p in self.find(t.decode())] for t in texts]
-        _trim(self.pieces, MEMO_PIECES)
-        self._learn({p for x in cut for p in x})
+    def _long(self, piece: bytes) -> np.ndarray:
+        """The ids of a long piece: windows of it, joined two by two.
+
+        Ids are the encoding of their bytes if every two neighbours are: until a first
+        merge over a token's edge, all goes on as in the two tokens there alone.
+        """
+        windows = [piece[i : i + WINDOW] for i in range(0, len(piece), WINDOW)]
+        got = self._merged(set(windows))
+        parts = [got[w].tolist() for w in windows]
+        while len(parts) > 1:
+            even = len(parts) // 2 * 2
+            parts = self._seamed(list(zip(parts[:even:2], parts[1:even:2], strict=True))) + parts[even:]
+        trim(self.stands, MEMO_PIECES // 4)
+        return np.array(parts[0], dtype="<u4")
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        short = {}
+        for p in pieces:
+            if p in self.pieces:
+                continue
+            b = p.encode()
+            whole = self.ranks.get(b)
+            if whole is not None:
+                self.pieces[p] = whole.to_bytes(4, "little")
+            elif len(b) > LONG_PIECE:
+                self.pieces[p] = self._long(b).tobytes()
+            else:
+                short[b] = p
+        for b, ids in self._merged(short).items():
+            self.pieces[short[b]] = ids.tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as packed little-endian integers."""
+        cut = [self.find(t.decode()) for t in texts]
+        trim(self.pieces, MEMO_PIECES)
+        self._learn(set().union(*cut))
         return [b"".join(map(self.pieces.__getitem__, x)) for x in cut]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -246,8 +264,8 @@ class Codec(WordMemo):
         lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         row = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         tok = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
-        self.db.register("encoded", pa.table({"row": row, "pos": np.arange(len(tok)), "tok": tok}))
-        got = self.db.sql("SELECT row, string_agg(chars, '' ORDER BY pos) AS t FROM encoded JOIN vocabulary USING (tok) GROUP BY row").to_arrow_table()
+        self.db.register("encoded", pa.table({"row": row, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
+        got = self.db.sql("SELECT row, array_to_string(list(chars ORDER BY pos), '') AS t FROM encoded JOIN vocabulary USING (tok) GROUP BY row").to_arrow_table()
         self.db.unregister("encoded")
         out = [b""] * len(ids)
         for k, t in zip(got.column("row").to_pylist(), got.column("t").to_pylist(), strict=True):

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwork.llm.bpe import WordMemo, chunks
+from fieldwork.llm.bpe import chunks, trim
 from fieldwork.llm.common import mix64, read, scratch_path
 
 END_ID = 0
@@ -48,6 +48,49 @@ _MAGIC = b"FWIDS001"
 _FOOTER = struct.Struct("<8sQQQQ")
 _BUCKET_KEYS = 4
 _WINDOW = 8 << 20
+#: Words that a worker remembers; beyond, the older half is forgotten.
+MEMO_WORDS = 150_000
+
+
+class WordMemo:
+    """Encodes texts by remembering the ids of what stands between spaces.
+
+    A piece of the public byte-level patterns never reaches over a space that a
+    visible character follows, nor over a newline between visible characters. Texts
+    are cut there, and each distinct stretch is encoded once: after a newline with
+    that newline, at the start of a text (marked by two) bare, else with its space.
+    Texts with other white space are encoded as a whole.
+    """
+
+    def __init__(self):
+        self.words: dict[bytes, bytes] = {}
+        self.odd: set[bytes] = set()
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        """The packed ids of each text, encoded for itself."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as packed little-endian integers."""
+        trim(self.words, MEMO_WORDS)
+        if len(self.odd) > MEMO_WORDS:
+            self.odd.clear()
+        cut = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts]
+        for words in cut:
+            words[0] = b"\n" + words[0]
+        stretch: dict[bytes, bytes] = {}
+        for w in set().union(*cut).difference(self.words, self.odd):
+            body = w.lstrip(b"\n")
+            newlines = len(w) - len(body)
+            if newlines > 2 or not body or any(map(str.isspace, body.decode())):
+                self.odd.add(w)
+            else:
+                stretch[w] = (b" " + w, w, body)[newlines]
+        apart = [i for i, words in enumerate(cut) if not self.odd.isdisjoint(words)] if self.odd else []
+        got = self._ids([*stretch.values(), *(texts[i] for i in apart)])
+        self.words.update(zip(stretch, got, strict=False))
+        whole = dict(zip(apart, got[len(stretch) :], strict=True))
+        return [whole[i] if i in whole else b"".join(map(self.words.__getitem__, words)) for i, words in enumerate(cut)]
 
 
 class LibraryEncoder(WordMemo):

@@ -334,6 +334,14 @@ def test_lm_levels_come_back_in_place(spark):
 # -- 6
 
 
+def long_words():
+    """Words without a break: each is one piece of thousands of bytes."""
+    rng = np.random.default_rng(11)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    alphabets = ("abcdefghijklmnopqrstuvwxyz", "0123456789", "etaoin", "абвгдежз", "日本語中文字", "!#$%&/()=?-_")
+    return [*(draw(x, 3000) for x in alphabets), draw(alphabets[0], 200_000), "abc" * 3000, " " * 5000 + "x", "=" * 1000 + "-" * 777, "a" * 3001]
+
+
 def test_bpe_equals_the_library(spark, odd, none, small, tmp_path_factory):
     import tiktoken
 
