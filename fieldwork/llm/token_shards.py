@@ -10,32 +10,40 @@ shard file:
     slots      per slot: first id (uint64), number of ids (uint64), fingerprint (uint32)
     footer     magic, id width, numbers of documents, ids and buckets
 
-A key is a document id with its occurrence number among rows of the same id. Its
+A key is a document id with its occurrence number among the shard's rows of that id. Its
 hash names a bucket, the bucket's displacement names the slot, and the slot's stored
 fingerprint tells a foreign key with probability 1 - 2^-32. Lookups take constant
 time and read only the document's own ids.
 
+A manifest lists the shards in order, each with its first and last id and the number of
+rows that its first id has in earlier shards. It leads a key of the data set (id, and
+occurrence over all shards) to its shard; an id of many rows may lie in several.
+
 Files go to the shared folder through the file system named in the path. Every
 attempt of a task writes a name of its own, and only the rows of successful tasks
 name files, so lost executors and repeated tasks leave the result unchanged.
 
 Defined results: a null or empty text has only the end id; a null id comes first;
-rows of one id stand next to each other, told apart by occurrence; an empty table
-writes no shard and gives an empty result. Other columns are neither read nor
+rows of one id stand next to each other, told apart by occurrence; an added token of the
+tokenizer in a text becomes its id, as the library has it; an empty table writes no shard and gives an empty result. Other columns are neither read nor
 changed.
 """
 
 from __future__ import annotations
 
+import bisect
+import json
 import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,76 +55,62 @@ END_ID = 0
 _MAGIC = b"FWIDS001"
 _FOOTER = struct.Struct("<8sQQQQ")
 _BUCKET_KEYS = 4
+MANIFEST = "manifest.json"
+#: Shards that a reader keeps open.
+OPEN_SHARDS = 64
 _WINDOW = 8 << 20
-#: Words that a worker remembers; beyond, the older half is forgotten.
-MEMO_WORDS = 150_000
+#: Text behind a shard.
+SHARD_BYTES = 32 << 20
+#: Pieces that a worker remembers; beyond, the older half is forgotten.
+MEMO_PIECES = 700_000
 
 
-class WordMemo:
-    """Encodes texts by remembering the ids of what stands between spaces.
+class LibraryEncoder:
+    """Ids by the tokenizers library, as it encodes a whole text without adding tokens.
 
-    A piece of the public byte-level patterns never reaches over a space that a
-    visible character follows, nor over a newline between visible characters. Texts
-    are cut there, and each distinct stretch is encoded once: after a newline with
-    that newline, at the start of a text (marked by two) bare, else with its space.
-    Texts with other white space are encoded as a whole.
+    With the ``pattern`` that a byte-level tokenizer cuts texts by, the library encodes
+    each distinct match once, and its ids are remembered. Texts that hold one of the
+    library's own added tokens, which it cuts out first, are encoded as a whole, and so
+    are all texts without a pattern.
     """
 
-    def __init__(self):
-        self.words: dict[bytes, bytes] = {}
-        self.odd: set[bytes] = set()
-
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        """The packed ids of each text, encoded for itself."""
-        raise NotImplementedError
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as packed little-endian integers."""
-        trim(self.words, MEMO_WORDS)
-        if len(self.odd) > MEMO_WORDS:
-            self.odd.clear()
-        cut = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts]
-        for words in cut:
-            words[0] = b"\n" + words[0]
-        stretch: dict[bytes, bytes] = {}
-        for w in set().union(*cut).difference(self.words, self.odd):
-            body = w.lstrip(b"\n")
-            newlines = len(w) - len(body)
-            if newlines > 2 or not body or any(map(str.isspace, body.decode())):
-                self.odd.add(w)
-            else:
-                stretch[w] = (b" " + w, w, body)[newlines]
-        apart = [i for i, words in enumerate(cut) if not self.odd.isdisjoint(words)] if self.odd else []
-        got = self._ids([*stretch.values(), *(texts[i] for i in apart)])
-        self.words.update(zip(stretch, got, strict=False))
-        whole = dict(zip(apart, got[len(stretch) :], strict=True))
-        return [whole[i] if i in whole else b"".join(map(self.words.__getitem__, words)) for i, words in enumerate(cut)]
-
-
-class LibraryEncoder(WordMemo):
-    """Ids by the tokenizers library, special tokens read as ordinary text."""
-
-    _kept: dict[str, LibraryEncoder] = {}
+    _kept: dict[tuple[str, str | None], LibraryEncoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> LibraryEncoder:
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+    def of(cls, path: str, pattern: str | None = None) -> LibraryEncoder:
+        if (path, pattern) not in cls._kept:
+            cls._kept[path, pattern] = cls(path, pattern)
+        return cls._kept[path, pattern]
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, pattern: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.find = regex.compile(pattern).findall if pattern else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in got]
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as packed little-endian integers."""
+        known = [t.decode() for t in texts]
+        if not self.find:
+            return self._ids(known)
+        whole = [any(x in t for x in self.added) for t in known]
+        cut = [[] if w else self.find(t) for t, w in zip(known, whole, strict=True)]
+        trim(self.pieces, MEMO_PIECES)
+        new = list(set().union(*cut).difference(self.pieces))
+        apart = [t for t, w in zip(known, whole, strict=True) if w]
+        got = self._ids([*new, *apart])
+        self.pieces.update(zip(new, got, strict=False))
+        rest = iter(got[len(new) :])
+        return [next(rest) if w else b"".join(map(self.pieces.__getitem__, x)) for x, w in zip(cut, whole, strict=True)]
+
 
 def _hashes(keys: list[tuple[int | None, int]]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(f"{k}:{n}".encode()) for k, n in keys), dtype=np.uint64, count=len(keys))
@@ -265,16 +259,73 @@ class ShardReader:
         return self.ids(int(first[0]), int(count[0])) if found[0] else None
 
 
-def write_shards(docs: DataFrame, folder: str, *, id_col: str, text_col: str, tokenizer_path: str, end_id: int = END_ID) -> list[tuple[str, int, int]]:
-    """Writes all documents; (path, documents, ids) of each shard, in order of the ids."""
+def _order(key: int | None) -> tuple[bool, int]:
+    return (key is not None, key or 0)
+
+
+@dataclass(frozen=True)
+class Shard:
+    """A shard's entry in the manifest: its documents, and what lies before it.
+
+    ``before`` counts the rows of ``first``, its first id, in earlier shards: the
+    occurrence in the shard and these make the occurrence in the data set.
+    """
+
+    path: str
+    docs: int
+    ids: int
+    start: int
+    first: int | None
+    last: int | None
+    before: int
+
+
+class TokenShards:
+    """Keyed access to a data set of shards by its manifest."""
+
+    def __init__(self, shards: list[Shard]):
+        self.shards = shards
+        self.lasts = [_order(s.last) for s in shards]
+        self.open: dict[int, ShardReader] = {}
+
+    @classmethod
+    def load(cls, folder: str) -> TokenShards:
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        with fs.open_input_stream(f"{path}/{MANIFEST}") as f:
+            return cls([Shard(**x) for x in json.loads(f.read())])
+
+    def save(self, folder: str) -> None:
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        with fs.open_output_stream(f"{path}/{MANIFEST}") as f:
+            f.write(json.dumps([asdict(s) for s in self.shards]).encode())
+
+    def get(self, key: int | None, occurrence: int = 0) -> np.ndarray | None:
+        """The ids of a document, or None; reads the shards that may hold it."""
+        for no in range(bisect.bisect_left(self.lasts, _order(key)), len(self.shards)):
+            shard = self.shards[no]
+            if _order(shard.first) > _order(key):
+                break
+            local = occurrence - (shard.before if shard.first == key else 0)
+            if no not in self.open:
+                if len(self.open) >= OPEN_SHARDS:
+                    self.open.clear()
+                self.open[no] = ShardReader(shard.path)
+            if local >= 0 and (ids := self.open[no].get(key, local)) is not None:
+                return ids
+        return None
+
+
+def write_shards(docs: DataFrame, folder: str, *, id_col: str, text_col: str, tokenizer_path: str, pattern: str | None = None, end_id: int = END_ID) -> TokenShards:
+    """Writes all documents as shards in order of the ids, and their manifest."""
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("binary").alias("t"))
-    shards = max(1, rows.rdd.getNumPartitions())
-    dealt = rows.repartitionByRange(shards, "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    dealt = rows.repartitionByRange(max(1, -(-size // SHARD_BYTES)), "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = LibraryEncoder.of(tokenizer_path)
+        encoder = LibraryEncoder.of(tokenizer_path, pattern)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         writer = None
         for batch in batches:
@@ -285,20 +336,30 @@ def write_shards(docs: DataFrame, folder: str, *, id_col: str, text_col: str, to
                     writer.add(next(keys), ids + end)
         if writer:
             n, total = writer.close()
-            yield pa.RecordBatch.from_pydict({"no": [TaskContext.get().partitionId()], "path": [writer.path], "docs": [n], "ids": [total]})
-
-    found = dealt.mapInArrow(write, "no long, path string, docs long, ids long").collect()
-    return [(r["path"], r["docs"], r["ids"]) for r in sorted(found, key=lambda r: r["no"])]
-
-
-def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
+            (first, _), (last, again) = writer.keys[0], writer.keys[-1]
+            columns = {"no": TaskContext.get().partitionId(), "path": writer.path, "docs": n, "ids": total, "first": first, "last": last, "lasting": again + 1}
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if k == "path" else pa.int64()) for k, v in columns.items()], list(columns))
+
+    found = dealt.mapInArrow(write, "no long, path string, docs long, ids long, first long, last long, lasting long").collect()
+    shards: list[Shard] = []
+    start, key, rows_of_key = 0, (None, None), 0
+    for r in sorted(found, key=lambda r: r["no"]):
+        before = rows_of_key if _order(r["first"]) == key else 0
+        shards.append(Shard(r["path"], r["docs"], r["ids"], start, r["first"], r["last"], before))
+        start += r["ids"]
+        key, rows_of_key = _order(r["last"]), r["lasting"] + (before if _order(r["first"]) == _order(r["last"]) else 0)
+    out = TokenShards(shards)
+    out.save(folder)
+    return out
+
+
+def read_shards(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     """Every document of the shards by keyed access: doc_id, occurrence, start, n_tokens, ids_crc32."""
-    starts = np.cumsum([0, *(n for _, _, n in shards)]).tolist()
-    listed = spark.createDataFrame([(p, s) for (p, _, _), s in zip(shards, starts, strict=False)], "path string, start long")
+    listed = spark.createDataFrame([(s.path, s.start, s.first, s.before) for s in shards], "path string, start long, first long, before long")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, start, first_key, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shard = ShardReader(path)
                 keys = shard.keys()
                 for i in range(0, len(keys), 10_000):
@@ -309,7 +370,7 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> Data
                     crc = [zlib.crc32(shard.ids(a, n).astype("<u4").tobytes()) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
                     columns = {
                         "doc_id": pa.array([k for k, _ in part], pa.int64()),
-                        "occurrence": pa.array([n for _, n in part], pa.int64()),
+                        "occurrence": pa.array([n + (before if k == first_key else 0) for k, n in part], pa.int64()),
                         "start": pa.array(first.astype(np.int64) + start),
                         "n_tokens": pa.array(count.astype(np.int64)),
                         "ids_crc32": pa.array(crc, pa.int64()),
@@ -324,5 +385,5 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    shards = write_shards(docs, scratch_path(spark, "token-shards"), id_col="doc_id", text_col="text", tokenizer_path=path)
-    return read_shards(spark, shards).drop("occurrence")
+    written = write_shards(docs, scratch_path(spark, "token-shards"), id_col="doc_id", text_col="text", tokenizer_path=path, pattern=public_tokenizers.PATTERN)
+    return read_shards(spark, written.shards).drop("occurrence")

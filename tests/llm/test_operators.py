@@ -443,6 +443,39 @@ def test_keyed_access(tmp_path):
     assert r.get(4) is None and r.get(3, 2) is None
 
 
+def test_library_encoder_equals_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    points = [c for c in range(1, 0x32000) if not 0xD800 <= c < 0xE000]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "don't  stop\n\n x\t y ", *(t for t in TEXTS if t and t != LONG)]
+    texts += ["".join(f"a{chr(c)}b {chr(c)}{chr(c)} 1" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    for pattern in (public_tokenizers.PATTERN, None):
+        encoder = token_shards.LibraryEncoder(path, pattern)
+        got = encoder.encode([x.encode() for x in texts])
+        off = [x for x, ids in zip(texts, got, strict=True) if np.frombuffer(ids, encoder.kind).tolist() != t.encode(x, add_special_tokens=False).ids]
+        assert not off
+
+
+def test_keys_are_unique_over_shards(spark, tmp_path, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_shards, "SHARD_BYTES", 20_000)
+    rows = [(7, f"row {i}") for i in range(4000)] + [(None, f"none {i}") for i in range(3000)] + [(i, f"own {i}") for i in range(8, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = f"file://{tmp_path}/shards"
+    written = token_shards.write_shards(docs, folder, id_col="doc_id", text_col="text", tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
+    assert len(written.shards) >= 3
+    got = token_shards.read_shards(spark, written.shards).collect()
+    assert len({(r.doc_id, r.occurrence) for r in got}) == len(got) == len(rows)
+    data = token_shards.TokenShards.load(folder)
+    for r in got[::37]:
+        assert zlib.crc32(data.get(r.doc_id, r.occurrence).astype("<u4").tobytes()) == r.ids_crc32
+    assert data.get(7, 4000) is None and data.get(6) is None and data.get(10**9) is None and data.get(None, 2999) is not None
+
+
 # -- 9
 
 
