@@ -13,7 +13,7 @@ to the shared folder and read back. All but the last return the columns of
 
 Stage 4 takes from the block mix how many words of a document are used. Divided by
 its size that is the expected number of its copies; the fraction is drawn by a hash
-of the id, so reruns agree. Nulls, empty texts, repeated rows and empty tables are
+of id and text, so reruns agree and rows of one id are drawn apart. Nulls, empty texts, repeated rows and empty tables are
 treated as the operators' own docstrings say; a document without words is rejected
 in stage 1.
 """
@@ -32,9 +32,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    measured = docs.withColumn("__f", quality_rules.features(F.col("text")))
-    cutoffs = quality_rules.thresholds(measured, read(spark, sf_dir, "labels"), f="__f", id_col="doc_id", stratum_col="lang")
-    return quality_rules.judged(measured, cutoffs, f="__f", stratum_col="lang").where("__kept").select(*docs.columns)
+    # a row goes along as a whole, so its columns' names can't clash; the counts are made once
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    measured = stored(docs.select(whole, "doc_id", "lang", quality_rules.features(F.col("text")).alias("f")), "pipeline-measured")
+    cutoffs = quality_rules.thresholds(measured, read(spark, sf_dir, "labels"), f="f", id_col="doc_id", stratum_col="lang")
+    return quality_rules.judged(measured, cutoffs, f="f", stratum_col="lang").where("__kept").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +51,15 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    size = mixing.word_count(F.col("text"))
-    taken = mixing.mixed(docs, size=size)["taken"].where("taken > 0")
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    sized = docs.select(whole, F.col("doc_id").alias("of"), mixing.word_count(F.col("text")).alias("words"), F.xxhash64(F.lit("copies"), "doc_id", "text").alias("draw"))
+    taken = mixing.mixed(docs, size=mixing.word_count(F.col("text")))["taken"].where("taken > 0")
     # rows of equal id and size share what is taken of them
-    share = taken.groupBy(F.col("id").alias("__id"), F.col("size").alias("__size")).agg((F.sum("taken") / F.sum("size")).alias("__share"))
-    both = docs.withColumn("__words", size).join(share, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    drawn = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1_000_000)) / 1_000_000 < F.col("__share") - F.floor("__share")
-    copies = F.floor("__share").cast("int") + drawn.cast("int")
-    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*(docs[c] for c in docs.columns))
+    share = taken.groupBy("id", "size").agg((F.sum("taken") / F.sum("size")).alias("share"))
+    both = sized.join(share, F.col("of").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    drawn = F.pmod("draw", F.lit(1_000_000)) / 1_000_000 < F.col("share") - F.floor("share")
+    copies = F.floor("share").cast("int") + drawn.cast("int")
+    return both.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
