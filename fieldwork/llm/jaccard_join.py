@@ -25,9 +25,9 @@ A large group of near copies meets in many shingles. Its pairs are never rows:
   there (the hub) is compared with the members outside, in tiles of blocks;
 * members that are then left over in several components are compared in tiles too.
 
-A tile holds two blocks of sets, multiplies their membership matrices and emits a link
-for each component met, so after these three steps no pair of different components is
-untried. Links within a component are counted in tiles as well. A component larger than
+A tile holds two blocks of sets, multiplies their membership matrices and emits as many
+links as join the components that link in it, so after these three steps no pair of
+different components is untried. Links within a component are counted in tiles as well. A component larger than
 a block sends its sets there as differences from one of them: with r the number of the
 center's shingles a set lacks, an overlap is |center| - r(a) - r(b) plus the number of
 differences in common.
@@ -340,18 +340,31 @@ def _sides(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
     return NUM * rows.column("n").to_numpy(), [_set_of(s) for s in rows.column("set")]
 
 
+def _spanning(linked: np.ndarray, of_left: np.ndarray, of_right: np.ndarray) -> list[tuple[int, int]]:
+    """Places (left, right) of as many links as join all components that the links join."""
+    _, at = np.unique(np.concatenate([of_left, of_right]), return_inverse=True)
+    label = np.arange(len(at))
+    left, right = at[: len(of_left)], at[len(of_left) :]
+    out = []
+    for j in np.flatnonzero(linked.any(axis=0)):
+        i = np.flatnonzero(linked[:, j])
+        own = label[right[j]]
+        met, first = np.unique(label[left[i]], return_index=True)
+        new = met != own
+        if new.any():
+            out += [(int(x), int(j)) for x in i[first[new]]]
+            label[np.isin(label, met)] = own
+    return out
+
+
 def _tile_links(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """For each set of the right block, a link to each component of the left that it links with."""
+    """Links between two blocks, as few as join the components that link there."""
     out: list[tuple[int, int]] = []
+    a, b = (t.column("class").to_numpy() for t in (left, right))
     if len(left) and len(right):
         (na, x), (nb, y) = _sides(left), _sides(right)
-        linked = links_of_tile(x, y, 0, na, nb)
-        ca, cb = (t.column("component").to_numpy() for t in (left, right))
-        a, b = (t.column("class").to_numpy() for t in (left, right))
-        for j in np.flatnonzero(linked.any(axis=0)):
-            i = np.flatnonzero(linked[:, j] & (ca != cb[j]))
-            out += [(int(a[i[k]]), int(b[j])) for k in np.unique(ca[i], return_index=True)[1]]
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        out = _spanning(links_of_tile(x, y, 0, na, nb), *(t.column("component").to_numpy() for t in (left, right)))
+    return pa.table({"a": pa.array([int(a[i]) for i, _ in out], pa.int64()), "b": pa.array([int(b[j]) for _, j in out], pa.int64())})
 
 
 def _tiled(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
