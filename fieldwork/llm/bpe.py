@@ -34,11 +34,11 @@ from pyspark.sql import types as T
 
 from fieldwork.llm.common import read
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 4_000_000
 #: Pieces that a worker remembers; beyond, the older half is forgotten.
-MEMO_PIECES = 700_000
+MEMO_PIECES = 900_000
 #: Bytes of pieces in one recursive query.
-QUERY_BYTES = 150_000
+QUERY_BYTES = 400_000
 #: Bytes above which a piece is cut into windows, and their size.
 LONG_PIECE, WINDOW = 64, 16
 
