@@ -62,7 +62,7 @@ _WINDOW = 8 << 20
 #: Text behind a shard.
 SHARD_BYTES = 32 << 20
 #: Pieces that a worker remembers; beyond, the older half is forgotten.
-MEMO_PIECES = 700_000
+MEMO_PIECES = 1_200_000
 
 
 class LibraryEncoder:
