@@ -24,6 +24,8 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="fieldwork-")
@@ -85,3 +87,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def planes(values: np.ndarray) -> bytes:
+    """64-bit integers by byte planes: the upper planes of small numbers are zeros."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed(sorted_: np.ndarray) -> bytes:
+    """Sorted 64-bit integers as the byte planes of their differences."""
+    return planes(np.diff(sorted_, prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data), dtype=np.uint64)

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwork.llm.common import ASCII_LOWER, WordHashes, mix64, read, stored
+from fieldwork.llm.common import ASCII_LOWER, WordHashes, mix64, packed, read, stored, unpacked
 from fieldwork.llm.components import connected
 
 WORDS = 5
@@ -102,15 +102,6 @@ def shingled(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, list[i
     return entries, sizes.tolist(), names
 
 
-def _packed(sorted_: np.ndarray) -> bytes:
-    """Differences of sorted integers, by byte planes: the upper planes are zeros."""
-    return np.diff(sorted_, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def prefix_length(n: int) -> int:
     return n - -(-n * NUM // DEN) + 1 if n else 0
 
@@ -144,7 +135,7 @@ def _dealt(parts: int):
                 entries, sizes, hashes = shingled(texts)
                 part = ((entries >> _U(OWNER_BITS + KEY_BITS - 32)) * _U(parts) >> _U(32)).astype(np.int64)
                 edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
-                keys = [_packed(entries[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                keys = [packed(entries[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 ids = batch.column(0)[start : i + 1]
                 heads = np.array([batch.column(1)[start : i + 1].to_pylist(), sizes, *zip(*hashes, strict=True)], dtype="<i8").tobytes()
                 n = len(keys)
@@ -167,7 +158,7 @@ def _dealt(parts: int):
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     """A part's shingles -> for each chunk, those that more than one document holds, with their rarity."""
     dealt = rows.filter(pa.compute.is_valid(rows.column("keys")))
-    entries = [_unpacked(x.as_py()) for x in dealt.column("keys")]
+    entries = [unpacked(x.as_py()) for x in dealt.column("keys")]
     found, levels = [], []
     if entries:
         keys = np.concatenate(entries) >> _U(OWNER_BITS)
@@ -180,7 +171,7 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
             mine = x >> _U(OWNER_BITS)
             at = np.minimum(np.searchsorted(many, mine), max(0, len(many) - 1))
             hit = many[at] == mine if len(many) else np.zeros(len(mine), dtype=bool)
-            found.append(_packed(x[hit]))
+            found.append(packed(x[hit]))
             levels.append(level[at[hit]].tobytes())
     out = pa.table({"chunk": dealt.column("chunk"), "keys": pa.array(found, pa.binary()), "levels": pa.array(levels, pa.binary())})
     heads = rows.filter(pa.compute.is_valid(rows.column("heads"))).select(["chunk", "ids", "heads"])
@@ -192,7 +183,7 @@ def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
     head = rows.filter(pa.compute.is_valid(rows.column("heads")))
     body, n, cls, check = np.frombuffer(head.column("heads")[0].as_py(), dtype="<i8").reshape(4, -1)
     answers = rows.filter(pa.compute.is_valid(rows.column("keys")))
-    entries = np.concatenate([np.zeros(0, dtype=np.uint64), *(_unpacked(x.as_py()) for x in answers.column("keys"))])
+    entries = np.concatenate([np.zeros(0, dtype=np.uint64), *(unpacked(x.as_py()) for x in answers.column("keys"))])
     levels = np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(x.as_py(), dtype=np.uint8) for x in answers.column("levels"))])
     ordered = levels.astype(np.uint64) << _U(KEY_BITS) | entries >> _U(OWNER_BITS)
     owner = (entries & _OWNER).astype(np.uint16)

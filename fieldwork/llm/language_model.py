@@ -13,17 +13,15 @@ counts from the filter, the first part at most LAMBDA, and 0 if c(u) is not foun
 ``base_score`` uses the exact unigram counts.
 
 The filter is cut into parts by the n-gram's hash, and their number grows with the
-text. Every task counts a chunk of text first and deals packed keys and counts by part;
-a part sums them and sizes its own bits as BITS_PER_LEVEL times the levels really
-counted. So the false-positive rate is the same at every size, and nothing holds more
-than one part. Scoring is dealt the same way: a chunk of documents asks every part for
-the levels of its distinct n-grams, and the answers, a byte each, go back to the chunk.
-
-Exact unigram counts reach the texts in one of two ways with equal results: as
-sorted hashes and counts, broadcast, if there are at most VOCABULARY_ROWS of them;
-else by joining each document's word counts with them by a shuffle.
-
-Words are hashed to 64 bits. Defined results: a null or empty text is one end token;
+text, so no worker ever holds more than one part. Documents are cut into chunks. A
+chunk deals its distinct n-grams to the parts, packed, with how often its training
+documents have them. A part sums these, sizes its bits as BITS_PER_LEVEL times the
+levels really counted (so the false-positive rate is the same at every size), enters
+them, and answers each chunk with the levels that probing finds, a byte an n-gram, and
+with the exact counts of its words. The chunk's own numbered words are all that is
+needed then to score its documents; texts are read once and never move.
+
+Words are hashed to 64 bits, pairs to 50. Defined results: a null or empty text is one end token;
 a null id has remainder 0 and trains; repeated rows are counted and scored one by
 one; if nothing trains, N = V = 0 and every token has probability 1 under the base.
 Other columns are neither read nor changed.
@@ -31,8 +29,6 @@ Other columns are neither read nor changed.
 
 from __future__ import annotations
 
-import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwork.llm.common import ASCII_LOWER, WordHashes, mix64, read, stored
+from fieldwork.llm.common import ASCII_LOWER, WordHashes, mix64, packed, planes, read, stored, unpacked, unplanes
 
 FOLDS, HELD_OUT = 7, 2
 BASE = 1.5
@@ -49,13 +45,10 @@ LAMBDA = 0.6
 BITS_PER_LEVEL = 12
 #: Training text behind a part of the filter; and the least number of parts.
 PART_BYTES, LEAST_PARTS = 16 << 20, 256
-#: Bits of a filter of its own, outside of a model.
-SHARD_BITS = 1 << 19
-VOCABULARY_ROWS = 4_000_000
-#: Tokens that a task counts before it sends the counts on.
-COUNTED_TOKENS = 1_500_000
-#: Bytes of text that are scored together.
+#: Bytes of text in a chunk.
 CHUNK_BYTES = 4 << 20
+#: Bits that tell words and pairs apart.
+WORD_BITS, PAIR_BITS = 64, 50
 PROBES = 5
 
 #: No word holds a newline, so these are no words.
@@ -66,14 +59,17 @@ _U = np.uint64
 _hashes = WordHashes()
 
 
-def token_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words and the end token of a text, A-Z lower-cased."""
-    return _hashes.of([*text.translate(ASCII_LOWER).split(), _END])
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words and the end token of each text, A-Z lower-cased, and their numbers."""
+    words = [[*t.translate(ASCII_LOWER).split(), _END] for t in texts]
+    return _hashes.of([w for x in words for w in x]), np.array([len(x) for x in words], dtype=np.int64)
 
 
-def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
-    before = np.concatenate([_hashes.of([_START]), tokens[:-1]])
-    return mix64(before * _U(0x9E3779B97F4A7C15) + tokens)
+def bigram_keys(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Keys of each token with the one before it, the start before the first of a text."""
+    before = np.concatenate([tokens[:1], tokens[:-1]])
+    before[firsts] = _hashes[_START]
+    return mix64(before * _U(0x9E3779B97F4A7C15) + tokens) >> _U(64 - PAIR_BITS)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -86,67 +82,49 @@ def level(counts: np.ndarray) -> np.ndarray:
 LEVEL_COUNT = np.array([0.0, *((np.ceil(BASE**i) + max(np.ceil(BASE**i), np.ceil(BASE ** (i + 1)) - 1)) / 2 for i in range(_LEVELS))])
 
 
-def _bits(key: np.ndarray, lvl: np.ndarray | int, width: int) -> Iterator[np.ndarray]:
-    """Positions within ``width`` bits that an entry sets."""
+def _probes(key: np.ndarray, lvl: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The first position of an entry and the step to the next ones, before the width is known."""
     a = mix64(key ^ (np.asarray(lvl).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
-    b = mix64(a) | _U(1)
-    for i in range(PROBES):
-        yield (a + _U(i) * b) % _U(width)
+    return a, mix64(a) | _U(1)
 
 
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+def part_of(key: np.ndarray, bits: int, parts: int) -> np.ndarray:
     """The part that holds an n-gram; rises with the key."""
-    return ((key >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
-
-
-def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
-    """(part, start, end) of the stretches of sorted keys."""
-    part = part_of(keys, parts)
-    edges = np.flatnonzero(np.diff(part)) + 1
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
-        if b > a:
-            yield int(part[a]), a, b
-
-
-def _short(keys: np.ndarray) -> bytes:
-    """The low 48 bits of keys: within a part they tell n-grams apart."""
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _long(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return ((key >> _U(bits - 32)) * _U(parts) >> _U(32)).astype(np.int64)
 
 
 class LogFrequencyFilter:
-    """Equal stretches of bits side by side, one for each shard of the keys."""
+    """One part's bits."""
 
-    def __init__(self, shards: int, bits: np.ndarray):
-        self.shards, self.bits = shards, bits
-        self.width = len(bits) * 8 // shards
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.width = bits, len(bits) * 8
 
-    @staticmethod
-    def enter(bits: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Enters counts into one shard's bits."""
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
+        """A filter sized for these counts, with all of them entered."""
         levels = level(counts)
+        bits = np.zeros(-(-int(levels.sum()) * BITS_PER_LEVEL // 8), dtype=np.uint8)
         for q in range(1, int(levels.max(initial=0)) + 1):
-            for at in _bits(keys[levels >= q], q, len(bits) * 8):
-                np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), (1 << (at & _U(7))).astype(np.uint8))
+            first, step = _probes(keys[levels >= q], q)
+            for i in range(PROBES):
+                at = (first + _U(i) * step) % _U(len(bits) * 8)
+                np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
+        return cls(bits)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The last level found for each key, by probing until one is missing."""
-        out = np.zeros(len(keys), dtype=np.int64)
+        out = np.zeros(len(keys), dtype=np.uint8)
         alive = np.arange(len(keys))
-        base = part_of(keys, self.shards).astype(np.uint64) * _U(self.width)
         for q in range(1, _LEVELS + 1):
-            found = np.ones(len(alive), dtype=bool)
-            for at in _bits(keys[alive], q, self.width):
-                at = at + base[alive]
-                found &= (self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[found]
-            if not len(alive):
+            if not self.width or not len(alive):
                 break
+            at, step = _probes(keys[alive], q)
+            for _ in range(PROBES):
+                bit = at % _U(self.width)
+                # a bit that is missing settles it: later bits are looked up for the others only
+                found = (self.bits[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 == 1
+                alive, step = alive[found], step[found]
+                at = at[found] + step
             out[alive] = q
         return out
 
@@ -155,228 +133,140 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def ngram_counts(docs: DataFrame, text: Column, parts: int) -> DataFrame:
-    """(part, kind, keys, n): packed counts of unigrams (1) and bigrams (2), by hash.
-
-    Counted in the task first, so a common n-gram moves once from each batch. Unigrams
-    keep all 64 bits of their keys, as they meet those of the texts again.
-    """
-
-    def count(batches):
+def _dealt(parts: int):
+    """Documents -> for each chunk one row that tells its documents, and one for each part and length of n-gram."""
+    names = ["part", "chunk", "kind", "keys", "counts", "ids", "head"]
+
+    def rows(chunk: int, ids: pa.Array, texts: list[bytes], trains: np.ndarray) -> pa.RecordBatch:
+        tokens, sizes = token_keys(texts)
+        firsts = np.cumsum(sizes) - sizes
+        counted = np.repeat(trains, sizes)
+        part, kind, keys, counts = [chunk % parts], [0], [], []
+        for k, bits, grams in ((1, WORD_BITS, tokens), (2, PAIR_BITS, bigram_keys(tokens, firsts))):
+            distinct, place = np.unique(grams, return_inverse=True)
+            n = np.bincount(place[counted], minlength=len(distinct)).astype(np.uint64)
+            if k == 1:
+                keys.append(packed(distinct))
+                counts.append(sizes.tobytes())
+                head = pa.compress(planes(place.astype(np.uint64)), "zstd", asbytes=True)
+            p = part_of(distinct, bits, parts)
+            edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part.append(int(p[a]))
+                kind.append(k)
+                keys.append(packed(distinct[a:b]))
+                counts.append(planes(n[a:b]))
+        n = len(part) - 1
+        listed = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (n + 1)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([chunk] * (n + 1), pa.int64()), pa.array(kind, pa.int8()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), listed, pa.array([head, *[None] * n], pa.binary())], names)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # the same for every attempt of a task
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            found: dict[int, list[np.ndarray]] = {1: [], 2: []}
-            held = 0
-            for i in range(len(batch) + 1):
-                if i < len(batch):
-                    tokens = token_hashes(batch.column(0)[i].as_py() or b"")
-                    found[1].append(tokens)
-                    found[2].append(bigram_hashes(tokens))
-                    held += len(tokens)
-                if held and (held >= COUNTED_TOKENS or i == len(batch)):
-                    for kind, arrays in found.items():
-                        keys, n = np.unique(np.concatenate(arrays), return_counts=True)
-                        n = n.astype("<u4")
-                        rows = [(p, kind, keys[a:b].tobytes() if kind == 1 else _short(keys[a:b]), n[a:b].tobytes()) for p, a, b in _split(keys, parts)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], ["part", "kind", "keys", "n"])
-                    found, held = {1: [], 2: []}, 0
-
-    return docs.select(text.cast("binary").alias("t")).mapInArrow(count, "part int, kind tinyint, keys binary, n binary")
-
-
-_BUILT = "part int, levels long, bits binary, words binary, counts binary"
-
-
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n, first)
-
-
-def _build(key: tuple, rows: pa.Table) -> pa.Table:
-    """A part's packed counts -> its bits, its words' hashes and counts."""
-    packed: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
-    for kind, keys, n in zip(*(rows.column(c) for c in ("kind", "keys", "n")), strict=True):
-        kind, keys = kind.as_py(), keys.as_py()
-        packed[kind].append((np.frombuffer(keys, dtype=np.uint64) if kind == 1 else _long(keys), np.frombuffer(n.as_py(), dtype="<u4").astype(np.int64)))
-    empty = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-    (words, counts), (pairs, pair_counts) = (_summed(*(np.concatenate(x) for x in zip(empty, *packed[kind], strict=True))) for kind in (1, 2))
-    keys, n = np.concatenate([words & _U(0xFFFFFFFFFFFF), pairs]), np.concatenate([counts, pair_counts])
-    levels = int(level(n).sum())
-    bits = np.zeros(-(-levels * BITS_PER_LEVEL // 8), dtype=np.uint8)
-    LogFrequencyFilter.enter(bits, keys, n)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([levels], pa.int64()), **{name: pa.array([x.tobytes()], pa.binary()) for name, x in (("bits", bits), ("words", words), ("counts", counts))}})
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for words, counts in zip(*batch.columns, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), dtype=np.int64)) for x in (words, counts)], ["key", "n"])
-
-
-def _grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of texts, and the n-grams that scoring looks up: words, contexts, pairs."""
-    tokens = np.concatenate(texts)
-    first = np.cumsum([0, *map(len, texts[:-1])])
-    before = np.concatenate([tokens[:1], tokens[:-1]])
-    before[first] = _hashes[_START]
-    pairs = mix64(before * _U(0x9E3779B97F4A7C15) + tokens)
-    # the start stands once before every training text, as often as the end token
-    before[first] = _hashes[_END]
-    return first, np.concatenate([tokens, before, pairs])
-
-
-class Model:
-    """What scoring needs: N, V, the number of parts, and the exact counts where they are few."""
+            start, texts, held = 0, [], 0
+            trains = np.array(batch.column(2).to_pylist(), dtype=bool)
+            for i, x in enumerate(batch.column(1)):
+                texts.append(x.as_py() or b"")
+                held += len(texts[-1])
+                if held >= CHUNK_BYTES or i == len(batch) - 1:
+                    yield rows(chunk, batch.column(0)[start : i + 1], texts, trains[start : i + 1])
+                    chunk += 1
+                    start, texts, held = i + 1, [], 0
+
+    return deal
+
+
+def _answered(key: tuple, rows: pa.Table) -> pa.Table:
+    """A part's n-grams -> for each chunk the levels found, and its words' exact counts."""
+    kind = rows.column("kind").to_numpy()
+    asked = rows.filter(pa.array(kind > 0))
+    kind = kind[kind > 0]
+    keys = [unpacked(x.as_py()) for x in asked.column("keys")]
+    counts = [unplanes(x.as_py()).astype(np.int64) for x in asked.column("counts")]
+    exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k in (1, 2):
+        mine = np.flatnonzero(kind == k)
+        flat, n = (np.concatenate([x[i] for i in mine]) if len(mine) else np.zeros(0, dtype=t) for x, t in ((keys, np.uint64), (counts, np.int64)))
+        flat, n = flat[n > 0], n[n > 0]
+        order = np.argsort(flat)
+        flat, n = flat[order], n[order]
+        first = np.flatnonzero(np.diff(flat, prepend=flat[:1] ^ _U(1)) != 0)
+        exact[k] = flat[first], np.add.reduceat(n, first) if len(first) else n
+    filter_ = LogFrequencyFilter.of(*map(np.concatenate, zip(*exact.values(), strict=True)))
+    found = [filter_.levels(x).tobytes() for x in keys]
+    words, times = exact[1]
+    known: list[bytes | None] = []
+    for k, x in zip(kind.tolist(), keys, strict=True):
+        if k == 2 or not len(words):
+            known.append(planes(np.zeros(len(x), dtype=np.uint64)) if k == 1 else None)
+            continue
+        at = np.minimum(np.searchsorted(words, x), len(words) - 1)
+        known.append(planes(np.where(words[at] == x, times[at], 0).astype(np.uint64)))
+    heads = rows.filter(pa.compute.equal(rows.column("kind"), 0))
+    n = len(asked)
+    columns = {
+        "chunk": [*asked.column("chunk").to_pylist(), *heads.column("chunk").to_pylist(), None],
+        "part": [key[0].as_py()] * (n + len(heads) + 1),
+        "kind": [*kind.tolist(), *[0] * len(heads), None],
+        "found": [*found, *heads.column("keys").to_pylist(), None],
+        "known": [*known, *heads.column("counts").to_pylist(), None],
+        "head": [*[None] * n, *heads.column("head").to_pylist(), None],
+        "ids": [*[None] * n, *heads.column("ids").to_pylist(), None],
+        "tokens": [*[None] * (n + len(heads)), int(times.sum())],
+        "distinct": [*[None] * (n + len(heads)), len(words)],
+    }
+    kinds = {"chunk": pa.int64(), "part": pa.int32(), "kind": pa.int8(), "ids": rows.schema.field("ids").type, "tokens": pa.int64(), "distinct": pa.int64()}
+    return pa.table({name: pa.array(x, kinds.get(name, pa.binary())) for name, x in columns.items()})
+
+
+def _scored(tokens: int, distinct: int):
+    """A chunk's answers -> its documents' scores, for N and V."""
+    total = tokens + distinct + 1
+
+    def score(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by([("kind", "ascending"), ("part", "ascending")])
+        kind = rows.column("kind").to_numpy()
+        keys, sizes = unpacked(rows.column("found")[0].as_py()), np.frombuffer(rows.column("known")[0].as_py(), dtype=np.int64)
+        n = int(sizes.sum())
+        place = unplanes(pa.decompress(rows.column("head")[0].as_py(), 8 * n, "zstd", asbytes=True)).astype(np.int64)
+        answers = {k: b"".join(rows.column("found")[i].as_py() for i in np.flatnonzero(kind == k).tolist()) for k in (1, 2)}
+        counts = {k: LEVEL_COUNT[np.frombuffer(x, dtype=np.uint8)] for k, x in answers.items()}
+        exact = np.concatenate([unplanes(rows.column("known")[i].as_py()) for i in np.flatnonzero(kind == 1).tolist()]).astype(np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        pair = counts[2][np.unique(bigram_keys(keys[place], firsts), return_inverse=True)[1]]
+        before = np.concatenate([place[:1], place[:-1]])
+        # the start stands once before every training text, as often as the end token
+        before[firsts] = np.searchsorted(keys, _U(_hashes[_END]))
+        one, context = counts[1][place], counts[1][before]
+        given = np.minimum(1.0, np.divide(pair, context, out=np.zeros_like(pair), where=context > 0))
+        p = LAMBDA * given + (1 - LAMBDA) * np.minimum(1.0, (one + 1) / total)
+        c = exact[place]
+        ids = rows.column("ids").combine_chunks()[0].values
+        sums = {"n_known": (c > 0).astype(np.int64), "base_score": np.log10((c + 1) / total), "score": np.log10(p)}
+        return pa.table({"id": ids, "n_tokens": sizes, **{name: np.add.reduceat(x, firsts) for name, x in sums.items()}})
 
-    def __init__(self, tokens: int, distinct: int, parts: int, exact: tuple[np.ndarray, np.ndarray] | None):
-        self.tokens, self.distinct, self.parts, self.exact = tokens, distinct, parts, exact
-        #: (part, levels, bits): the filter's parts, a stored table; only on the driver.
-        self.filter: DataFrame | None = None
+    return score
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"filter": None}
 
-    def score(self, texts: list[np.ndarray], levels: np.ndarray) -> np.ndarray:
-        """log10 probabilities of texts, given as their tokens' hashes; levels of their distinct n-grams."""
-        first, grams = _grams(texts)
-        _, place = np.unique(grams, return_inverse=True)
-        one, context, pair = np.split(LEVEL_COUNT[levels][place], 3)
-        given = np.minimum(1.0, np.divide(pair, context, out=np.zeros_like(pair), where=context > 0))
-        p = LAMBDA * given + (1 - LAMBDA) * np.minimum(1.0, (one + 1) / (self.tokens + self.distinct + 1))
-        return np.add.reduceat(np.log10(p), first)
-
-    def base(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Known tokens and base scores of texts, from the exact counts."""
-        keys, counts = self.exact
-        tokens = np.concatenate(texts)
-        first = np.cumsum([0, *map(len, texts[:-1])])
-        c = np.zeros(len(tokens), dtype=np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-            c = np.where(keys[at] == tokens, counts[at], 0)
-        return np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10((c + 1) / (self.tokens + self.distinct + 1)), first)
-
-
-def train(docs: DataFrame, text: Column, *, vocabulary_rows: int = VOCABULARY_ROWS) -> tuple[Model, DataFrame]:
-    """The model of ``docs``, and the exact unigram counts (key, n)."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+def scored(docs: DataFrame, *, id_col: str, text_col: str, trains: Column) -> tuple[DataFrame, int, int]:
+    """(id, n_tokens, n_known, base_score, score) for every row, and N and V of the rows that train."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(trains, F.lit(False)).alias("trains"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
-    built = stored(ngram_counts(docs, text, parts).groupBy("part").applyInArrow(_build, _BUILT), "lm-parts")
-    unigrams = built.select("words", "counts").mapInArrow(_unpacked, "key long, n long")
-    distinct = built.agg(F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0)).cast("long")).first()[0]
-    tokens = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    exact = None
-    if distinct <= vocabulary_rows:
-        table = unigrams.toArrow()
-        keys = table.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        exact = keys[order], table.column("n").to_numpy()[order]
-    model = Model(tokens, distinct, parts, exact)
-    model.filter = built.select("part", "levels", "bits")
-    return model, unigrams
-
-
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text) -> chunks of them under a random number, the texts compressed."""
-
-    def row(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
-        body = b"".join(texts)
-        at = pa.array([0, len(ids)], pa.int32())
-        sizes = np.array([len(body), *map(len, texts)], dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(8)) >> 1], pa.int64()), pa.ListArray.from_arrays(at, ids), pa.array([sizes.tobytes()], pa.binary()), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary())], ["chunk", "ids", "sizes", "texts"])
-
-    for batch in batches:
-        start, texts, held = 0, [], 0
-        for i, x in enumerate(batch.column(1)):
-            texts.append(x.as_py() or b"")
-            held += len(texts[-1])
-            if held >= CHUNK_BYTES or i == len(batch) - 1:
-                yield row(batch.column(0)[start : i + 1], texts)
-                start, texts, held = i + 1, [], 0
-
-
-def _texts(sizes: pa.Scalar, texts: pa.Scalar) -> Iterator[bytes]:
-    total, *lengths = np.frombuffer(sizes.as_py(), dtype=np.int64).tolist()
-    body = pa.decompress(texts.as_py(), total, "zstd", asbytes=True)
-    at = 0
-    for n in lengths:
-        yield body[at : at + n]
-        at += n
-
-
-def _answer(key: tuple, asked: pa.Table, filter_: pa.Table) -> pa.Table:
-    """A part's levels for the keys that each chunk asks for."""
-    bits = np.frombuffer(filter_.column("bits")[0].as_py(), dtype=np.uint8) if len(filter_) else None
-    out = []
-    for keys in asked.column("keys"):
-        k = _long(keys.as_py())
-        found = LogFrequencyFilter(1, bits).levels(k) if bits is not None else np.zeros(len(k))
-        out.append(found.astype(np.uint8).tobytes())
-    return pa.table({"chunk": asked.column("chunk"), "part": asked.column("part"), "found": pa.array(out, pa.binary())})
-
-
-def scored(docs: DataFrame, model: Model, unigrams: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind, parts = dict(docs.dtypes)[id_col], model.parts
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    # stored, so that chunks are the same for the questions and the answers
-    chunks = stored(rows.mapInArrow(_chunked, f"chunk long, ids array<{kind}>, sizes binary, texts binary"), "lm-chunks")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, sizes, texts in zip(*batch.columns, strict=True):
-                keys = np.unique(_grams(list(map(token_hashes, _texts(sizes, texts))))[1])
-                asked = [(p, _short(keys[a:b])) for p, a, b in _split(keys, parts)]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in asked], pa.int32()), pa.array([chunk.as_py()] * len(asked), pa.int64()), pa.array([k for _, k in asked], pa.binary())], ["part", "chunk", "keys"])
-
-    asked = chunks.select("chunk", "sizes", "texts").mapInArrow(ask, "part int, chunk long, keys binary")
-    found = asked.groupBy("part").cogroup(model.filter.select("part", "bits").groupBy("part")).applyInArrow(_answer, "chunk long, part int, found binary")
-
-    def score(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        m = shared.value
-        bodies = list(_texts(chunk.column("sizes")[0], chunk.column("texts")[0]))
-        texts = list(map(token_hashes, bodies))
-        levels = np.frombuffer(b"".join(answers.sort_by("part").column("found").to_pylist()), dtype=np.uint8)
-        n = np.array(list(map(len, texts)), dtype=np.int64)
-        known, base = m.base(texts) if m.exact is not None else (np.zeros_like(n), np.zeros(len(n)))
-        ids = chunk.column("ids").combine_chunks().flatten()
-        return pa.table({"id": ids, "body": pa.array(list(map(zlib.crc32, bodies)), pa.int64()), "n_tokens": n, "n_known": known, "base_score": base, "score": m.score(texts, levels)})
-
-    own = chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, f"id {kind}, body long, n_tokens long, n_known long, base_score double, score double")
-    if model.exact is not None:
-        return own.drop("body")
-
-    def spread(batches):
-        for batch in batches:
-            ids, ns, keys, counts = [], [], [], []
-            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                body = text.as_py() or b""
-                k, n = np.unique(token_hashes(body), return_counts=True)
-                ids += [key] * len(k)
-                ns += [zlib.crc32(body)] * len(k)
-                keys.append(k)
-                counts.append(n)
-                if len(ids) >= 200_000 or i == len(batch) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], ["id", "body", "key", "tf"])
-                    ids, ns, keys, counts = [], [], [], []
-
-    # equal rows (id and text) have equal sums; each sum is divided by their number
-    terms = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(spread, "id long, body long, key long, tf long")
-    hit = terms.join(unigrams, "key", "left").withColumn("c", F.coalesce("n", F.lit(0)))
-    total = float(model.tokens + model.distinct + 1)
-    sums = hit.groupBy("id", "body").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10((F.col("c") + 1) / F.lit(total))).alias("base"), F.sum("tf").alias("tokens"))
-    mine = own.withColumn("id", F.col("id").cast("long"))
-    joined = mine.alias("m").join(sums.alias("s"), F.col("m.id").eqNullSafe(F.col("s.id")) & (F.col("m.body") == F.col("s.body")), "left")
-    copies = F.col("s.tokens") / F.col("m.n_tokens")
-    return joined.select("m.id", "m.n_tokens", (F.col("s.known") / copies).cast("long").alias("n_known"), (F.col("s.base") / copies).alias("base_score"), "m.score")
+    kind = dict(docs.dtypes)[id_col]
+    dealt = rows.mapInArrow(_dealt(parts), f"part int, chunk long, kind tinyint, keys binary, counts binary, ids array<{kind}>, head binary")
+    shape = f"chunk long, part int, kind tinyint, found binary, known binary, head binary, ids array<{kind}>, tokens long, distinct long"
+    answers = stored(dealt.groupBy("part").applyInArrow(_answered, shape), "lm-answers")
+    tokens, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    own = answers.where("chunk IS NOT NULL").drop("tokens", "distinct")
+    out = own.groupBy("chunk").applyInArrow(_scored(tokens, distinct), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out, tokens, distinct
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model, unigrams = train(docs.where(~held_out(F.col("doc_id"))), F.col("text"))
-    rows = scored(docs, model, unigrams, id_col="doc_id", text_col="text")
-    return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows, tokens, _ = scored(docs, id_col="doc_id", text_col="text", trains=~held_out(F.col("doc_id")))
+    return rows.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -275,48 +275,43 @@ def test_lm_score(spark, small, tmp_path_factory):
     assert sum(r.score for r in tested) > sum(r.base_score for r in tested)
 
 
-def test_lm_vocabulary_by_shuffle_is_the_same(odd):
-    for docs in (odd, odd.limit(0)):
-        out = []
-        for most in (0, 1000):
-            model, unigrams = language_model.train(docs, F.col("text"), vocabulary_rows=most)
-            rows = language_model.scored(odd, model, unigrams, id_col="doc_id", text_col="text").collect()
-            out.append(sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in rows))
-        assert out[0] == out[1] and len(out[0]) == odd.count()
+def test_lm_on_odd_rows(odd, none):
+    for trains in (True, False):
+        rows, n, v = language_model.scored(odd, id_col="doc_id", text_col="text", trains=F.lit(trains))
+        got = rows.collect()
+        assert len(got) == odd.count()
+        texts = [r.text for r in odd.select("text").collect()]
+        c = collections.Counter(w for t in texts if trains for w in [*(w.translate(language_model.ASCII_LOWER) for w in words(t)), None])
+        assert (n, v) == (sum(c.values()), len(c))
+        assert sum(r.n_tokens for r in got) == sum(len(words(t)) + 1 for t in texts)
+        assert all(r.n_known == (r.n_tokens if trains else 0) and (trains or r.base_score == 0) for r in got)
+    assert language_model.scored(none, id_col="doc_id", text_col="text", trains=F.lit(True))[0].count() == 0
 
 
 def test_filter_never_lowers_a_count():
     keys = np.random.default_rng(2).integers(0, 2**63, 5000, dtype=np.uint64)
     counts = np.arange(1, 5001)
-    bits = np.zeros(language_model.SHARD_BITS // 8, dtype=np.uint8)
-    language_model.LogFrequencyFilter.enter(bits, keys, counts)
-    found = language_model.LogFrequencyFilter(1, bits).levels(keys)
+    found = language_model.LogFrequencyFilter.of(keys, counts).levels(keys)
     assert (found >= language_model.level(counts)).all() and (found == language_model.level(counts)).mean() > 0.9
 
 
-def test_filter_grows_with_the_levels_counted(spark):
-    """Texts of equal bytes and unequal numbers of n-grams: the bits follow the levels, errors stay rare."""
+def test_filter_grows_with_the_levels_counted():
+    """The bits follow the levels, so errors are as rare at every size."""
     rng = np.random.default_rng(7)
-    rich = [" ".join(f"{x:07x}" for x in rng.integers(0, 1 << 28, 4000)) for _ in range(20)]
-    poor = [" ".join(f"{x:07x}" for x in rng.integers(0, 40, 4000)) for _ in range(20)]
-    bits = []
-    for texts in (rich, poor):
-        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        rows = language_model.train(docs, F.col("text"))[0].filter.collect()
-        assert all(language_model.BITS_PER_LEVEL <= 8 * len(r.bits) / r.levels < language_model.BITS_PER_LEVEL + 8 for r in rows)
-        bits.append(sum(8 * len(r.bits) for r in rows))
-        new = rng.integers(0, 2**48, 2000, dtype=np.uint64)
-        false = [(language_model.LogFrequencyFilter(1, np.frombuffer(r.bits, np.uint8)).levels(new) > 0).mean() for r in rows if r.levels > 100]
-        assert np.mean(false) < 0.01
-    assert bits[0] > 5 * bits[1]
+    new = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    for n in (100, 10_000, 300_000):
+        for most in (1, 2, 1000):
+            counts = rng.integers(1, most + 1, n)
+            filter_ = language_model.LogFrequencyFilter.of(rng.integers(0, 2**63, n, dtype=np.uint64), counts)
+            assert language_model.BITS_PER_LEVEL <= filter_.width / language_model.level(counts).sum() < language_model.BITS_PER_LEVEL + 0.1
+            assert (filter_.levels(new) > 0).mean() < 0.01
 
 
 def test_lm_levels_come_back_in_place(spark):
     """Scores with the dealt filter equal those from exact counts at their levels, but for false positives."""
     texts = [" ".join(f"t{(i * k) % 97}" for k in range(200)) for i in range(1, 60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, unigrams = language_model.train(docs, F.col("text"))
-    got = {r.id: r.score for r in language_model.scored(docs, model, unigrams, id_col="doc_id", text_col="text").collect()}
+    got = {r.id: r.score for r in language_model.scored(docs, id_col="doc_id", text_col="text", trains=F.lit(True))[0].collect()}
     one, two = collections.Counter(), collections.Counter()
     tokens = [[None, *t.split(), ""] for t in texts]
     for w in tokens:
