@@ -2,24 +2,32 @@
 
 Entities are found by one pattern: secrets after a telling key, e-mail addresses,
 hexadecimal keys, IPv4 addresses, IBANs, social security, phone and card numbers, and
-persons' names after a title. Every distinct entity (kind and canonical form) gets
-one surrogate for the whole table, made from a keyed hash:
+persons' names after a title. An entity is one part or several: an address has a local
+part and a domain, a name its given names and its family name. Every distinct part
+(kind and canonical form) gets one surrogate for the whole table, made from a keyed
+hash:
 
 * of its own type and format: digits for digits, letters of the same case and script
   for letters, the same separators; a card keeps its first digit and its Luhn
   remainder, a phone its country code, a private IPv4 address its network, an address
-  its reserved top domain; a name after a man's or woman's title gets a name of that
-  gender in the same script, built from syllables;
-* coreferent: forms that differ in case or separators only are one entity, equal
-  domains stay equal, and so do equal family names;
-* distinct: a surrogate that another entity of the kind has, or that is itself an
-  entity of the table, is drawn again, in rounds over those that are left. What is
-  still left after ROUNDS gets a hash as a placeholder.
-
-A document's replacements depend on its list of entities alone. Each distinct list
-is worked out once and joined to the documents that hold it, so texts without
-entities are never shuffled, and groups of copies need no key but their list; the
-join's hot lists are split by the adaptive planner.
+  its reserved top domain; given names get names of the gender that the title tells, in
+  the same script (Latin, Cyrillic, Greek), built from syllables; an initial is moved
+  along its alphabet by a keyed distance, so different ones stay different;
+* coreferent: forms that differ in case or separators only are one part, and so are a
+  phone number with and without its country code or trunk zero; equal domains, given
+  names and family names stay equal wherever they stand, and so do the forms of a
+  Cyrillic family name for men and women;
+* distinct: a surrogate that another part of the kind has, or that is itself a part in
+  the table, is drawn again, in rounds over those that are left. As parts are distinct,
+  so are the entities composed of them. From the round GROWING on, names, local parts,
+  domains, secrets and keys become longer, and numbers may take forms of the table that
+  are not their own; after LAST_ROUND a number gets digits of its hash in addition.
+
+The pattern is run over a text once; the hits are stored with their rows. A document's
+replacements depend on its list of hits alone. Each distinct list is worked out once
+and joined to the documents that hold it, so texts without entities are never shuffled,
+and groups of copies need no key but their list; the join's hot lists are split by the
+adaptive planner.
 
 Defined results: a null text stays null, an empty one empty, both with 0 entities;
 repeated rows get equal texts; an empty table stays empty. All other columns are
@@ -34,7 +42,7 @@ from pyspark.sql import functions as F
 from fieldwork.llm.common import read, stored
 
 KEY = "fieldwork"
-ROUNDS = 12
+GROWING, LAST_ROUND = 12, 40
 
 _SECRET = r"""(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd)\s{0,3}[=:]\s{0,3}["']?)"""
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -60,10 +68,17 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any entity must hold; texts without it are not searched by the whole pattern.
 _GUARD = rf"[0-9@=:]|[a-fA-F]{{32}}|{_MEN}|{_WOMEN}"
 
-# Syllables and endings that names are built from.
-_LATIN = "ba be bi bo da de di do fa fe ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo".split()
-_CYRILLIC = "ба бе би бо ва ве ви во га го да де ди до за зе ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си со та те ти то".split()
-_ENDINGS = {"latin": ("n", "na", "rd"), "cyrillic": ("н", "на", "ров")}
+# Syllables, and the endings of a man's, a woman's and a family name.
+_SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fe ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi vo".split(),
+    "cyrillic": "ба бе би бо ва ве ви во га го да де ди до за зе ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се си со та те ти то".split(),
+    "greek": "βα βε βι βο γα γε γι γο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο πα πε πι πο ρα ρε ρι ρο τα τε τι το".split(),
+}
+_ENDINGS = {"latin": ("n", "na", "rd"), "cyrillic": ("н", "на", "ров"), "greek": ("ν", "να", "ς")}
+# The alphabets that letters are drawn from.
+_LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
+# Country codes of one and two digits; all others have three.
+_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def _quoted(text: str) -> str:
@@ -82,13 +97,11 @@ def _mapped(s: str, salt: str, hex_only: str = "false") -> str:
     c = f"substr({s}, i, 1)"
     v = "cast(conv(substr(h[(i - 1) div 60], 1 + 2 * ((i - 1) % 60), 2), 16, 10) AS INT)"
     pick = lambda letters: f"substr('{letters}', 1 + {v} % {len(letters)}, 1)"
-    low, cyr = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя"
-    one = (
-        f"CASE WHEN {c} BETWEEN '0' AND '9' THEN {pick('0123456789')} WHEN {hex_only} AND {c} BETWEEN 'a' AND 'f' THEN {pick('abcdef')} "
-        f"WHEN {c} BETWEEN 'a' AND 'z' THEN {pick(low)} WHEN {c} BETWEEN 'A' AND 'Z' THEN {pick(low.upper())} "
-        f"WHEN {c} BETWEEN 'а' AND 'я' THEN {pick(cyr)} WHEN {c} BETWEEN 'А' AND 'Я' THEN {pick(cyr.upper())} "
-        f"WHEN {c} RLIKE '\\\\p{{Lu}}' THEN {pick(low.upper())} WHEN {c} RLIKE '\\\\p{{L}}' THEN {pick(low)} ELSE {c} END"
-    )
+    low = _LETTERS["latin"]
+    one = f"CASE WHEN {c} BETWEEN '0' AND '9' THEN {pick('0123456789')} WHEN {hex_only} AND {c} BETWEEN 'a' AND 'f' THEN {pick('abcdef')} "
+    for letters, (first, last) in zip(_LETTERS.values(), ("az", "ая", "αω"), strict=True):
+        one += f"WHEN {c} BETWEEN '{first}' AND '{last}' THEN {pick(letters)} WHEN {c} BETWEEN '{first.upper()}' AND '{last.upper()}' THEN {pick(letters.upper())} "
+    one += f"WHEN {c} RLIKE '\\\\p{{Lu}}' THEN {pick(low.upper())} WHEN {c} RLIKE '\\\\p{{L}}' THEN {pick(low)} ELSE {c} END"
     # the hashes are bound once and read at every place
     return f"array_join(flatten(transform(array({h}), h -> transform(sequence(1, length({s})), i -> {one}))), '')"
 
@@ -100,49 +113,58 @@ def _luhn(s: str) -> str:
     return f"aggregate(sequence(1, length({s})), 0, (t, i) -> t + CASE WHEN {twice} THEN 2 * {d} - CASE WHEN {d} > 4 THEN 9 ELSE 0 END ELSE {d} END) % 10"
 
 
-def _name(canon: str) -> str:
-    """SQL for a name's surrogate; canonical: gender|family or gender|given|...|family."""
-    words = f"slice(split({canon}, '\\\\|'), 2, length({canon}))"
-    gender = f"substr({canon}, 1, 1)"
+def _more(letters: str) -> str:
+    """SQL: letters that are added from the round GROWING on, one more each two rounds."""
+    h = _hash("kind", "canon", "attempt", "'more'")
+    return f"CASE WHEN attempt < {GROWING} THEN '' ELSE translate(substr({h}, 1, 1 + (attempt - {GROWING}) div 2), '0123456789abcdef', '{letters}') END"
+
+
+def _name_part() -> str:
+    """SQL for a given or family name's surrogate: four syllables, more in later rounds, and an ending."""
+
+    def of(script: str) -> str:
+        syllables = "array(" + ", ".join(map(_quoted, _SYLLABLES[script])) + ")"
+        at = f"1 + cast(conv(substr(h, 4 * k - 3, 4), 16, 10) AS INT) % {len(_SYLLABLES[script])}"
+        drawn = f"transform(sequence(1, least(30, 4 + attempt div 6)), k -> element_at({syllables}, {at}))"
+        man, woman, family = _ENDINGS[script]
+        end = f"CASE kind WHEN 'given_m' THEN '{man}' WHEN 'given_w' THEN '{woman}' ELSE '{family}' END"
+        return f"concat(array_join(flatten(transform(array({_hash('kind', 'canon', 'attempt')}), h -> {drawn})), ''), {end})"
 
-    def word(script: str, w: str, family: str) -> str:
-        syllables = _LATIN if script == "latin" else _CYRILLIC
-        men, women, ending = _ENDINGS[script]
-        h = _hash("'name'", w, f"CASE WHEN {family} THEN 'f' ELSE {gender} END", "attempt")
-        at = [f"1 + cast(conv(substr({h}, {1 + 4 * k}, 4), 16, 10) AS INT) % {len(syllables)}" for k in range(4)]
-        listed = "array(" + ", ".join(map(_quoted, syllables)) + ")"
-        body = "concat(" + ", ".join(f"element_at({listed}, {a})" for a in at) + ")"
-        end = f"CASE WHEN {family} THEN '{ending}'" + (f" || CASE WHEN {gender} = 'w' THEN 'а' ELSE '' END" if script == "cyrillic" else "") + f" WHEN {gender} = 'w' THEN '{women}' ELSE '{men}' END"
-        # an initial stays one
-        return f"CASE WHEN {w} RLIKE '^.\\\\.?$' THEN concat(initcap(substr({body}, 1, 1)), substr({w}, 2)) ELSE initcap(concat({body}, {end})) END"
+    return f"CASE WHEN canon RLIKE '\\\\p{{IsCyrillic}}' THEN {of('cyrillic')} WHEN canon RLIKE '\\\\p{{IsGreek}}' THEN {of('greek')} ELSE {of('latin')} END"
 
-    each = lambda script: f"array_join(transform({words}, (w, k) -> {word(script, 'w', f'k = size({words}) - 1')}), ' ')"
-    return f"CASE WHEN {canon} RLIKE '\\\\p{{IsCyrillic}}' THEN {each('cyrillic')} ELSE {each('latin')} END"
+
+def _initial() -> str:
+    """SQL: a letter moved along its alphabet by a keyed distance."""
+    h = f"cast(conv(substr({_hash(_quoted('initial'))}, 1, 6), 16, 10) AS INT)"
+    out = "CASE "
+    for letters in _LETTERS.values():
+        n = len(letters)
+        out += f"WHEN instr('{letters}', canon) > 0 THEN substr('{letters}', 1 + (instr('{letters}', canon) + {h} % {n - 1}) % {n}, 1) "
+    return out + "ELSE canon END"
 
 
 def _surrogate() -> str:
-    """SQL for a surrogate from the columns kind, canon and attempt."""
-    domain, local = "substring_index(canon, '@', -1)", "substring_index(canon, '@', 1)"
-    label, top = f"substring_index({domain}, '.', 1)", f"substring_index({domain}, '.', -1)"
-    email = f"concat({_mapped(local, 'canon')}, '@', {_mapped(label, domain)}, '.example.', CASE WHEN {top} IN ('com', 'net', 'org') THEN {top} ELSE 'com' END)"
+    """SQL for a part's surrogate from the columns kind, canon and attempt."""
+    low = _LETTERS["latin"][:16]
+    label, top = "substring_index(canon, '.', 1)", "substring_index(canon, '.', -1)"
+    domain = f"concat({_mapped(label, 'canon')}, {_more(low)}, '.example.', CASE WHEN {top} IN ('com', 'net', 'org') THEN {top} ELSE 'com' END)"
     body = f"concat(substr(canon, 1, 1), {_mapped('substr(canon, 2, length(canon) - 2)', 'canon')})"
     lead = f"concat({body}, '0')"
     card = f"concat({body}, cast(pmod({_luhn('canon')} - {_luhn(lead)}, 10) AS STRING))"
-    phone = f"concat(substring_index(canon, '|', 1), '|', {_mapped(chr(115) + 'ubstring_index(canon, ' + chr(39) + '|' + chr(39) + ', -1)', 'canon')})"
-    octet = lambda k, least, n: f"cast({least} + cast(conv(substr({_hash(chr(39) + 'ip' + chr(39), 'canon', 'attempt')}, {1 + 8 * k}, 8), 16, 10) AS BIGINT) % {n} AS STRING)"
+    national = "substring_index(canon, '|', -1)"
+    phone = f"concat(substring_index(canon, '|', 1), '|', {_mapped(national, 'canon')})"
+    octet = lambda k, least, n: f"cast({least} + cast(conv(substr({_hash(_quoted('ip'), 'canon', 'attempt')}, {1 + 8 * k}, 8), 16, 10) AS BIGINT) % {n} AS STRING)"
     parts = "split(canon, '\\\\.')"
     private = "canon RLIKE '^(10|127)\\\\.|^192\\\\.168\\\\.'"
     ip = f"concat_ws('.', CASE WHEN {private} THEN {parts}[0] ELSE {octet(0, 11, 116)} END, CASE WHEN canon LIKE '192.168.%' THEN '168' ELSE {octet(1, 0, 256)} END, {octet(2, 0, 256)}, {octet(3, 0, 256)})"
+    is_hex = "(canon RLIKE '^[0-9a-f]+$')"
+    more = f"CASE WHEN kind IN ('local', 'secret') THEN {_more(low)} WHEN kind = 'hex' THEN {_more('0123456789abcdef')} ELSE '' END"
     return (
-        f"CASE kind WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {ip} WHEN 'name' THEN {_name('canon')} "
-        f"ELSE {_mapped('canon', 'canon', hex_only=chr(40) + 'canon RLIKE ' + chr(39) + '^[0-9a-f]+$' + chr(39) + chr(41))} END"
+        f"CASE WHEN kind = 'domain' THEN {domain} WHEN kind = 'card' THEN {card} WHEN kind = 'phone' THEN {phone} WHEN kind = 'ip' THEN {ip} "
+        f"WHEN kind IN ('given_m', 'given_w', 'family') THEN {_name_part()} ELSE concat({_mapped('canon', 'canon', hex_only=is_hex)}, {more}) END"
     )
 
 
-def _placeholder() -> str:
-    return f"concat('<', kind, '-', substr({_hash('kind', 'canon')}, 1, 32), '>')"
-
-
 def kind_of(hit: Column) -> Column:
     out = F.lit("name")
     for kind in reversed([k for k in KINDS if k != "name"]):
@@ -155,57 +177,86 @@ def _value(hit: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(hit, "^" + _SECRET, ""), "^" + _NAME_TITLE, "")
 
 
-def canonical(kind: Column, hit: Column) -> Column:
-    value = _value(hit)
-    digits = F.regexp_replace(hit, r"\D", "")
-    code = F.regexp_extract(hit, r"^\+(\d{1,3})[^\d]", 1)
-    # a Latin family name alone is the same for all; a Cyrillic one has a gender
-    alone = ~value.rlike(r"[ .-]") & ~value.rlike(r"\p{IsCyrillic}")
-    gender = F.when(alone, "f").when(hit.rlike(rf"^{_WOMEN}\b"), "w").otherwise("m")
-    return (
-        F.when(kind.isin("card", "ssn"), digits)
-        .when(kind == "phone", F.concat(code, F.lit("|"), F.substr(digits, F.length(code) + 1)))
-        .when(kind == "name", F.concat(gender, F.lit("|"), F.regexp_replace(F.lower(value), r"[ -]|(?<=\.)(?=[^ -])", "|")))
-        .when(kind == "iban", F.regexp_replace(hit, " ", ""))
-        .when((kind == "secret") & ~F.lower(value).rlike("^[0-9a-f]+$"), value)
-        .otherwise(F.lower(value))
-    )
+def parts_of(kind: Column, hit: Column) -> Column:
+    """The parts of a hit in order: an array of (kind, canon, after); ``after`` is what stands behind a part."""
+    value, digits = _value(hit), F.regexp_replace(hit, r"\D", "")
+    none = F.lit("")
+    part = lambda k, canon, after=none: F.struct(k.alias("kind"), canon.alias("canon"), after.alias("after"))
+    address = F.lower(value)
+    email = F.array(part(F.lit("local"), F.substring_index(address, "@", 1), F.lit("@")), part(F.lit("domain"), F.substring_index(address, "@", -1)))
+
+    # a number of ten digits without a code is one of code 1; a trunk zero is no part of it
+    plain = ~hit.startswith("+")
+    american = plain & ((F.length(digits) == 10) | ((F.length(digits) == 11) & digits.startswith("1")))
+    code = F.when(american, "1").when(plain, "").otherwise(F.regexp_extract(digits, _CODE, 1))
+    rest = F.when(american, F.right(digits, F.lit(10))).when(plain, digits).otherwise(F.regexp_replace(F.substr(digits, F.length(code) + 1), "^0", ""))
+
+    woman = hit.rlike(rf"^{_WOMEN}\b")
+    tokens = F.filter(F.split(value, r"(?<=[ -])|(?<=\.)(?=[^ -])"), lambda t: t != "")
 
+    def of_word(t: Column, i: Column) -> Column:
+        word, after = F.lower(F.regexp_replace(t, r"\.?[ -]?$", "")), F.regexp_extract(t, r"\.?[ -]?$", 0)
+        last = i == F.size(tokens) - 1
+        one = F.length(word) == 1
+        family = F.when(woman & word.rlike(r"\p{IsCyrillic}"), F.regexp_replace(word, "а$", "")).otherwise(word)
+        return part(F.when(one, "initial").when(last, "family").when(woman, "given_w").otherwise("given_m"), F.when(last & ~one, family).otherwise(word), after)
 
-def rendered(kind: Column, hit: Column, surrogate: Column) -> Column:
-    """A surrogate in the form of one hit: its separators, its case, its key or title."""
+    exact = (kind == "secret") & ~F.lower(value).rlike("^[0-9a-f]+$")
+    canon = F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(code, F.lit("|"), rest)).when(kind == "iban", F.regexp_replace(hit, " ", "")).when(exact, value).otherwise(F.lower(value))
+    return F.when(kind == "email", email).when(kind == "name", F.transform(tokens, of_word)).otherwise(F.array(part(kind, canon)))
+
+
+def rendered(kind: Column, hit: Column, surrogates: Column) -> Column:
+    """A hit with its parts' surrogates, an array of (surrogate, kind, after), in its own form: separators, case, key or title."""
     value = _value(hit)
-    plain = F.regexp_replace(surrogate, r"\|", "")
+    woman = hit.rlike(rf"^{_WOMEN}\b")
+
+    def word(p: Column) -> Column:
+        ends = (p["kind"] == "family") & woman & p["surrogate"].rlike(r"\p{IsCyrillic}")
+        full = F.concat(p["surrogate"], F.when(ends, "а").otherwise(""))
+        return F.concat(F.when(kind == "name", F.initcap(full)).otherwise(full), p["after"])
+
+    text = F.array_join(F.transform(surrogates, word), "")
+    plain = F.substring_index(text, "|", -1)
+    # what a number has before its own digits, a country code or trunk zero, stays
+    skipped = F.length(F.regexp_replace(hit, "[^A-Z0-9]", "")) - F.length(plain)
 
     def fill(state: Column, i: Column) -> Column:
         c = F.substr(hit, i, F.lit(1))
         mine = c.rlike("[A-Z0-9]")
-        return F.struct(F.concat(state["s"], F.when(mine, F.substr(plain, state["k"], F.lit(1))).otherwise(c)).alias("s"), F.when(mine, state["k"] + 1).otherwise(state["k"]).alias("k"))
+        return F.struct(F.concat(state["s"], F.when(mine & (state["k"] >= 1), F.substr(plain, state["k"], F.lit(1))).otherwise(c)).alias("s"), F.when(mine, state["k"] + 1).otherwise(state["k"]).alias("k"))
 
-    laid_out = F.aggregate(F.sequence(F.lit(1), F.length(hit)), F.struct(F.lit("").alias("s"), F.lit(1).alias("k")), fill, lambda x: x["s"])
-    shaped = F.when((value == F.upper(value)) & value.rlike(r"\p{Lu}"), F.upper(surrogate)).when((kind == "email") & value.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substr(surrogate, F.lit(1), F.lit(1))), F.substr(surrogate, F.lit(2)))).otherwise(surrogate)
-    keeps_case = (kind == "secret") & ~F.lower(value).rlike("^[0-9a-f]+$")
+    laid_out = F.aggregate(F.sequence(F.lit(1), F.length(hit)), F.struct(F.lit("").alias("s"), (1 - skipped).cast("int").alias("k")), fill, lambda x: F.concat(x["s"], F.when(F.length(plain) >= x["k"], F.substr(plain, x["k"])).otherwise("")))
+    shaped = F.when((value == F.upper(value)) & value.rlike(r"\p{Lu}"), F.upper(text)).when((kind == "email") & value.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substr(text, F.lit(1), F.lit(1))), F.substr(text, F.lit(2)))).otherwise(text)
+    exact = (kind == "secret") & ~F.lower(value).rlike("^[0-9a-f]+$")
     before = F.substr(hit, F.lit(1), F.length(hit) - F.length(value))
-    return F.when(surrogate.startswith("<"), F.concat(before, surrogate)).when(kind.isin("card", "ssn", "phone", "iban"), laid_out).otherwise(F.concat(before, F.when(keeps_case, surrogate).otherwise(shaped)))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), laid_out).otherwise(F.concat(before, F.when(exact, text).otherwise(shaped)))
 
 
-def assign(entities: DataFrame) -> DataFrame:
+def assign(entities: DataFrame, *, growing: int = GROWING) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon); surrogates are distinct and new."""
-    left = entities
-    taken = entities.select("kind", F.col("canon").alias("sur"))
-    found = None
-    for attempt in range(ROUNDS):
-        drawn = left.withColumn("attempt", F.lit(attempt)).withColumn("sur", F.expr(_surrogate())).select("kind", "sur", "canon")
-        both = drawn.unionByName(taken.withColumn("canon", F.lit(None).cast("string")))
+    initials = entities.where("kind = 'initial'").select("kind", "canon", F.expr(_initial()).alias("sur"))
+    found = stored(initials, "pii-round")
+    left = entities.where("kind <> 'initial'")
+    own = left.select("kind", F.col("canon").alias("sur"), F.lit(None).cast("string").alias("canon"), F.lit(True).alias("old"))
+    taken = None
+    for attempt in range(LAST_ROUND):
+        drawn = left.withColumn("attempt", F.lit(attempt)).withColumn("sur", F.expr(_surrogate())).where("sur <> canon").select("kind", "sur", "canon", F.lit(False).alias("old"))
+        # numbers can't become longer: in late rounds they may take forms of the table
+        both = drawn.unionByName(own if attempt < growing else own.where("kind IN ('local', 'domain', 'given_m', 'given_w', 'family', 'secret', 'hex')"))
+        if taken is not None:
+            both = both.unionByName(taken)
         # one row of a drawn surrogate wins, unless the surrogate is taken
-        won = both.groupBy("kind", "sur").agg(F.min("canon").alias("canon"), F.max(F.col("canon").isNull()).alias("used")).where(~F.col("used")).select("kind", "canon", "sur")
+        won = both.groupBy("kind", "sur").agg(F.min("canon").alias("canon"), F.max("old").alias("used")).where("NOT used AND canon IS NOT NULL").select("kind", "canon", "sur")
         won = stored(won, "pii-round")
-        found = won if found is None else found.unionByName(won)
+        found = found.unionByName(won)
         left = stored(left.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pii-left")
         if left.isEmpty():
             return found.withColumnRenamed("sur", "surrogate")
-        taken = taken.unionByName(won.select("kind", "sur"))
-    rest = left.select("kind", "canon", F.expr(_placeholder()).alias("sur"))
+        mine = won.select("kind", "sur", F.lit(None).cast("string").alias("canon"), F.lit(True).alias("old"))
+        taken = mine if taken is None else taken.unionByName(mine)
+    digits = f"concat(sur, translate(substr({_hash('kind', 'canon')}, 1, 20), 'abcdef', '012345'))"
+    rest = left.withColumn("attempt", F.lit(LAST_ROUND)).withColumn("sur", F.expr(_surrogate())).select("kind", "canon", F.expr(digits).alias("sur"))
     return found.unionByName(rest).withColumnRenamed("sur", "surrogate")
 
 
@@ -215,21 +266,25 @@ def replaced(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     ``__kinds`` lists the kinds found, distinct, sorted and joined by commas.
     """
     text = F.col(text_col)
-    hits = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    key = F.sha2(F.array_join("__hits", "\u0001"), 256)
-    # whether there is a hit is decided first, in a scan of its own that moves no text
-    holds = text.rlike(_GUARD) & text.rlike(PATTERN)
-    without = docs.where(~F.coalesce(holds, F.lit(False))).withColumns({"__n_entities": F.lit(0).cast("long"), "__kinds": F.lit("")})
-    holding = docs.where(holds).withColumn("__hits", hits)
-    lists = stored(holding.select(key.alias("__key"), "__hits").groupBy("__key").agg(F.first("__hits").alias("__hits")), "pii-lists")
-    each = lists.select("__key", F.posexplode("__hits").alias("pos", "hit")).withColumn("kind", kind_of(F.col("hit"))).withColumn("canon", canonical(F.col("kind"), F.col("hit")))
+    hits = F.when(text.rlike(_GUARD), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    # a row goes along as a whole, so its columns' names can't clash
+    rows = stored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), hits.alias("hits")), "pii-rows")
+    some = F.coalesce(F.size("hits") > 0, F.lit(False))
+    key = F.sha2(F.array_join("hits", "\u0001"), 256)
+    holding = rows.where(some).withColumn("key", key)
+    lists = stored(holding.select("key", "hits").groupBy("key").agg(F.first("hits").alias("hits")), "pii-lists")
+    each = lists.select("key", F.posexplode("hits").alias("pos", "hit")).withColumn("of", kind_of(F.col("hit")))
+    each = each.select("key", "pos", "hit", "of", F.posexplode(parts_of(F.col("of"), F.col("hit"))).alias("no", "p")).select("key", "pos", "hit", "of", "no", "p.*")
+    each = stored(each, "pii-parts")
     chosen = assign(stored(each.select("kind", "canon").distinct(), "pii-entities"))
-    out = each.join(chosen, ["kind", "canon"]).withColumn("new", rendered(F.col("kind"), F.col("hit"), F.col("surrogate")))
-    rows = out.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("pos", "new", "kind"))).alias("__r"))
-    rows = stored(rows.select("__key", F.col("__r.new").alias("__new"), F.array_join(F.array_sort(F.array_distinct("__r.kind")), ",").alias("__kinds")), "pii-replacements")
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.col("__new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
-    filled = holding.withColumn("__key", key).join(rows, "__key").withColumn(text_col, F.array_join(pieces, "")).withColumn("__n_entities", F.size("__hits").cast("long"))
-    return without.unionByName(filled.select(*without.columns))
+    whole = each.join(chosen, ["kind", "canon"]).groupBy("key", "pos", "of", "hit").agg(F.sort_array(F.collect_list(F.struct("no", "surrogate", "kind", "after"))).alias("s"))
+    out = whole.select("key", "pos", "of", rendered(F.col("of"), F.col("hit"), F.col("s")).alias("new"))
+    new = out.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "new", "of"))).alias("r"))
+    new = stored(new.select("key", F.col("r.new").alias("new"), F.array_join(F.array_sort(F.array_distinct("r.of")), ",").alias("kinds")), "pii-replacements")
+    pieces = F.zip_with(F.split(F.col("row")[text_col], PATTERN, -1), F.col("new"), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    filled = holding.join(new, "key").select(F.col("row").withField(text_col, F.array_join(pieces, "")).alias("row"), F.size("hits").cast("long").alias("n"), "kinds")
+    every = rows.where(~some).select("row", F.lit(0).cast("long").alias("n"), F.lit("").alias("kinds")).unionByName(filled)
+    return every.select("row.*", F.col("n").alias("__n_entities"), F.col("kinds").alias("__kinds"))
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

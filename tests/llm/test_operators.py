@@ -153,12 +153,72 @@ def test_surrogates_of_international_phones(spark):
 
 def test_surrogates_stay_distinct(spark):
     """Few possible surrogates: collisions are drawn again until all differ."""
-    hosts = [f"{c}@x.com" for c in "abcdefghijklm"]
-    out = [r.surrogate for r in surrogates.assign(spark.createDataFrame([("email", h) for h in hosts], "kind string, canon string")).collect()]
-    assert len(out) == len(set(out)) == len(hosts) and not set(out) & set(hosts)
+    locals_ = list("abcdefghijklm")
+    out = [r.surrogate for r in surrogates.assign(spark.createDataFrame([("local", x) for x in locals_], "kind string, canon string")).collect()]
+    assert len(out) == len(set(out)) == len(locals_) and not set(out) & set(locals_)
+    # all 26 are taken: surrogates become longer
+    locals_ = list("abcdefghijklmnopqrstuvwxyz")
+    out = [r.surrogate for r in surrogates.assign(spark.createDataFrame([("local", x) for x in locals_], "kind string, canon string"), growing=2).collect()]
+    assert len(out) == len(set(out)) == 26 and not set(out) & set(locals_) and all(x.isalpha() and x.islower() for x in out)
     assert surrogates.replaced(spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_surrogates_keep_parts_apart_and_equal(spark):
+    """Brute force over a table: parts map one to one, whatever they stand with."""
+    rng = np.random.default_rng(5)
+    domains = [f"{c}{i}.org" for c in "abcdefgh" for i in range(10)]
+    locals_ = [f"{a}.{b}" for a in "xyz" for b in ("one", "two", "three", "four")]
+    given, family = ["Ann", "Bea", "Cid", "Dora", "Eve"], ["Smith", "Jones", "Lee", "Woods", "Hall", "Moore"]
+    rows = [f"{rng.choice(locals_)}@{rng.choice(domains)} and Mrs. {rng.choice(given)} {rng.choice(family)} or Mr {rng.choice(family)}" for _ in range(600)]
+    out = {r.doc_id: r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    form = re.compile(r"(\S+)@(\S+) and Mrs\. (\w+) (\w+) or Mr (\w+)")
+    maps = collections.defaultdict(lambda: collections.defaultdict(set))
+    for i, t in enumerate(rows):
+        for kind, x, y in zip(("local", "domain", "given", "family", "family"), form.fullmatch(t).groups(), form.fullmatch(out[i]).groups(), strict=True):
+            maps[kind][x].add(y)
+    for kind, m in maps.items():
+        assert all(len(v) == 1 for v in m.values()), kind
+        new = {y for v in m.values() for y in v}
+        assert len(new) == len(m) and not new & set(m), kind
+
+
+def test_surrogates_of_one_phone_in_many_forms(spark):
+    same = [["(555) 123-4567", "+1 (555) 123-4567", "555-123-4567", "+15551234567"], ["+44 (0)20 7946 0958", "+44 20 7946 0958", "+442079460958"], ["+49 30 1234567", "+49301234567"]]
+    flat = [x for g in same for x in g]
+    out = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(flat)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    ends, at = [], 0
+    for g, n in zip(same, (10, 10, 9), strict=True):
+        mine = {re.sub(r"\D", "", x)[-n:] for x in out[at : at + len(g)]}
+        assert len(mine) == 1 and all(re.sub(r"\d", "0", x) == re.sub(r"\d", "0", y) for x, y in zip(g, out[at:], strict=False))
+        ends.append(mine.pop())
+        at += len(g)
+    assert len(set(ends)) == 3 and not {"5551234567", "2079460958", "301234567"} & set(ends)
+    assert out[4].startswith("+44 (0)") and out[1].startswith("+1 ")
+
+
+def test_surrogates_keep_the_script(spark):
+    rows = ["Mr Γιώργος Παπαδόπουλος", "г-н Иван Иванов и г-жа Анна Иванова", "Mr J. Doe and Mr K. Doe"]
+    out = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"Mr [\u0370-\u03ff]+ [\u0370-\u03ff]+", out[0]) and out[0] != rows[0]
+    man, woman = re.fullmatch(r"г-н [А-Яа-я]+ ([А-Я][а-я]+) и г-жа [А-Яа-я]+ ([А-Я][а-я]+)", out[1]).groups()
+    assert woman == man + "а" and man != "Иванов"
+    j, x, k, y = re.fullmatch(r"Mr ([A-Z])\. (\w+) and Mr ([A-Z])\. (\w+)", out[2]).groups()
+    assert x == y != "Doe" and j != k and j != "J"
+
+
+def test_surrogates_on_odd_rows(spark, odd, none):
+    assert surrogates.replaced(none).count() == 0
+    long = "filler words " * 20_000
+    clash = odd.selectExpr("*", "'x' AS hits", "1 AS row", "2 AS key", "3 AS new", "4 AS n", "5 AS kinds").unionByName(spark.createDataFrame([(99, f"{long} a.b@c.example.com {long}")], "doc_id long, text string"), allowMissingColumns=True)
+    got = surrogates.replaced(clash)
+    assert got.columns == [*clash.columns, "__n_entities", "__kinds"]
+    rows = got.collect()
+    assert len(rows) == clash.count()
+    found = next(r for r in rows if r.doc_id == 99)
+    assert found["__n_entities"] == 1 and len(found.text) > 2 * len(long) and "a.b@c" not in found.text
+    assert collections.Counter(r.text for r in rows if r.doc_id != 99) == collections.Counter(r.text for r in odd.select("text").collect())
+
+
 # -- 3
 
 
