@@ -73,8 +73,10 @@ def search_tokens(c: Column, stopwords: tuple[str, ...] = ()) -> Column:
 
 
 def version_key(c: Column) -> Column:
-    """A dotted version as an array of ints, for comparison."""
-    return F.transform(F.split(c, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    """A dotted version as an array of its parts' leading digits, for comparison; zeros at the end don't count."""
+    parts = F.transform(F.split(c, r"\."), lambda x: F.coalesce(F.regexp_extract(x, r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)))
+    filled = F.array_max(F.transform(parts, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    return F.slice(parts, F.lit(1), filled)
 
 
 def citation(*parts: Column) -> Column:

@@ -32,9 +32,12 @@ def last_per_key(reference: DataFrame, key: str, order: str, columns: list[str])
     return reference.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("__r")).select(key, "__r.*")
 
 
-def confront(survey: DataFrame, reference: DataFrame, *, key: str, ref_key: str, value: str, ref_value: str, pct: float | None = None, absolute: float | None = None) -> DataFrame:
-    """Every survey row with its reference value, whether it matches, and a suspicion."""
-    r = reference.select(F.col(ref_key).alias("__key"), F.col(ref_value).alias("reference"))
+def confront(survey: DataFrame, reference: DataFrame, *, key: str, ref_key: str, value: str, ref_value: str, order: str | None = None, pct: float | None = None, absolute: float | None = None) -> DataFrame:
+    """Every survey row with its reference value, whether it matches, and a suspicion.
+
+    Of several reference rows of a key the last by ``order`` counts (without one, the largest value).
+    """
+    r = last_per_key(reference, ref_key, order or ref_value, [ref_value]).select(F.col(ref_key).alias("__key"), F.col(ref_value).alias("reference"))
     both = survey.join(r, F.col(key) == F.col("__key"), "left").drop("__key")
     s = F.col(value)
     ok = F.when(F.col("reference").isNull(), None).otherwise(within(s, F.col("reference"), pct=pct, absolute=absolute))

@@ -364,15 +364,14 @@ v AS (SELECT term, count(*) AS records FROM w GROUP BY 1 HAVING count(*) >= 2) "
 
 @query(_LEXICON + "SELECT * FROM v")
 def lexicon(spark, sf_dir):
-    return Q.lexicon(table(spark, sf_dir, "documents", "text"), "text")
+    return Q.vocabulary(table(spark, sf_dir, "documents", "text"), "text")
 
 
 @query(_LEXICON + """, g AS (SELECT term, records, list_distinct([substr('  ' || term || ' ', i, 3) FOR i IN range(1, length(term) + 2)]) AS t, list_distinct([substr('  licence ', i, 3) FOR i IN range(1, 9)]) AS q FROM v WHERE term <> 'licence'),
 s AS (SELECT term, records, len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) AS similarity FROM g)
 SELECT term, records, round(similarity, 6) AS similarity, round(similarity * (1 + ln(greatest(1, records))), 6) AS score FROM s WHERE similarity >= 0.3 ORDER BY similarity * (1 + ln(greatest(1, records))) DESC, term LIMIT 5""")
 def suggest(spark, sf_dir):
-    v = Q.lexicon(table(spark, sf_dir, "documents", "text"), "text")
-    return Q.suggest(v, "licence").withColumns({"similarity": F.round("similarity", 6), "score": F.round("score", 6)})
+    return Q.suggest(Q.grams(table(spark, sf_dir, "documents", "text"), "text"), "licence").withColumns({"similarity": F.round("similarity", 6), "score": F.round("score", 6)})
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents")
@@ -384,14 +383,42 @@ _STEMMED = "CASE WHEN x LIKE '%ies' AND length(x) >= 5 THEN substr(x, 1, length(
 
 
 @query(f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM documents),
-k AS (SELECT doc_id, {_STEMMED} AS term FROM r WHERE length(x) >= 2 AND x NOT IN ({", ".join(f"'{w}'" for w in Q.STOPWORDS)})),
+k AS (SELECT doc_id, {_STEMMED} AS term FROM r WHERE length(x) >= 2 AND x NOT IN ({", ".join(f"'{w}'" for w in "the a an of to in on for and or is are was were your you this that with at by as it be do did have what which how many last all".split())})),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * ln(1 + n / df) AS w, ln(1 + n / df) * CASE term WHEN 'licensed' THEN 1.0 WHEN 'license' THEN 1.0 WHEN 'apache' THEN 0.5 END AS q FROM tf JOIN df USING (term), n),
 qn AS (SELECT sqrt(sum(q * q)) AS qnorm FROM (SELECT DISTINCT term, q FROM w WHERE q IS NOT NULL)),
 s AS (SELECT doc_id, round(sum(w * q) / (sqrt(sum(w * w)) * any_value(qnorm)), 6) AS score, count(q) AS matched FROM w, qn GROUP BY 1)
 SELECT doc_id, score, matched FROM s WHERE matched > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 def tfidf_search(spark, sf_dir):
-    return Q.tfidf_search(table(spark, sf_dir, "documents", "doc_id", "text"), key="doc_id", text="text", query={"licensed": 1, "license": 1, "apache": 0.5})
+    index = Q.postings(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return Q.tfidf_search(index, key="doc_id", query={"licensed": 1, "license": 1, "apache": 0.5}).drop("terms")
+
+
+#: The stop list and the synonyms are written out here, so that the library's own are compared with them.
+_STOP = "the a an of to in on for and or is are was were your you this that with at by as it be do did have what which how many last all".split()
+_TERMS = f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x FROM documents),
+k AS (SELECT doc_id, {_STEMMED} AS term FROM r WHERE length(x) >= 2 AND x NOT IN ({", ".join(f"'{w}'" for w in _STOP)})),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM k GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT doc_id, term, (1 + ln(tf)) * ln(1 + n / df) AS w, ln(1 + n / df) AS idf FROM tf JOIN df USING (term), n) """
+
+
+@query(_TERMS + """, s(term, weight) AS (VALUES ('school', 1.0), ('education', 0.5), ('study', 0.5), ('student', 0.5), ('license', 1.0)),
+h AS (SELECT w.*, idf * weight AS q FROM w JOIN s USING (term)), l AS (SELECT sqrt(sum(q * q)) AS l FROM (SELECT DISTINCT term, q FROM h)), m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1)
+SELECT doc_id, round(sum(w * q) / (any_value(norm) * any_value(l)), 6) AS score, count(*) AS matched, string_agg(term, ',' ORDER BY term) AS terms FROM h JOIN m USING (doc_id), l GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 20""")
+def registry_search(spark, sf_dir):
+    index = Q.postings(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return Q.tfidf_search(index, key="doc_id", query=Q.query_weights("Schools with a license")).withColumn("terms", F.array_join("terms", ","))
+
+
+@query(_TERMS + r""", v AS (SELECT term, count(*) AS records FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(lower(text), '\S*[0-9_]\S*', ' ', 'g'), '[a-zà-öø-ÿœ][a-zà-öø-ÿœ''-]{2,}'))) AS term FROM documents) GROUP BY 1 HAVING count(*) >= 2),
+g AS (SELECT term, records, list_distinct([substr('  ' || term || ' ', i, 3) FOR i IN range(1, length(term) + 2)]) AS t, list_distinct([substr('  licensd ', i, 3) FOR i IN range(1, 9)]) AS q FROM v),
+b AS (SELECT term AS x, len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))) AS similarity, records FROM g),
+best AS (SELECT x, """ + _STEMMED + """ AS term FROM b WHERE similarity >= 0.3 ORDER BY similarity * (1 + ln(greatest(1, records))) DESC, x LIMIT 1),
+m AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1)
+SELECT doc_id, round(w / norm, 6) AS score, x AS searched FROM w JOIN best USING (term) JOIN m USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20""")
+def search_retry(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    return Q.search_or_suggestion(d, key="doc_id", text="text", query="licensd").select("doc_id", "score", "searched")
 
 
 _HITS = "WITH h AS (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'small' THEN 10 WHEN starts_with(lower(p_name), 'small') THEN 5 ELSE 0 END + contains(lower(p_type), 'small')::INT AS rank FROM part WHERE p_size >= 10) "
@@ -514,7 +541,12 @@ def json_props(spark, sf_dir):
 CORPUS_NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:fieldwork:corpus")
 
 
-@query()
+def _uuid5(name: str) -> str:
+    """DuckDB SQL for a name-based UUID: SHA-1 over the namespace's bytes and the name, with version and variant set."""
+    h = f"sha1(unhex('{CORPUS_NAMESPACE.hex}') || encode({name}))"
+    return f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + (CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {h} AS h))"
+
+
+@query(f"SELECT p_partkey, {_uuid5("p_partkey || '|' || p_name")} AS id FROM part")
 def variable_ids(spark, sf_dir):
-    """Name-based ids of parts; DuckDB has no version 5 UUID, a test compares with Python's."""
     return table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", X.uuid5(CORPUS_NAMESPACE, F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name")).alias("id"))
