@@ -1,21 +1,25 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source form one stream, packed into blocks of ``block_words``.
-Every output slot holds one block. How many slots a source gets in a shard is a
-multinomial draw conditioned on each source's total meeting its target: the slots
-are put in a pseudorandom order, and each source owns a stretch of that order.
-A slot's place within its source's stretch, mapped through that source's own
-pseudorandom permutation of block indices (one per pass), names its block, and
-blocks are joined by index. A source's words are never used more than
-``ceil(target / size)`` times, 3 at most.
+Every output slot holds one block, and SHARD_SLOTS slots are an output shard. A shard
+draws how many slots each source gets from a multinomial distribution by the sources'
+targets: each of its slots draws a keyed number, whose place among the sources' shares
+names the source. Over all shards a source's draws differ a little from its target;
+what it drew beyond is handed on to the sources that drew too little, so totals are
+exact to a slot.
+
+A slot is numbered among its source's slots (shard by shard, then by slot), and that
+number, mapped through the source's own pseudorandom permutation of block indices (one
+per pass), names its block; blocks are joined by index. A source's words are never used
+more than ``ceil(target / size)`` times, 3 at most.
 
 Permutations are swap-or-not shuffles: keyed bijections on 0..n-1 computed from
 the index alone, so no sort and no state is needed, and reruns agree.
 
-Positions within a source come from a two-level running sum: documents are dealt
-to groups by a hash of their id, summed within the group, and the groups' sums
-are summed again. A source that holds a third of all rows is spread over as many
-groups as its rows need.
+Positions within a source come from a two-level running sum. Rows equal in id, source
+and size are counted first, so no key is hot; then groups by a hash of id and size are
+summed within, and the groups' sums are summed again. The numbers of slots come from
+the same over shards. Windows without a key run over one row a source.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; a null
 source comes last and is a source of its own; repeated rows are mixed one by one
@@ -80,15 +84,19 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Da
 
 def placed(docs: DataFrame, *, id_col: str, source_col: str, size: Column) -> DataFrame:
     """(id, source, size, start): each document's first word's place in its source's stream."""
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "mix-sizes")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    sized = stored(sized.groupBy("id", "source", "size").agg(F.count("*").alias("copies")), "mix-sizes")
     groups = max(1, -(-sized.count() // GROUP_ROWS))
-    dealt = sized.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(groups)))
+    dealt = sized.withColumns({"deal": F.pmod(F.xxhash64("id", "size"), F.lit(groups)), "words": F.col("size") * F.col("copies")})
     inner = Window.partitionBy("source", "deal").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("source").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("source", "deal").agg(F.sum("size").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(outer), F.lit(0)))
-    at = dealt.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0))).alias("a")
+    sums = dealt.groupBy("source", "deal").agg(F.sum("words").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(outer), F.lit(0)))
+    at = dealt.withColumn("within", F.coalesce(F.sum("words").over(inner), F.lit(0))).alias("a")
     s = sums.alias("s")
-    return at.join(s, F.col("a.source").eqNullSafe(F.col("s.source")) & (F.col("a.deal") == F.col("s.deal"))).select("a.id", "a.source", "a.size", (F.col("s.base") + F.col("a.within")).alias("start"))
+    both = at.join(s, F.col("a.source").eqNullSafe(F.col("s.source")) & (F.col("a.deal") == F.col("s.deal")))
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("a.copies") - 1)).alias("copy")
+    rows = both.select("a.id", "a.source", "a.size", (F.col("s.base") + F.col("a.within")).alias("first"), copy)
+    return rows.select("id", "source", "size", (F.col("first") + F.col("copy") * F.col("size")).alias("start"))
 
 
 def plan(placed_docs: DataFrame, *, block_words: int, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -104,24 +112,58 @@ def plan(placed_docs: DataFrame, *, block_words: int, weights: tuple[int, ...] =
 
 #: Sources up to which the plan goes to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Bits of a draw, and of the cells that draws are looked up by; shards summed at once.
+DRAW_BITS, CELL_BITS = 53, 16
+SUMMED_SHARDS = 4096
 
 
-def slots(plan_rows: DataFrame, *, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix: (shard, slot, no, block). One row for each output slot.
+def drawn(plan_rows: DataFrame, total: int, *, seed: int, shard_slots: int) -> DataFrame:
+    """(shard, slot, no): a source drawn for every slot, so that a shard's counts are multinomial.
 
-    A place in the pseudorandom order of all slots falls into one source's stretch;
-    the stretch is named by ranges of 4096 places, so the join is by equality.
+    The shares of the sources cut 0..2^DRAW_BITS; cells of equal width name the shares
+    that reach into them, so the join is by equality.
     """
     spark = plan_rows.sparkSession
+    edge = lambda c: F.floor(c / F.lit(float(total)) * float(1 << DRAW_BITS)).cast("long")
+    shares = plan_rows.where("slots > 0").select("no", edge(F.col("first_slot")).alias("low"), edge(F.col("first_slot") + F.col("slots")).alias("high"))
+    shift = DRAW_BITS - CELL_BITS
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))))
+    if len(plan_rows.take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
+        cells = F.broadcast(cells)
+    slots_ = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), (F.col("id") % shard_slots).alias("slot"))
+    slots_ = slots_.withColumn("draw", F.pmod(F.xxhash64(F.lit("draw"), F.lit(seed), "shard", "slot"), F.lit(1 << DRAW_BITS)))
+    hit = slots_.withColumn("cell", F.shiftright("draw", shift)).join(cells, "cell").where("draw >= low AND draw < high")
+    return hit.select("shard", "slot", "no")
+
+
+def slots(plan_rows: DataFrame, *, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix: (shard, slot, no, block). One row for each output slot."""
     total = plan_rows.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
-    reach = 4096
-    stretches = plan_rows.where("slots > 0").withColumn("part", F.explode(F.sequence(F.floor(F.col("first_slot") / reach), F.floor((F.col("first_slot") + F.col("slots") - 1) / reach))))
-    drawn = spark.range(total).select(F.col("id").alias("place"))
-    drawn = drawn.withColumn("at", permuted(F.col("place"), F.lit(total), F.lit(seed))).withColumn("part", F.floor(F.col("at") / reach))
-    hit = drawn.join(stretches, "part").where((F.col("at") >= F.col("first_slot")) & (F.col("at") < F.col("first_slot") + F.col("slots")))
-    k = F.col("at") - F.col("first_slot")
-    block = permuted(F.pmod(k, F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("no"), F.floor(k / F.col("blocks")))
-    return hit.select(F.floor(F.col("place") / shard_slots).alias("shard"), (F.col("place") % shard_slots).alias("slot"), "no", block.alias("block"))
+    mine = stored(drawn(plan_rows, total, seed=seed, shard_slots=shard_slots), "mix-draws")
+    counts = stored(mine.groupBy("shard", "no").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("shard") / SUMMED_SHARDS)), "mix-counts")
+    before = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    outer = counts.groupBy("no", "group").agg(F.sum("n").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(before("no").orderBy("group")), F.lit(0))).select("no", "group", "base")
+    inner = counts.withColumn("within", F.coalesce(F.sum("n").over(before("no", "group").orderBy("shard")), F.lit(0)))
+    starts = inner.join(outer, ["no", "group"]).select("shard", "no", (F.col("base") + F.col("within")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("shard", "no").orderBy("slot")) - 1
+    numbered = mine.withColumn("place", place).join(starts, ["shard", "no"]).select("shard", "slot", "no", (F.col("start") + F.col("place")).alias("k"))
+
+    # a source's draws beyond its slots go, in order, to the sources that lack draws
+    got = counts.groupBy("no").agg(F.sum("n").alias("got"))
+    order = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    p = plan_rows.join(got, "no", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    p = p.withColumns({"over": F.greatest(F.col("got") - F.col("slots"), F.lit(0)), "lack": F.greatest(F.col("slots") - F.col("got"), F.lit(0))})
+    p = stored(p.withColumns({"over_before": F.coalesce(F.sum("over").over(order), F.lit(0)), "lack_before": F.coalesce(F.sum("lack").over(order), F.lit(0))}), "mix-drawn")
+    few = len(p.take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES
+    side = lambda df: F.broadcast(df) if few else df
+    known = numbered.join(side(p.select("no", "slots", "blocks", "over_before")), "no")
+    own = known.where("k < slots").select("shard", "slot", "no", "blocks", "k")
+    handed = known.where("k >= slots").select("shard", "slot", (F.col("over_before") + F.col("k") - F.col("slots")).alias("e"))
+    open_ = p.where("lack > 0").select("no", "blocks", "got", "lack_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lack") - 1)).alias("i"))
+    taken = handed.join(open_.select("no", "blocks", (F.col("got") + F.col("i")).alias("k"), (F.col("lack_before") + F.col("i")).alias("e")), "e").select("shard", "slot", "no", "blocks", "k")
+    every = own.unionByName(taken)
+    block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.col("no"), F.floor(F.col("k") / F.col("blocks")))
+    return every.select("shard", "slot", "no", block.alias("block"))
 
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> dict[str, DataFrame]:

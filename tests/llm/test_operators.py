@@ -454,6 +454,44 @@ def test_mixing(spark, odd, none, small, tmp_path_factory):
     assert all(abs(n - t) <= max(0.03 * t, 2 * mixing.BLOCK_WORDS) for t, n in taken.items())
 
 
+def test_mixing_draws_each_shard(spark):
+    """Each shard's counts are a multinomial draw; totals are exact, and blocks are used evenly."""
+    plan = spark.createDataFrame([("a", 4000, 8000, 1), ("b", 1000, 3000, 2), (None, 7000, 5384, 3)], "source string, blocks long, slots long, no int")
+    plan = plan.withColumn("first_slot", F.when(F.col("no") == 1, 0).when(F.col("no") == 2, 8000).otherwise(11000).cast("long"))
+    rows = mixing.slots(plan, seed=3, shard_slots=256).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(64) for k in range(256)]
+    per_shard = collections.Counter((r.shard, r.no) for r in rows)
+    p = {1: 8000 / 16384, 2: 3000 / 16384, 3: 5384 / 16384}
+    for no, share in p.items():
+        n = np.array([per_shard[s, no] for s in range(64)])
+        assert n.sum() == {1: 8000, 2: 3000, 3: 5384}[no]
+        # the counts vary from shard to shard as draws do, neither fixed nor clustered
+        assert 0.5 < n.var() / (256 * share * (1 - share)) < 1.8
+    used = {no: collections.Counter(r.block for r in rows if r.no == no) for no in p}
+    assert set(used[1].values()) == {2} and len(used[1]) == 4000
+    assert set(used[2].values()) == {3} and len(used[2]) == 1000
+    assert set(used[3].values()) == {1} and len(used[3]) == 5384 and max(used[3]) < 7000
+
+
+def test_mixing_taken_by_brute_force(spark):
+    """What is taken of each document is what the slots' blocks hold of it; repeated and null ids too."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i) if i % 5 else None, int(rng.integers(0, 300)), str(rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1]))) for i in range(400)] + [(7, 50, "a")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, n long, source string")
+    out = mixing.mixed(docs, size=F.col("n"))
+    plan = {r.source: r for r in out["plan"].collect()}
+    uses = collections.Counter((r.no, r.block) for r in out["slots"].collect())
+    taken = out["taken"].collect()
+    assert collections.Counter((r.id, r["size"], r.source) for r in taken) == collections.Counter((i, n, s) for i, n, s in rows)
+    for source, p in plan.items():
+        mine = sorted((r.taken, r["size"]) for r in taken if r.source == source)
+        words = min(p.blocks * mixing.BLOCK_WORDS, p.source_size)
+        held = sum(n * (min((b + 1) * mixing.BLOCK_WORDS, p.source_size) - b * mixing.BLOCK_WORDS) for (no, b), n in uses.items() if no == p.no)
+        assert sum(t for t, _ in mine) == held and words == p.source_size
+        assert abs(held - p.target) <= max(0.03 * p.target, 2 * mixing.BLOCK_WORDS)
+        assert all(0 <= t <= 3 * n for t, n in mine)
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         got = [r.x for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3)).alias("x")).collect()]
