@@ -252,10 +252,10 @@ class Codec:
         for b, ids in self._merged(short).items():
             self.pieces[short[b]] = ids.tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes], memo_pieces: int = MEMO_PIECES) -> list[bytes]:
         """The ids of each text as packed little-endian integers."""
         cut = [self.find(t.decode()) for t in texts]
-        trim(self.pieces, MEMO_PIECES)
+        trim(self.pieces, memo_pieces)
         self._learn(set().union(*cut))
         return [b"".join(map(self.pieces.__getitem__, x)) for x in cut]
 
@@ -273,38 +273,41 @@ class Codec:
         return out
 
 
-def chunks(texts: pa.Array) -> Iterator[list[bytes]]:
+def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     held: list[bytes] = []
     size = 0
     for x in texts:
         t = x.as_py() or b""
         held.append(t)
         size += len(t)
-        if size >= CHUNK_BYTES:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def encoded(text: Column, *, ranks_path: str, pattern: str) -> Column:
-    """The ids of a text column as binary, little-endian unsigned 32-bit integers."""
+def encoded(text: Column, *, ranks_path: str, pattern: str, memo_pieces: int = MEMO_PIECES, chunk_bytes: int = CHUNK_BYTES) -> Column:
+    """The ids of a text column as binary, little-endian unsigned 32-bit integers.
+
+    A worker's memory depends on ``memo_pieces`` and ``chunk_bytes``, the result does not.
+    """
 
     @F.arrow_udf(T.BinaryType())
     def encode(texts: pa.Array) -> pa.Array:
         codec = Codec.of(ranks_path, pattern)
-        return pa.array([x for c in chunks(texts) for x in codec.encode(c)], pa.binary())
+        return pa.array([x for c in chunks(texts, chunk_bytes) for x in codec.encode(c, memo_pieces)], pa.binary())
 
     return encode(text.cast("binary"))
 
 
-def decoded(ids: Column, *, ranks_path: str, pattern: str) -> Column:
+def decoded(ids: Column, *, ranks_path: str, pattern: str, chunk_bytes: int = CHUNK_BYTES) -> Column:
     """The bytes of a column of ids as ``encoded`` returns them."""
 
     @F.arrow_udf(T.BinaryType())
     def decode(rows: pa.Array) -> pa.Array:
         codec = Codec.of(ranks_path, pattern)
-        return pa.array([x for c in chunks(rows) for x in codec.decode(c)], pa.binary())
+        return pa.array([x for c in chunks(rows, chunk_bytes) for x in codec.decode(c)], pa.binary())
 
     return decode(ids)
 
