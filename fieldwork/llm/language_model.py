@@ -18,8 +18,9 @@ chunk deals its distinct n-grams to the parts, packed, with how often its traini
 documents have them. A part sums these, sizes its bits as BITS_PER_LEVEL times the
 levels really counted (so the false-positive rate is the same at every size), enters
 them, and answers each chunk with the levels that probing finds, a byte an n-gram, and
-with the exact counts of its words. The chunk's own numbered words are all that is
-needed then to score its documents; texts are read once and never move.
+with the exact counts of its words. A second scan cuts the same chunks and sends their
+texts, compressed, to the answers. A chunk is named by its place and its content, so
+scans that differed would be noticed; rows that come out of a shuffle are stored first.
 
 Words are hashed to 64 bits, pairs to 50. Defined results: a null or empty text is one end token;
 a null id has remainder 0 and trains; repeated rows are counted and scored one by
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,13 +105,14 @@ class LogFrequencyFilter:
     def of(cls, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
         """A filter sized for these counts, with all of them entered."""
         levels = level(counts)
-        bits = np.zeros(-(-int(levels.sum()) * BITS_PER_LEVEL // 8), dtype=np.uint8)
+        width = -(-int(levels.sum()) * BITS_PER_LEVEL // 8) * 8
+        bits = np.zeros(width, dtype=bool)
         for q in range(1, int(levels.max(initial=0)) + 1):
-            first, step = _probes(keys[levels >= q], q)
-            for i in range(PROBES):
-                at = (first + _U(i) * step) % _U(len(bits) * 8)
-                np.bitwise_or.at(bits, (at >> _U(3)).astype(np.int64), np.uint8(1) << (at & _U(7)).astype(np.uint8))
-        return cls(bits)
+            at, step = _probes(keys[levels >= q], q)
+            for _ in range(PROBES):
+                bits[(at % _U(width)).astype(np.int64)] = True
+                at = at + step
+        return cls(np.packbits(bits, bitorder="little"))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The last level found for each key, by probing until one is missing."""
@@ -133,110 +136,115 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _dealt(parts: int):
-    """Documents -> for each chunk one row that tells its documents, and one for each part and length of n-gram."""
-    names = ["part", "chunk", "kind", "keys", "counts", "ids", "head"]
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """(chunk, its rows, their texts) of rows whose second column is a text.
 
-    def rows(chunk: int, ids: pa.Array, texts: list[bytes], trains: np.ndarray) -> pa.RecordBatch:
-        tokens, sizes = token_keys(texts)
-        firsts = np.cumsum(sizes) - sizes
-        counted = np.repeat(trains, sizes)
-        part, kind, keys, counts = [chunk % parts], [0], [], []
-        for k, bits, grams in ((1, WORD_BITS, tokens), (2, PAIR_BITS, bigram_keys(tokens, firsts))):
-            distinct, place = np.unique(grams, return_inverse=True)
-            n = np.bincount(place[counted], minlength=len(distinct)).astype(np.uint64)
-            if k == 1:
-                keys.append(packed(distinct))
-                counts.append(sizes.tobytes())
-                head = pa.compress(planes(place.astype(np.uint64)), "zstd", asbytes=True)
-            p = part_of(distinct, bits, parts)
-            edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part.append(int(p[a]))
-                kind.append(k)
-                keys.append(packed(distinct[a:b]))
-                counts.append(planes(n[a:b]))
-        n = len(part) - 1
-        listed = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (n + 1)], pa.int32()), ids)
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([chunk] * (n + 1), pa.int64()), pa.array(kind, pa.int8()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), listed, pa.array([head, *[None] * n], pa.binary())], names)
+    The same for every scan of the same rows and every attempt of a task.
+    """
+    from pyspark import TaskContext
+
+    place = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        start, texts, held = 0, [], 0
+        for i, x in enumerate(batch.column(1)):
+            texts.append(x.as_py() or b"")
+            held += len(texts[-1])
+            if held >= CHUNK_BYTES or i == len(batch) - 1:
+                name = xxhash.xxh64(place.to_bytes(8, "little"))
+                for t in texts:
+                    name.update(len(t).to_bytes(8, "little"))
+                    name.update(t)
+                yield name.intdigest() >> 1, batch.slice(start, i + 1 - start), texts
+                place += 1
+                start, texts, held = i + 1, [], 0
+
+
+def _dealt(parts: int):
+    """Documents -> a row for each (part, chunk, length of n-gram)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        # the same for every attempt of a task
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            start, texts, held = 0, [], 0
-            trains = np.array(batch.column(2).to_pylist(), dtype=bool)
-            for i, x in enumerate(batch.column(1)):
-                texts.append(x.as_py() or b"")
-                held += len(texts[-1])
-                if held >= CHUNK_BYTES or i == len(batch) - 1:
-                    yield rows(chunk, batch.column(0)[start : i + 1], texts, trains[start : i + 1])
-                    chunk += 1
-                    start, texts, held = i + 1, [], 0
+        for chunk, rows, texts in _chunks(batches):
+            trains = np.array(rows.column(2).to_pylist(), dtype=bool)
+            tokens, sizes = token_keys(texts)
+            counted = np.repeat(trains, sizes)
+            part, kind, keys, counts = [], [], [], []
+            for k, bits, grams in ((1, WORD_BITS, tokens), (2, PAIR_BITS, bigram_keys(tokens, np.cumsum(sizes) - sizes))):
+                distinct, place = np.unique(grams, return_inverse=True)
+                n = np.bincount(place[counted], minlength=len(distinct)).astype(np.uint64)
+                p = part_of(distinct, bits, parts)
+                edges = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    part.append(int(p[a]))
+                    kind.append(k)
+                    keys.append(packed(distinct[a:b]))
+                    counts.append(planes(n[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([chunk] * len(part), pa.int64()), pa.array(kind, pa.int8()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["part", "chunk", "kind", "keys", "counts"])
 
     return deal
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> a row for each chunk: ids, lengths, and the texts compressed."""
+    for chunk, rows, texts in _chunks(batches):
+        body = b"".join(texts)
+        lengths = np.array([len(body), *map(len, texts)], dtype=np.int64)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), ids, pa.array([lengths.tobytes()], pa.binary()), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary())], ["chunk", "ids", "lengths", "texts"])
+
+
 def _answered(key: tuple, rows: pa.Table) -> pa.Table:
     """A part's n-grams -> for each chunk the levels found, and its words' exact counts."""
     kind = rows.column("kind").to_numpy()
-    asked = rows.filter(pa.array(kind > 0))
-    kind = kind[kind > 0]
-    keys = [unpacked(x.as_py()) for x in asked.column("keys")]
-    counts = [unplanes(x.as_py()).astype(np.int64) for x in asked.column("counts")]
-    exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    keys = [unpacked(x.as_py()) for x in rows.column("keys")]
+    counts = [unplanes(x.as_py()).astype(np.int64) for x in rows.column("counts")]
+    asked: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for k in (1, 2):
-        mine = np.flatnonzero(kind == k)
-        flat, n = (np.concatenate([x[i] for i in mine]) if len(mine) else np.zeros(0, dtype=t) for x, t in ((keys, np.uint64), (counts, np.int64)))
-        flat, n = flat[n > 0], n[n > 0]
-        order = np.argsort(flat)
-        flat, n = flat[order], n[order]
-        first = np.flatnonzero(np.diff(flat, prepend=flat[:1] ^ _U(1)) != 0)
-        exact[k] = flat[first], np.add.reduceat(n, first) if len(first) else n
-    filter_ = LogFrequencyFilter.of(*map(np.concatenate, zip(*exact.values(), strict=True)))
-    found = [filter_.levels(x).tobytes() for x in keys]
-    words, times = exact[1]
-    known: list[bytes | None] = []
-    for k, x in zip(kind.tolist(), keys, strict=True):
-        if k == 2 or not len(words):
-            known.append(planes(np.zeros(len(x), dtype=np.uint64)) if k == 1 else None)
-            continue
-        at = np.minimum(np.searchsorted(words, x), len(words) - 1)
-        known.append(planes(np.where(words[at] == x, times[at], 0).astype(np.uint64)))
-    heads = rows.filter(pa.compute.equal(rows.column("kind"), 0))
-    n = len(asked)
-    columns = {
-        "chunk": [*asked.column("chunk").to_pylist(), *heads.column("chunk").to_pylist(), None],
-        "part": [key[0].as_py()] * (n + len(heads) + 1),
-        "kind": [*kind.tolist(), *[0] * len(heads), None],
-        "found": [*found, *heads.column("keys").to_pylist(), None],
-        "known": [*known, *heads.column("counts").to_pylist(), None],
-        "head": [*[None] * n, *heads.column("head").to_pylist(), None],
-        "ids": [*[None] * n, *heads.column("ids").to_pylist(), None],
-        "tokens": [*[None] * (n + len(heads)), int(times.sum())],
-        "distinct": [*[None] * (n + len(heads)), len(words)],
-    }
-    kinds = {"chunk": pa.int64(), "part": pa.int32(), "kind": pa.int8(), "ids": rows.schema.field("ids").type, "tokens": pa.int64(), "distinct": pa.int64()}
-    return pa.table({name: pa.array(x, kinds.get(name, pa.binary())) for name, x in columns.items()})
+        mine = np.flatnonzero(kind == k).tolist()
+        flat, n = (np.concatenate([np.zeros(0, dtype=t), *(x[i] for i in mine)]) for x, t in ((keys, np.uint64), (counts, np.int64)))
+        distinct, place = np.unique(flat, return_inverse=True)
+        sums = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(sums, place, n)
+        asked[k] = distinct, place, sums
+    known = [(distinct[sums > 0], sums[sums > 0]) for distinct, _, sums in asked.values()]
+    filter_ = LogFrequencyFilter.of(*map(np.concatenate, zip(*known, strict=True)))
+    found: list[bytes | None] = [None] * len(keys)
+    exact: list[bytes | None] = [None] * len(keys)
+    for k, (distinct, place, sums) in asked.items():
+        levels = filter_.levels(distinct)[place]
+        times = sums[place].astype(np.uint64)
+        at = 0
+        for i in np.flatnonzero(kind == k).tolist():
+            end = at + len(keys[i])
+            found[i] = levels[at:end].tobytes()
+            if k == 1:
+                exact[i] = planes(times[at:end])
+            at = end
+    words = known[0][1]
+    none = pa.nulls(len(keys), pa.int64())
+    out = pa.table({"chunk": rows.column("chunk"), "part": rows.column("part"), "kind": rows.column("kind"), "found": pa.array(found, pa.binary()), "exact": pa.array(exact, pa.binary()), "tokens": none, "distinct": none})
+    total = pa.table({"chunk": pa.nulls(1, pa.int64()), "part": pa.nulls(1, pa.int32()), "kind": pa.nulls(1, pa.int8()), "found": pa.nulls(1, pa.binary()), "exact": pa.nulls(1, pa.binary()), "tokens": pa.array([int(words.sum())]), "distinct": pa.array([len(words)])})
+    return pa.concat_tables([out, total])
 
 
 def _scored(tokens: int, distinct: int):
-    """A chunk's answers -> its documents' scores, for N and V."""
+    """A chunk's texts and its answers -> its documents' scores, for N and V."""
     total = tokens + distinct + 1
 
-    def score(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by([("kind", "ascending"), ("part", "ascending")])
-        kind = rows.column("kind").to_numpy()
-        keys, sizes = unpacked(rows.column("found")[0].as_py()), np.frombuffer(rows.column("known")[0].as_py(), dtype=np.int64)
-        n = int(sizes.sum())
-        place = unplanes(pa.decompress(rows.column("head")[0].as_py(), 8 * n, "zstd", asbytes=True)).astype(np.int64)
-        answers = {k: b"".join(rows.column("found")[i].as_py() for i in np.flatnonzero(kind == k).tolist()) for k in (1, 2)}
-        counts = {k: LEVEL_COUNT[np.frombuffer(x, dtype=np.uint8)] for k, x in answers.items()}
-        exact = np.concatenate([unplanes(rows.column("known")[i].as_py()) for i in np.flatnonzero(kind == 1).tolist()]).astype(np.int64)
+    def score(key: tuple, chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        if len(chunk) != 1 or not len(rows):
+            raise ValueError("the documents have changed between two scans of them")
+        length, *lengths = np.frombuffer(chunk.column("lengths")[0].as_py(), dtype=np.int64).tolist()
+        body = pa.decompress(chunk.column("texts")[0].as_py(), length, "zstd", asbytes=True)
+        ends = np.cumsum(lengths).tolist()
+        grams, sizes = token_keys([body[end - n : end] for n, end in zip(lengths, ends, strict=True)])
         firsts = np.cumsum(sizes) - sizes
-        pair = counts[2][np.unique(bigram_keys(keys[place], firsts), return_inverse=True)[1]]
+        rows = rows.combine_chunks().sort_by("part")
+        kind = rows.column("kind").to_numpy()
+        mine = {k: np.flatnonzero(kind == k).tolist() for k in (1, 2)}
+        counts = {k: LEVEL_COUNT[np.frombuffer(b"".join(rows.column("found")[i].as_py() for i in mine[k]), dtype=np.uint8)] for k in mine}
+        exact = np.concatenate([unplanes(rows.column("exact")[i].as_py()) for i in mine[1]]).astype(np.int64)
+        keys, place = np.unique(grams, return_inverse=True)
+        pair = counts[2][np.unique(bigram_keys(grams, firsts), return_inverse=True)[1]]
         before = np.concatenate([place[:1], place[:-1]])
         # the start stands once before every training text, as often as the end token
         before[firsts] = np.searchsorted(keys, _U(_hashes[_END]))
@@ -244,7 +252,7 @@ def _scored(tokens: int, distinct: int):
         given = np.minimum(1.0, np.divide(pair, context, out=np.zeros_like(pair), where=context > 0))
         p = LAMBDA * given + (1 - LAMBDA) * np.minimum(1.0, (one + 1) / total)
         c = exact[place]
-        ids = rows.column("ids").combine_chunks()[0].values
+        ids = chunk.column("ids").combine_chunks().flatten()
         sums = {"n_known": (c > 0).astype(np.int64), "base_score": np.log10((c + 1) / total), "score": np.log10(p)}
         return pa.table({"id": ids, "n_tokens": sizes, **{name: np.add.reduceat(x, firsts) for name, x in sums.items()}})
 
@@ -254,15 +262,18 @@ def _scored(tokens: int, distinct: int):
 def scored(docs: DataFrame, *, id_col: str, text_col: str, trains: Column) -> tuple[DataFrame, int, int]:
     """(id, n_tokens, n_known, base_score, score) for every row, and N and V of the rows that train."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.coalesce(trains, F.lit(False)).alias("trains"))
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = stored(rows, "lm-documents")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     kind = dict(docs.dtypes)[id_col]
-    dealt = rows.mapInArrow(_dealt(parts), f"part int, chunk long, kind tinyint, keys binary, counts binary, ids array<{kind}>, head binary")
-    shape = f"chunk long, part int, kind tinyint, found binary, known binary, head binary, ids array<{kind}>, tokens long, distinct long"
+    dealt = rows.mapInArrow(_dealt(parts), "part int, chunk long, kind tinyint, keys binary, counts binary")
+    shape = "chunk long, part int, kind tinyint, found binary, exact binary, tokens long, distinct long"
     answers = stored(dealt.groupBy("part").applyInArrow(_answered, shape), "lm-answers")
     tokens, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    own = answers.where("chunk IS NOT NULL").drop("tokens", "distinct")
-    out = own.groupBy("chunk").applyInArrow(_scored(tokens, distinct), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    own = answers.where("chunk IS NOT NULL").select(F.col("chunk").alias("to"), "part", "kind", "found", "exact")
+    chunks = rows.mapInArrow(_texts, f"chunk long, ids array<{kind}>, lengths binary, texts binary")
+    out = chunks.groupBy("chunk").cogroup(own.groupBy("to")).applyInArrow(_scored(tokens, distinct), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out, tokens, distinct
 
 
