@@ -1,12 +1,12 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule compares one ratio of a text with a cutoff. The cutoff is not guessed:
-on a labelled holdout it is moved from lenient to strict, and every step must
-pass an exact binomial test that the rule rejects at most ``alpha / rules`` of
-the good documents of a stratum. The sequence stops at the first step that
-fails (fixed-sequence testing), and ``delta`` is divided by rules x strata
-(Bonferroni). With probability ``1 - delta`` no stratum loses more than
-``alpha`` of its good documents to the rules.
+Each rule compares one ratio of a text with a cutoff. The cutoffs are not guessed: the
+rules share one path of levels from lenient to strict, fixed in advance, and on a
+labelled holdout every level must pass an exact binomial test that all rules together
+reject at most ``alpha`` of the good documents of a stratum. The sequence stops at the
+first level that fails (fixed-sequence testing, so no error is spent on its length), and
+``delta`` is divided by the number of strata (Bonferroni). With probability
+``1 - delta`` no stratum loses more than ``alpha`` of its good documents to the rules.
 
 The test is Clopper and Pearson's: k rejected of n good documents certify a rate
 of at most a if P(Bin(n, a) <= k) is at most the error allowed.
@@ -22,7 +22,10 @@ read nor changed.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ _UPPER = bytes(range(65, 91))
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects if ``1000 * count > cutoff * base``; cutoffs from lenient to strict."""
+    """Rejects if ``1000 * count > cutoff * base``; a cutoff for each level, from lenient to strict."""
 
     name: str
     count: str
@@ -51,13 +54,13 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols", "n_words", (2000, 1500, 1000, 800, 600, 500, 400, 300, 200, 150, 100, 75, 50, 25, 10)),
-    Rule("dup_lines", "n_dup_lines", "n_lines", (900, 800, 700, 600, 500, 400, 300, 200, 150, 100, 50)),
-    Rule("repeats", "n_repeat_words", "n_words", (450, 400, 350, 300, 250, 200, 150, 100, 50)),
+    Rule("symbols", "n_symbols", "n_words", (2000, 1500, 1000, 800, 600, 500, 400, 300, 200, 100, 50, 20)),
+    Rule("dup_lines", "n_dup_lines", "n_lines", (900, 850, 800, 750, 700, 650, 600, 550, 500, 450, 400, 350)),
+    Rule("repeats", "n_repeat_words", "n_words", (490, 480, 470, 460, 450, 440, 420, 400, 380, 360, 330, 300)),
     Rule("capitals", "n_upper", "word_chars", (900, 800, 700, 600, 500, 400, 350, 300, 250, 200, 150, 100)),
-    Rule("long_words", "word_chars", "n_words", (60000, 40000, 30000, 20000, 15000, 12000, 10000, 9000, 8000, 7000)),
+    Rule("long_words", "word_chars", "n_words", (60000, 40000, 30000, 20000, 15000, 12000, 11000, 10000, 9000, 8000, 7500, 7000)),
 )
-ALPHA = 0.05
+ALPHA = 0.025
 DELTA = 0.05
 
 
@@ -118,48 +121,57 @@ def _exceeds(f: str, rule: Rule, cutoff: Column) -> Column:
     return 1000 * F.col(f"{f}.{rule.count}") > cutoff * F.col(f"{f}.{rule.base}")
 
 
+def _rejected(f: str, rules: tuple[Rule, ...], cutoff: Callable[[Rule], Column]) -> Column:
+    """Whether any rule rejects; a cutoff that is null rejects nothing."""
+    return reduce(or_, (F.coalesce(_exceeds(f, r, cutoff(r)), F.lit(False)) for r in rules))
+
+
 def certified(n: int, k: int, alpha: float, error: float) -> bool:
     """Whether k rejections among n bound the rate by alpha, with that error."""
-    if n == 0:
+    if n == 0 or k >= n:
         return False
-    logs = [
-        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log1p(-alpha)
-        for i in range(k + 1)
-    ]
-    top = max(logs)
-    return top + math.log(sum(math.exp(x - top) for x in logs)) <= math.log(error)
+
+    def tail(i: int, step: int) -> float:
+        """The terms from i on; they fall away from the mean, and are summed until they no longer count."""
+        term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log1p(-alpha))
+        total = 0.0
+        while 0 <= i <= n and term > 1e-18 * total:
+            total += term
+            term *= i * (1 - alpha) / ((n - i + 1) * alpha) if step < 0 else (n - i) * alpha / ((i + 1) * (1 - alpha))
+            i += step
+        return total
+
+    return (tail(k, -1) if k < n * alpha else 1 - tail(k + 1, 1)) <= error
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, *, f: str, id_col: str, stratum_col: str, rules: tuple[Rule, ...] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row a stratum: ``stratum``, ``n_good`` and each rule's certified cutoff (null: none).
+    """One row a stratum: ``stratum``, ``n_good``, ``level`` and each rule's certified cutoff (null: none).
 
     ``measured`` has the struct ``f``; ``labels`` has the id and ``quality`` (1: good).
     The holdout is summed to one row a stratum before anything moves to one place.
     """
+    levels = len(rules[0].cutoffs)
     good = labels.groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__q")).where("__q = 1").select("__id")
     narrow = measured.select(F.col(id_col).alias("__id"), F.col(stratum_col).alias("stratum"), F.col(f).alias("__f"))
     held = narrow.join(good, "__id").where(~base_failed("__f"))
-    counts = [F.count_if(_exceeds("__f", r, F.lit(c))).alias(f"{r.name}_{c}") for r in rules for c in r.cutoffs]
+    counts = [F.count_if(_rejected("__f", rules, lambda r, i=i: F.lit(r.cutoffs[i]))).alias(f"level_{i}") for i in range(levels)]
     table = stored(held.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts), "quality-holdout")
-    tests = max(1, table.count()) * len(rules)
+    strata = max(1, table.count())
 
     def choose(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            out = {"stratum": [r["stratum"] for r in rows], "n_good": [r["n_good"] for r in rows]}
-            for rule in rules:
-                chosen = []
-                for r in rows:
-                    best = None
-                    for c in rule.cutoffs:
-                        if not certified(r["n_good"], r[f"{rule.name}_{c}"], alpha / len(rules), delta / tests):
-                            break
-                        best = c
-                    chosen.append(best)
-                out[rule.name] = chosen
+            passed = []
+            for r in rows:
+                i = 0
+                while i < levels and certified(r["n_good"], r[f"level_{i}"], alpha, delta / strata):
+                    i += 1
+                passed.append(i)
+            out = {"stratum": [r["stratum"] for r in rows], "n_good": [r["n_good"] for r in rows], "level": passed}
+            out |= {rule.name: [rule.cutoffs[i - 1] if i else None for i in passed] for rule in rules}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k == "stratum" else pa.int64()) for k, v in out.items()})
 
-    shape = T.StructType([T.StructField("stratum", T.StringType()), T.StructField("n_good", T.LongType()), *(T.StructField(r.name, T.LongType()) for r in rules)])
+    shape = T.StructType([T.StructField("stratum", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("n_good", "level", *(r.name for r in rules)))])
     return stored(table.withColumn("stratum", F.col("stratum").cast("string")).mapInArrow(choose, shape), "quality-cutoffs")
 
 
@@ -173,9 +185,7 @@ def judged(measured: DataFrame, cutoffs: DataFrame, *, f: str, stratum_col: str,
     if len(table.take(BROADCAST_STRATA + 1)) <= BROADCAST_STRATA:
         table = F.broadcast(table)
     both = measured.join(table, F.col(stratum_col).cast("string").eqNullSafe(F.col("__stratum")), "left")
-    hit = F.lit(False)
-    for r in rules:
-        hit = hit | F.coalesce(_exceeds(f, r, F.col(f"__cut_{r.name}")), F.lit(False))
+    hit = _rejected(f, rules, lambda r: F.col(f"__cut_{r.name}"))
     return both.withColumn("__base_failed", base_failed(f)).withColumn("__kept", ~F.col("__base_failed") & ~hit).drop("__stratum", *(f"__cut_{r.name}" for r in rules))
 
 
@@ -188,8 +198,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    grid = ", ".join(f"('{r.name}', {i}, {c})" for r in RULES for i, c in enumerate(r.cutoffs))
-    sides = " ".join(f"WHEN '{r.name}' THEN 1000 * {r.count} > cutoff * {r.base}" for r in RULES)
+    grid = ", ".join(str((i, *(r.cutoffs[i] for r in RULES))) for i in range(len(RULES[0].cutoffs)))
+    names = ", ".join(f"c_{r.name}" for r in RULES)
+    rejected = " OR ".join(f"1000 * {r.count} > c_{r.name} * {r.base}" for r in RULES)
     return rf"""
 WITH words AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
@@ -219,24 +230,23 @@ WITH words AS (
   FROM documents d LEFT JOIN sized USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
-), grid(rule, step, cutoff) AS (VALUES {grid}),
+), grid(level, {names}) AS (VALUES {grid}),
 held AS (
   SELECT b.* FROM b JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed
 ), counted AS (
-  SELECT lang, rule, step, cutoff, count(*) AS n, count(*) FILTER (CASE rule {sides} END) AS k
-  FROM held, grid GROUP BY ALL
-), tests AS (SELECT {len(RULES)} * count(DISTINCT coalesce(lang, '?')) AS m FROM held),
+  SELECT lang, level, count(*) AS n, count(*) FILTER ({rejected}) AS k FROM held, grid GROUP BY ALL
+), tests AS (SELECT count(DISTINCT coalesce(lang, '?')) AS m FROM held),
 tested AS (
-  SELECT lang, rule, step, cutoff, (
-    SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({ALPHA / len(RULES)}) + (n - i) * ln(1 - {ALPHA / len(RULES)})))
+  SELECT lang, level, (
+    SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))
     FROM (SELECT unnest(range(0, k + 1)) AS i)) <= {DELTA} / m AS passed
   FROM counted, tests
 ), chosen AS (
-  SELECT t.lang, t.rule, max_by(t.cutoff, t.step) AS cutoff FROM tested t
-  WHERE NOT EXISTS (SELECT 1 FROM tested u WHERE u.lang IS NOT DISTINCT FROM t.lang AND u.rule = t.rule AND u.step <= t.step AND NOT u.passed)
-  GROUP BY t.lang, t.rule
+  SELECT lang, max(level) AS level FROM tested t
+  WHERE NOT EXISTS (SELECT 1 FROM tested u WHERE u.lang IS NOT DISTINCT FROM t.lang AND u.level <= t.level AND NOT u.passed)
+  GROUP BY lang
 ), hit AS (
-  SELECT DISTINCT doc_id FROM b JOIN chosen ON b.lang IS NOT DISTINCT FROM chosen.lang WHERE CASE rule {sides} END
+  SELECT DISTINCT doc_id FROM b JOIN chosen ON b.lang IS NOT DISTINCT FROM chosen.lang JOIN grid USING (level) WHERE {rejected}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM hit) AS kept

@@ -87,15 +87,45 @@ def test_quality_on_odd_rows(spark, odd, none, tmp_path_factory):
 def test_cutoffs_limit_false_rejection(spark):
     """Where good documents shout as often as bad ones, no cutoff is certified."""
     text = "\n".join(" ".join(f"word{i}{j}" for i in range(12)) for j in range(6))
-    rows = [(i, text if i % 5 else "*** " * 30 + text, "en" if i < 3000 else "xx") for i in range(3200)]
+    rows = [(i, text if i % 5 else "*** " * 30 + text, "en" if i < 3000 else "xx") for i in range(3100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("f", quality_rules.features(F.col("text")))
-    clean = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(3200)], "doc_id long, quality int")
+    clean = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(3100)], "doc_id long, quality int")
     noisy = clean.withColumn("quality", F.lit(1))
     got = {r.stratum: r.symbols for r in quality_rules.thresholds(docs, clean, f="f", id_col="doc_id", stratum_col="lang").collect()}
     assert got["en"] is not None and got["xx"] is None
     assert quality_rules.thresholds(docs, noisy, f="f", id_col="doc_id", stratum_col="lang").where("stratum = 'en'").first().symbols >= 1000
 
 
+def test_all_strata_certify_as_the_sql_does(spark, tmp_path_factory):
+    """Strata that certify all, some and no levels: kept equals the SQL's, and the rules reject."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows, labels, no = [], [], 0
+    for lang, n, noisy in (("aa", 400, 0.0), ("bb", 500, 0.01), ("cc", 400, 0.2), ("dd", 60, 0.0), (None, 300, 0.0)):
+        for i in range(n + 80):
+            w = [f"{lang or 'ee'}{rng.integers(0, 500)}" for _ in range(80)]
+            if i >= n or rng.random() < noisy:
+                w[:30] = ["$$$"] * 30
+            rows.append((no, "\n".join(" ".join(w[j : j + 8]) for j in range(0, 80, 8)), lang))
+            labels.append((no, int(i < n)))
+            no += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rated = spark.createDataFrame(labels, "doc_id long, quality int")
+    path = saved(spark, tmp_path_factory, documents=docs, labels=rated)
+    got = {r.doc_id: r.kept for r in quality_rules.op1_quality_rules(spark, path).collect()}
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+    want = dict(con.execute(f"SELECT doc_id, kept FROM ({quality_rules.ORACLE})").fetchall())
+    assert got == want
+    junk = {i for i, (_, text, lang) in enumerate(rows) if "$$$" in text and lang in ("aa", "bb", None)}
+    assert len(junk) > 200 and not any(got[i] for i in junk)
+    measured = docs.withColumn("f", quality_rules.features(F.col("text")))
+    level = {r.stratum: r.level for r in quality_rules.thresholds(measured, rated, f="f", id_col="doc_id", stratum_col="lang").collect()}
+    assert level["aa"] == level[None] == 12 and level["dd"] == 0 and 0 < level["cc"] < 12
+
+
 # -- 2
 
 
