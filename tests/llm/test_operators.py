@@ -269,11 +269,58 @@ def test_license_scan(spark, odd, none, small, tmp_path_factory):
 
 
 def test_notice_needs_its_mandatory_phrase():
-    index = licenses.Index(10, {})
+    index = licenses.Index(10, {}, [])
     assert "apache-2.0" in index.scan(b"Licensed under the Apache License, Version 2.0")[5]
     assert "apache-2.0" not in index.scan(b"Licensed under the Apache License, Version 2.1")[5]
 
 
+def brute_labels(index, text):
+    """Every template at every start, without postings."""
+    w = licenses.words_of(text)
+    labels, score, segments = set(), 0.0, collections.defaultdict(set)
+    for no, t in enumerate(index.templates):
+        for s in range(1 - len(t.words), len(w)):
+            share = index.share(no, w, s)
+            inside = w[max(s, 0) : s + len(t.words)]
+            stands = all(any(tuple(inside[i : i + len(p)]) == p for i in range(len(inside))) for p in t.phrases)
+            if t.kind == "segment" and share >= licenses.SCORE:
+                segments[t.label].add(no)
+            elif t.kind == "base" and share == 1 and stands or t.kind == "notice" and share >= licenses.SCORE and stands:
+                labels.add(t.label)
+                score = max(score, min(1.0, share))
+    for label, found in segments.items():
+        share, title = len(found) / index.segments[label], index.titles[label]
+        if share >= licenses.TEXT_SHARE and any(tuple(w[i : i + len(title)]) == title for i in range(len(w))):
+            labels.add(label)
+            score = max(score, share)
+    return ",".join(sorted(labels)), pytest.approx(score)
+
+
+def test_licence_labels_by_brute_force(small):
+    rng = np.random.default_rng(6)
+    texts = [(f"own-{k}", (" ".join(f"title{k} of own licence" if k < 2 else f"l{rng.integers(0, 90)}" for _ in range(1)) + " " + " ".join(f"l{rng.integers(0, 90)}" for _ in range(200))).encode()) for k in range(3)]
+    vocabulary = {w for _, t in texts for w in licenses.words_of(t)}
+    index = licenses.Index(500, {w: int(rng.integers(0, 400)) for w in vocabulary}, texts)
+    docs = [(t or "").encode() for t in list(small.values())[:40]]
+    for _, t in texts:
+        w = t.decode().split()
+        for share in (0.0, 0.1, 0.3, 0.6):
+            edited = [x if rng.random() > share else "zz" for x in w]
+            docs += [" ".join(edited).encode(), " ".join(["start"] * 3 + edited[: len(w) // 2]).encode(), " ".join(edited[4:]).encode()]
+    docs += [" ".join(x if rng.random() > 0.15 else "zz" for x in n[1].split()).encode() for n in licenses.NOTICES for _ in range(3)]
+    for d in docs:
+        assert index.scan(d)[5:] == brute_labels(index, d)
+    assert {"own-0", "own-1"} <= set(",".join(index.scan(t)[5] for _, t in texts).split(","))
+
+
+def test_licence_texts_of_the_system_are_found():
+    texts = licenses.license_texts()
+    index = licenses.Index(100, {}, texts)
+    for name, text in texts:
+        assert name in index.scan(b"Some preface. " + text.replace(b"\n", b" ") + b" and more")[5].split(",")
+    assert licenses.license_texts("/nowhere") == [] and licenses.license_texts(None) == []
+
+
 # -- 4
 
 
