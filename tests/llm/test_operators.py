@@ -674,6 +674,38 @@ def test_ordinal_classifier(spark, odd, none, tmp_path_factory):
         assert ordinal.op9_quality_classifier(spark, saved(spark, tmp_path_factory, documents=d, labels=l)).count() == d.count()
 
 
+def test_grades_by_brute_force(spark, small):
+    """Scores are the model's weights summed over a text's features, worked out word by word."""
+    import xxhash
+
+    rng = np.random.default_rng(12)
+    model = ordinal.OrdinalModel(rng.normal(0, 0.02, ordinal.BUCKETS), np.array([-0.4, 0.9]), 0.31)
+    rows = list(small.items())[:60] + [(10_001, None), (10_002, ""), (10_003, LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.r for r in docs.select("doc_id", ordinal.graded(F.col("text"), model).alias("r")).collect()}
+    for i, text in rows:
+        raw = (text or "").encode().split()
+        plain = set(re.sub("[^a-z\u0080-\U0010ffff]+", " ", (text or "").translate({c: c + 32 for c in range(65, 91)})).encode().split())
+        features = plain | {w[:k] + b"\n" for w in plain for k in (4, 5, 6, 7, 8) if len(w) > k} | set(ordinal._shape((text or "").encode(), raw, set(raw)))
+        f = sum(model.weights[b] for b in {xxhash.xxh64_intdigest(x) % ordinal.BUCKETS for x in features})
+        tails = [1 / (1 + math.exp(t - f)) for t in model.thresholds]
+        assert got[i].tail == pytest.approx(tails[-1]) and got[i].expected_grade == pytest.approx(sum(tails)) and got[i].kept == (got[i].tail >= 0.31)
+
+
+def test_cutoff_covers_all_labelled_documents(spark):
+    """The cutoff is the quantile of every clean document outside of the fit."""
+    rng = np.random.default_rng(13)
+    rows = [(i, " ".join(["good" if i % 2 else "bad", *(f"w{x}" for x in rng.integers(0, 60, 20))])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    model = ordinal.train(docs, labels, id_col="doc_id", text_col="text", fit_rows=200)
+    tails = {r.doc_id: r.r.tail for r in docs.select("doc_id", ordinal.graded(F.col("text"), model).alias("r")).collect()}
+    order = [r.id for r in ordinal.rated_grades(labels, "doc_id").orderBy("place", "id").collect()]
+    fitted = {i for n, i in enumerate(order[:200]) if n % 5 != 4}
+    clean = sorted(tails[i] for i in range(1, 900, 2) if i not in fitted)
+    assert model.cutoff == min(0.5, clean[math.ceil(ordinal.LOST_CLEAN * len(clean)) - 1])
+
+
 # -- 10
 
 
