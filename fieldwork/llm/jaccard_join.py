@@ -526,7 +526,6 @@ def one_of_each(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     not shuffled for it.
     """
     rows = stored(joined(docs, id_col=id_col, text_col=text_col).where("n_shingles > 0"), "jaccard-rows")
-    body = F.xxhash64(F.col(text_col).cast("binary"))
     each = rows.groupBy("component", "id", "body").agg(F.count("*").alias("copies"))
     first = each.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("first"))
     marked = each.join(first, "component").select("id", "body", "copies", (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.body") == F.col("body"))).alias("stays"))
@@ -534,14 +533,16 @@ def one_of_each(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     repeated = marked.where("stays")
 
     def held(side: DataFrame) -> DataFrame:
-        side = side.select(F.col("id").alias("__id"), F.col("body").alias("__body"))
+        side = side.select("id", "body")
         return F.broadcast(side) if len(side.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else side
 
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (body == F.col("__body"))
-    out = docs.join(held(marked), same, "left_anti")
+    # a row goes along as a whole, so its columns' names can't clash
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("of"), F.xxhash64(F.col(text_col).cast("binary")).alias("of_body"))
+    same = F.col("of").eqNullSafe(F.col("id")) & (F.col("of_body") == F.col("body"))
+    out = whole.join(held(marked), same, "left_anti").select("row.*")
     if repeated.isEmpty():
         return out
-    more = docs.join(held(repeated), same, "left_semi").withColumn("__body", body).dropDuplicates([id_col, "__body"]).drop("__body")
+    more = whole.join(held(repeated), same, "left_semi").dropDuplicates(["of", "of_body"]).select("row.*")
     return out.unionByName(more)
 
 
