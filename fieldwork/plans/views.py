@@ -8,9 +8,11 @@ from fieldwork.functions import classify as L
 from fieldwork.functions import text as X
 from fieldwork.operators import browse as B
 from fieldwork.operators import confront as K
+from fieldwork.operators import metadata as M
 from fieldwork.operators import tables as T
+from fieldwork.operators import validation as R
 from fieldwork.operators import views as V
-from fieldwork.plans.catalogue import CORPUS_NAMESPACE, _uuid5, query, table
+from fieldwork.plans.catalogue import CORPUS_NAMESPACE, ORDER_FORM, RULES, _uuid5, query, table
 
 # -- responses, sessions, audit
 
@@ -538,3 +540,32 @@ def page_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
     items = li.select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 7.0).alias("x"), F.floor(F.col("l_quantity") / 3).cast("double").alias("y"), (F.col("l_discount") * 60).cast("double").alias("w"), F.col("l_returnflag").alias("t"))
     return V.rows_of_items(items, page=["page"], x="x", y="y", width="w", text="t")
+
+
+# -- a whole run
+
+_RUN = """WITH o AS (SELECT * FROM orders), r AS (SELECT l_orderkey, l_extendedprice AS price FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_extendedprice DESC) = 1),
+m AS (SELECT median(o_totalprice) AS centre FROM o), s AS (SELECT median(abs(o_totalprice - centre)) AS mad FROM o, m),
+f AS (SELECT 'metadata' AS check_kind, 'fatal' AS severity, o_orderkey, CAST(NULL AS DOUBLE) AS observed FROM o WHERE o_totalprice > 400000
+UNION ALL SELECT 'metadata', 'query', o_orderkey, NULL FROM o WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT 'edit', 'fatal', o_orderkey, NULL FROM o WHERE o_totalprice <= 250000 AND o_orderstatus = 'P' UNION ALL SELECT 'edit', 'query', o_orderkey, NULL FROM o WHERE o_totalprice > 250000 AND o_orderstatus = 'O'
+UNION ALL SELECT 'edit', 'fatal', o_orderkey, NULL FROM o WHERE o_totalprice / 1.1 < 1000
+UNION ALL SELECT 'rule', 'fatal', o_orderkey, NULL FROM o WHERE o_totalprice > 300000 AND o_orderstatus IS DISTINCT FROM 'F' UNION ALL SELECT 'rule', 'query', o_orderkey, NULL FROM o WHERE contains(o_orderpriority, 'URGENT') AND o_totalprice * 2 < 100000
+UNION ALL SELECT 'rule', 'query', o_orderkey, NULL FROM o WHERE o_orderstatus = 'P' OR coalesce(o_orderpriority, '') = ''
+UNION ALL SELECT 'statistical', 'query', o_orderkey, o_totalprice FROM o, m, s WHERE mad > 0 AND abs(0.6745 * (o_totalprice - centre) / mad) > 1.2
+UNION ALL SELECT 'confrontation', 'query', o_orderkey, NULL FROM o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM r)
+UNION ALL SELECT 'confrontation', 'query', o_orderkey, o_totalprice FROM o JOIN r ON o_orderkey = l_orderkey WHERE abs(o_totalprice - price) / abs(price) * 100 > 50),
+g AS (SELECT * FROM f WHERE NOT (check_kind = 'statistical' AND o_orderkey % 5 = 0)),
+k AS (SELECT unnest(['metadata', 'edit', 'rule', 'statistical', 'confrontation']) AS check_kind)
+SELECT check_kind, count(*) FILTER (severity = 'fatal') AS fatal, count(*) FILTER (severity = 'query') AS query, count(severity) AS total FROM k LEFT JOIN g USING (check_kind) GROUP BY 1"""
+
+
+@query(_RUN)
+def validation_run(spark, sf_dir):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice").withColumn("place", F.struct("l_linenumber", "l_extendedprice"))
+    fields = (M.Field("o_totalprice", "numeric", high=400000), M.Field("o_orderstatus", "lookup", codes=("F", "O")))
+    lines = R.Confrontation("lines", li, "o_orderkey", "l_orderkey", "place", {"o_totalprice": "l_extendedprice"}, pct=50.0)
+    run = R.Run("o_orderkey", "o_custkey", fields, ORDER_FORM, RULES, ("o_totalprice",), (lines,), threshold=1.2)
+    accepted = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("response_id"), F.lit("mad:o_totalprice").alias("check_id"), F.lit("o_totalprice").alias("variable_name"), F.col("o_totalprice").cast("double").alias("observed"))
+    return R.validate(o, run, accepted)["summary"]
