@@ -43,12 +43,11 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwork.llm.bpe import chunks, trim
+from fieldwork.llm.bpe import chunks, finder, trim
 from fieldwork.llm.common import mix64, read, scratch_path
 
 END_ID = 0
@@ -88,7 +87,7 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.find = regex.compile(pattern).findall if pattern else None
+        self.find = finder(pattern) if pattern else None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
 

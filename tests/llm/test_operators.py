@@ -466,6 +466,19 @@ def test_lm_levels_come_back_in_place(spark):
 # -- 6
 
 
+def test_ascii_texts_are_cut_alike():
+    import public_tokenizers
+    import regex
+
+    assert bpe.PUBLIC_PATTERN == public_tokenizers.PATTERN
+    rng = np.random.default_rng(14)
+    whole, quick = regex.compile(public_tokenizers.PATTERN).findall, bpe.finder(public_tokenizers.PATTERN)
+    for letters in ("".join(map(chr, range(128))), "ab '\n\t s", "'stremvld 1a", " \n\r\x0b\x0c\x1c\x1f.x"):
+        for _ in range(300):
+            t = "".join(rng.choice(list(letters), rng.integers(0, 40)))
+            assert quick(t) == whole(t)
+
+
 def long_words():
     """Words without a break: each is one piece of thousands of bytes."""
     rng = np.random.default_rng(11)
