@@ -327,6 +327,28 @@ def decoded(ids: Column, *, ranks_path: str, pattern: str, chunk_bytes: int = CH
     return decode(ids)
 
 
+def round_trip(docs: DataFrame, *columns: str, text_col: str, ranks_path: str, pattern: str, memo_pieces: int = MEMO_PIECES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``columns`` of ``docs`` with ``ids``, as ``encoded`` has them, and ``back``, the bytes decoded from them.
+
+    Rows leave a worker chunk by chunk, so it never holds more than a chunk's results.
+    """
+    rows = docs.select(*columns, F.col(text_col).cast("binary").alias("ids"))
+    shape = T.StructType([*rows.schema.fields, T.StructField("back", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(ranks_path, pattern)
+        for batch in batches:
+            start = 0
+            for texts in chunks(batch.column(len(columns)), chunk_bytes):
+                ids = codec.encode(texts, memo_pieces)
+                back = codec.decode(ids)
+                kept = batch.slice(start, len(texts)).columns[:-1]
+                start += len(texts)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], shape.names)
+
+    return rows.mapInArrow(run, shape)
+
+
 def public_vocabulary() -> dict[str, str]:
     import public_tokenizers
 
@@ -334,7 +356,5 @@ def public_vocabulary() -> dict[str, str]:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = public_vocabulary()
-    ids = read(spark, sf_dir, "documents").select("doc_id", encoded(F.col("text"), **v).alias("ids"))
-    both = ids.withColumn("back", decoded(F.col("ids"), **v))
+    both = round_trip(read(spark, sf_dir, "documents"), "doc_id", text_col="text", **public_vocabulary())
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
