@@ -55,7 +55,7 @@ WORDS = 5
 #: The threshold as a fraction.
 NUM, DEN = 80, 100
 #: Bytes and documents of a chunk; text behind a part, and the least number of parts.
-CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 1 << 12
+CHUNK_BYTES, CHUNK_DOCS = 2 << 20, 1 << 12
 PART_BYTES, LEAST_PARTS = 8 << 20, 64
 KEY_BITS, OWNER_BITS = 52, 12
 SUFFIX_DEPTH = 3
