@@ -63,10 +63,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    v = bpe.public_vocabulary()
     # the executors hold what the stages before have left, so the workers get by with less memory here
-    ids = docs.select("doc_id", "source", bpe.encoded(F.col("text"), **v, memo_pieces=200_000, chunk_bytes=1_000_000).alias("ids"))
-    both = ids.withColumn("back", bpe.decoded(F.col("ids"), **v, chunk_bytes=1_000_000))
+    both = bpe.round_trip(docs, "doc_id", "source", text_col="text", **bpe.public_vocabulary(), memo_pieces=100_000, chunk_bytes=500_000)
     return both.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("back", 256).alias("decoded_sha256"))
 
 
