@@ -37,6 +37,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -53,11 +54,14 @@ from fieldwork.llm.common import mix64, read, scratch_path
 END_ID = 0
 _MAGIC = b"FWIDS001"
 _FOOTER = struct.Struct("<8sQQQQ")
-_BUCKET_KEYS = 4
+#: Keys to a bucket of the hash: with two, an eighth of the slots is left for buckets of one key, so few displacements are tried.
+_BUCKET_KEYS = 2
 MANIFEST = "manifest.json"
 #: Shards that a reader keeps open.
 OPEN_SHARDS = 64
 _WINDOW = 8 << 20
+#: Bytes of text that are encoded together.
+CHUNK_BYTES = 2_000_000
 #: Text behind a shard.
 SHARD_BYTES = 32 << 20
 #: Pieces that a worker remembers; beyond, the older half is forgotten.
@@ -93,7 +97,9 @@ class LibraryEncoder:
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in got]
+        kind = "H" if self.kind == "<u2" else "I"
+        # packed as the machine does; shards are written on little-endian ones
+        return [array(kind, x.ids).tobytes() for x in got]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as packed little-endian integers."""
@@ -329,7 +335,7 @@ def write_shards(docs: DataFrame, folder: str, *, id_col: str, text_col: str, to
         writer = None
         for batch in batches:
             keys = iter(batch.column(0).to_pylist())
-            for texts in chunks(batch.column(1)):
+            for texts in chunks(batch.column(1), CHUNK_BYTES):
                 writer = writer or ShardWriter(folder, len(end))
                 for ids in encoder.encode(texts):
                     writer.add(next(keys), ids + end)
