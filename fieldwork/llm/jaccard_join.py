@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,7 +158,7 @@ def _dealt(parts: int):
 
 def _shared(key: tuple, rows: pa.Table) -> pa.Table:
     """A part's shingles -> for each chunk, those that more than one document holds, with their rarity."""
-    dealt = rows.filter(pa.compute.is_valid(rows.column("keys")))
+    dealt = rows.filter(pc.is_valid(rows.column("keys")))
     entries = [unpacked(x.as_py()) for x in dealt.column("keys")]
     found, levels = [], []
     if entries:
@@ -174,15 +175,15 @@ def _shared(key: tuple, rows: pa.Table) -> pa.Table:
             found.append(packed(x[hit]))
             levels.append(level[at[hit]].tobytes())
     out = pa.table({"chunk": dealt.column("chunk"), "keys": pa.array(found, pa.binary()), "levels": pa.array(levels, pa.binary())})
-    heads = rows.filter(pa.compute.is_valid(rows.column("heads"))).select(["chunk", "ids", "heads"])
+    heads = rows.filter(pc.is_valid(rows.column("heads"))).select(["chunk", "ids", "heads"])
     return pa.concat_tables([out.append_column("ids", pa.nulls(len(out), rows.schema.field("ids").type)).append_column("heads", pa.nulls(len(out), pa.binary())), heads.append_column("keys", pa.nulls(len(heads), pa.binary())).append_column("levels", pa.nulls(len(heads), pa.binary())).select(["chunk", "keys", "levels", "ids", "heads"])])
 
 
 def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
     """A chunk's answers -> its documents, with the shared shingles of those that may link."""
-    head = rows.filter(pa.compute.is_valid(rows.column("heads")))
+    head = rows.filter(pc.is_valid(rows.column("heads")))
     body, n, cls, check = np.frombuffer(head.column("heads")[0].as_py(), dtype="<i8").reshape(4, -1)
-    answers = rows.filter(pa.compute.is_valid(rows.column("keys")))
+    answers = rows.filter(pc.is_valid(rows.column("keys")))
     entries = np.concatenate([np.zeros(0, dtype=np.uint64), *(unpacked(x.as_py()) for x in answers.column("keys"))])
     levels = np.concatenate([np.zeros(0, dtype=np.uint8), *(np.frombuffer(x.as_py(), dtype=np.uint8) for x in answers.column("levels"))])
     ordered = levels.astype(np.uint64) << _U(KEY_BITS) | entries >> _U(OWNER_BITS)

@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -742,3 +745,16 @@ def test_nearest(spark, tmp_path_factory):
     assert {(r.query_id, r.vec_id) for r in got if r.query_id in (750, 800)} == {(750, 800), (800, 750)}
     assert not {600, 650, 700} & {r.query_id for r in got}
     assert neighbours.op10_nearest(spark, saved(spark, tmp_path_factory, embeddings=df.limit(0))).count() == 0
+
+
+def test_workers_need_no_earlier_arrow_code():
+    """A worker that has run nothing else yet: the functions of a group, in a new interpreter."""
+    code = """
+import pyarrow as pa
+from fieldwork.llm import jaccard_join as j
+entries, sizes, names = j.shingled([b"a b c d e f g", b"a b c d e f h"])
+heads = j.np.array([[1, 2], sizes, *zip(*names, strict=True)], dtype="<i8").tobytes()
+rows = pa.table({"chunk": pa.array([0, 0]), "keys": pa.array([None, j.packed(entries)], pa.binary()), "ids": pa.array([[1, 2]] * 2, pa.list_(pa.int64())), "heads": pa.array([heads, None], pa.binary())})
+assert j._gathered((0,), j._shared((0,), rows)).num_rows == 2
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), timeout=120)
