@@ -26,27 +26,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwork.llm import bpe, jaccard_join, mixing, quality_rules, surrogates
-from fieldwork.llm.common import drop_stored, read, stored
+from fieldwork.llm.common import read, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: Tables of a stage that its written result has made needless; the next stage deletes them.
-_SPENT: set[str] = set()
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # a row goes along as a whole, so its columns' names can't clash; the counts are made once
-    whole = F.struct(*(docs[c] for c in docs.columns)).alias("row")
-    measured = stored(docs.select(whole, "doc_id", "lang", quality_rules.features(F.col("text")).alias("f")), "pipeline-measured")
-    _SPENT.update(path.rsplit("/", 1)[0] for path in measured.inputFiles())
+    # the cutoffs need the counts alone; the rows are counted again as they are judged, and go along
+    # as a whole, so that their columns' names can't clash
+    counts = quality_rules.features(F.col("text")).alias("f")
+    measured = stored(docs.select("doc_id", "lang", counts), "pipeline-measured")
     cutoffs = quality_rules.thresholds(measured, read(spark, sf_dir, "labels"), f="f", id_col="doc_id", stratum_col="lang")
-    return quality_rules.judged(measured, cutoffs, f="f", stratum_col="lang").where("__kept").select("row.*")
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    return quality_rules.judged(docs.select(whole, "lang", counts), cutoffs, f="f", stratum_col="lang").where("__kept").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    while _SPENT:
-        drop_stored(spark, _SPENT.pop())
     return jaccard_join.one_of_each(docs, id_col="doc_id", text_col="text")
 
 
