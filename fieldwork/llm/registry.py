@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, jaccard_join, language_model, licenses, mixing, neighbours, ordinal, quality_rules, substring_dedup, surrogates, token_shards
+from fieldwork.llm import bpe, jaccard_join, language_model, licenses, mixing, neighbours, ordinal, quality_rules, substring_dedup, surrogates, token_alignment, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_classifier": ordinal.op9_quality_classifier,
     "op10_nearest": neighbours.op10_nearest,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_cross_tokenizer": token_alignment.op12_cross_tokenizer,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
