@@ -7,7 +7,8 @@ the number of documents that hold it linked.
 
 The tokens of B are the intervals of a static index: they lie end to end, so their
 sorted ends are the index, and two bisections stab it with an A token and give the B
-tokens that it overlaps. A gap between A tokens that no B token spans is a boundary.
+tokens that it overlaps (for many tokens at once). A gap between A tokens that no B
+token spans is a boundary.
 
 A text is worked on in units, cut before white space that follows something else where
 neither tokenizer can join across; a unit's ids, groups and links are worked out once
@@ -34,9 +35,6 @@ import hashlib
 import itertools
 import os
 import re
-from array import array
-from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -48,7 +46,9 @@ from fieldwork.llm.common import mix64, packed, planes, read, stored, unpacked,
 
 #: Characters and documents of a chunk; characters of a text that are worked on at once.
 CHUNK_CHARS, CHUNK_DOCS, SEGMENT_CHARS = 4 << 20, 20_000, 2 << 20
-MEMO_UNITS = 200_000
+MEMO_UNITS = 300_000
+#: Links of a group up to which they are made one by one, in numpy.
+GROUP_LINKS = 4096
 #: Bytes of text to one part of the pair counts.
 PART_BYTES, LEAST_PARTS = 256 << 20, 12
 _U = np.uint64
@@ -62,26 +62,26 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Index:
-    """Static intervals that lie end to end; ``overlapped`` gives the first and last that [start, end) stabs."""
+    """Static intervals that lie end to end; ``overlapped`` gives the first and last that each [start, end) stabs."""
 
-    def __init__(self, lengths: Iterable[int]) -> None:
-        self.ends = list(itertools.accumulate(lengths))
+    def __init__(self, lengths: np.ndarray) -> None:
+        self.ends = np.cumsum(lengths)
 
-    def overlapped(self, start: int, end: int) -> tuple[int, int]:
-        return bisect_right(self.ends, start), bisect_left(self.ends, end)
+    def overlapped(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.ends, start, side="right"), np.searchsorted(self.ends, end)
 
 
-def grouped(a: list[int], a_lengths: list[int], b: list[int], b_lengths: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The (A ids, B ids) of each group; both sides have the same bytes."""
-    index, out = Index(b_lengths), []
-    start = end = a_from = b_from = 0
-    for i, n in enumerate(a_lengths):
-        start, end = end, end + n
-        _, last = index.overlapped(start, end)
-        if index.ends[last] == end:
-            out.append((a[a_from : i + 1], b[b_from : last + 1]))
-            a_from, b_from = i + 1, last + 1
-    return out
+def cut(a_lengths: np.ndarray, b_lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of A and of B each group has, in order; both sides have the same bytes."""
+    index, end = Index(b_lengths), np.cumsum(a_lengths)
+    _, last = index.overlapped(end - a_lengths, end)
+    at = np.flatnonzero(index.ends[last] == end)
+    return np.diff(at, prepend=-1), np.diff(last[at], prepend=-1)
+
+
+#: (tokens of A, of B, groups, links), the groups' digest, the distinct id pairs and the links of each.
+Aligned = tuple[list[int], str, np.ndarray, np.ndarray]
+NOTHING: Aligned = ([0] * 4, "", np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
 
 
 class Aligner:
@@ -100,10 +100,14 @@ class Aligner:
         added = set(self.a.get_added_tokens_decoder())
         self.a_bytes = [b"" if i in added else bytes(byte[c] for c in self.a.id_to_token(i)) for i in range(n_a)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.a_names = [f"{i}{end}".encode() for i in range(n_a) for end in ",|"]
+        self.b_names = [f"{i}{end}".encode() for i in range(len(pieces)) for end in ",;\n"]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
         # a piece never starts within white space that it also holds further on, so these can't be joined across
         inner = {c for p in pieces for c in p.lstrip("▁")}
         cuts = "".join(c for c in " \n\t" if c not in inner and (c != " " or "▁" not in inner))
+        self.odd = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in cuts]
         self.find = re.compile(f"[{cuts}]*[^{cuts}]+|[{cuts}]+" if cuts else r"(?s:.+)").findall
         self.cut = re.compile(rf"(?<=\S)[{cuts}]") if cuts else None
         self.clear()
@@ -111,8 +115,9 @@ class Aligner:
     def clear(self) -> None:
         self.memo: dict[str, int] = {}
         self.texts: list[bytes] = []
-        self.counts = [array("q") for _ in range(5)]  # tokens of A and of B, groups, links, whether the bytes differ
-        self.pairs, self.links, self.first = array("Q"), array("q"), array("q", [0])
+        #: Tokens of A and of B, groups, links, whether the bytes differ.
+        self.counts = np.zeros((5, 0), dtype=np.int64)
+        self.pairs, self.links, self.first = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def segments(self, text: str) -> Iterator[str]:
         start = 0
@@ -124,7 +129,7 @@ class Aligner:
     def units(self, text: str) -> list[str]:
         """``text`` in units: none begins after white space of another kind, which A might join with what follows."""
         found = self.find(text)
-        if not any(u[-1].isspace() for u in found[:-1]):
+        if not any(c in text for c in self.odd):
             return found
         out = [found[0]]
         for u in found[1:]:
@@ -142,56 +147,102 @@ class Aligner:
 
     def groups(self, unit: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
         """A unit's groups; None if either side's bytes are not the unit's."""
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not (b"".join(x) == b"".join(y) == unit.encode()):
+        if not self._same([unit], a, b):
             return None
-        return grouped(a, [len(t) for t in x], b, [len(t) for t in y])
+        n_a, n_b = (np.cumsum(n).tolist() for n in cut(self.a_lengths[a], self.b_lengths[b]))
+        return [(a[p:q], b[x:y]) for (p, q), (x, y) in zip(itertools.pairwise([0, *n_a]), itertools.pairwise([0, *n_b]), strict=True)]
+
+    def _same(self, units: list[str], a: list[int], b: list[int]) -> bool:
+        want = "".join(units).encode()
+        return b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
 
     def learn(self, units: Iterable[str]) -> None:
         new = [u for u in dict.fromkeys(units) if u not in self.memo]
-        for u, a, b in zip(new, *self.encoded(new), strict=True):
-            groups = self.groups(u, a, b)
-            self.memo[u] = len(self.texts)
-            linked: Counter[int] = Counter()
-            for xs, ys in groups or []:
-                if len(xs) == len(ys) == 1:
-                    linked[xs[0] << 32 | ys[0]] += 1
-                else:
-                    others = Counter(ys).items()
-                    for x, n in Counter(xs).items():
-                        for y, m in others:
-                            linked[x << 32 | y] += n * m
-            self.texts.append(";".join("|".join((",".join(map(str, xs)), ",".join(map(str, ys)))) for xs, ys in groups or []).encode())
-            for column, value in zip(self.counts, (len(a), len(b), len(groups or []), sum(linked.values()), groups is None), strict=True):
-                column.append(value)
-            self.pairs.extend(linked)
-            self.links.extend(linked.values())
-            self.first.append(len(self.pairs))
-
-    def document(self, text: str) -> tuple[list[int], str, np.ndarray, np.ndarray]:
-        """(tokens of A, of B, groups, links), the groups' digest, the distinct id pairs and their links."""
-        totals, digest, pairs, links = np.zeros(5, dtype=np.int64), hashlib.sha256(), [], []
-        for n, segment in enumerate(self.segments(" " + text)):
-            units = self.units(segment)
-            if len(self.memo) > MEMO_UNITS:
-                self.clear()
-            if not all(map(self.memo.__contains__, units)):
+        if not new:
+            return
+        a, b = self.encoded(new)
+        wrong = set()
+        if not self._same(new, list(itertools.chain.from_iterable(a)), list(itertools.chain.from_iterable(b))):
+            wrong = {i for i, u in enumerate(new) if not self._same([u], a[i], b[i])}
+            a, b = ([[] if i in wrong else ids for i, ids in enumerate(side)] for side in (a, b))
+        for i, u in enumerate(new):
+            self.memo[u] = len(self.texts) + i
+        size_a, size_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
+        a, b = (np.fromiter(itertools.chain.from_iterable(side), dtype=np.int64, count=n.sum()) for side, n in ((a, size_a), (b, size_b)))
+        n_a, n_b = cut(self.a_lengths[a], self.b_lengths[b]) if len(a) else (size_a[:0], size_b[:0])
+        # which unit a group is in: it ends no later than the unit's last token of A
+        owner = np.searchsorted(np.cumsum(size_a), np.cumsum(n_a))
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        self.texts += self._written(a, b, n_a, n_b, owner, size_a)
+        pairs, links, of = self._linked(a, b, n_a, n_b, first_a, first_b, owner)
+        n_groups, n_links = np.bincount(owner, minlength=len(new)), np.zeros(len(new), dtype=np.int64)
+        np.add.at(n_links, of, links)
+        bad = np.array([i in wrong for i in range(len(new))], dtype=np.int64) if wrong else np.zeros(len(new), dtype=np.int64)
+        self.counts = np.concatenate([self.counts, np.stack([size_a, size_b, n_groups, n_links, bad])], axis=1)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(of, minlength=len(new)))])
+        self.pairs, self.links = np.concatenate([self.pairs, pairs]), np.concatenate([self.links, links])
+
+    def _written(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, owner: np.ndarray, size_a: np.ndarray) -> list[bytes]:
+        """Each unit's groups in writing."""
+        start = np.cumsum(n_a + n_b) - n_a - n_b
+        last_a, last_b = start + n_a - 1, start + n_a + n_b - 1
+        at = np.arange(len(a) + len(b))
+        is_b = at >= np.repeat(start + n_a, n_a + n_b)
+        names = np.empty(len(at), dtype=np.int64)
+        names[~is_b], names[is_b] = 2 * a, 2 * len(self.a_bytes) + 3 * b
+        names[last_a] += 1
+        names[last_b] += 1 + (np.diff(owner, append=len(size_a)) > 0)
+        done = iter(b"".join(map((self.a_names + self.b_names).__getitem__, names.tolist())).split(b"\n"))
+        return [next(done) if n else b"" for n in size_a.tolist()]
+
+    def _linked(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, links, unit) in order of units; a group's pairs are counted by id where there are many tokens."""
+        small = n_a * n_b <= GROUP_LINKS
+        n = np.where(small, n_a * n_b, 0)
+        group = np.repeat(np.arange(len(n)), n)
+        t = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs = a[first_a[group] + t // n_b[group]].astype(np.uint64) << _U(32) | b[first_b[group] + t % n_b[group]].astype(np.uint64)
+        links, of = np.ones(len(pairs), dtype=np.int64), owner[group]
+        for g in np.flatnonzero(~small).tolist():
+            (x, p), (y, q) = (np.unique(ids[f : f + k], return_counts=True) for ids, f, k in ((a, first_a[g], n_a[g]), (b, first_b[g], n_b[g])))
+            pairs = np.concatenate([pairs, (x.astype(np.uint64)[:, None] << _U(32) | y.astype(np.uint64)[None, :]).ravel()])
+            links = np.concatenate([links, np.outer(p, q).ravel()])
+            of = np.concatenate([of, np.full(len(x) * len(y), owner[g])])
+        if not small.all():
+            order = np.argsort(of, kind="stable")
+            pairs, links, of = pairs[order], links[order], of[order]
+        return pairs, links, of
+
+    def documents(self, texts: list[str | None]) -> list[Aligned]:
+        """Each text's; the units of all short ones are learned at once."""
+        if len(self.memo) > MEMO_UNITS:
+            self.clear()
+        units = [self.units(" " + t) if t and len(t) < SEGMENT_CHARS else None for t in texts]
+        self.learn(itertools.chain.from_iterable(u for u in units if u))
+        return [self.document(t, u) if t else NOTHING for t, u in zip(texts, units, strict=True)]
+
+    def document(self, text: str, known: list[str] | None = None) -> Aligned:
+        counts, digest, pairs, links = np.zeros(5, dtype=np.int64), hashlib.sha256(), [], []
+        for n, units in enumerate([known] if known else map(self.units, self.segments(" " + text))):
+            if not known:
+                if len(self.memo) > MEMO_UNITS:
+                    self.clear()
+                self.learn(units)
+            elif n == 0 and not all(map(self.memo.__contains__, units)):  # a long text has come between
                 self.learn(units)
             at = np.fromiter(map(self.memo.__getitem__, units), dtype=np.int64, count=len(units))
-            totals += [np.frombuffer(c, dtype=np.int64)[at].sum() for c in self.counts]
-            if totals[4]:
-                return [0] * 4, "", np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-            digest.update((b";" if n else b"") + b";".join([self.texts[i] for i in at.tolist()]))
-            first = np.frombuffer(self.first, dtype=np.int64)
-            size = first[at + 1] - first[at]
-            flat = np.arange(size.sum()) + np.repeat(first[at] - (np.cumsum(size) - size), size)
-            pairs.append(np.frombuffer(self.pairs, dtype=np.uint64)[flat])
-            links.append(np.frombuffer(self.links, dtype=np.int64)[flat])
-            del first
+            counts += self.counts[:, at].sum(axis=1)
+            if counts[4]:
+                return NOTHING
+            digest.update((b";" if n else b"") + b";".join(map(self.texts.__getitem__, at.tolist())))
+            size = self.first[at + 1] - self.first[at]
+            flat = np.arange(size.sum()) + np.repeat(self.first[at] - (np.cumsum(size) - size), size)
+            pairs.append(self.pairs[flat])
+            links.append(self.links[flat])
         keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
         n_links = np.zeros(len(keys), dtype=np.int64)
         np.add.at(n_links, back, np.concatenate(links))
-        return totals[:4].tolist(), digest.hexdigest(), keys, n_links
+        return counts[:4].tolist(), digest.hexdigest(), keys, n_links
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -231,9 +282,8 @@ def _tokenizing(a_path: str, b_path: str):
         from pyspark import TaskContext
 
         chunk, both = TaskContext.get().partitionId() << 32, aligner(a_path, b_path)
-        nothing = [0] * 4, "", np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         for ids, texts in _slices(batches):
-            docs = [both.document(t) if t else nothing for t in texts]
+            docs = both.documents(texts)
             keys = np.concatenate([d[2] for d in docs])
             distinct, at, holders = np.unique(keys, return_inverse=True, return_counts=True)
             row = {

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -116,6 +117,17 @@ def test_empty_table(spark):
 
 
 def test_groups_end_where_both_do():
-    assert X.grouped([1, 2, 3], [1, 2, 3], [9, 8], [3, 3]) == [([1, 2], [9]), ([3], [8])]
-    assert X.grouped([1], [4], [5, 6, 7], [1, 2, 1]) == [([1], [5, 6, 7])]
-    assert X.grouped([1, 2], [2, 2], [5, 6, 7], [1, 2, 1]) == [([1, 2], [5, 6, 7])]
+    def sizes(a, b):
+        return [x.tolist() for x in X.cut(np.array(a), np.array(b))]
+
+    assert sizes([1, 2, 3], [3, 3]) == [[2, 1], [1, 1]]
+    assert sizes([4], [1, 2, 1]) == [[1], [3]]
+    assert sizes([2, 2], [1, 2, 1]) == [[2], [3]]
+
+
+def test_large_groups_are_counted_by_id(brute, monkeypatch):
+    texts = [t for t in ODD if t]
+    want = [X.Aligner(A, B).document(t) for t in texts]
+    monkeypatch.setattr(X, "GROUP_LINKS", 1)
+    for one, other in zip(want, X.Aligner(A, B).documents(texts), strict=True):
+        assert one[:2] == other[:2] and one[2].tolist() == other[2].tolist() and one[3].tolist() == other[3].tolist()
