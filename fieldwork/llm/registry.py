@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldwork.llm import bpe, jaccard_join, language_model, licenses, mixing, neighbours, ordinal, quality_rules, substring_dedup, surrogates, token_alignment, token_shards
+from fieldwork.llm import bpe, jaccard_join, language_model, licenses, mixing, neighbours, ordinal, prefix_trie, quality_rules, substring_dedup, surrogates, token_alignment, token_shards
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_nearest": neighbours.op10_nearest,
     "op11_substring_dedup": substring_dedup.op11_substring_dedup,
     "op12_cross_tokenizer": token_alignment.op12_cross_tokenizer,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op10_nearest": neighbours.ORACLE,
     "op11_substring_dedup": substring_dedup.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
