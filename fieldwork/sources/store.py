@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEPT: dict[tuple, tuple[str, object]] = {}
+#: What is kept by key: the source, the path and the schema.
+_KEPT: dict[tuple, list[tuple[DataFrame, str, object]]] = {}
 _OWN: dict[str, str] = {}
 
 
@@ -41,18 +42,21 @@ def state_of(source: DataFrame) -> tuple:
 def kept(source: DataFrame, label: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``make(source)``, written as Parquet at its first use and read back from then on.
 
-    It is built anew if the source's files have changed, and goes when the application
-    ends. ``label`` names what is made, with all parameters that it depends on.
+    What is kept belongs to the source's analysed plan, its column names and the state
+    of its files: another filter, join or table in memory has its own. It is built anew
+    if the files have changed, and goes when the application ends. ``label`` names what
+    is made, with all parameters that it depends on.
     """
     spark = source.sparkSession
-    key = (spark.sparkContext.applicationId, label, tuple(source.columns), state_of(source))
-    if key not in _KEPT:
+    key = (spark.sparkContext.applicationId, label, tuple(source.columns), source.semanticHash(), state_of(source))
+    found = next((k for k in _KEPT.get(key, []) if k[0].sameSemantics(source)), None)
+    if found is None:
         df = make(source)
         path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
         target, fs = _hadoop(spark, path)
         fs.mkdirs(target.getParent())
         fs.deleteOnExit(target)
         df.write.parquet(path)
-        _KEPT[key] = path, df.schema
-    path, schema = _KEPT[key]
-    return spark.read.schema(schema).parquet(path)
+        found = source, path, df.schema
+        _KEPT.setdefault(key, []).append(found)
+    return spark.read.schema(found[2]).parquet(found[1])

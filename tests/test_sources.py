@@ -66,3 +66,20 @@ def test_queue_counts_and_pages(spark):
     assert [(r.id, r.responses) for r in T.surveys_with_counts(surveys, spark.createDataFrame([("s",)], "id string"), "id", "updated").collect()] == [("t", 0), ("s", 1)]
     items = spark.createDataFrame([("i", n, n in (2, 4)) for n in range(1, 6)], "instrument string, n int, brk boolean")
     assert [r.page for r in T.pages_of(items, "n", F.col("brk")).orderBy("n").collect()] == [1, 2, 2, 3, 3]
+
+
+def test_what_is_kept_belongs_to_its_table(spark):
+    """Filtered, joined and in-memory tables each have their own vocabulary, in one session."""
+    from pyspark.sql import functions as F
+
+    from fieldwork.operators import search as S
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tables = [docs, docs.where("lang = 'fr'"), docs.where("lang = 'de'"), docs.join(docs.where("doc_id < 20").select("doc_id"), "doc_id")]
+    tables += [spark.createDataFrame([(t,), (t,)], "text string") for t in ("alpha beta", "delta")]
+    for df in [*tables, *tables]:
+        got = {(r.term, r.records) for r in S.vocabulary(df, "text").collect()}
+        assert got == {(r.term, r.records) for r in S.lexicon(df.select("text"), "text").collect()}
+    a, b = (S.postings(docs.where(F.col("lang") == x), "doc_id", "text") for x in ("fr", "de"))
+    assert a.select("doc_id").distinct().count() != b.select("doc_id").distinct().count()
+    assert a.inputFiles() == S.postings(docs.where(F.col("lang") == "fr"), "doc_id", "text").inputFiles()
