@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldwork.functions import stemming as S
 from fieldwork.operators import dictionaries as D
+from fieldwork.operators import textsearch as T
 from fieldwork.plans.catalogue import query, table
 
 # -- dictionaries: parts are printed in five styles, a brand a document, and read back
@@ -114,3 +116,72 @@ def page_layouts(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html")
     lines = pages.select("page_id", F.explode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n", -1)).alias("row"))
     return D.layouts(lines, document="page_id", row="row")
+
+
+# -- ranked search of stemmed text
+
+
+def _stem_sql(source: str) -> str:
+    """Common table expressions from (lang, word) of ``source`` to ``stems`` (lang, word, term)."""
+
+    def case(steps, k):
+        if k >= len(steps):
+            return "term"
+        whens = " ".join(f"WHEN regexp_matches(term, '{p}') THEN regexp_replace(term, '{p}', '{new}', 'g')" for p, new in steps[k])
+        return f"CASE {whens} ELSE term END"
+
+    out, n = [f"stem_0 AS (SELECT DISTINCT lang, word, word AS term FROM {source})"], max(map(len, S.STEMMERS.values()))
+    for k in range(n):
+        out.append(f"stem_{k + 1} AS MATERIALIZED (SELECT lang, word, CASE WHEN lang = 'fr' THEN {case(S.STEMMERS['fr'], k)} ELSE {case(S.STEMMERS['en'], k)} END AS term FROM stem_{k})")
+    return ", ".join([*out, f"stems AS (SELECT * FROM stem_{n})"])
+
+
+_SEARCHED = "ing licenses or apache -mit"
+
+
+def _search_sql() -> str:
+    stops = " OR ".join(f"lang = '{k}' AND word IN ({', '.join(repr(w) for w in v)})" for k, v in S.STOPWORDS.items())
+    ranked = []
+    for k in ("en", "fr"):
+        # the query's own words go through the same rules
+        q = T.wanted(_SEARCHED, k)
+        last = ", ".join(f"max(CASE WHEN term = '{t}' THEN place END) OVER w AS p{i}, max(CASE WHEN term = '{t}' THEN n END) OVER w AS n{i}" for i, t in enumerate(q.terms))
+        at = {t: i for i, t in enumerate(q.terms)}
+        begins = [", ".join(f"p{at[t]}" for t in g) for g in q.groups]
+        least = ["CASE WHEN " + " AND ".join(f"p{at[t]} IS NOT NULL" for t in g) + f" THEN least({b}) END" for g, b in zip(q.groups, begins, strict=True)]
+        ranked.append(f"""SELECT doc_id, sum({T.WEIGHT} / (1 + (stop - start) - (n_stop - n_start))) AS rank FROM (
+  SELECT c.doc_id, c.start, c.stop, b.n AS n_start, e.n AS n_stop FROM (
+    SELECT doc_id, start, min(place) AS stop FROM (
+      SELECT doc_id, place, greatest({', '.join(least)}) AS start FROM (SELECT doc_id, place, {last} FROM hits_{k} WINDOW w AS (PARTITION BY doc_id ORDER BY place)))
+    WHERE start IS NOT NULL GROUP BY doc_id, start) c
+  JOIN hits_{k} b ON b.doc_id = c.doc_id AND b.place = c.start JOIN hits_{k} e ON e.doc_id = c.doc_id AND e.place = c.stop) GROUP BY 1""")
+    hits = ", ".join(
+        f"""hits_{k} AS (SELECT doc_id, place, term, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM indexed
+  WHERE term IN ({', '.join(f"'{t}'" for t in q.terms)}) AND doc_id NOT IN (SELECT doc_id FROM indexed WHERE term IN ({', '.join(f"'{t}'" for t in q.excluded)})))"""
+        for k, q in ((k, T.wanted(_SEARCHED, k)) for k in ("en", "fr"))
+    )
+    return f"""WITH tokens AS (
+  SELECT doc_id, lang, unnest(words) AS word, unnest(range(len(words))) AS place
+  FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'fr' ELSE 'en' END AS lang, regexp_extract_all(lower(text), '{T.WORD}') AS words FROM documents)
+), kept AS (SELECT * FROM tokens WHERE NOT ({stops})), {_stem_sql('kept')},
+indexed AS (SELECT doc_id, place, term FROM kept JOIN stems USING (lang, word)), {hits},
+ranked AS (SELECT doc_id, max(rank) AS rank FROM ({' UNION ALL '.join(ranked)}) GROUP BY 1),
+page AS (SELECT doc_id, source, rank, count(*) OVER () AS total FROM ranked JOIN documents USING (doc_id))
+SELECT doc_id, source, round(rank, 9) AS rank, total FROM page ORDER BY page.rank DESC, source, doc_id LIMIT 200"""
+
+
+@query(_search_sql())
+def corpus_search(spark, sf_dir):
+    """The page's order is the operator's own: rank, name, key."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    found = T.corpus_search(docs, key="doc_id", name="source", text="text", lang="lang", query=_SEARCHED, limit=200)
+    return found.withColumn("rank", F.round("rank", 9))
+
+
+@query(f"""WITH words AS (SELECT lang, word FROM (SELECT CASE WHEN lang = 'fr' THEN 'fr' ELSE 'en' END AS lang, unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS word FROM documents) GROUP BY ALL),
+{_stem_sql('words')} SELECT lang, term, count(*) AS words, min(word) AS first_word FROM stems GROUP BY ALL""")
+def stem_families(spark, sf_dir):
+    """Every word of the documents under its stem."""
+    language = F.when(F.col("lang") == "fr", "fr").otherwise("en").alias("lang")
+    words = table(spark, sf_dir, "documents", "text", "lang").select(language, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({T.WORD})"), F.lit(1))).alias("word")).distinct()
+    return S.stemmed(words, word="word", lang="lang").groupBy("lang", "term").agg(F.count("*").alias("words"), F.min("word").alias("first_word"))
