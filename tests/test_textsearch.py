@@ -66,6 +66,6 @@ def test_names_count_and_pages_follow_each_other(spark):
     assert search("SMK") == [(1, 5.0, 3), (2, 5.0, 3), (3, 0.1, 3)]
     assert search("SMK", limit=1, offset=1) == [(2, 5.0, 3)]
     assert [x[0] for x in search("smoking")] == [3, 1]  # of one rank, by name
-    assert search("fumée") == [(4, 0.2, 1)]
+    assert search("fumée") == [(4, 0.1, 1)]
     assert search("") == [] and search("the") == []
     assert [x[0] for x in search("smoking", where=df.id > 1)] == [3]
