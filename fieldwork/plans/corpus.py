@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from fieldwork.functions import stemming as S
 from fieldwork.operators import dictionaries as D
+from fieldwork.operators import instrument as I
+from fieldwork.operators import paths as P
 from fieldwork.operators import textsearch as T
 from fieldwork.plans.catalogue import query, table
 
@@ -185,3 +187,87 @@ def stem_families(spark, sf_dir):
     language = F.when(F.col("lang") == "fr", "fr").otherwise("en").alias("lang")
     words = table(spark, sf_dir, "documents", "text", "lang").select(language, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({T.WORD})"), F.lit(1))).alias("word")).distinct()
     return S.stemmed(words, word="word", lang="lang").groupBy("lang", "term").agg(F.count("*").alias("words"), F.min("word").alias("first_word"))
+
+
+# -- paths through a questionnaire, with the answers that the tables hold
+
+_ROUTING = P.Routing(
+    [
+        I.Question("segment"),
+        I.Question("status", visible_when="$segment != 'BUILDING'"),
+        I.Question("quantity"),
+        I.Question("flag", visible_when="$quantity > 20"),
+        I.Question("remark", visible_when="$status == 'F' || $flag == 'R'"),
+    ],
+    frozenset({"quantity"}),
+)
+
+
+def _domains(spark, sf_dir):
+    """(variable, type, codes, low, high, longest): what the tables hold, as domains of answers."""
+    none = {"codes": F.lit(None).cast("array<string>"), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "longest": F.lit(None).cast("int")}
+
+    def domain(name, kind, df, **have):
+        return df.agg(*(have.get(k, c).alias(k) for k, c in none.items())).select(F.lit(name).alias("variable"), F.lit(kind).alias("type"), *none)
+
+    codes = lambda c: F.sort_array(F.collect_set(c))
+    li = table(spark, sf_dir, "lineitem", "l_quantity", "l_returnflag")
+    out = domain("segment", "code", table(spark, sf_dir, "customer", "c_mktsegment"), codes=codes("c_mktsegment"))
+    out = out.unionByName(domain("status", "code", table(spark, sf_dir, "orders", "o_orderstatus"), codes=codes("o_orderstatus")))
+    out = out.unionByName(domain("quantity", "numeric", li, low=F.min("l_quantity").cast("double"), high=F.max("l_quantity").cast("double")))
+    out = out.unionByName(domain("flag", "code", li, codes=codes("l_returnflag")))
+    out = out.unionByName(domain("events", "codes", table(spark, sf_dir, "events", "event_type"), codes=codes("event_type")))
+    out = out.unionByName(domain("shipped", "date", li.limit(1)))
+    out = out.unionByName(domain("paid", "boolean", li.limit(1)))
+    return out.unionByName(domain("remark", "text", table(spark, sf_dir, "part", "p_name"), longest=F.max(F.length("p_name"))))
+
+
+_DOMAINS = """segments AS (SELECT c_mktsegment AS value, row_number() OVER (ORDER BY c_mktsegment) - 1 AS no FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL)),
+statuses AS (SELECT o_orderstatus AS value, row_number() OVER (ORDER BY o_orderstatus) - 1 AS no FROM (SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL)),
+flags AS (SELECT l_returnflag AS value, row_number() OVER (ORDER BY l_returnflag) - 1 AS no FROM (SELECT DISTINCT l_returnflag FROM lineitem WHERE l_returnflag IS NOT NULL)),
+ends AS (SELECT min(l_quantity)::DOUBLE AS low, max(l_quantity)::DOUBLE AS high, floor((min(l_quantity) + max(l_quantity)) / 2 + 0.5) AS middle FROM lineitem),
+quantities AS (SELECT low AS value, 0 AS no FROM ends UNION ALL SELECT middle, 1 FROM ends UNION ALL SELECT high, 2 FROM ends)"""
+_WALKED = f"""WITH {_DOMAINS}, walked AS (
+  SELECT s.value AS segment, t.value AS status, q.value AS quantity, f.value AS flag, CASE WHEN t.value = 'F' OR f.value = 'R' THEN 'Test response' END AS remark,
+    list_filter([s.no, t.no, q.no, f.no, CASE WHEN t.value = 'F' OR f.value = 'R' THEN 0 END], lambda x: x IS NOT NULL) AS path
+  FROM segments s LEFT JOIN statuses t ON s.value <> 'BUILDING' JOIN quantities q ON TRUE LEFT JOIN flags f ON q.value > 20
+), written AS (SELECT *, concat_ws(';', 'segment=' || segment, 'status=' || status, 'quantity=' || quantity::BIGINT, 'flag=' || flag, 'remark=' || remark) AS steps FROM walked)"""
+
+
+def _written(df):
+    return df.withColumn("steps", F.array_join(F.transform("steps", lambda s: F.concat_ws("=", s["variable"], s["value"])), ";"))
+
+
+@query(f"{_WALKED} SELECT row_number() OVER (ORDER BY len(path), path)::INT AS scenario, len(path)::INT AS questions, steps FROM written ORDER BY len(path), path LIMIT 60")
+def all_paths(spark, sf_dir):
+    d = _domains(spark, sf_dir)
+    return _written(P.all_paths(P.test_values(d, "routing"), P.test_values(d, "canonical"), _ROUTING, most=60))
+
+
+@query(f"""{_WALKED.replace('WITH ', 'WITH RECURSIVE ', 1)}, targets AS (
+  SELECT 0 AS at, no, 'segment=' || value AS aim FROM segments UNION ALL SELECT 1, no, 'status=' || value FROM statuses UNION ALL SELECT 2, no, 'quantity=' || value::BIGINT FROM quantities UNION ALL SELECT 3, no, 'flag=' || value FROM flags
+), usual AS (SELECT (SELECT value FROM segments WHERE no = 0) AS segment, (SELECT value FROM statuses WHERE no = 0) AS status, (SELECT middle FROM ends) AS quantity, (SELECT value FROM flags WHERE no = 0) AS flag),
+aimed AS (
+  SELECT row_number() OVER (ORDER BY t.at, t.no) AS i, aim, w.steps, string_split(w.steps, ';') AS taken FROM targets t, usual u JOIN written w ON
+    w.segment = CASE WHEN t.at = 0 THEN split_part(aim, '=', 2) ELSE u.segment END AND (w.status IS NULL OR w.status = CASE WHEN t.at = 1 THEN split_part(aim, '=', 2) ELSE u.status END)
+    AND w.quantity = CASE WHEN t.at = 2 THEN split_part(aim, '=', 2)::DOUBLE ELSE u.quantity END AND (w.flag IS NULL OR w.flag = CASE WHEN t.at = 3 THEN split_part(aim, '=', 2) ELSE u.flag END)
+), chosen AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS covered, NULL::VARCHAR AS steps
+  UNION ALL SELECT a.i, CASE WHEN list_contains(covered, aim) THEN covered ELSE covered || taken END, CASE WHEN NOT list_contains(covered, aim) THEN a.steps END FROM chosen c JOIN aimed a ON a.i = c.i + 1
+)
+SELECT row_number() OVER (ORDER BY i)::INT AS scenario, len(string_split(steps, ';'))::INT AS questions, steps FROM chosen WHERE steps IS NOT NULL""")
+def covering_paths(spark, sf_dir):
+    """The oracle decides value by value, recursively, from all walked paths."""
+    d = _domains(spark, sf_dir)
+    return _written(P.covering_paths(P.test_values(d, "routing"), P.test_values(d, "canonical"), _ROUTING))
+
+
+@query(f"""WITH {_DOMAINS}, texts AS (SELECT max(length(p_name)) AS n FROM part), codes AS (
+  SELECT 'segment' AS variable, list(value ORDER BY value) AS c FROM segments UNION ALL SELECT 'status', list(value ORDER BY value) FROM statuses UNION ALL SELECT 'flag', list(value ORDER BY value) FROM flags),
+several AS (SELECT list(DISTINCT event_type ORDER BY event_type) AS c FROM events WHERE event_type IS NOT NULL),
+lists AS (SELECT variable, [NULL, c[1], c[-1]] AS v FROM codes UNION ALL SELECT 'quantity', [(low - 1)::BIGINT::VARCHAR, low::BIGINT::VARCHAR, middle::BIGINT::VARCHAR, high::BIGINT::VARCHAR, (high + 1)::BIGINT::VARCHAR] FROM ends
+  UNION ALL SELECT 'events', ['', c[1], array_to_string(c, ',')] FROM several UNION ALL SELECT 'paid', ['true', 'false'] UNION ALL SELECT 'shipped', ['', '2024-01-01', '1900-01-01', '9999-12-31', 'not-a-date']
+  UNION ALL SELECT 'remark', ['', 'A', 'Test response', repeat('A', n), repeat('A', n + 1), '<script>alert(1)</script>', '😀🎉'] FROM texts)
+SELECT variable, (unnest(range(len(v))))::INT AS no, unnest(v) AS value FROM lists""")
+def boundary_values(spark, sf_dir):
+    return P.test_values(_domains(spark, sf_dir), "boundary")

@@ -60,3 +60,14 @@ def kept(source: DataFrame, label: str, make: Callable[[DataFrame], DataFrame])
         found = source, path, df.schema
         _KEPT.setdefault(key, []).append(found)
     return spark.read.schema(found[2]).parquet(found[1])
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    target, fs = _hadoop(spark, path)
+    fs.mkdirs(target.getParent())
+    fs.deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
