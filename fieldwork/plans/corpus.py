@@ -8,6 +8,7 @@ from fieldwork.functions import stemming as S
 from fieldwork.operators import dictionaries as D
 from fieldwork.operators import instrument as I
 from fieldwork.operators import paths as P
+from fieldwork.operators import registry as G
 from fieldwork.operators import textsearch as T
 from fieldwork.plans.catalogue import query, table
 
@@ -271,3 +272,53 @@ lists AS (SELECT variable, [NULL, c[1], c[-1]] AS v FROM codes UNION ALL SELECT
 SELECT variable, (unnest(range(len(v))))::INT AS no, unnest(v) AS value FROM lists""")
 def boundary_values(spark, sf_dir):
     return P.test_values(_domains(spark, sf_dir), "boundary")
+
+
+# -- the registry of questionnaires: one a nation, with a question a supplier
+
+
+def _instruments(spark, sf_dir):
+    """(json): a questionnaire for each nation, its variables its suppliers, its categories its customers' segments."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = table(spark, sf_dir, "supplier")
+    label = lambda c: F.struct(c.alias("en"))
+    name = F.concat(F.lit("V"), F.col("s_suppkey").cast("string"))
+    domain = F.when(F.col("s_suppkey") % 2 == 0, F.struct(F.lit("code").alias("type"), F.lit("seg").alias("categorySchemeRef"))).otherwise(F.struct(F.lit("numeric").alias("type"), F.lit(None).cast("string").alias("categorySchemeRef")))
+    question = F.struct(F.lit("question").alias("type"), F.concat(F.lit("q"), F.col("s_suppkey").cast("string")).alias("id"), name.alias("variableRef"), label(F.concat(F.lit("Trade with "), "s_name", F.lit("?"))).alias("text"), domain.alias("responseDomain"))
+    variable = F.struct(name.alias("name"), label(F.col("s_name")).alias("label"), F.lit("numeric").alias("representation"), F.lit("collected").alias("kind"), F.concat(F.lit("c"), (F.col("s_suppkey") % 3).cast("string")).alias("conceptRef"))
+    in_order = lambda when, c: F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("s_suppkey", c.alias("x"))))), lambda r: r["x"])
+    of_suppliers = s.groupBy("s_nationkey").agg(in_order(F.lit(True), variable).alias("variables"), in_order(F.col("s_acctbal") >= 0, question).alias("then"), in_order(F.col("s_acctbal") < 0, question).alias("looped"))
+    c = table(spark, sf_dir, "customer", "c_nationkey", "c_mktsegment").groupBy("c_nationkey").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("segments"))
+    both = n.join(of_suppliers, F.col("n_nationkey") == F.col("s_nationkey"), "left").join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    categories = F.transform(F.coalesce("segments", F.array().cast("array<string>")), lambda x: F.struct(F.substr(x, F.lit(1), F.lit(1)).alias("code"), label(x).alias("label")))
+    page = F.struct(
+        F.lit("sequence").alias("type"), F.lit("p1").alias("id"), label(F.concat(F.lit("Suppliers of "), "n_name")).alias("label"), F.lit(True).alias("isPage"),
+        F.array(F.struct(F.lit("ifThenElse").alias("type"), F.lit("if1").alias("id"), F.col("then"), F.array(F.struct(F.lit("loop").alias("type"), F.lit("l1").alias("id"), F.col("looped").alias("children"))).alias("else"))).alias("children"),
+    )
+    section = F.struct(F.lit("sequence").alias("type"), F.lit("s2").alias("id"), label(F.when(F.col("n_nationkey") % 2 == 0, "Rest").otherwise(" ")).alias("label"), F.array(F.struct(F.lit("statement").alias("type"), F.lit("t1").alias("id"))).alias("statements"))
+    whole = F.struct(
+        F.concat(F.lit("urn:n:"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("1.0."), F.col("n_regionkey").cast("string")).alias("version"),
+        F.struct(F.struct(F.col("n_name").alias("en"), F.concat(F.lit("Le "), "n_name").alias("fr")).alias("title"), F.col("r_name").alias("agency"), F.lit("2024-01-01").alias("created")).alias("metadata"),
+        F.array(F.struct(F.lit("c0").alias("id"), label(F.lit("money")).alias("label")), F.struct(F.lit("c1").alias("id"), label(F.concat(F.lit("trade of "), "r_name")).alias("label"))).alias("concepts"),
+        F.array(F.struct(F.lit("seg").alias("id"), label(F.lit("Segments")).alias("label"), categories.alias("categories"))).alias("categorySchemes"), F.col("variables"),
+        F.struct(F.lit("sequence").alias("type"), F.lit("root").alias("id"), F.array(F.to_json(page), F.to_json(section)).alias("children")).alias("sequence"),
+    )
+    # the two children differ in shape, so they were written by themselves
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.to_json(whole), r'"\{\\"type', '{"type'), r'\}"(?=[,\]])', "}"), r'\\"', '"')
+    return both.select(text.alias("json"))
+
+
+@query("""WITH n AS (SELECT 'urn:n:' || n_nationkey AS i, * FROM nation JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT n.*, s.*, 'V' || s_suppkey AS v, CASE WHEN s_suppkey % 2 = 0 THEN 'code' ELSE 'numeric' END AS domain, 'c' || s_suppkey % 3 AS concept_ref, CASE s_suppkey % 3 WHEN 0 THEN 'money' WHEN 1 THEN 'trade of ' || r_name END AS concept FROM n JOIN supplier s ON n_nationkey = s_nationkey),
+seg AS (SELECT c_nationkey, array_to_string(list(DISTINCT c_mktsegment ORDER BY c_mktsegment), ' · ') AS labels, array_to_string(list_transform(list(DISTINCT c_mktsegment ORDER BY c_mktsegment), lambda x: x[1]), ',') AS codes FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1),
+used AS (SELECT s_nationkey, count(*) FILTER (s_suppkey % 2 = 0) AS n FROM supplier GROUP BY 1)
+SELECT i AS instrument, 'inst:' || i AS entry_id, 'instrument' AS component_type, n_name || ' · Le ' || n_name || ' · money · trade of ' || r_name || ' · ' || r_name AS search_text, 'money,trade of ' || r_name AS keywords, 'instrument' AS tags, NULL AS concept_ref, 'Instrument' AS ddi_element_type, NULL AS provenance, 0::BIGINT AS usage_count, '2024-01-01' AS last_updated, i AS urn, r_name AS agency, '1.0.' || n_regionkey AS version, NULL AS flow_target FROM n
+UNION ALL SELECT i, i || '#p1', 'page', 'Suppliers of ' || n_name || ' · page screen', 'page', 'page', NULL, 'Sequence', i, 0, '2024-01-01', NULL, NULL, NULL, 'screen' FROM n
+UNION ALL SELECT i, i || '#s2', 'section', 'Rest · section group', 'section', 'section', NULL, 'Sequence', i, 0, '2024-01-01', NULL, NULL, NULL, 'question' FROM n WHERE n_nationkey % 2 = 0
+UNION ALL SELECT i, i || '#q' || s_suppkey, 'question', concat_ws(' · ', 'Trade with ' || s_name || '?', v, domain, concept), v || ',' || domain, 'question,' || domain, concept_ref, 'QuestionItem', i, 0, '2024-01-01', NULL, NULL, NULL, 'question' FROM s WHERE s_acctbal IS NOT NULL
+UNION ALL SELECT i, i || '#var:' || v, 'variable', concat_ws(' · ', v, s_name, 'numeric', 'collected', concept), v || ',numeric,collected', 'variable,collected,numeric', concept_ref, 'Variable', i, (s_acctbal IS NOT NULL)::BIGINT, '2024-01-01', NULL, NULL, NULL, NULL FROM s
+UNION ALL SELECT i, i || '#cs:seg', 'codeList', concat_ws(' · ', 'seg', 'Segments', labels), concat_ws(',', 'seg', codes), 'codeList', NULL, 'CodeList', i, coalesce(n, 0), '2024-01-01', NULL, NULL, NULL, NULL FROM n LEFT JOIN seg ON c_nationkey = n_nationkey LEFT JOIN used ON s_nationkey = n_nationkey""")
+def registry_built(spark, sf_dir):
+    """Questionnaires go in as JSON; the oracle takes the rows from the tables that they were written from."""
+    found = G.registry(_instruments(spark, sf_dir), json="json")
+    return found.drop("label", "description", "payload").withColumns({"keywords": F.array_join("keywords", ","), "tags": F.array_join("tags", ",")})
