@@ -13,8 +13,11 @@ memory for a long piece are so in proportion to its length, with the same ids. S
 that take more than LONG_PIECE bytes around a seam, another query contracts all places
 of the least pair in a step, where no merge with the new token has a lower rank.
 
-Texts are worked on in chunks of CHUNK_BYTES, so memory depends on the chunk and
-the longest single text; a connection keeps to its memory and writes no files. Defined results: a null or empty text has no ids and
+Texts are worked on in chunks of CHUNK_BYTES. A text over SLICE_BYTES is encoded slice
+by slice, cut at spaces that the public pattern always parts (with another pattern, or
+without such a space, as a whole), and decoded in queries of SLICE_TOKENS, so a text of
+any length takes no more than its own bytes, its ids and a slice's pieces; a connection
+keeps to its memory and writes no files. Defined results: a null or empty text has no ids and
 decodes to no bytes; repeated rows are encoded one by one; an empty table gives an
 empty result. Other columns are neither read nor changed.
 """
@@ -36,6 +39,8 @@ from pyspark.sql import types as T
 from fieldwork.llm.common import read
 
 CHUNK_BYTES = 4_000_000
+#: Bytes of a text that are cut into pieces at once, and ids that one decoding query takes.
+SLICE_BYTES, SLICE_TOKENS = 2_000_000, 500_000
 #: Pieces that a worker remembers; beyond, the older half is forgotten.
 MEMO_PIECES = 900_000
 #: Bytes of pieces in one recursive query.
@@ -116,6 +121,10 @@ PUBLIC_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 ASCII_PATTERN = r""" ?[A-Za-z]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 
 
+#: A space between two visible ASCII characters; the cut comes after the first.
+_SAFE_SPACE = re.compile(rb"[!-~](?= [!-~])")
+
+
 def finder(pattern: str) -> Callable[[str], list[str]]:
     """Cuts a text into pieces; ASCII texts by the standard library's engine, which is faster."""
     find = regex.compile(pattern).findall
@@ -147,6 +156,7 @@ class Codec:
 
         self.ranks = ranks
         self.find = finder(pattern)
+        self.sliced = pattern == PUBLIC_PATTERN
         # an empty folder name: nothing is written to the worker's own disk
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "preserve_insertion_order": False, "temp_directory": ""})
         self.pieces: dict[str, bytes] = {}
@@ -268,14 +278,53 @@ class Codec:
             self.pieces[short[b]] = ids.tobytes()
 
     def encode(self, texts: list[bytes], memo_pieces: int = MEMO_PIECES) -> list[bytes]:
-        """The ids of each text as packed little-endian integers."""
-        cut = [self.find(t.decode()) for t in texts]
+        """The ids of each text as packed little-endian integers; a long text goes slice by slice."""
+        short = [len(t) <= SLICE_BYTES for t in texts]
         trim(self.pieces, memo_pieces)
+        cut = [self.find(t.decode()) if s else () for t, s in zip(texts, short, strict=True)]
         self._learn(set().union(*cut))
-        return [b"".join(map(self.pieces.__getitem__, x)) for x in cut]
+        out = [b"".join(map(self.pieces.__getitem__, x)) for x in cut]
+        for i, t in enumerate(texts):
+            if not short[i]:
+                out[i] = b"".join(self._slice(part, memo_pieces) for part in self.slices(t))
+        return out
+
+    def _slice(self, text: bytes, memo_pieces: int) -> bytes:
+        trim(self.pieces, memo_pieces)
+        cut = self.find(text.decode())
+        self._learn(set(cut))
+        return b"".join(map(self.pieces.__getitem__, cut))
+
+    def slices(self, text: bytes) -> Iterator[bytes]:
+        """A text in slices at spaces that the public pattern always parts; by another pattern, the whole."""
+        start = 0
+        while self.sliced and len(text) - start > SLICE_BYTES and (space := _SAFE_SPACE.search(text, start + SLICE_BYTES)):
+            yield text[start : space.start() + 1]
+            start = space.start() + 1
+        yield text[start:]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each row of ids; the inverse of ``encode``."""
+        """The bytes of each row of ids; the inverse of ``encode``. A query takes SLICE_TOKENS at most; long rows take several."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        batch: list[tuple[int, bytes]] = []
+        held, most = 0, 4 * SLICE_TOKENS
+
+        def ask() -> None:
+            for (i, _), t in zip(batch, self._decoded([x for _, x in batch]), strict=True):
+                out[i].append(t)
+
+        for i, x in enumerate(ids):
+            for start in range(0, len(x), most):
+                part = x[start : start + most]
+                if held + len(part) > most:
+                    ask()
+                    batch, held = [], 0
+                batch.append((i, part))
+                held += len(part)
+        ask()
+        return [b"".join(x) for x in out]
+
+    def _decoded(self, ids: list[bytes]) -> list[bytes]:
         lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         row = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         tok = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)

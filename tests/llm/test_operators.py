@@ -523,6 +523,30 @@ def water_fill(sizes):
         capped |= {s: 3.0 * sizes[s] for s in over}
 
 
+def test_bpe_of_very_long_texts(spark):
+    """Texts of 20 MB, with and without spaces to cut at, beside short ones."""
+    import tiktoken
+
+    paths = bpe.public_vocabulary()
+    library = tiktoken.Encoding("own", pat_str=paths["pattern"], mergeable_ranks=bpe.load_ranks(paths["ranks_path"]), special_tokens={})
+    spaced = " ".join(f"Word{i % 4001} it's  {i % 97}\n" for i in range(900_000))
+    tight = "\n".join(f"line{i % 997}" for i in range(500_000))
+    texts = [spaced, "short", tight, "", None, "été " * 1_000_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.round_trip(df, "doc_id", text_col="text", **paths).collect()}
+    for i, t in enumerate(texts):
+        assert bytes(got[i].back) == (t or "").encode()
+        assert np.frombuffer(bytes(got[i].ids), dtype="<u4").tolist() == library.encode_ordinary(t or "")
+
+
+def test_bpe_slices_are_cut_where_the_pattern_does(monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 9)
+    codec = bpe.Codec.of(**bpe.public_vocabulary())
+    for text in ["a b  c d\ne f 's it's x", "word " * 20, "é à b c d e f g h", "no-cut-here-at-all", " " * 40, "1 2 3 4 5 6 7 8 9 0 a\u00a0b c d e f"]:
+        parts = [p.decode() for p in codec.slices(text.encode())]
+        assert "".join(parts) == text and [x for p in parts for x in codec.find(p)] == codec.find(text)
+
+
 def test_mixing(spark, odd, none, small, tmp_path_factory):
     t = pq.read_table(f"{SMALL}/documents.parquet").to_pandas()
     skewed = [(i, x, "a" if i % 20 == 0 else None if i % 3 else "b") for i, x in zip(t.doc_id.tolist(), t.text, strict=True)]
