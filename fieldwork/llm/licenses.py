@@ -1,7 +1,7 @@
 """Licence scan by a positional index of rare words.
 
 Templates are word sequences: base phrases, sentences from the notices of public
-licences, and segments of whole licence texts, which are read from a folder. Every
+licences, and segments of whole licence texts, if a folder with them is named. Every
 template is indexed by its rarest words: a posting holds the template and the word's
 position in it. Rarity is measured on the table itself (document frequency of every
 template word over all documents), so the words looked up for a file are those of its
@@ -71,8 +71,6 @@ NOTICES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 SCORE = 0.8
-#: Whole licence texts, a file each: where a Debian system keeps them.
-TEXT_FOLDER = "/usr/share/common-licenses"
 #: Words of a segment and of a title, and the share of a text's segments that tells it.
 SEGMENT_WORDS, TITLE_WORDS, TEXT_SHARE = 40, 4, 0.5
 
@@ -106,9 +104,12 @@ class Template:
     kind: str
 
 
-def license_texts(folder: str | None = TEXT_FOLDER) -> list[tuple[str, bytes]]:
-    """(label, text) of the files of a folder; links to other files and short files are left out."""
-    found = sorted(Path(folder).iterdir()) if folder and Path(folder).is_dir() else []
+def license_texts(folder: str | None) -> list[tuple[str, bytes]]:
+    """(label, text) of the files of a folder; links to other files and short files are left out.
+
+    Without a folder there are none; one that is named must be there.
+    """
+    found = sorted(Path(folder).iterdir()) if folder else []
     texts = [(p.name.lower(), p.read_bytes()) for p in found if p.is_file() and not p.is_symlink()]
     return [(name, text) for name, text in texts if len(words_of(text)) >= SEGMENT_WORDS]
 
@@ -231,6 +232,7 @@ def scanned(text: Column, n_docs: int, df: dict[bytes, int], texts: list[tuple[s
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    texts = license_texts()
+    # whole licence texts are the caller's to name; the result must not hang on what a machine has
+    texts = license_texts(None)
     n, df = document_frequencies(docs, "text", templates(texts))
     return docs.select("doc_id", scanned(F.col("text"), n, df, texts).alias("r")).select("doc_id", "r.*")

@@ -23,7 +23,8 @@ hash:
   domains, secrets and keys become longer, and numbers may take forms of the table that
   are not their own; after LAST_ROUND a number gets digits of its hash in addition.
 
-The pattern is run over a text once; the hits are stored with their rows. A document's
+The pattern is run over a text for its hits, which are stored with their rows, and again
+over texts with hits, to part them. A document's
 replacements depend on its list of hits alone. Each distinct list is worked out once
 and joined to the documents that hold it, so texts without entities are never shuffled,
 and groups of copies need no key but their list; the join's hot lists are split by the
@@ -44,7 +45,7 @@ from fieldwork.llm.common import read, stored
 KEY = "fieldwork"
 GROWING, LAST_ROUND = 12, 40
 
-_SECRET = r"""(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd)\s{0,3}[=:]\s{0,3}["']?)"""
+_SECRET = r"""(?i:(?<![\p{L}\p{N}])(?:token|api[_-]?key|secret|password|passwd)\s*+[=:]\s*+["']?)"""
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Titles by gender.
 _MEN = r"(?:Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|г-н|Г-Н)"
@@ -54,7 +55,8 @@ _NAME_TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_MEN}|{_WOMEN})\.? "
 _WORD = r"(?:\p{Lu}\.|\p{Lu}(?:\p{L}|['’](?=\p{Lu}))++)"
 KINDS = {
     "secret": _SECRET + r"[A-Za-z0-9_+/=.-]{8,}+",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
+    # runs of single characters without bounds: neither long names nor many labels are left out
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{N}.-]*\.\p{L}{2,}+",
     "hex": r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -85,25 +87,32 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Stands for the key in SQL until ``_keyed`` puts it in.
+_KEY_MARK = ":key:"
+
+
 def _hash(*parts: str) -> str:
     """SQL for a keyed hash of SQL strings, 128 hexadecimal digits."""
-    key = _quoted(KEY)
-    return f"sha2(concat({key}, sha2(concat_ws('|', {key}, {', '.join(parts)}), 512)), 512)"
+    return f"sha2(concat({_KEY_MARK}, sha2(concat_ws('|', {_KEY_MARK}, {', '.join(parts)}), 512)), 512)"
+
+
+def _keyed(sql: str, key: str) -> Column:
+    return F.expr(sql.replace(_KEY_MARK, _quoted(key)))
 
 
 def _mapped(s: str, salt: str, hex_only: str = "false") -> str:
     """SQL: every letter and digit of s replaced by one of its class, drawn from the salt."""
     h = f"transform(sequence(0, length({s}) div 60), b -> {_hash(salt, 'attempt', 'b')})"
-    c = f"substr({s}, i, 1)"
-    v = "cast(conv(substr(h[(i - 1) div 60], 1 + 2 * ((i - 1) % 60), 2), 16, 10) AS INT)"
+    c = "c"
+    v = "cast(conv(substr(h[j div 60], 1 + 2 * (j % 60), 2), 16, 10) AS INT)"
     pick = lambda letters: f"substr('{letters}', 1 + {v} % {len(letters)}, 1)"
     low = _LETTERS["latin"]
     one = f"CASE WHEN {c} BETWEEN '0' AND '9' THEN {pick('0123456789')} WHEN {hex_only} AND {c} BETWEEN 'a' AND 'f' THEN {pick('abcdef')} "
     for letters, (first, last) in zip(_LETTERS.values(), ("az", "ая", "αω"), strict=True):
         one += f"WHEN {c} BETWEEN '{first}' AND '{last}' THEN {pick(letters)} WHEN {c} BETWEEN '{first.upper()}' AND '{last.upper()}' THEN {pick(letters.upper())} "
     one += f"WHEN {c} RLIKE '\\\\p{{Lu}}' THEN {pick(low.upper())} WHEN {c} RLIKE '\\\\p{{L}}' THEN {pick(low)} ELSE {c} END"
-    # the hashes are bound once and read at every place
-    return f"array_join(flatten(transform(array({h}), h -> transform(sequence(1, length({s})), i -> {one}))), '')"
+    # the hashes are bound once and read at every place; characters are taken apart once, as a place in a string is found by counting
+    return f"array_join(flatten(transform(array({h}), h -> transform(regexp_extract_all({s}, '(?s).', 0), (c, j) -> {one}))), '')"
 
 
 def _luhn(s: str) -> str:
@@ -233,15 +242,15 @@ def rendered(kind: Column, hit: Column, surrogates: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "phone", "iban"), laid_out).otherwise(F.concat(before, F.when(exact, text).otherwise(shaped)))
 
 
-def assign(entities: DataFrame, *, growing: int = GROWING) -> DataFrame:
+def assign(entities: DataFrame, *, growing: int = GROWING, key: str = KEY) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon); surrogates are distinct and new."""
-    initials = entities.where("kind = 'initial'").select("kind", "canon", F.expr(_initial()).alias("sur"))
+    initials = entities.where("kind = 'initial'").select("kind", "canon", _keyed(_initial(), key).alias("sur"))
     found = stored(initials, "pii-round")
     left = entities.where("kind <> 'initial'")
     own = left.select("kind", F.col("canon").alias("sur"), F.lit(None).cast("string").alias("canon"), F.lit(True).alias("old"))
     taken = None
     for attempt in range(LAST_ROUND):
-        drawn = left.withColumn("attempt", F.lit(attempt)).withColumn("sur", F.expr(_surrogate())).where("sur <> canon").select("kind", "sur", "canon", F.lit(False).alias("old"))
+        drawn = left.withColumn("attempt", F.lit(attempt)).withColumn("sur", _keyed(_surrogate(), key)).where("sur <> canon").select("kind", "sur", "canon", F.lit(False).alias("old"))
         # numbers can't become longer: in late rounds they may take forms of the table
         both = drawn.unionByName(own if attempt < growing else own.where("kind IN ('local', 'domain', 'given_m', 'given_w', 'family', 'secret', 'hex')"))
         if taken is not None:
@@ -256,13 +265,14 @@ def assign(entities: DataFrame, *, growing: int = GROWING) -> DataFrame:
         mine = won.select("kind", "sur", F.lit(None).cast("string").alias("canon"), F.lit(True).alias("old"))
         taken = mine if taken is None else taken.unionByName(mine)
     digits = f"concat(sur, translate(substr({_hash('kind', 'canon')}, 1, 20), 'abcdef', '012345'))"
-    rest = left.withColumn("attempt", F.lit(LAST_ROUND)).withColumn("sur", F.expr(_surrogate())).select("kind", "canon", F.expr(digits).alias("sur"))
+    rest = left.withColumn("attempt", F.lit(LAST_ROUND)).withColumn("sur", _keyed(_surrogate(), key)).select("kind", "canon", _keyed(digits, key).alias("sur"))
     return found.unionByName(rest).withColumnRenamed("sur", "surrogate")
 
 
-def replaced(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, *, text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with ``text_col`` replaced and two columns more: __n_entities, __kinds.
 
+    ``key`` should be a secret of the data's owner; the default is for tests alone.
     ``__kinds`` lists the kinds found, distinct, sorted and joined by commas.
     """
     text = F.col(text_col)
@@ -270,13 +280,12 @@ def replaced(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     # a row goes along as a whole, so its columns' names can't clash
     rows = stored(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), hits.alias("hits")), "pii-rows")
     some = F.coalesce(F.size("hits") > 0, F.lit(False))
-    key = F.sha2(F.array_join("hits", "\u0001"), 256)
-    holding = rows.where(some).withColumn("key", key)
+    holding = rows.where(some).withColumn("key", F.sha2(F.array_join("hits", "\u0001"), 256))
     lists = stored(holding.select("key", "hits").groupBy("key").agg(F.first("hits").alias("hits")), "pii-lists")
     each = lists.select("key", F.posexplode("hits").alias("pos", "hit")).withColumn("of", kind_of(F.col("hit")))
     each = each.select("key", "pos", "hit", "of", F.posexplode(parts_of(F.col("of"), F.col("hit"))).alias("no", "p")).select("key", "pos", "hit", "of", "no", "p.*")
     each = stored(each, "pii-parts")
-    chosen = assign(stored(each.select("kind", "canon").distinct(), "pii-entities"))
+    chosen = assign(stored(each.select("kind", "canon").distinct(), "pii-entities"), key=key)
     whole = each.join(chosen, ["kind", "canon"]).groupBy("key", "pos", "of", "hit").agg(F.sort_array(F.collect_list(F.struct("no", "surrogate", "kind", "after"))).alias("s"))
     out = whole.select("key", "pos", "of", rendered(F.col("of"), F.col("hit"), F.col("s")).alias("new"))
     new = out.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "new", "of"))).alias("r"))
