@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwork.sources.store import written
+
 FLAG = ("response_id", "respondent_id", "variable_name", "check_kind", "check_id", "severity", "observed", "suspicion")
 
 # The scale of a median deviation, and the checks' defaults.
@@ -27,17 +29,43 @@ def flag(df: DataFrame, *, response: Column, respondent: Column, variable: Colum
     return df.select(*(c.alias(n) for c, n in zip(cells, FLAG, strict=True)))
 
 
+#: Groups up to which a row for each goes to every task; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
+
+def medians(df: DataFrame, group: str, value: str, *, least: int = 1) -> DataFrame:
+    """(group, median, n): exact medians of groups with ``least`` values or more.
+
+    Ranks are found from counts of distinct values, dealt by ranges of group and value:
+    a group of any size lies in many tasks, and only sums of these meet in one.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__c"))
+    ranged = counts.repartitionByRange(group, value).withColumn("__part", F.spark_partition_id())
+    held = ranged.groupBy(group, "__part").agg(F.sum("__c").alias("__held"))
+    parts = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = held.select(group, "__part", F.coalesce(F.sum("__held").over(parts), F.lit(0)).alias("__base"), F.sum("__held").over(Window.partitionBy(group)).alias("n")).where(F.col("n") >= least)
+    upto = F.sum("__c").over(Window.partitionBy(group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("__upto", upto).join(_broadcast_few(base), [group, "__part"]).withColumn("__upto", F.col("__base") + F.col("__upto"))
+    at = lambda rank: F.min(F.when((F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank), F.col(value)))
+    low, high = at(F.floor((F.col("n") + 1) / 2)), at(F.floor(F.col("n") / 2) + 1)
+    return ranked.groupBy(group).agg(((low + high) / 2).alias("median"), F.max("n").alias("n"))
+
+
+def _broadcast_few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if len(df.take(BROADCAST_GROUPS + 1)) <= BROADCAST_GROUPS else df
+
+
 def mad_scores(obs: DataFrame, group: str, value: str, *, least: int = LEAST_OBSERVATIONS) -> DataFrame:
     """``obs`` with ``z``: 0.6745 (x - median) / MAD, by exact medians; MAD 0 gives 0.
 
     Groups with fewer than ``least`` observations are left out.
     """
     rows = obs.where(F.col(value).isNotNull())
-    centre = rows.groupBy(group).agg(F.median(value).alias("centre"), F.count("*").alias("n")).where(F.col("n") >= least)
-    away = rows.join(centre, group).withColumn("away", F.abs(F.col(value) - F.col("centre")))
-    spread = away.groupBy(group).agg(F.median("away").alias("mad"))
+    centre = written(medians(rows, group, value, least=least).select(group, F.col("median").alias("centre")), "centres")
+    away = rows.join(_broadcast_few(centre), group).withColumn("away", F.abs(F.col(value) - F.col("centre")))
+    spread = written(medians(away, group, "away").select(group, F.col("median").alias("mad")), "spreads")
     z = F.when(F.col("mad") > 0, MAD_SCALE * (F.col(value) - F.col("centre")) / F.col("mad")).otherwise(0.0)
-    return away.join(spread, group).withColumn("z", z).drop("away", "n")
+    return away.join(_broadcast_few(spread), group).withColumn("z", z).drop("away")
 
 
 def mad_suspicion(z: Column, threshold: float = Z_THRESHOLD) -> Column:
@@ -52,11 +80,12 @@ def mad_outliers(obs: DataFrame, *, response: str, respondent: str, group: str,
 def exact_duplicates(df: DataFrame, key: Column) -> DataFrame:
     """``df`` with ``others``: how many other rows have the same key; rows alone are left out.
 
-    Counted apart and joined back, so one very common key is no single window.
+    Keys are grouped by 128 bits of two hashes, so long keys are not shuffled. They are
+    counted apart and joined back, so one very common key is no single window.
     """
-    keyed = df.withColumn("__key", F.xxhash64(key)).withColumn("__text", key)
-    many = keyed.groupBy("__key", "__text").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    return keyed.join(many, ["__key", "__text"]).drop("__key", "__text")
+    keyed = df.withColumns({"__key": F.xxhash64(key), "__also": F.xxhash64(F.lit("also"), key)})
+    many = keyed.groupBy("__key", "__also").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    return keyed.join(many, ["__key", "__also"]).drop("__key", "__also")
 
 
 def repeated_respondents(df: DataFrame, respondent: str, completed: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwork.functions import expr as E
@@ -40,6 +40,14 @@ class Run:
     rules: dict[str, tuple[str, str]] = field(default_factory=dict)
     numeric: tuple[str, ...] = ()
     confrontations: tuple[Confrontation, ...] = ()
+    #: Answers that make two responses the same, if all are; none: not checked.
+    compared: tuple[str, ...] = ()
+    #: Whether a response is complete, as a condition; only complete ones can be second ones or too quick.
+    completed: str = "true"
+    duration: str | None = None
+    speed_floor: float = S.SPEED_FLOOR_MS
+    #: Batteries of questions by name: alike answers to all are suspicious, from three on.
+    batteries: dict[str, tuple[str, ...]] = field(default_factory=dict)
     kinds: tuple[str, ...] = S.CHECK_KINDS
     threshold: float = S.Z_THRESHOLD
     least: int = S.LEAST_OBSERVATIONS
@@ -52,37 +60,75 @@ def observations(responses: DataFrame, run: Run) -> DataFrame:
 
 
 def skipped(responses: DataFrame, run: Run) -> DataFrame:
-    """(check_id, reason): outlier checks that have too few observations."""
-    counts = responses.agg(*(F.count(c).alias(c) for c in run.numeric))
-    long = counts.unpivot([], list(run.numeric), "variable", "n").where(F.col("n") < run.least)
-    return long.select(F.concat(F.lit("mad:"), "variable").alias("check_id"), F.concat(F.col("n").cast("string"), F.lit(f" of {run.least} observations")).alias("reason"))
+    """(check_id, reason): outlier checks that have too few observations, and the speed check if no duration is known."""
+    none = responses.limit(0).select(F.lit("").alias("check_id"), F.lit("").alias("reason"))
+    if run.numeric:
+        counts = responses.agg(*(F.count(c).alias(c) for c in run.numeric))
+        long = counts.unpivot([], list(run.numeric), "variable", "n").where(F.col("n") < run.least)
+        found = long.select(F.concat(F.lit("mad:"), "variable").alias("check_id"), F.concat(F.col("n").cast("string"), F.lit(f" of {run.least} observations")).alias("reason"))
+    else:
+        found = none
+    if not run.duration:
+        return found
+    timed = responses.where(F.expr(run.completed)).agg(F.count(run.duration).alias("n")).where("n = 0")
+    return found.unionByName(timed.select(F.lit("speeder").alias("check_id"), F.lit("no complete response with a duration").alias("reason")))
+
+
+#: The column that names a response and its respondent within the checks.
+_WHO = "__who"
+
+
+def _statistical(responses: DataFrame, run: Run) -> list[DataFrame]:
+    """Outliers, copies, second responses of a respondent, too quick ones, and batteries answered alike."""
+    who = {"response": F.col(run.response), "respondent": F.col(run.respondent)}
+    none, no = F.lit(None).cast("double"), F.lit(None).cast("string")
+    complete, out = F.expr(run.completed), []
+
+    def add(df: DataFrame, check: Column, suspicion: Column, variable: Column = no, observed: Column = none, by: dict[str, Column] = who) -> None:
+        out.append(S.flag(df, **by, variable=variable, kind="statistical", check_id=check, severity="query", observed=observed, suspicion=suspicion))
+
+    if run.numeric:
+        found = S.mad_scores(observations(responses, run), "variable", "value", least=run.least).where(F.abs("z") > run.threshold)
+        add(found, F.concat(F.lit("mad:"), "variable"), S.mad_suspicion(F.col("z"), run.threshold), F.col("variable"), F.col("value"), {"response": F.col("response"), "respondent": F.col("respondent")})
+    if run.compared:
+        add(S.exact_duplicates(responses, F.to_json(F.struct(*run.compared))), F.lit("duplicate-exact"), F.lit(0.7))
+    add(S.repeated_respondents(responses, run.respondent, complete), F.lit("duplicate-respondent"), F.lit(0.7))
+    if run.duration:
+        timed = responses.where(complete).withColumn("__took", F.col(run.duration).cast("double"))
+        add(S.speeders(timed, "__took", floor=run.speed_floor), F.lit("speeder"), F.lit(0.7), observed=F.col("__took"))
+    for name, columns in run.batteries.items():
+        if len(columns) < 3:
+            continue
+        texts = [F.col(c).cast("string") for c in columns]
+        alike = reduce(lambda a, b: a & b, (t == texts[0] for t in texts[1:]))
+        add(responses.where(alike), F.lit(f"straight-line:{name}"), F.lit(0.6), F.lit(name), F.col(columns[0]).try_cast("double"))
+    return out
 
 
 def flags_of(responses: DataFrame, run: Run) -> DataFrame:
     """The flags of all kinds of checks, in the common shape."""
     who = {"response": F.col(run.response), "respondent": F.col(run.respondent)}
-    names = responses.select(run.response, run.respondent)
+    # who answered goes along with each check's own key, so nothing is joined back, and equal ids stay apart
+    keyed = responses.withColumn(_WHO, F.struct(*(c.cast("string").alias(n) for n, c in who.items())))
     none, no = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def shaped(df: DataFrame, kind: str, variable, check) -> DataFrame:
-        cells = (who["response"].cast("string"), who["respondent"].cast("string"), variable, F.lit(kind), check, F.col("severity"), none, F.col("suspicion").cast("double"))
-        return df.join(names, run.response).select(*(c.alias(n) for c, n in zip(cells, S.FLAG, strict=True)))
+        cells = (F.col(f"{_WHO}.response"), F.col(f"{_WHO}.respondent"), variable, F.lit(kind), check, F.col("severity"), none, F.col("suspicion").cast("double"))
+        return df.select(*(c.alias(n) for c, n in zip(cells, S.FLAG, strict=True)))
 
     out = []
     if run.fields and "metadata" in run.kinds:
-        answers = M.long_answers(responses, run.response, [f.name for f in run.fields])
-        out.append(shaped(M.checked(answers, list(run.fields), response=run.response), "metadata", F.col("base_name"), F.col("check_id")))
+        answers = M.long_answers(keyed, _WHO, [f.name for f in run.fields])
+        out.append(shaped(M.checked(answers, list(run.fields), response=_WHO), "metadata", F.col("base_name"), F.col("check_id")))
     if run.form is not None and "edit" in run.kinds:
-        out.append(shaped(I.fired_edits(responses, run.form, run.response), "edit", no, F.col("edit_id")))
+        out.append(shaped(I.fired_edits(keyed, run.form, _WHO), "edit", no, F.col("edit_id")))
     if run.rules and "rule" in run.kinds:
         env = E.environment(responses)
         hits = [F.when(E.compile_condition(source, env), F.struct(F.lit(name).alias("check_id"), F.lit(sev).alias("severity"), F.lit(1.0 if sev == "fatal" else 0.6).alias("suspicion"))) for name, (source, sev) in run.rules.items()]
-        fired = responses.select(run.response, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r")).select(run.response, "r.*")
+        fired = keyed.select(_WHO, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("r")).select(_WHO, "r.*")
         out.append(shaped(fired, "rule", no, F.col("check_id")))
-    if run.numeric and "statistical" in run.kinds:
-        long = observations(responses, run)
-        found = S.mad_scores(long, "variable", "value", least=run.least).where(F.abs("z") > run.threshold)
-        out.append(S.flag(found, response=F.col("response"), respondent=F.col("respondent"), variable=F.col("variable"), kind="statistical", check_id=F.concat(F.lit("mad:"), "variable"), severity="query", observed=F.col("value"), suspicion=S.mad_suspicion(F.col("z"), run.threshold)))
+    if "statistical" in run.kinds:
+        out += _statistical(responses, run)
     for c in run.confrontations if "confrontation" in run.kinds else ():
         last = K.last_per_key(c.reference, c.ref_key, c.order, sorted(set(c.mappings.values())))
         both = responses.join(last.select(F.col(c.ref_key).alias("__k"), *(F.col(x).cast("double").alias(f"__{x}") for x in set(c.mappings.values()))), F.col(c.key) == F.col("__k"), "left")
@@ -106,4 +152,4 @@ def validate(responses: DataFrame, run: Run, accepted: DataFrame | None = None)
     if accepted is not None:
         found = S.unsuppressed(found, accepted)
     columns = [c for c in responses.columns if c not in (run.response, run.respondent)]
-    return {"flags": S.queue(found), "summary": S.run_summary(found), "skipped": skipped(responses, run) if run.numeric else responses.limit(0).select(F.lit("").alias("check_id"), F.lit("").alias("reason")), "missing": S.missing_rates(responses, columns)}
+    return {"flags": S.queue(found), "summary": S.run_summary(found), "skipped": skipped(responses, run), "missing": S.missing_rates(responses, columns)}

@@ -544,6 +544,44 @@ def page_rows(spark, sf_dir):
 
 # -- a whole run
 
+#: Every flag of a run over orders: who, what, how suspicious, and how much it matters.
+_FLAGS = """WITH o AS (SELECT *, o_totalprice / 10 AS took FROM orders), r AS (SELECT l_orderkey, l_extendedprice AS price FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_extendedprice DESC) = 1),
+m AS (SELECT median(o_totalprice) AS centre, sum(abs(o_totalprice)) AS total FROM o), s AS (SELECT median(abs(o_totalprice - centre)) AS mad FROM o, m),
+z AS (SELECT o.*, CASE WHEN mad > 0 THEN abs(0.6745 * (o_totalprice - centre) / mad) ELSE 0 END AS z FROM o, m, s),
+p AS (SELECT greatest(200.0, min(took)) AS slow FROM (SELECT took, row_number() OVER (ORDER BY took) - 1 AS i, count(*) OVER () AS n FROM o WHERE o_orderstatus <> 'O' AND took IS NOT NULL) WHERE i = floor(n * 0.05)),
+f AS (SELECT 'metadata' AS check_kind, 'fatal' AS severity, o_orderkey, o_custkey, NULL::DOUBLE AS observed, 'o_totalprice' AS variable_name, 'range' AS check_id, 1.0::DOUBLE AS suspicion FROM o WHERE o_totalprice > 400000
+UNION ALL SELECT 'metadata', 'query', o_orderkey, o_custkey, NULL, 'o_orderstatus', 'code', 0.4 FROM o WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT 'statistical', 'query', o_orderkey, o_custkey, o_totalprice, 'o_totalprice', 'mad:o_totalprice', least(1.0, 0.5 + (z - 1.2) / 2.4) FROM z WHERE z > 1.2 AND o_orderkey % 5 <> 0
+UNION ALL SELECT 'statistical', 'query', o_orderkey, o_custkey, NULL, NULL, 'duplicate-exact', 0.7 FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM o) WHERE n > 1
+UNION ALL SELECT 'statistical', 'query', o_orderkey, o_custkey, NULL, NULL, 'duplicate-respondent', 0.7 FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM o WHERE o_orderstatus <> 'O' AND o_custkey IS NOT NULL) WHERE n > 1
+UNION ALL SELECT 'statistical', 'query', o_orderkey, o_custkey, took, NULL, 'speeder', 0.7 FROM o, p WHERE o_orderstatus <> 'O' AND took < slow
+UNION ALL SELECT 'statistical', 'query', o_orderkey, o_custkey, o_custkey % 3, 'same', 'straight-line:same', 0.6 FROM o WHERE o_custkey % 3 = o_orderkey % 3 AND o_custkey % 3 = floor(o_totalprice) % 3
+UNION ALL SELECT 'confrontation', 'query', o_orderkey, o_custkey, NULL, NULL, 'confront-unmatched:lines', 0.4 FROM o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM r)
+UNION ALL SELECT 'confrontation', 'query', o_orderkey, o_custkey, o_totalprice, 'o_totalprice', 'confront:lines:o_totalprice', NULL FROM o JOIN r ON o_orderkey = l_orderkey WHERE abs(o_totalprice - price) / abs(price) * 100 > 50)
+SELECT o_orderkey::VARCHAR AS response_id, o_custkey::VARCHAR AS respondent_id, variable_name, check_kind, CASE WHEN check_kind = 'metadata' THEN severity ELSE check_id END AS what, observed, round(suspicion, 6) AS suspicion,
+  CASE WHEN suspicion IS NOT NULL THEN round(CASE WHEN variable_name = 'o_totalprice' AND observed IS NOT NULL THEN abs(observed) / total ELSE 0.5 END, 12) END AS impact FROM f, m"""
+
+
+def _order_run(spark, sf_dir, **more):
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice").withColumn("place", F.struct("l_linenumber", "l_extendedprice"))
+    fields = (M.Field("o_totalprice", "numeric", high=400000), M.Field("o_orderstatus", "lookup", codes=("F", "O")))
+    lines = R.Confrontation("lines", li, "o_orderkey", "l_orderkey", "place", {"o_totalprice": "l_extendedprice"}, pct=50.0)
+    accepted = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("response_id"), F.lit("mad:o_totalprice").alias("check_id"), F.lit("o_totalprice").alias("variable_name"), F.col("o_totalprice").cast("double").alias("observed"))
+    o = o.withColumns({"took": F.col("o_totalprice") / 10, "b1": F.col("o_custkey") % 3, "b2": F.col("o_orderkey") % 3, "b3": F.floor("o_totalprice") % 3})
+    return o, R.Run("o_orderkey", "o_custkey", fields, numeric=("o_totalprice",), confrontations=(lines,), threshold=1.2, compared=("o_custkey", "o_orderpriority"), completed="o_orderstatus <> 'O'", duration="took", speed_floor=200.0, batteries={"same": ("b1", "b2", "b3")}, **more), accepted
+
+
+@query(_FLAGS)
+def validation_flags(spark, sf_dir):
+    """All flags of a run; how suspicious a mismatch is, is compared by confront_totals."""
+    o, run, accepted = _order_run(spark, sf_dir)
+    flags = R.validate(o, run, accepted)["flags"]
+    known = ~F.col("check_id").startswith("confront:")
+    what = F.when(F.col("check_kind") == "metadata", F.col("severity")).otherwise(F.col("check_id"))
+    return flags.select("response_id", "respondent_id", "variable_name", "check_kind", what.alias("what"), "observed", F.when(known, F.round("suspicion", 6)).alias("suspicion"), F.when(known, F.round("impact", 12)).alias("impact"))
+
+
 _RUN = """WITH o AS (SELECT * FROM orders), r AS (SELECT l_orderkey, l_extendedprice AS price FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_extendedprice DESC) = 1),
 m AS (SELECT median(o_totalprice) AS centre FROM o), s AS (SELECT median(abs(o_totalprice - centre)) AS mad FROM o, m),
 f AS (SELECT 'metadata' AS check_kind, 'fatal' AS severity, o_orderkey, CAST(NULL AS DOUBLE) AS observed FROM o WHERE o_totalprice > 400000
@@ -553,9 +591,10 @@ UNION ALL SELECT 'edit', 'fatal', o_orderkey, NULL FROM o WHERE o_totalprice / 1
 UNION ALL SELECT 'rule', 'fatal', o_orderkey, NULL FROM o WHERE o_totalprice > 300000 AND o_orderstatus IS DISTINCT FROM 'F' UNION ALL SELECT 'rule', 'query', o_orderkey, NULL FROM o WHERE contains(o_orderpriority, 'URGENT') AND o_totalprice * 2 < 100000
 UNION ALL SELECT 'rule', 'query', o_orderkey, NULL FROM o WHERE o_orderstatus = 'P' OR coalesce(o_orderpriority, '') = ''
 UNION ALL SELECT 'statistical', 'query', o_orderkey, o_totalprice FROM o, m, s WHERE mad > 0 AND abs(0.6745 * (o_totalprice - centre) / mad) > 1.2
+UNION ALL SELECT 'statistical', 'query', o_orderkey, -1 FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM o WHERE o_custkey IS NOT NULL) WHERE n > 1
 UNION ALL SELECT 'confrontation', 'query', o_orderkey, NULL FROM o WHERE o_orderkey NOT IN (SELECT l_orderkey FROM r)
 UNION ALL SELECT 'confrontation', 'query', o_orderkey, o_totalprice FROM o JOIN r ON o_orderkey = l_orderkey WHERE abs(o_totalprice - price) / abs(price) * 100 > 50),
-g AS (SELECT * FROM f WHERE NOT (check_kind = 'statistical' AND o_orderkey % 5 = 0)),
+g AS (SELECT * FROM f WHERE NOT (check_kind = 'statistical' AND observed >= 0 AND o_orderkey % 5 = 0)),
 k AS (SELECT unnest(['metadata', 'edit', 'rule', 'statistical', 'confrontation']) AS check_kind)
 SELECT check_kind, count(*) FILTER (severity = 'fatal') AS fatal, count(*) FILTER (severity = 'query') AS query, count(severity) AS total FROM k LEFT JOIN g USING (check_kind) GROUP BY 1"""
 

@@ -80,3 +80,31 @@ def test_most_frequent_and_suggestions(spark):
     assert {r.k: r.v for r in C.most_frequent(df, ["k"], "v").collect()} == {"g": "a", "h": "x"}
     v = spark.createDataFrame([("smoking", 100), ("smocking", 2), ("housing", 50)], "term string, records long")
     assert [r.term for r in Q.suggest(v, "smokking").collect()][0] == "smoking"
+
+
+def test_medians_of_hot_and_small_groups(spark):
+    """Exact medians from ranges of counts, against the built-in function."""
+    from fieldwork.operators import flags as S
+
+    rows = [("hot", float(i * 7919 % 1013)) for i in range(4000)] + [("even", float(i)) for i in range(10)] + [("one", 5.0), ("none", None), (None, 1.0), (None, 4.0), ("same", 2.0), ("same", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.median, r.n) for r in S.medians(df, "g", "v").collect() if r.g is not None}
+    want = {r.g: (r.m, r.n) for r in df.where("v IS NOT NULL AND g IS NOT NULL").groupBy("g").agg(F.median("v").alias("m"), F.count("v").alias("n")).collect()}
+    assert got == want and "none" not in got
+    assert {r.g for r in S.medians(df, "g", "v", least=10).collect()} == {"hot", "even"}
+
+
+def test_a_whole_run_has_every_statistical_check(spark):
+    """Repeated response ids keep their own respondents; batteries of two say nothing; without a duration the check is skipped."""
+    from fieldwork.operators import validation as R
+
+    rows = [("r1", "a", 1, 1, 1, 5.0, True), ("r1", "b", 1, 1, 1, 5.0, True), ("r2", "a", 1, 2, 1, 900.0, True), ("r3", None, None, 1, 1, None, False)]
+    df = spark.createDataFrame(rows, "id string, who string, x int, y int, z int, ms double, done boolean")
+    run = R.Run("id", "who", rules={"big": ("$x == 1", "fatal")}, compared=("x", "y", "z"), completed="done", duration="ms", speed_floor=10.0, batteries={"g": ("x", "y", "z"), "two": ("x", "z")})
+    got = R.validate(df, run)
+    flags = sorted((f.response_id, f.respondent_id, f.check_id) for f in got["flags"].collect())
+    same = [("r1", "a", "straight-line:g"), ("r1", "b", "straight-line:g")]
+    want = [("r1", "a", "big"), ("r1", "b", "big"), ("r2", "a", "big"), ("r1", "a", "duplicate-exact"), ("r1", "b", "duplicate-exact"), ("r1", "a", "duplicate-respondent"), ("r2", "a", "duplicate-respondent"), ("r1", "a", "speeder"), ("r1", "b", "speeder"), *same]
+    assert flags == sorted(want)
+    assert {s.check_kind: s.total for s in got["summary"].collect()}["statistical"] == 8
+    assert [s.check_id for s in R.skipped(df.where("NOT done"), run).collect()] == ["speeder"]
