@@ -354,36 +354,19 @@ def header_blocks(lines: DataFrame, *, document: str, order: list[str], header:
 def rows_of_items(items: DataFrame, *, page: list[str], x: str, y: str, width: str, text: str, tolerance: float = 2.0, gap: float = 2.5) -> DataFrame:
     """(page, row, line): text items put into rows by height, and joined from left to right.
 
-    An item within ``tolerance`` of a row's first item is of that row; the first decides,
-    so rows are built in order, page by page. A gap of ``gap`` or more is three spaces.
+    An item within ``tolerance`` of a row's first item is of that row. The first decides,
+    so a page's heights, highest first, are folded to the heights at which rows begin;
+    an item is of the last of these at or above it. A gap of ``gap`` or more is three spaces.
     """
-    import pandas as pd
-
-    schema = ", ".join(f"{c} {dict(items.dtypes)[c]}" for c in page) + ", row int, line string"
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        anchor, held = None, []
-
-        def close() -> None:
-            line, end = "", None
-            for _, r in sorted(held, key=lambda p: p[0]):
-                line += ("" if end is None else "   " if r[x] - end >= gap else "") + r[text]
-                end = r[x] + r[width]
-            out.append({**{c: rows[c].iloc[0] for c in page}, "row": len(out), "line": line})
-
-        for i, r in enumerate(rows.sort_values([y, x], ascending=[False, True]).to_dict("records")):
-            if anchor is not None and abs(r[y] - anchor) > tolerance:
-                close()
-                held = []
-            if not held:
-                anchor = r[y]
-            held.append(((r[x], i), r))
-        if held:
-            close()
-        return pd.DataFrame(out, columns=[*page, "row", "line"])
-
-    return items.groupBy(*page).applyInPandas(build, schema)
+    item = F.struct(F.col(x).alias("x"), F.col(text).alias("t"), F.col(width).alias("w"), F.col(y).alias("y"))
+    pages = items.groupBy(*page).agg(F.collect_list(item).alias("items"), F.sort_array(F.collect_set(y), asc=False).alias("heights"))
+    begins = F.aggregate("heights", F.slice("heights", 1, 1), lambda acc, h: F.when(F.abs(h - F.element_at(acc, -1)) > tolerance, F.concat(acc, F.array(h))).otherwise(acc))
+    rows = pages.withColumn("begins", begins).select(*page, "begins", F.explode("items").alias("i"))
+    place = F.size(F.filter("begins", lambda h: h >= F.col("i.y"))) - 1
+    lines = rows.groupBy(*page, place.alias("row")).agg(F.sort_array(F.collect_list(F.struct("i.x", F.negative("i.y").alias("down"), "i.t", "i.w"))).alias("r"))
+    before = lambda k: F.get(F.col("r"), k - 1)
+    spaced = F.transform("r", lambda i, k: F.concat(F.when(i["x"] - (before(k)["x"] + before(k)["w"]) >= gap, "   ").otherwise(""), i["t"]))
+    return lines.select(*page, "row", F.array_join(spaced, "").alias("line"))
 
 
 def chosen_files(files: DataFrame, *, key: str, family: str | None, code: str, seed: int, share: float | None, limit: int | None) -> DataFrame:

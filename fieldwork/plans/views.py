@@ -479,31 +479,37 @@ def responses_csv(spark, sf_dir):
     return held.select("user_id", V.csv_line(F.coalesce("m", F.create_map().cast("map<string,string>")), keys).alias("line"))
 
 
-# -- archive files: a list of paths with what each tells, worked out by hand
-
-# (path, code, kind, acronym, cycle, year, language)
-FILES = (
-    ("ABCS_EFGS/ABCS_EFGS_2011_2012/ABCS_2011_2012_T15.2_v1_eng.pdf", "T15.2", "data-dictionary", "ABCS", "2011_2012", 2011, "en"),
-    ("ABCS_EFGS/ABCS_EFGS_2001_C1.1/EFGS_cycle_f3_T3_v2.pdf", "T3", "record-layout", "ABCS", "C1.1", 2001, "fr"),
-    ("LFE_XPA/LFE_T4_DataDictionary_January2020.pdf", "T4", "data-dictionary", "LFE", None, None, "en"),
-    ("QRS_TUV_2006/5108_QRS-TUV_C2006_T15.2_fra.doc", "T15.2", "data-dictionary", "QRS", "2006", 2006, "fr"),
-    ("QRS_TUV_2006/qrs_2008-2017_t4_f3_T15-2_v2.pdf", "T15.2", "data-dictionary", "QRS", "2006", 2006, "en"),
-    ("Vital Statistics/FAQ/ALB_Albumin_E.pdf", None, "reference", None, None, None, "en"),
-    ("ABCS_EFGS/ABCS_EFGS_Cycle_6_Wave_3/EFGS_11.1_v1.pdf", "T11.1", "alphabetic-index", "ABCS", "Cycle_6_Wave_3", None, "fr"),
-    ("WXY_ZAB/Main_Data_Dictionary_and_Alphabetical_Index.pdf", None, "data-dictionary", "WXY", None, None, "en"),
-    ("WXY_ZAB/Guide de l'utilisateur 1999.docx", None, "user-guide", "WXY", None, 1999, "fr"),
-    ("WXY_ZAB/notes T05.2.pdf", "T5.2", "reference", "WXY", None, None, "unknown"),
-    ("/x\\y/photo", None, "unknown", None, None, None, "unknown"),
-    ("DAD_NAC_ABCS/DAD_no freqs_F.xlsx", None, "data-dictionary", "DAD", None, None, "fr"),
+# -- archive files: paths written from the columns of parts, which the oracle takes what they tell from
+
+_ARCHIVE = """SELECT *, chr(65 + b % 26) || chr(65 + b * 7 % 26) || chr(65 + b * 3 % 26) || 'S' AS one, chr(65 + b * 5 % 26) || chr(65 + b * 11 % 26) || chr(65 + b * 9 % 26) || 'Q' AS other, 1990 + p_size % 30 AS y
+FROM (SELECT *, CAST(substr(p_brand, 7) AS INT) AS b, CASE length(p_name) % 3 WHEN 0 THEN '15.2' WHEN 1 THEN '3' ELSE '11.1' END AS code, CASE p_size % 2 WHEN 0 THEN 'eng' ELSE 'fra' END AS tag FROM part)"""
+_PATHS = (
+    "one || '_' || other || '/' || one || '_' || other || '_' || y || '_' || (y + 1) || '/' || one || '_' || y || '_' || (y + 1) || '_T' || code || '_v1_' || tag || '.pdf'",
+    "one || '_' || other || '/' || one || '_T4_DataDictionary_January' || y || '.pdf'",
+    "one || '_' || other || '_' || y || '/' || p_partkey || 'x_' || one || '-' || other || '_C' || y || '_T' || code || '_' || tag || '.doc'",
+    "one || '_' || other || '/notes T0' || substr('4579', p_size % 4 + 1, 1) || '.2.pdf'",
+    "one || '_' || other || '/Guide de l''utilisateur ' || y || '.docx'",
 )
-_SQL = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-_FILES = f"SELECT p_partkey, f.* EXCLUDE (no) FROM part JOIN (VALUES {', '.join('(' + ', '.join(map(_SQL, (i, *row[1:]))) + ')' for i, row in enumerate(FILES))}) f(no, tcode, doc_kind, survey_acronym, cycle, year, lang) ON p_partkey % {len(FILES)} = no"
+_FILES = f"""SELECT p_partkey,
+  CASE f WHEN 1 THEN 'T4' WHEN 3 THEN 'T' || substr('4579', p_size % 4 + 1, 1) || '.2' WHEN 4 THEN NULL ELSE 'T' || code END AS tcode,
+  CASE WHEN f = 1 THEN 'data-dictionary' WHEN f = 3 THEN 'reference' WHEN f = 4 THEN 'user-guide' WHEN code = '15.2' THEN 'data-dictionary' WHEN code = '3' THEN 'record-layout' ELSE 'alphabetic-index' END AS doc_kind,
+  one AS survey_acronym, CASE f WHEN 0 THEN y || '_' || (y + 1) WHEN 2 THEN y::VARCHAR END AS cycle, CASE WHEN f IN (0, 2, 4) THEN y::INT END AS year,
+  CASE WHEN f IN (0, 2) THEN CASE tag WHEN 'eng' THEN 'en' ELSE 'fr' END WHEN f = 1 THEN 'en' WHEN f = 4 THEN 'fr' ELSE 'unknown' END AS lang
+FROM (SELECT *, p_partkey % {len(_PATHS)} AS f FROM ({_ARCHIVE}))"""
 
 
 def _files(spark, sf_dir):
-    paths = F.array(*(F.lit(f[0]) for f in FILES))
-    p = table(spark, sf_dir, "part", "p_partkey").withColumn("path", F.element_at(paths, (F.col("p_partkey") % len(FILES) + 1).cast("int")))
-    return L.classified(p, "path").select("p_partkey", "file.*")
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_size").withColumn("b", F.substr("p_brand", F.lit(7)).cast("int"))
+    letters = lambda *ks: F.concat(*(F.chr((65 + F.col("b") * k % 26).cast("int")) for k in ks))
+    p = p.withColumns({
+        "one": F.concat(letters(1, 7, 3), F.lit("S")),
+        "other": F.concat(letters(5, 11, 9), F.lit("Q")),
+        "y": 1990 + F.col("p_size") % 30,
+        "code": F.when(F.length("p_name") % 3 == 0, "15.2").when(F.length("p_name") % 3 == 1, "3").otherwise("11.1"),
+        "tag": F.when(F.col("p_size") % 2 == 0, "eng").otherwise("fra"),
+    })
+    written = F.coalesce(*(F.when(F.col("p_partkey") % len(_PATHS) == i, F.expr(x.replace("l''u", "l\\'u"))) for i, x in enumerate(_PATHS)))
+    return L.classified(p.select("p_partkey", written.alias("path")), "path").select("p_partkey", "file.*")
 
 
 @query(_FILES)
@@ -521,11 +527,13 @@ def ingest_selection(spark, sf_dir):
     return V.chosen_files(_files(spark, sf_dir).select("p_partkey", "tcode"), key="p_partkey", family="T15", code="tcode", seed=1, share=None, limit=25)
 
 
-@query("""SELECT p_partkey, s AS subject FROM (SELECT p_partkey, unnest(CASE p_partkey % 4 WHEN 0 THEN ['Health', 'Children and youth'] WHEN 1 THEN ['Labour', 'Income, pensions, spending and wealth'] WHEN 2 THEN ['Housing'] ELSE [] END) AS s FROM part)""")
+@query("""SELECT p_partkey, s AS subject FROM (SELECT p_partkey, unnest(CASE WHEN starts_with(p_name, 'small') THEN ['Health', 'Children and youth'] WHEN starts_with(p_name, 'old') THEN ['Labour', 'Income, pensions, spending and wealth'] WHEN starts_with(p_name, 'red') THEN ['Housing'] ELSE [] END) AS s FROM part)""")
 def subject_hints(spark, sf_dir):
-    titles = F.array(*map(F.lit, ("Survey of Child Nutrition", "Workplace Earnings Panel", "Dwelling Counts", "Quarterly Panel")))
-    p = table(spark, sf_dir, "part", "p_partkey")
-    return p.select("p_partkey", F.explode(L.subjects(F.element_at(titles, (F.col("p_partkey") % 4 + 1).cast("int")))).alias("subject"))
+    """Titles are parts' names, some of their words replaced by what such titles say."""
+    title = F.col("p_name")
+    for word, said in (("small", "Survey of Child Nutrition:"), ("old", "Workplace Earnings Panel:"), ("red", "Dwelling Counts:")):
+        title = F.regexp_replace(title, f"^{word}", said)
+    return table(spark, sf_dir, "part", "p_partkey", "p_name").select("p_partkey", F.explode(L.subjects(title)).alias("subject"))
 
 
 @query("SELECT conv_id, turn, count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS block FROM conversations QUALIFY block > 0")
@@ -534,9 +542,17 @@ def variable_blocks(spark, sf_dir):
     return V.header_blocks(c, document="conv_id", order=["turn"], header=F.col("role") == "user").select("conv_id", "turn", "block")
 
 
-@query()
+@query("""WITH RECURSIVE items AS (
+  SELECT l_orderkey AS page, l_linenumber * 7.0 AS x, floor(l_quantity / 3) AS y, l_discount * 60 AS w, l_returnflag AS t,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_quantity / 3) DESC, l_linenumber, l_returnflag, l_discount) AS i FROM lineitem
+), walked AS (
+  SELECT page, i, x, w, t, y AS anchor, 0 AS row FROM items WHERE i = 1
+  UNION ALL SELECT n.page, n.i, n.x, n.w, n.t, CASE WHEN abs(n.y - anchor) > 2 THEN n.y ELSE anchor END, CASE WHEN abs(n.y - anchor) > 2 THEN row + 1 ELSE row END
+  FROM walked p JOIN items n ON n.page = p.page AND n.i = p.i + 1
+), spaced AS (SELECT *, CASE WHEN x - lag(x + w) OVER o >= 2.5 THEN '   ' ELSE '' END || t AS part FROM walked WINDOW o AS (PARTITION BY page, row ORDER BY x, i))
+SELECT page, row::INT AS row, string_agg(part, '' ORDER BY x, i) AS line FROM spaced GROUP BY page, row""")
 def page_rows(spark, sf_dir):
-    """Rows of text items on a page; each row depends on the one before it, so a test compares with a plain loop."""
+    """Rows of text items on a page; the oracle walks from item to item."""
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
     items = li.select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 7.0).alias("x"), F.floor(F.col("l_quantity") / 3).cast("double").alias("y"), (F.col("l_discount") * 60).cast("double").alias("w"), F.col("l_returnflag").alias("t"))
     return V.rows_of_items(items, page=["page"], x="x", y="y", width="w", text="t")
