@@ -11,6 +11,8 @@ from fieldwork.operators import paths as P
 from fieldwork.operators import registry as G
 from fieldwork.operators import textsearch as T
 from fieldwork.plans.catalogue import query, table
+from fieldwork.sources.store import scratch
+from fieldwork.streaming import upserts as U
 
 # -- dictionaries: parts are printed in five styles, a brand a document, and read back
 
@@ -322,3 +324,28 @@ def registry_built(spark, sf_dir):
     """Questionnaires go in as JSON; the oracle takes the rows from the tables that they were written from."""
     found = G.registry(_instruments(spark, sf_dir), json="json")
     return found.drop("label", "description", "payload").withColumns({"keywords": F.array_join("keywords", ","), "tags": F.array_join("tags", ",")})
+
+
+# -- streams: the last event of each user, batch by batch, and what fails a check on the way
+
+
+def _streamed(spark, sf_dir):
+    """The events table as a stream, upserted by user into a new folder; the folder."""
+    source = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    folder = scratch(spark, "upserts")
+    source.write.option("maxRecordsPerFile", 200_000).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/in")
+    checks = {"no-value": lambda: F.col("value").isNull(), "error": lambda: F.col("event_type") == "error"}
+    U.upsert(stream, path=f"{folder}/out", checkpoint=f"{folder}/checkpoint", key="user_id", version=lambda: F.struct("ts", "event_id"), checks=checks).awaitTermination()
+    return f"{folder}/out"
+
+
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1")
+def stream_upserts(spark, sf_dir):
+    return U.current(spark, _streamed(spark, sf_dir), key="user_id", version=F.struct("ts", "event_id")).select("user_id", "event_id", "event_type", "value")
+
+
+@query("SELECT check_id, count(*) AS records, count(DISTINCT user_id) AS users FROM (SELECT user_id, unnest(list_filter([CASE WHEN value IS NULL THEN 'no-value' END, CASE WHEN event_type = 'error' THEN 'error' END], lambda x: x IS NOT NULL)) AS check_id FROM events) GROUP BY 1")
+def stream_issues(spark, sf_dir):
+    issues = spark.read.parquet(f"{_streamed(spark, sf_dir)}/issues")
+    return issues.groupBy("check_id").agg(F.count("*").alias("records"), F.count_distinct("user_id").alias("users"))

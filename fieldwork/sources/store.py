@@ -52,22 +52,24 @@ def kept(source: DataFrame, label: str, make: Callable[[DataFrame], DataFrame])
     found = next((k for k in _KEPT.get(key, []) if k[0].sameSemantics(source)), None)
     if found is None:
         df = make(source)
-        path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
-        target, fs = _hadoop(spark, path)
-        fs.mkdirs(target.getParent())
-        fs.deleteOnExit(target)
+        path = scratch(spark, "kept")
         df.write.parquet(path)
         found = source, path, df.schema
         _KEPT.setdefault(key, []).append(found)
     return spark.read.schema(found[2]).parquet(found[1])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     target, fs = _hadoop(spark, path)
     fs.mkdirs(target.getParent())
     fs.deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends there."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
