@@ -12,7 +12,8 @@ from fieldwork.operators import metadata as M
 from fieldwork.operators import tables as T
 from fieldwork.operators import validation as R
 from fieldwork.operators import views as V
-from fieldwork.plans.catalogue import CORPUS_NAMESPACE, ORDER_FORM, RULES, _uuid5, query, table
+from fieldwork.operators import search as Q
+from fieldwork.plans.catalogue import _LEXICON, CORPUS_NAMESPACE, ORDER_FORM, RULES, _uuid5, query, table
 
 # -- responses, sessions, audit
 
@@ -34,10 +35,10 @@ def surveys_with_counts(spark, sf_dir):
     return T.surveys_with_counts(c, table(spark, sf_dir, "orders", "o_custkey").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "c_acctbal").select("c_custkey", "responses")
 
 
-@query("SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL AND doc_id % 10 = 3")
+@query("SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL")
 def instruments_given(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return table(spark, sf_dir, "documents", "doc_id", "text").where("text IS NOT NULL AND doc_id % 10 = 3").join(good, "doc_id")
+    return table(spark, sf_dir, "documents", "doc_id", "text").where("text IS NOT NULL").join(good, "doc_id")
 
 
 @query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -143,10 +144,9 @@ def cluster_stats(spark, sf_dir):
     return p.agg(F.countDistinct("p_type").alias("concepts"), F.countDistinct("p_type", "p_brand").alias("conceptual"), F.countDistinct("p_type", "p_brand", "p_size").alias("represented"), F.count("*").alias("members"))
 
 
-@query("SELECT count(*) AS terms FROM (SELECT w FROM (SELECT doc_id, unnest(list_distinct(string_split(lower(lang || ' ' || source), ' '))) AS w FROM documents) GROUP BY w HAVING count(*) >= 2)")
+@query(_LEXICON + "SELECT count(*) AS terms FROM v")
 def vocabulary_size(spark, sf_dir):
-    d = table(spark, sf_dir, "documents", "lang", "source").select(F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "lang", "source")), " "))).alias("term"))
-    return d.groupBy("term").agg(F.count("*").alias("records")).where("records >= 2").agg(F.count("*").alias("terms"))
+    return Q.vocabulary(table(spark, sf_dir, "documents", "text"), "text").agg(F.count("*").alias("terms"))
 
 
 @query("SELECT p_type, arg_min(p_brand, p_partkey) FILTER (p_size % 4 <> 0) AS universe FROM part GROUP BY 1")
@@ -258,14 +258,11 @@ def access_codes(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'P' THEN 'callback' ELSE 'other' END AS status,
-row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 4 ELSE 7 END, o_orderdate, o_orderkey) AS place FROM orders QUALIFY place <= 300""")
+row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 4 ELSE 7 END, o_orderdate, o_orderkey) AS place FROM orders""")
 def case_queue(spark, sf_dir):
     o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate")
     o = o.withColumn("status", F.when(F.col("o_orderstatus") == "O", "new").when(F.col("o_orderstatus") == "P", "callback").otherwise("other"))
-    first = T.case_queue(o, "status", ["o_orderdate", "o_orderkey"]).limit(300)
-    # one partition of 300 rows, in order
-    listed = first.agg(F.collect_list(F.struct("o_orderkey", "status")).alias("l"))
-    return listed.select(F.posexplode("l").alias("at", "c")).select("c.o_orderkey", "c.status", (F.col("at") + 1).cast("long").alias("place"))
+    return T.case_queue(o, "status", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "status", "place")
 
 
 @query("SELECT instrument, item, 1 + count(*) FILTER (brk) OVER (PARTITION BY instrument ORDER BY item ROWS UNBOUNDED PRECEDING) - CASE WHEN first_value(brk) OVER (PARTITION BY instrument ORDER BY item) THEN 1 ELSE 0 END AS page FROM (SELECT user_id AS instrument, event_id AS item, event_id % 7 = 3 AS brk FROM events)")
