@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldwork.llm.common import ASCII_LOWER, WordHashes, read
+from fieldwork.llm.common import ASCII_LOWER, WordHashes, read, stored
 
 FIT_ROWS = 8_000
 BUCKETS = 1 << 18
@@ -173,8 +173,8 @@ def rated_grades(labels: DataFrame, id_col: str) -> DataFrame:
     return rated.select("id", grade.alias("grade"), F.xxhash64("id").alias("place"))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """A model of the labelled documents whose ids hash lowest, ``fit_rows`` at most."""
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> tuple[OrdinalModel, set | None]:
+    """A model of the labelled documents whose ids hash lowest, ``fit_rows`` at most, and the ids fitted; None if there is but one grade."""
     rated = rated_grades(labels, id_col)
     sample = rated.orderBy("place", "id").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
@@ -186,24 +186,29 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit
     grades = table.column("grade").to_numpy().astype(np.int64)
     held = np.arange(len(grades)) % 5 == 4
     weights, thresholds = fit_weights([b for b, h in zip(buckets, held, strict=True) if not h], grades[~held])
-    model = OrdinalModel(weights, thresholds, 0.0)
-    if len(set(grades.tolist())) > 1:
-        fitted = {i for i, h in zip(table.column("id").to_pylist(), held, strict=True) if not h}
-        model.cutoff = cutoff(texts, rated, model, fitted)
+    ids = {i for i, h in zip(table.column("id").to_pylist(), held, strict=True) if not h}
+    return OrdinalModel(weights, thresholds, 0.0), ids if len(set(grades.tolist())) > 1 else None
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, fit_rows: int = FIT_ROWS) -> OrdinalModel:
+    """A fitted model with its cutoff."""
+    model, ids = fitted(docs, labels, id_col=id_col, text_col=text_col, fit_rows=fit_rows)
+    if ids is not None:
+        model.cutoff = cutoff(docs.select(F.col(id_col).alias("id"), graded(F.col(text_col), model)["tail"].alias("tail")), rated_grades(labels, id_col), ids)
     return model
 
 
-def cutoff(texts: DataFrame, rated: DataFrame, model: OrdinalModel, fitted: set) -> float:
+def cutoff(tails: DataFrame, rated: DataFrame, fitted_ids: set) -> float:
     """The tail that all but LOST_CLEAN of the labelled clean documents reach that were not fitted.
 
-    ``fitted`` has ``fit_rows`` ids at most. The rank of the quantile found is off by a
-    millionth of the documents at most.
+    ``tails`` has (id, tail) of every document, so no text is joined; ``fitted_ids`` has
+    ``fit_rows`` ids at most. The rank of the quantile found is off by a millionth of
+    the documents at most.
     """
-    spark = texts.sparkSession
-    known = spark.createDataFrame([(i,) for i in sorted(fitted)], [("id")], verifySchema=False) if fitted else rated.select("id").limit(0)
+    spark = tails.sparkSession
+    known = spark.createDataFrame([(i,) for i in sorted(fitted_ids)], [("id")], verifySchema=False) if fitted_ids else rated.select("id").limit(0)
     clean = rated.where(F.col("grade") == GRADES - 1).join(F.broadcast(known), "id", "left_anti").select("id")
-    tails = texts.join(clean, "id").select(graded(F.col("t"), model)["tail"].alias("tail"))
-    found = tails.agg(F.percentile_approx("tail", LOST_CLEAN, 1_000_000).alias("p")).first()["p"]
+    found = tails.join(clean, "id").agg(F.percentile_approx("tail", LOST_CLEAN, 1_000_000).alias("p")).first()["p"]
     return 0.0 if found is None else float(min(0.5, found))
 
 
@@ -223,6 +228,10 @@ def graded(text: Column, model: OrdinalModel) -> Column:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    model = train(docs, read(spark, sf_dir, "labels"), id_col="doc_id", text_col="text")
-    return docs.select("doc_id", graded(F.col("text"), model).alias("r")).select("doc_id", "r.*")
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model, ids = fitted(docs, labels, id_col="doc_id", text_col="text")
+    # every text is graded once; the cutoff comes from the grades
+    done = stored(docs.select("doc_id", graded(F.col("text"), model).alias("r")).select("doc_id", "r.expected_grade", "r.tail"), "ordinal-grades")
+    if ids is not None:
+        model.cutoff = cutoff(done.select(F.col("doc_id").alias("id"), "tail"), rated_grades(labels, "doc_id"), ids)
+    return done.withColumn("kept", F.col("tail") >= model.cutoff)
