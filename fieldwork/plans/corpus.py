@@ -10,6 +10,7 @@ from fieldwork.operators import instrument as I
 from fieldwork.operators import paths as P
 from fieldwork.operators import registry as G
 from fieldwork.operators import textsearch as T
+from fieldwork.operators import views as V
 from fieldwork.plans.catalogue import query, table
 from fieldwork.sources.store import scratch
 from fieldwork.streaming import upserts as U
@@ -349,3 +350,15 @@ def stream_upserts(spark, sf_dir):
 def stream_issues(spark, sf_dir):
     issues = spark.read.parquet(f"{_streamed(spark, sf_dir)}/issues")
     return issues.groupBy("check_id").agg(F.count("*").alias("records"), F.count_distinct("user_id").alias("users"))
+
+
+# -- concepts by the words of their labels
+
+
+@query("SELECT p_brand || '/' || p_type AS concept_id, count(DISTINCT p_size) AS years, count(*) AS occurrences FROM part WHERE p_brand = 'Brand#12' GROUP BY p_brand, p_type ORDER BY years DESC, occurrences DESC, concept_id LIMIT 50")
+def concept_search(spark, sf_dir):
+    """Concepts whose label has all words asked for, in any order and case."""
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
+    counts = [F.countDistinct("p_size").alias("years"), F.count("*").alias("occurrences"), F.countDistinct("p_size").alias("representations")]
+    c = p.groupBy(F.col("p_brand").alias("label"), "p_type").agg(*counts).withColumn("concept_id", F.concat_ws("/", "label", "p_type"))
+    return V.concept_page(c, q="12 BRAND", least_years=None, changed_only=False).select("concept_id", "years", "occurrences")
