@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fieldwork.functions import stemming as S
 from fieldwork.functions import text as X
-from fieldwork.sources.store import kept
+from fieldwork.sources.store import kept, written
 
 WORD = "[0-9a-zà-öø-ÿœ]+"
 WEIGHT = 0.1
@@ -70,11 +70,13 @@ def text_index(df: DataFrame, *, key: str, text: str, lang: str) -> DataFrame:
 
     def make(d: DataFrame) -> DataFrame:
         language = F.when(F.col(lang) == "fr", "fr").otherwise("en")
-        tokens = d.select(F.col(key).alias("key"), language.alias("lang"), F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({WORD})"), F.lit(1))).alias("place", "word"))
+        # texts travel by key, so that their words need not
+        docs = d.select(F.col(key).alias("key"), language.alias("lang"), F.col(text).alias("text")).repartition("key")
+        tokens = docs.select("key", "lang", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))).alias("place", "word"))
         stop = reduce(lambda a, b: a | b, ((F.col("lang") == k) & F.col("word").isin(v) for k, v in S.STOPWORDS.items()))
-        found = tokens.where(~stop).groupBy("key", "lang", "word").agg(F.collect_list("place").alias("places"))
-        words = S.stemmed(found.select("lang", "word").distinct(), word="word", lang="lang")
-        stems = kept(words, "stems", lambda w: w)
+        # read twice and sampled, but split into words once
+        found = written(tokens.where(~stop).groupBy("key", "lang", "word").agg(F.collect_list("place").alias("places")), "words")
+        stems = written(S.stemmed(found.select("lang", "word").distinct(), word="word", lang="lang"), "stems")
         stems = F.broadcast(stems) if stems.count() <= BROADCAST_WORDS else stems
         return found.join(stems, ["lang", "word"]).select("term", "key", "places").repartitionByRange("term", "key").sortWithinPartitions("term", "key")
 
@@ -117,7 +119,8 @@ def corpus_search(df: DataFrame, *, key: str, name: str, text: str, lang: str, q
     is a condition on ``df``'s rows.
     """
     index = text_index(df, key=key, text=text, lang=lang)
-    both = [ranks(index, wanted(query, k)) for k in ("en", "fr")]
+    # written, as a union of plans that are dealt out by key, but differ in partitions, can't be run
+    both = [written(ranks(index, wanted(query, k)), "ranks") for k in ("en", "fr")]
     found = reduce(DataFrame.unionByName, both).groupBy("key").agg(F.max("rank").alias("__rank"))
     rows = (df if where is None else df.where(where)).select(F.col(key).alias("__key"), F.col(name).alias("__name"))
     mnemonic = X.mnemonic(F.lit(query))

@@ -69,3 +69,14 @@ def test_names_count_and_pages_follow_each_other(spark):
     assert search("fumée") == [(4, 0.1, 1)]
     assert search("") == [] and search("the") == []
     assert [x[0] for x in search("smoking", where=df.id > 1)] == [3]
+
+
+def test_exclusion_without_broadcasts(spark):
+    rows = [(i, f"N{i}", "cat dog" if i % 3 else "cat apache", "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, name string, body string, lang string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [r.id for r in T.corpus_search(df, key="id", name="name", text="body", lang="lang", query="cats -apache or dog").collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(got) == [i for i, *_ in rows if i % 3]
