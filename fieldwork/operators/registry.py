@@ -63,7 +63,9 @@ def nodes(instruments: DataFrame, *, json: str, most_levels: int = 1000) -> Data
 
 def _listed(instruments: DataFrame, json: str, path: str, key: str) -> DataFrame:
     """(instrument, i, key, part): the members of a list of each questionnaire; of equal keys all are there."""
-    rows = instruments.select(get(json, "$.id").alias("instrument"), F.posexplode(parts(json, path)).alias("i", "part"))
+    # the id comes first: beside the members it would be read out of the whole questionnaire for each of them
+    lists = instruments.select(get(json, "$.id").alias("instrument"), parts(json, path).alias("parts"))
+    rows = lists.select("instrument", F.posexplode("parts").alias("i", "part"))
     return rows.withColumn("key", get("part", key))
 
 
@@ -91,7 +93,8 @@ def registry(instruments: DataFrame, *, json: str, updated: Column | None = None
     A variable's or list's usage is the number of questions that name it. ``updated``
     replaces the creation dates that the questionnaires give.
     """
-    given = instruments.select(F.col(json).alias("json"), get(json, "$.id").alias("instrument"), F.coalesce(*([updated] if updated is not None else []), get(json, "$.metadata.created")).alias("last_updated")).where("instrument IS NOT NULL")
+    # read for every kind of component
+    given = written(instruments.select(F.col(json).alias("json"), get(json, "$.id").alias("instrument"), F.coalesce(*([updated] if updated is not None else []), get(json, "$.metadata.created")).alias("last_updated")).where("instrument IS NOT NULL"), "questionnaires")
     constructs = nodes(given, json="json")
     uses = _uses(constructs)
     concepts = _first(_listed(given, "json", "$.concepts", "$.id")).select("instrument", F.col("key").alias("concept_ref"), languages("part", "$.label").alias("concept"))

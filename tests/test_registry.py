@@ -58,3 +58,12 @@ def test_places_give_document_order(spark):
     root = {"type": "sequence", "id": "0", "children": [{"type": "loop", "id": "1", "children": [{"type": "question", "id": "2"}]}, {"type": "ifThenElse", "id": "3", "then": [{"type": "statement", "id": "4"}], "else": [{"type": "question", "id": "5"}]}]}
     df = spark.createDataFrame([(json.dumps({"id": "x", "sequence": root}),)], "j string")
     assert [json.loads(r.node)["id"] for r in G.nodes(df, json="j").orderBy("place").collect()] == list("012345")
+
+
+def test_ids_are_read_once_a_questionnaire(spark):
+    df = spark.createDataFrame([(json.dumps({"id": "x", "variables": [{"name": "A"}, {"name": "B"}]}),)], "j string")
+    listed = G._listed(df, "j", "$.variables", "$.name")
+    assert sorted((r.instrument, r.i, r.key) for r in listed.collect()) == [("x", 0, "A"), ("x", 1, "B")]
+    # not beside the members, where it would be read for each of them
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.id" not in plan[: plan.index("Generate ")]
