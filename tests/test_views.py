@@ -102,3 +102,12 @@ def test_search_falls_back_on_a_suggestion(spark):
     assert len(found) == 3 and {r.searched for r in found} == {"housing"}
     assert Q.search_or_suggestion(docs, key="id", text="text", query="zzzz").count() == 0
     assert {r.searched for r in Q.search_or_suggestion(docs, key="id", text="text", query="tenure").collect()} == {"tenure"}
+
+
+def test_files_are_classified_on_all_cores(spark, tmp_path):
+    spark.createDataFrame([(i, f"AAAS_BBBQ/notes T04.{i % 9}.pdf") for i in range(200)], "no long, path string").coalesce(1).write.parquet(str(tmp_path / "files"))
+    few = spark.read.parquet(str(tmp_path / "files"))
+    assert few.rdd.getNumPartitions() == 1
+    found = L.classified(few, "path")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.where("file.survey_acronym = 'AAAS'").count() == 200
