@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwork.functions import text as X
-from fieldwork.sources.store import kept
+from fieldwork.sources.store import kept, written
 
 # Words that search leaves out.
 STOPWORDS = (
@@ -34,6 +34,7 @@ SYNONYMS = (
     ("hour", "time", "duration"),
 )
 SYNONYM_WEIGHT = 0.5
+BROADCAST_TERMS = 1_000_000
 
 
 def lexicon(df: DataFrame, text: str, *, least: int = 2) -> DataFrame:
@@ -76,13 +77,18 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, weight, idf, norm): a document's terms by (1 + ln tf) ln(1 + N / df), sorted by term."""
 
     def make(d: DataFrame) -> DataFrame:
-        tf = d.select(key, F.explode(X.search_tokens(F.col(text), STOPWORDS)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+        # texts travel by key, so that their terms need not
+        docs = d.select(key, text).repartition(key)
+        tf = docs.select(key, F.explode(X.search_tokens(F.col(text), STOPWORDS)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
         df_ = tf.groupBy("term").agg(F.count("*").alias("df"))
         total = d.agg(F.count("*").alias("total"))
-        idf = df_.join(F.broadcast(total)).select("term", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
+        idf = written(df_.join(F.broadcast(total)).select("term", F.log(1 + F.col("total") / F.col("df")).alias("idf")), "idf")
+        idf = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
         weighted = tf.join(idf, "term").withColumn("weight", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-        norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-        return weighted.join(norms, key).select("term", key, "weight", "idf", "norm").repartitionByRange("term").sortWithinPartitions("term", key)
+        norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
+        # sorting by ranges reads its rows twice
+        found = written(weighted.select("term", key, "weight", "idf", norm.alias("norm")), "weighted")
+        return found.repartitionByRange("term").sortWithinPartitions("term", key)
 
     return kept(df.select(key, text), "postings", make)
 

@@ -111,3 +111,23 @@ def test_files_are_classified_on_all_cores(spark, tmp_path):
     found = L.classified(few, "path")
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert found.where("file.survey_acronym = 'AAAS'").count() == 200
+
+
+def _shuffled(spark):
+    """Rows that stages have shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    gateway = spark.sparkContext._gateway
+    no = gateway.jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(no, False, False, gateway.new_array(gateway.jvm.double, 0), no)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_are_shuffled_once(spark, tmp_path):
+    texts = [(i, " ".join(f"w{(i * 7 + j * j) % 400}" for j in range(150))) for i in range(100)]
+    spark.createDataFrame(texts, "id long, text string").write.parquet(str(tmp_path / "docs"))
+    before = _shuffled(spark)
+    index = Q.postings(spark.read.parquet(str(tmp_path / "docs")), "id", "text")
+    taken, n = _shuffled(spark) - before, index.count()
+    assert n == sum(len(set(t.split())) for _, t in texts)
+    # documents and the parts' vocabularies come on top
+    assert taken < n + 4 * 400 + 1000
