@@ -12,11 +12,14 @@ gathered in order and read by column expressions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwork.sources.store import written
+
 # What the dictionaries print as names of fields, in English and French.
 LABELS = {
     "name": r"Variable\s*Name|Nom\s+de\s+(?:la\s+)?variable",
@@ -67,6 +70,11 @@ def _blank_to_null(c: Column) -> Column:
 # -- category rows
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(c: Column) -> Column:
     """``1,234`` or ``1 234`` or ``12.5``; anything else is null."""
     digits = F.regexp_replace(c, r"[\s,]", "")
@@ -91,19 +99,23 @@ def category(row: Column) -> Column:
     and a number follows. With fewer, the line is read from its end: counts, then the
     code, and the rest is the label.
     """
-    cells = F.filter(F.split(F.trim(row), r"\s{2,}"), lambda x: x != "")
-    cell = lambda i: F.get(cells, F.lit(i))
-    first, second = (cell(i).rlike(rf"^(?:{CODE})$") for i in (0, 1))
-    code, label = (F.when(first, cell(i)).otherwise(cell(1 - i)) for i in (0, 1))
-    wide = (first != second) & _is_label(label) & (F.length(label) <= LONGEST_LABEL) & _number(cell(2)).isNotNull()
-    by_cells = F.when(wide, F.struct(code.alias("code"), label.alias("label"), _number(cell(2)).alias("frequency"), _number(cell(3)).alias("weighted")))
-
     pattern = rf"^\s*(.{{2,{LONGEST_LABEL}}}?)\s+({CODE})\s+([\d.,\s%]+)$"
-    label, code, tail = (F.trim(F.regexp_extract(row, pattern, i)) for i in (1, 2, 3))
-    narrow = row.rlike(pattern) & label.rlike("[A-Za-zÀ-ÿ]") & _is_label(label) & tail.rlike(r"\d")
-    counts = _counts(tail)
-    by_end = F.when(narrow, F.struct(code.alias("code"), label.alias("label"), F.get(counts, F.lit(0)).alias("frequency"), F.get(counts, F.lit(1)).alias("weighted")))
-    return F.when(F.size(cells) < 3, by_end).otherwise(by_cells)
+
+    def by_end(parts: Column) -> Column:
+        label, code, tail = (F.trim(F.get(parts, F.lit(i))) for i in range(3))
+        narrow = (F.size(parts) == 3) & label.rlike("[A-Za-zÀ-ÿ]") & _is_label(label) & tail.rlike(r"\d")
+        counted = _once(_counts(tail), lambda n: F.struct(code.alias("code"), label.alias("label"), F.get(n, F.lit(0)).alias("frequency"), F.get(n, F.lit(1)).alias("weighted")))
+        return F.when(narrow, counted)
+
+    def by_cells(cells: Column) -> Column:
+        cell = lambda i: F.get(cells, F.lit(i))
+        first, second = (cell(i).rlike(rf"^(?:{CODE})$") for i in (0, 1))
+        code, label = (F.when(first, cell(i)).otherwise(cell(1 - i)) for i in (0, 1))
+        wide = (first != second) & _is_label(label) & (F.length(label) <= LONGEST_LABEL) & _number(cell(2)).isNotNull()
+        return F.when(wide, F.struct(code.alias("code"), label.alias("label"), _number(cell(2)).alias("frequency"), _number(cell(3)).alias("weighted")))
+
+    narrow = _once(F.split(F.regexp_replace(row, pattern, "$1\u0001$2\u0001$3"), "\u0001"), by_end)
+    return _once(F.filter(F.split(F.trim(row), r"\s{2,}"), lambda x: x != ""), lambda cells: F.when(F.size(cells) < 3, narrow).otherwise(by_cells(cells)))
 
 
 # -- fields of a line and of a block
@@ -221,7 +233,8 @@ def variables(lines: DataFrame, chosen: DataFrame, *, document: str, page: str,
     if len(read.take(BROADCAST_DOCUMENTS + 1)) <= BROADCAST_DOCUMENTS:
         read = F.broadcast(read)
     rows = lines.select(document, F.col(page).alias("page"), F.col(line).alias("line"), plain_row(F.col(row)).alias("row")).join(read, document)
-    rows = rows.withColumn("header", _is_header(F.col("row"), F.col("layout")))
+    # read for the blocks of pages, and for those within them
+    rows = written(rows.withColumn("header", _is_header(F.col("row"), F.col("layout"))), "dictionary-lines")
     of_page = rows.groupBy(document, "page").agg(F.count_if("header").alias("n"))
     before = of_page.select(document, "page", (F.sum("n").over(Window.partitionBy(document).orderBy("page")) - F.col("n")).alias("before"))
     here = F.count_if("header").over(Window.partitionBy(document, "page").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))

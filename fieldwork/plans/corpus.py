@@ -12,7 +12,7 @@ from fieldwork.operators import registry as G
 from fieldwork.operators import textsearch as T
 from fieldwork.operators import views as V
 from fieldwork.plans.catalogue import query, table
-from fieldwork.sources.store import scratch
+from fieldwork.sources.store import scratch, written
 from fieldwork.streaming import upserts as U
 
 # -- dictionaries: parts are printed in five styles, a brand a document, and read back
@@ -91,8 +91,8 @@ _EXPECTED = f"""WITH {_SHARED}, coded AS (
 
 
 def _found(spark, sf_dir):
-    lines = _printed(spark, sf_dir)
-    chosen = D.layouts(lines, document="document", row="row")
+    lines = written(_printed(spark, sf_dir), "printed")
+    chosen = written(D.layouts(lines, document="document", row="row"), "layouts")
     return chosen, D.variables(lines, chosen, document="document", page="page", line="line", row="row")
 
 

@@ -67,3 +67,10 @@ def test_empty_table(spark):
     chosen = D.layouts(none, document="doc", row="txt")
     found = D.variables(none, chosen, document="doc", page="pg", line="ln", row="txt")
     assert found.count() == 0 and D.notes(chosen, found, document="doc").count() == 0
+
+
+def test_lines_are_cut_once(spark):
+    row = F.col("r")
+    # the pattern of narrow rows, and the cells of wide ones
+    plan = spark.createDataFrame([("1   Yes   1,234   5,678",)], "r string").select(D.category(row).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(trim(r") == 1 and plan.count("{2,120}?") == 1
