@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldwork.functions import text as X
 
+BROADCAST_CELLS = 100_000
+
 
 def _no(c: Column) -> Column:
     """Trimmed text, null if blank."""
@@ -203,8 +205,17 @@ def fired_edits(items: DataFrame, *, kind: str, edit: str) -> DataFrame:
 
 
 def cell_totals(cells: DataFrame, disabled: DataFrame, *, response: str, row: str, column: str, value: str) -> DataFrame:
-    """Each response's row, column and grand totals over the cells that are not disabled; all blank is null."""
-    open_ = cells.join(disabled.select(row, column), [row, column], "left_anti")
+    """Each response's row, column and grand totals over the cells that are not disabled; all blank is null.
+
+    Dealt out by row and column, all responses' values of a cell would be one task's, so
+    the disabled cells go to every task unless they are very many.
+    """
+    closed = disabled.select(row, column).distinct()
+    if closed.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        closed = F.broadcast(closed)
+    open_ = cells.join(closed, [row, column], "left_anti")
+    # summed by cell first, or a task that reads rows would hold each of them in all three sets
+    open_ = open_.groupBy(response, row, column).agg(F.sum(value).alias(value))
     sets = open_.groupingSets([[F.col(response), F.col(row)], [F.col(response), F.col(column)], [F.col(response)]], F.col(response), F.col(row), F.col(column))
     return sets.agg(F.sum(value).alias("total")).select(response, F.coalesce(row, F.lit("TOT")).alias(row), F.coalesce(column, F.lit("TOT")).alias(column), "total")
 

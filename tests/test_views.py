@@ -131,3 +131,13 @@ def test_postings_are_shuffled_once(spark, tmp_path):
     assert n == sum(len(set(t.split())) for _, t in texts)
     # documents and the parts' vocabularies come on top
     assert taken < n + 4 * 400 + 1000
+
+
+def test_cells_are_not_dealt_out_by_row_and_column(spark):
+    cells = spark.range(2000).select((F.col("id") % 100).alias("who"), F.when(F.col("id") % 2 == 0, "A").otherwise("B").alias("r"), F.lit("F").alias("k"), F.lit(1).alias("v"))
+    totals = lambda closed: V.cell_totals(cells, spark.createDataFrame(closed, "r string, k string"), response="who", row="r", column="k", value="v")
+    found = totals([("A", "F")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {(r.who % 2, r.r, r.k, r.total) for r in found.collect()} == {(1, "B", "TOT", 20), (1, "TOT", "F", 20), (1, "TOT", "TOT", 20)}
+    assert totals([]).count() == 300
