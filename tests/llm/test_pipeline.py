@@ -114,5 +114,10 @@ def test_stages_on_odd_and_empty_tables(spark):
         assert (docs.count() > 0) == bool(rows)
 
 
+def test_texts_are_counted_once_as_they_are_judged(spark):
+    done = P.quality(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_small_tables_exist():
     assert pq.read_table(f"{SMALL}/documents.parquet").num_rows > 0
