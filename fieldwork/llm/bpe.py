@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldwork.llm.common import read
+from fieldwork.llm.common import given_back, read
 
 CHUNK_BYTES = 4_000_000
 #: Bytes of a text that are cut into pieces at once, and ids that one decoding query takes.
@@ -394,6 +394,8 @@ def round_trip(docs: DataFrame, *columns: str, text_col: str, ranks_path: str, p
                 kept = batch.slice(start, len(texts)).columns[:-1]
                 start += len(texts)
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], shape.names)
+        batch = texts = ids = back = kept = None
+        given_back()
 
     return rows.mapInArrow(run, shape)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Only glibc has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def given_back() -> None:
+    """Returns to the system what this Python worker has freed: idle workers stay, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 #: Distinct words whose hash one Python worker remembers before it starts anew.
 HASH_MEMO = 100_000
 

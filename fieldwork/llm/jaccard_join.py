@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwork.llm.common import ASCII_LOWER, WordHashes, mix64, packed, read, stored, unpacked
+from fieldwork.llm.common import ASCII_LOWER, WordHashes, given_back, mix64, packed, read, stored, unpacked
 from fieldwork.llm.components import connected
 
 WORDS = 5
@@ -152,6 +152,8 @@ def _dealt(parts: int):
                 )
                 chunk += 1
                 start, texts, held = i + 1, [], 0
+        batch = x = texts = ids = entries = part = keys = None
+        given_back()
 
     return deal
 
@@ -199,6 +201,8 @@ def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
         sets.append(ordered[start:end].tobytes() if reach[-1] else None)
         start = end
     ids = head.column("ids").combine_chunks().flatten()
+    del answers, entries, levels, ordered, owner, order
+    given_back()
     return pa.table({"id": ids, "body": body, "n": n, "class": cls, "check": check, "reach": pa.array(reach, pa.int64()), "set": pa.array(sets, pa.binary())})
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldwork.llm.common import read, stored
+from fieldwork.llm.common import given_back, read, stored
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 FEATURE_TYPE = T.StructType([T.StructField(n, T.LongType()) for n in FEATURES])
@@ -105,6 +105,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
 @F.arrow_udf(FEATURE_TYPE)
 def _measured(texts: pa.Array) -> pa.Array:
     rows = np.array([measure(x.as_py()) for x in texts], dtype=np.int64).reshape(-1, len(FEATURES))
+    given_back()
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(FEATURES))], list(FEATURES))
 
 

@@ -3,9 +3,12 @@
 import collections
 import hashlib
 
+import numpy as np
+import psutil
 import pyarrow.parquet as pq
 
 import corpus_pipeline as P
+from fieldwork.llm.common import given_back
 
 SMALL = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -119,5 +122,18 @@ def test_texts_are_counted_once_as_they_are_judged(spark):
     assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_freed_memory_is_given_back():
+    """Idle workers stay beside later stages; what their tasks have freed does not."""
+
+    def held():
+        return psutil.Process().memory_info().rss >> 20
+
+    rows = [np.ones(12_000) for _ in range(2000)]
+    last, rows = rows[-1], None
+    before = held()
+    given_back()
+    assert before - held() > 100 and len(last)
+
+
 def test_small_tables_exist():
     assert pq.read_table(f"{SMALL}/documents.parquet").num_rows > 0
